@@ -23,3 +23,12 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
 
 def is_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
+
+
+def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Append the columns of a global aggregate (exactly one row) to every row of ``df``.
+
+    ``one_row`` must come from a global ``agg`` (no grouping), so the join can never
+    multiply rows; it is broadcast and needs no shuffle of ``df``.
+    """
+    return df.join(F.broadcast(one_row), how="cross")
