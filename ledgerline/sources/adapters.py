@@ -112,6 +112,15 @@ from events
 select 'model_' || cast(s_suppkey % 5 as string) as model_name, cast(s_suppkey as string) as version,
   case s_suppkey % 3 when 0 then 'Production' when 1 then 'Staging' else 'None' end as stage, s_suppkey as run_id
 from supplier
+""",
+    # Trainer-style log keys over the metric series (loss, eval_loss, learning_rate, ...).
+    "training_log": """
+select run_id, step,
+  case metric_key when 'view' then 'loss' when 'error' then 'eval_loss' when 'click' then 'learning_rate'
+    when 'purchase' then 'grad_norm' else 'epoch' end as log_key,
+  case metric_key when 'view' then value / 25 when 'error' then value / 25 when 'click' then value / 100000
+    else value end as value
+from metric_log
 """,
 }
 
@@ -129,6 +138,7 @@ ADAPTER_DEPS: dict[str, tuple[str, ...]] = {
     "model_outputs": ("documents",),
     "metric_log": ("events",),
     "model_versions": ("supplier",),
+    "training_log": ("metric_log",),
 }
 
 
