@@ -29,7 +29,7 @@ IMPLICIT_DIFFICULTIES = ("Implicite", "Ambigu", "Mixte")
 
 def enum_rank(col: Column | str, domain: tuple[str, ...]) -> Column:
     c = F.col(col) if isinstance(col, str) else col
-    return F.array_position(F.array(*[F.lit(v) for v in domain]), c)
+    return F.array_position(F.array(*[F.lit(v) for v in domain]), c).cast("int")
 
 
 def sql_enum_rank(expr: str, domain: tuple[str, ...]) -> str:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.functions.sizing import bounded_broadcast
+from ledgerline.functions.sizing import attach_one_row, bounded_broadcast
 
 SEED = 42
 BUCKET_HEX_DIGITS = 3  # 4,096 buckets per group
@@ -24,10 +24,14 @@ def seeded_hash(id_col: str, seed: int = SEED) -> Column:
     return F.sha1(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
 
 
-def global_positions(df: DataFrame, order_hash: str, id_col: str, group_cols=(), out: str = "pos") -> DataFrame:
-    """0-based position of each row in the order (group_cols, order_hash, id_col)."""
+def global_positions(df: DataFrame, order_hash: str, id_col: str, group_cols=(), out: str = "pos",
+                     bucket: Column | None = None) -> DataFrame:
+    """0-based position of each row in the order (group_cols, order_hash, id_col).
+
+    ``bucket`` must be monotonic in the order key; by default it is the hash prefix.
+    """
     groups = list(group_cols)
-    b = df.withColumn("_bucket", F.substring(order_hash, 1, BUCKET_HEX_DIGITS))
+    b = df.withColumn("_bucket", bucket if bucket is not None else F.substring(order_hash, 1, BUCKET_HEX_DIGITS))
     counts = b.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     # Running sum over at most (#groups x 4,096) rows: the one small single-task step.
     running = Window.orderBy(*groups, "_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -38,6 +42,18 @@ def global_positions(df: DataFrame, order_hash: str, id_col: str, group_cols=(),
             .drop("_bucket", "_off"))
 
 
+def positions_by_number(df: DataFrame, key: str, out: str = "pos", buckets: int = 4096) -> DataFrame:
+    """0-based position in ascending numeric ``key`` order (ties by nothing else: keys unique).
+
+    Buckets are equal-width ranges between min and max, so they follow the order.
+    """
+    bounds = df.agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
+    with_b = attach_one_row(df, bounds)
+    width = (F.col("_hi") - F.col("_lo") + F.lit(1)).cast("double") / F.lit(buckets)
+    bucket = F.floor((F.col(key) - F.col("_lo")) / width).cast("bigint")
+    return global_positions(with_b, key, key, out=out, bucket=bucket).drop("_lo", "_hi")
+
+
 def stratum_key(facts: DataFrame) -> Column:
     """category|Label|Difficulty|tool-flag, missing (or null) fields as ``unknown``."""
     def field(f):

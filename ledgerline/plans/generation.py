@@ -1,3 +1,128 @@
-"""Registered queries (filled in below)."""
+"""Registered generation queries (survey 2.8 G1-G7, F1, F20): examples are seeded from
+the ids of a given table, so the work grows with it."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ledgerline.operators import generate as G
+from ledgerline.operators import quality as Q
+from ledgerline.operators import splits as S
+from ledgerline.plans.registry import query
+from ledgerline.sources.adapters import adapter
+
+
+def _ids(spark, sf_dir):
+    return adapter(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+
+
+def _u(field, seed=G.SEED):
+    return f"(CAST('0x' || substr(sha1('{seed}:{field}:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0)"
+
+
+def _choice_sql(u, values, weights):
+    edges = G.cumulative(weights)[:-1]
+    whens = " ".join(f"WHEN {u} < {e!r} THEN '{v}'" for v, e in zip(values[:-1], edges))
+    return f"CASE {whens} ELSE '{values[-1]}' END"
+
+
+QUOTA_SQL = """
+WITH p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents)
+SELECT doc_id AS id, pos,
+  CASE WHEN pos < floor(n * 0.32) THEN 'diagnostic_complet'
+       WHEN pos < floor(n * 0.32) + floor(n * 0.25) THEN 'identification_des_dangers'
+       WHEN pos < floor(n * 0.32) + floor(n * 0.25) + floor(n * 0.28) THEN 'evaluation_investissement'
+       ELSE 'simplification_concept' END AS category, n AS n_total
+FROM p
+"""
+
+
+@query("category_quotas", "G1", oracle=QUOTA_SQL)
+def q_category_quotas(spark, sf_dir):
+    return G.category_quotas(_ids(spark, sf_dir))
+
+
+@query("weighted_choice", "G2", oracle=f"""
+SELECT doc_id AS id, {_u('tool')} < 0.35 AS has_tool_use,
+  {_choice_sql(_u('label'), G.LABELS, G.LABEL_WEIGHTS)} AS drawn_label,
+  {_choice_sql(_u('difficulty'), G.DIFFICULTIES, G.DIFFICULTY_WEIGHTS)} AS drawn_difficulty
+FROM documents
+""")
+def q_weighted_choice(spark, sf_dir):
+    return G.draws(_ids(spark, sf_dir)).select("id", "has_tool_use", "drawn_label", "drawn_difficulty")
+
+
+@query("generated_examples", "G3-G6", oracle=None)
+def q_generated_examples(spark, sf_dir):
+    meta, msgs = G.generate_examples(_ids(spark, sf_dir))
+    counts = msgs.groupBy("example_id").agg(F.count(F.lit(1)).alias("n_messages"))
+    return meta.join(counts, "example_id", "left")
+
+
+@query("hard_eval_examples", "G7", oracle=None)
+def q_hard_eval_examples(spark, sf_dir):
+    meta, _ = G.generate_examples(_ids(spark, sf_dir), hard=True)
+    return meta.groupBy("category", "Label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("generated_overview", "G7+A2", oracle=None)
+def q_generated_overview(spark, sf_dir):
+    meta, msgs = G.generate_examples(_ids(spark, sf_dir))
+    return Q.dataset_overview(Q.example_facts(meta, msgs))
+
+
+@query("generated_split_sizes", "G7+W4+A13", oracle=None)
+def q_generated_split_sizes(spark, sf_dir):
+    meta, msgs = G.generate_examples(_ids(spark, sf_dir))
+    return S.split_sizes(S.stratified_split(Q.normalise_metadata(meta)))
+
+
+@query("slug_values", "F1", oracle="""
+SELECT n_nationkey, translate(lower(n_name), 'éèê -', 'eee__') AS slug FROM nation
+UNION ALL SELECT r_regionkey + 1000, translate(lower(r_name), 'éèê -', 'eee__') FROM region
+""")
+def q_slug_values(spark, sf_dir):
+    n = adapter(spark, sf_dir, "nation").select("n_nationkey", G.slug(F.col("n_name")).alias("slug"))
+    r = adapter(spark, sf_dir, "region").select((F.col("r_regionkey") + 1000).alias("n_nationkey"),
+                                                G.slug(F.col("r_name")).alias("slug"))
+    return n.unionByName(r)
+
+
+PROFILE_KEYS = list(G.PROFILE_INSTRUCTIONS) + ["strategic"]
+
+
+def _prompt_requests(spark, sf_dir):
+    conv = adapter(spark, sf_dir, "conversations")
+    msgs = conv.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
+    last_user = F.array_max(F.transform(F.filter("m", lambda x: x["role"] == "user"), lambda x: x["turn"]))
+    profiles = F.array(*[F.lit(p) for p in PROFILE_KEYS])
+    return (msgs.withColumn("_lu", last_user).where(F.col("_lu").isNotNull())
+            .select(F.col("conv_id").alias("request_id"),
+                    F.element_at(profiles, (F.col("conv_id") % len(PROFILE_KEYS)).cast("int") + 1).alias("investor_profile"),
+                    F.transform(F.filter("m", lambda x: x["turn"] < F.col("_lu")),
+                                lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("history"),
+                    F.filter("m", lambda x: x["turn"] == F.col("_lu"))[0]["text"].alias("user_text")))
+
+
+def _instr_sql():
+    cases = " ".join(f"WHEN '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in G.PROFILE_INSTRUCTIONS.items())
+    return f"CASE profile {cases} END"
+
+
+@query("prompt_batches", "F20", oracle=f"""
+WITH lu AS (SELECT conv_id, max(turn) AS lu FROM conversations WHERE role = 'user' GROUP BY conv_id),
+req AS (SELECT conv_id, lu, {[p for p in PROFILE_KEYS]}[conv_id % {len(PROFILE_KEYS)} + 1] AS profile FROM lu),
+sys AS (SELECT conv_id, lu, CASE WHEN {_instr_sql()} IS NULL THEN '{G.SYSTEM_TEXT}'
+          ELSE '{G.SYSTEM_TEXT}' || chr(10) || chr(10) || {_instr_sql()} END AS s FROM req),
+parts AS (
+  SELECT y.conv_id, -1 AS turn, '<|im_start|>system' || chr(10) || y.s || '<|im_end|>' AS p FROM sys y
+  UNION ALL SELECT c.conv_id, c.turn, '<|im_start|>' || c.role || chr(10) || c.text || '<|im_end|>'
+    FROM conversations c JOIN sys y ON y.conv_id = c.conv_id WHERE c.turn <= y.lu)
+SELECT conv_id AS request_id, count(*) AS n_messages, string_agg(p, chr(10) ORDER BY turn) AS rendered
+FROM parts GROUP BY conv_id
+""")
+def q_prompt_batches(spark, sf_dir):
+    out = G.prompt_batches(_prompt_requests(spark, sf_dir))
+    rendered = F.array_join(F.transform("messages", lambda m: F.concat(
+        F.lit("<|im_start|>"), m["role"], F.lit("\n"), m["content"], F.lit("<|im_end|>"))), "\n")
+    return out.select("request_id", F.size("messages").cast("bigint").alias("n_messages"), rendered.alias("rendered"))

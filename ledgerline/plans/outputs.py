@@ -131,7 +131,7 @@ def q_source_tables(spark, sf_dir):
 
 
 @query("classify_calls", "F12", oracle=CALLS_SQL + """
-SELECT output_id, call_pos, block_pos, function_name, sql, status, error, effective_sql,
+SELECT output_id, call_pos, CAST(block_pos AS INTEGER) AS block_pos, function_name, sql, status, error, effective_sql,
   substr(effective_sql, 1, 300) AS audit_sql
 FROM cls2
 """)

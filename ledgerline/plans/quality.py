@@ -239,7 +239,7 @@ def q_split_sizes(spark, sf_dir):
 @query("split_leakage", "U2", oracle=with_chain("example_meta", "example_messages").rstrip() + SPLIT_SQL + """
 , fp AS (SELECT example_id, sha1(string_agg(coalesce(content, ''), chr(10) ORDER BY turn)) AS fingerprint
          FROM example_messages GROUP BY example_id)
-SELECT fingerprint, list_sort(list_distinct(list(split))) AS splits
+SELECT fingerprint, array_to_string(list_sort(list_distinct(list(split))), ',') AS splits
 FROM splits s JOIN fp USING (example_id) GROUP BY fingerprint HAVING count(DISTINCT split) > 1
 """)
 def q_split_leakage(spark, sf_dir):
@@ -247,7 +247,7 @@ def q_split_leakage(spark, sf_dir):
     fp = msgs.groupBy("example_id").agg(F.sha1(F.array_join(F.transform(F.array_sort(F.collect_list(
         F.struct("turn", F.coalesce("content", F.lit("")).alias("c")))), lambda x: x["c"]), "\n")).alias("_fp"))
     sp = split_of(spark, sf_dir).join(fp, "example_id")
-    return S.split_leakage(sp, F.col("_fp"))
+    return S.split_leakage(sp, F.col("_fp")).withColumn("splits", F.array_join("splits", ","))
 
 
 @query("seeded_shuffle", "W8", oracle=with_chain("example_meta") + """

@@ -31,7 +31,7 @@ SUMMARY_SQL = SERIES_SQL + """
 best AS (SELECT run_id, min(value) AS best_eval_loss FROM ev GROUP BY run_id),
 summary AS (
   SELECT s.run_id, CAST(max(s.step) AS INTEGER) AS total_steps, b.best_eval_loss,
-    (SELECT min(e.step) FROM ev e WHERE e.run_id = s.run_id AND e.value = b.best_eval_loss) AS best_step,
+    CAST((SELECT min(e.step) FROM ev e WHERE e.run_id = s.run_id AND e.value = b.best_eval_loss) AS INTEGER) AS best_step,
     arg_max(s.value, s.step) FILTER (WHERE s.metric = 'eval/loss') AS final_eval_loss,
     arg_max(s.value, s.step) FILTER (WHERE s.metric = 'train/loss') AS final_train_loss,
     CASE WHEN b.best_eval_loss < 10 THEN round(exp(b.best_eval_loss), 6) END AS best_perplexity
