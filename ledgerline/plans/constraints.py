@@ -1,3 +1,137 @@
-"""Registered queries (filled in below)."""
+"""Registered constraint, update and loading queries (survey 2.9 D1, D2, D4, D5; 2.3 J9; 2.1 S5)."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ledgerline.functions.enums import LEAN_CATEGORIES, OUTCOMES, STAGES
+from ledgerline.operators import constraints as C
+from ledgerline.plans.registry import query
+from ledgerline.sources import seeds
+from ledgerline.sources.adapters import adapter, with_chain
+from ledgerline.sources.jsonl import scratch_path
+
+NOW = "2025-01-01 00:00:00"
+BEFORE = "2024-01-01 00:00:00"
+
+
+@query("domain_violations", "D1", oracle=with_chain("startups") + f"""
+SELECT id, 'name' AS "column", 'not_null' AS rule, CAST(name AS VARCHAR) AS value FROM startups WHERE name IS NULL
+UNION ALL SELECT id, 'sector', 'not_null', sector FROM startups WHERE sector IS NULL
+UNION ALL SELECT id, 'stage', 'not_null', stage FROM startups WHERE stage IS NULL
+UNION ALL SELECT id, 'outcome', 'not_null', outcome FROM startups WHERE outcome IS NULL
+UNION ALL SELECT id, 'stage', 'domain', stage FROM startups WHERE stage NOT IN {tuple(STAGES)}
+UNION ALL SELECT id, 'outcome', 'domain', outcome FROM startups WHERE outcome NOT IN {tuple(OUTCOMES)}
+UNION ALL SELECT id, 'name', 'max_length', name FROM startups WHERE length(name) > 255
+UNION ALL SELECT id, 'sector', 'max_length', sector FROM startups WHERE length(sector) > 100
+UNION ALL SELECT id, 'region', 'max_length', region FROM startups WHERE length(region) > 100
+UNION ALL SELECT id, 'country', 'max_length', country FROM startups WHERE length(country) > 100
+UNION ALL SELECT id, 'mrr', 'precision', CAST(mrr AS VARCHAR) FROM startups WHERE abs(mrr) >= 1e10
+UNION ALL SELECT id, 'founding_year', 'domain', CAST(founding_year AS VARCHAR) FROM startups
+  WHERE founding_year NOT IN (2000, 2001, 2002, 2003, 2004, 2005, 2006, 2007, 2008, 2009, 2010, 2011, 2012,
+                              2013, 2014, 2015, 2016, 2017, 2018, 2019, 2020)
+""")
+def q_domain_violations(spark, sf_dir):
+    st = adapter(spark, sf_dir, "startups")
+    # The founding-year rule is a data-quality domain on top of the DDL (years after 2020 flagged).
+    years = [str(y) for y in range(2000, 2021)]
+    return C.domain_violations(
+        st.withColumn("founding_year", F.col("founding_year").cast("string")), "id",
+        not_null=("name", "sector", "stage", "outcome"),
+        domains={"stage": STAGES, "outcome": OUTCOMES, "founding_year": years},
+        max_length={"name": 255, "sector": 100, "region": 100, "country": 100},
+        max_abs={"mrr": 1e10})
+
+
+@query("concept_domain_violations", "D1", oracle=with_chain("lean_concepts") + f"""
+SELECT id, 'category' AS "column", 'domain' AS rule, category AS value FROM lean_concepts WHERE category NOT IN {tuple(LEAN_CATEGORIES)}
+UNION ALL SELECT id, 'concept_name', 'max_length', concept_name FROM lean_concepts WHERE length(concept_name) > 40
+""")
+def q_concept_domain_violations(spark, sf_dir):
+    return C.domain_violations(adapter(spark, sf_dir, "lean_concepts"), "id",
+                               domains={"category": LEAN_CATEGORIES}, max_length={"concept_name": 40})
+
+
+@query("unique_violations", "D2", oracle=with_chain("sector_benchmarks") + """
+SELECT sector, stage, metric_name, count(*) AS n_rows FROM sector_benchmarks
+GROUP BY sector, stage, metric_name HAVING count(*) > 1
+""")
+def q_unique_violations(spark, sf_dir):
+    return C.unique_violations(adapter(spark, sf_dir, "sector_benchmarks"), ["sector", "stage", "metric_name"])
+
+
+@query("concept_name_unique", "D2", oracle=with_chain("lean_concepts") + """
+SELECT simple_def, count(*) AS n_rows FROM lean_concepts GROUP BY simple_def HAVING count(*) > 1
+""")
+def q_concept_name_unique(spark, sf_dir):
+    return C.unique_violations(adapter(spark, sf_dir, "lean_concepts"), ["simple_def"])
+
+
+@query("orphan_rows", "J9", oracle="""
+SELECT o.o_orderkey, o.o_custkey, o.o_totalprice FROM orders o WHERE o.o_custkey IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey)
+""")
+def q_orphan_rows(spark, sf_dir):
+    orders = adapter(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return C.orphan_rows(orders, adapter(spark, sf_dir, "customer"), "o_custkey", "c_custkey")
+
+
+@query("orphan_lineitems", "J9", oracle="""
+SELECT l_orderkey, l_linenumber FROM lineitem l
+WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey)
+""")
+def q_orphan_lineitems(spark, sf_dir):
+    li = adapter(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    return C.orphan_rows(li, adapter(spark, sf_dir, "orders"), "l_orderkey", "o_orderkey")
+
+
+@query("cascade_delete", "D5", oracle=with_chain("startups", "pivot_cases") + """
+SELECT id, startup_id, pivot_type, outcome FROM pivot_cases
+WHERE startup_id IS NULL OR startup_id NOT IN (SELECT id FROM startups WHERE outcome = 'failure')
+""")
+def q_cascade_delete(spark, sf_dir):
+    deleted = adapter(spark, sf_dir, "startups").where(F.col("outcome") == "failure").select("id")
+    kept = C.cascade_delete(adapter(spark, sf_dir, "pivot_cases"), deleted, "startup_id")
+    return kept.select("id", "startup_id", "pivot_type", "outcome")
+
+
+@query("upsert_touch", "D4", oracle=with_chain("startups") + f"""
+, old AS (SELECT id, name, stage, mrr, '{BEFORE}' AS updated_at FROM startups WHERE id % 10 <> 7),
+new AS (SELECT id, name, CASE WHEN id % 4 = 0 THEN 'growth' ELSE stage END AS stage,
+          CASE WHEN id % 3 = 0 THEN round(mrr * 1.1, 2) ELSE mrr END AS mrr FROM startups WHERE id % 2 = 0 OR id % 10 = 7)
+SELECT coalesce(n.id, o.id) AS id,
+  CASE WHEN n.id IS NOT NULL THEN n.name ELSE o.name END AS name,
+  CASE WHEN n.id IS NOT NULL THEN n.stage ELSE o.stage END AS stage,
+  CASE WHEN n.id IS NOT NULL THEN n.mrr ELSE o.mrr END AS mrr,
+  CASE WHEN n.id IS NOT NULL AND (o.id IS NULL OR o.name IS DISTINCT FROM n.name OR o.stage IS DISTINCT FROM n.stage
+                                   OR o.mrr IS DISTINCT FROM n.mrr) THEN '{NOW}' ELSE o.updated_at END AS updated_at,
+  n.id IS NOT NULL AND o.id IS NOT NULL AND (o.name IS DISTINCT FROM n.name OR o.stage IS DISTINCT FROM n.stage
+                                              OR o.mrr IS DISTINCT FROM n.mrr) AS changed
+FROM old o FULL OUTER JOIN new n ON n.id = o.id
+""")
+def q_upsert_touch(spark, sf_dir):
+    st = adapter(spark, sf_dir, "startups")
+    old = st.where(F.col("id") % 10 != 7).select("id", "name", "stage", "mrr", F.lit(BEFORE).alias("updated_at"))
+    new = st.where((F.col("id") % 2 == 0) | (F.col("id") % 10 == 7)).select(
+        "id", "name", F.when(F.col("id") % 4 == 0, F.lit("growth")).otherwise(F.col("stage")).alias("stage"),
+        F.when(F.col("id") % 3 == 0, F.round(F.col("mrr") * 1.1, 2)).otherwise(F.col("mrr")).alias("mrr"))
+    return C.upsert_touch(old, new, "id", NOW)
+
+
+@query("load_reference_tables", "S5+A11", oracle=with_chain("lean_concepts", "risk_patterns", "sector_benchmarks",
+                                                             "investment_criteria") + """
+SELECT 'lean_concepts' AS table_name, count(*) AS n_rows FROM lean_concepts
+UNION ALL SELECT 'risk_patterns', count(*) FROM risk_patterns
+UNION ALL SELECT 'sector_benchmarks', count(*) FROM sector_benchmarks
+UNION ALL SELECT 'investment_criteria', count(*) FROM investment_criteria
+""")
+def q_load_reference_tables(spark, sf_dir):
+    root = scratch_path(spark, "reference-tables")
+    tables = {n: adapter(spark, sf_dir, n) for n in seeds.LOAD_ORDER}
+    version = seeds.load_reference_tables(spark, tables, root)
+    parts = [seeds.read_reference_table(spark, root, n, version).agg(F.count(F.lit(1)).alias("n_rows"))
+             .select(F.lit(n).alias("table_name"), "n_rows") for n in seeds.LOAD_ORDER]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
