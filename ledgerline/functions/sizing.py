@@ -7,6 +7,7 @@ into a broadcast at runtime or split when a key is skewed.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,9 +17,19 @@ DEFAULT_BROADCAST_ROWS = 2_000_000
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` when ``df`` has at most ``max_rows`` rows, else ``df`` unchanged."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    """``broadcast(df)`` when ``df`` has at most ``max_rows`` rows, else ``df`` unchanged.
+
+    The side is persisted while it is counted, so the check and the broadcast share
+    one computation (lost blocks are recomputed from lineage); a side over the bound
+    is released again and stays a shuffle join, where AQE may still broadcast it at
+    runtime or split skewed partitions.
+    """
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    n = kept.limit(max_rows + 1).count()
+    if n <= max_rows:
+        return F.broadcast(kept)
+    kept.unpersist()
+    return df
 
 
 def is_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> bool:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.enums import (
     CRITERION_WEIGHTS, CRITICALITIES, INVESTOR_PROFILES, OUTCOMES, STAGES, enum_rank,
 )
-from ledgerline.functions.sizing import bounded_broadcast, is_small
+from ledgerline.functions.sizing import attach_one_row, bounded_broadcast
 
 RISK_COLUMNS = ("id", "pattern_name", "sector", "stage", "criticality", "category",
                 "simple_explain", "warning_signals", "mitigation_simple",
@@ -125,43 +125,60 @@ def concept_lookup(concepts: DataFrame, term: str) -> DataFrame:
     return concepts.where(hit).orderBy("id").limit(1)
 
 
-def _name_contains() -> Column:
-    """``lower(name) LIKE '%' || lower(term) || '%'``: a plain substring test unless the
-    term itself holds LIKE wildcards, which keep their meaning as in the reference."""
-    return F.expr("CASE WHEN term RLIKE '[%_]' THEN _lname LIKE concat('%', lower(term), '%') "
-                  "ELSE contains(_lname, lower(term)) END")
+MAX_GRAM = 3
 
 
-def concept_mentions(requests: DataFrame, concepts: DataFrame, term_col: str = "term",
-                     max_broadcast_terms: int = 100_000) -> DataFrame:
+def _grams(text: Column, n: Column | int) -> Column:
+    """Distinct substrings of length ``n`` of ``text`` (empty when shorter)."""
+    n = n if isinstance(n, Column) else F.lit(n)
+    return F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(0))),
+        lambda i: F.substring(text, i, n)))
+
+
+def gram_index(concepts: DataFrame) -> DataFrame:
+    """``(gram, id)`` for every distinct 1-, 2- and 3-gram of each lower-cased name."""
+    low = F.lower("concept_name")
+    grams = F.array_distinct(F.flatten(F.array(*[_grams(low, n) for n in range(1, MAX_GRAM + 1)])))
+    return concepts.select("id", F.explode(F.filter(grams, lambda g: g != "")).alias("gram"))
+
+
+def concept_mentions(requests: DataFrame, concepts: DataFrame, term_col: str = "term") -> DataFrame:
     """Batch P5: for each request term, the first matching concept (or none).
 
-    Two match kinds: the alias test is an exact equi-join on exploded aliases; the
-    name test is ``contains`` (case-insensitive, LIKE wildcards kept). When the term
-    set is small it is broadcast and checked against every concept in place; a large
-    term set goes through a trigram equi-join (exact for terms of 3+ characters)
-    and only the short terms take the broadcast path.
+    Alias match: exact equi-join on exploded aliases. Name match: the lower-cased
+    name contains the lower-cased term. It runs as an exact n-gram join: names are
+    indexed by their 1-3-grams; each term probes with its rarest gram of length
+    ``min(3, len)`` (every containing name holds that gram), and the candidates are
+    verified with ``contains``. No nested loop: only equi-joins, and a common gram
+    is never used while the term has a rarer one. Terms holding LIKE wildcards
+    (``%`` or ``_``) keep LIKE meaning through a size-checked broadcast join.
     """
     terms = requests.select(F.col(term_col).alias("term")).where(F.col("term").isNotNull()).distinct()
-    named = concepts.select("id", F.lower("concept_name").alias("_lname"))
     by_alias = (concepts.select("id", F.explode("aliases").alias("term"))
                 .join(terms, "term").select("term", "id"))
 
-    def contains_join(t: DataFrame, c: DataFrame) -> DataFrame:
-        return c.join(F.broadcast(t), _name_contains()).select("term", "id")
-
-    if is_small(terms, max_broadcast_terms):
-        by_name = contains_join(terms, named)
-    else:
-        short = terms.where(F.length("term") < 3)
-        longer = terms.where(F.length("term") >= 3).withColumn("_gram", F.substring(F.lower("term"), 1, 3))
-        grams = named.select("id", "_lname", F.explode(F.expr(
-            "transform(sequence(1, greatest(length(_lname) - 2, 1)), i -> substring(_lname, i, 3))"))
-            .alias("_gram")).distinct()
-        by_name = (grams.join(longer, "_gram")
-                   .where(_name_contains())
-                   .select("term", "id")).unionByName(contains_join(short, named))
-    hits = by_name.unionByName(by_alias)
+    wild = F.col("term").rlike("[%_]")
+    plain = terms.where(~wild & (F.length("term") > 0)).withColumn("_lt", F.lower("term"))
+    index = gram_index(concepts)
+    freq = index.groupBy("gram").agg(F.count(F.lit(1)).alias("_df"))
+    probes = plain.select("term", "_lt", F.explode(_grams(F.col("_lt"), F.least(F.length("_lt"), F.lit(MAX_GRAM))))
+                          .alias("gram"))
+    best = (probes.join(freq, "gram", "left").groupBy("term", "_lt")
+            .agg(F.min_by("gram", F.coalesce("_df", F.lit(0))).alias("gram"),
+                 F.min(F.coalesce("_df", F.lit(0))).alias("_min_df"))
+            .where(F.col("_min_df") > 0))
+    names = concepts.select("id", F.lower("concept_name").alias("_lname"))
+    by_name = (best.join(index, "gram").join(names, "id")
+               .where(F.col("_lname").contains(F.col("_lt"))).select("term", "id"))
+
+    wild_terms = terms.where(wild)
+    by_wild = (names.join(bounded_broadcast(wild_terms),
+                          F.expr("_lname LIKE concat('%', lower(term), '%')")).select("term", "id"))
+    empty = terms.where(F.length("term") == 0)
+    by_empty = attach_one_row(empty, concepts.agg(F.min("id").alias("id"))).where(F.col("id").isNotNull())
+
+    hits = by_name.unionByName(by_wild).unionByName(by_empty).unionByName(by_alias)
     first = hits.groupBy("term").agg(F.min("id").alias("id"))
     return (terms.join(first, "term", "left")
             .join(concepts, "id", "left")
@@ -310,12 +327,33 @@ def segment_risks(segments: DataFrame, risks: DataFrame) -> DataFrame:
 
 
 def segment_risk_join(startups: DataFrame, risks: DataFrame) -> DataFrame:
-    """Every startup with every applicable risk (the batch form of P1 without a limit)."""
-    per_seg = segment_risks(startups, risks).select(
+    """Batch P1 without a limit, answered per segment: every (sector, stage) that has
+    startups, with every risk that applies to it and the number of startups there.
+
+    The request is the segment, so the result is segments x applicable risks; it
+    never spells out startups x risks (all pairs inside a segment). Per-startup
+    figures come from ``startup_risk_exposure`` and the top-k from
+    ``top_risks_per_startup``.
+    """
+    counts = startups.groupBy("sector", "stage").agg(F.count(F.lit(1)).alias("n_startups"))
+    per_seg = segment_risks(counts, risks)
+    return per_seg.join(bounded_broadcast(counts), ["sector", "stage"]).select(
         "sector", "stage", F.col("id").alias("risk_id"), "criticality", "category",
-        F.col("r_sector").isNull().alias("universal_sector"))
+        F.col("r_sector").isNull().alias("universal_sector"), "n_startups")
+
+
+def startup_risk_exposure(startups: DataFrame, risks: DataFrame) -> DataFrame:
+    """Per startup: how many risks apply, and how many per criticality.
+
+    Counted once per segment, then attached to startups by an equi-join against a
+    broadcast of one row per segment.
+    """
+    per_seg = segment_risks(startups, risks).groupBy("sector", "stage").agg(
+        F.count(F.lit(1)).alias("n_risks"),
+        *[F.count_if(F.col("criticality") == c).alias(f"n_{c}") for c in CRITICALITIES])
     return startups.select(F.col("id").alias("startup_id"), "sector", "stage").join(
-        per_seg, ["sector", "stage"])
+        bounded_broadcast(per_seg), ["sector", "stage"], "left").na.fill(
+        0, ["n_risks"] + [f"n_{c}" for c in CRITICALITIES])
 
 
 def top_risks_per_startup(startups: DataFrame, risks: DataFrame, k: int = 5,

@@ -272,15 +272,29 @@ def q_pivot_case_search(spark, sf_dir):
 
 
 @query("segment_risk_join", "J4", oracle=with_chain("startups", "risk_patterns") + """
-SELECT s.sector, s.stage, s.id AS startup_id, r.id AS risk_id, r.criticality, r.category,
-  r.sector IS NULL AS universal_sector
-FROM startups s JOIN risk_patterns r
-  ON (r.sector = s.sector OR r.sector IS NULL) AND (r.stage = s.stage OR r.stage IS NULL)
+, seg AS (SELECT sector, stage, count(*) AS n_startups FROM startups GROUP BY sector, stage)
+SELECT g.sector, g.stage, r.id AS risk_id, r.criticality, r.category, r.sector IS NULL AS universal_sector, g.n_startups
+FROM seg g JOIN risk_patterns r
+  ON (r.sector = g.sector OR r.sector IS NULL) AND (r.stage = g.stage OR r.stage IS NULL)
 """)
 def q_segment_risk_join(spark, sf_dir):
     return K.segment_risk_join(adapter(spark, sf_dir, "startups"), adapter(spark, sf_dir, "risk_patterns"))
 
 
+@query("startup_risk_exposure", "J4", oracle=with_chain("startups", "risk_patterns") + """
+SELECT s.id AS startup_id, s.sector, s.stage, count(r.id) AS n_risks,
+  count(r.id) FILTER (WHERE r.criticality = 'critical') AS n_critical,
+  count(r.id) FILTER (WHERE r.criticality = 'high') AS n_high,
+  count(r.id) FILTER (WHERE r.criticality = 'medium') AS n_medium,
+  count(r.id) FILTER (WHERE r.criticality = 'low') AS n_low
+FROM startups s LEFT JOIN risk_patterns r
+  ON (r.sector = s.sector OR r.sector IS NULL) AND (r.stage = s.stage OR r.stage IS NULL)
+GROUP BY s.id, s.sector, s.stage
+""")
+def q_startup_risk_exposure(spark, sf_dir):
+    return K.startup_risk_exposure(adapter(spark, sf_dir, "startups"), adapter(spark, sf_dir, "risk_patterns"))
+
+
 @query("top_risks_per_startup", "W6", oracle=with_chain("startups", "risk_patterns") + f"""
 , pairs AS (
 SELECT s.id AS startup_id, s.sector, s.stage, r.id AS risk_id, r.criticality,

@@ -142,6 +142,39 @@ ADAPTER_DEPS: dict[str, tuple[str, ...]] = {
 }
 
 
+def _spark_metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Same rows as the SQL text; the per-(user, type) numbering avoids one task per group."""
+    from pyspark.sql import functions as F
+    from ledgerline.operators.ranking import positions_within
+    ev = raw_table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id", "value")
+    pos = positions_within(ev, ["user_id", "event_type"], ["ts", "event_id"], out="_p")
+    return pos.select(F.col("user_id").alias("run_id"), F.col("event_type").alias("metric_key"),
+                      (F.col("_p") + 1).cast("int").alias("step"), "value")
+
+
+def _spark_sector_benchmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Same rows as the SQL text; exact discrete percentiles without a group in one task."""
+    from pyspark.sql import functions as F
+    from ledgerline.operators.ranking import percentile_disc
+    st = adapter(spark, sf_dir, "startups").where(F.col("stage") != "mature").select("id", "sector", "stage")
+    orders = raw_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    j = orders.join(st, orders["o_custkey"] == st["id"]).select("sector", "stage", "o_orderkey", "o_totalprice")
+    q = percentile_disc(j, ["sector", "stage"], "o_totalprice",
+                        {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}, ties=["o_orderkey"])
+    value = q.select("sector", "stage", F.lit("order_value").alias("metric_name"), F.col("p50").alias("value_median"),
+                     F.col("p75").alias("value_good"), F.col("p90").alias("value_excellent"),
+                     F.col("p25").alias("value_warning"))
+    cost = q.select("sector", "stage", F.lit("order_cost").alias("metric_name"), F.col("p50").alias("value_median"),
+                    F.col("p25").alias("value_good"), F.col("p10").alias("value_excellent"),
+                    F.col("p75").alias("value_warning"))
+    return value.unionByName(cost)
+
+
+# Spark-side builders for adapters whose SQL text would rank a whole group in one
+# task; their output equals the shared SQL text (checked by the oracle runs).
+SPARK_BUILDERS = {"metric_log": _spark_metric_log, "sector_benchmarks": _spark_sector_benchmarks}
+
+
 def raw_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -150,9 +183,7 @@ def _register(spark: SparkSession, sf_dir: str, name: str) -> None:
     if name in RAW_TABLES:
         raw_table(spark, sf_dir, name).createOrReplaceTempView(name)
         return
-    for dep in ADAPTER_DEPS[name]:
-        _register(spark, sf_dir, dep)
-    spark.sql(ADAPTER_SQL[name]).createOrReplaceTempView(name)
+    adapter(spark, sf_dir, name).createOrReplaceTempView(name)
 
 
 def adapter(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -163,6 +194,8 @@ def adapter(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """
     if name in RAW_TABLES:
         return raw_table(spark, sf_dir, name)
+    if name in SPARK_BUILDERS:
+        return SPARK_BUILDERS[name](spark, sf_dir)
     for dep in ADAPTER_DEPS[name]:
         _register(spark, sf_dir, dep)
     return spark.sql(ADAPTER_SQL[name])
