@@ -39,7 +39,11 @@ def is_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> bool:
 def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Append the columns of a global aggregate (exactly one row) to every row of ``df``.
 
-    ``one_row`` must come from a global ``agg`` (no grouping), so the join can never
-    multiply rows; it is broadcast and needs no shuffle of ``df``.
+    The row is a scalar subquery: Spark runs it once and inlines the value into the
+    projection, so there is no join (and nothing is shuffled) on ``df``'s side.
     """
-    return df.join(F.broadcast(one_row), how="cross")
+    packed = one_row.select(F.struct(*one_row.columns).alias("_v")).scalar()
+    out = df
+    for c in one_row.columns:
+        out = out.withColumn(c, packed[c])
+    return out

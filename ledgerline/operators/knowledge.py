@@ -147,38 +147,48 @@ def concept_mentions(requests: DataFrame, concepts: DataFrame, term_col: str = "
     """Batch P5: for each request term, the first matching concept (or none).
 
     Alias match: exact equi-join on exploded aliases. Name match: the lower-cased
-    name contains the lower-cased term. It runs as an exact n-gram join: names are
-    indexed by their 1-3-grams; each term probes with its rarest gram of length
-    ``min(3, len)`` (every containing name holds that gram), and the candidates are
-    verified with ``contains``. No nested loop: only equi-joins, and a common gram
-    is never used while the term has a rarer one. Terms holding LIKE wildcards
-    (``%`` or ``_``) keep LIKE meaning through a size-checked broadcast join.
+    name is ``LIKE '%' || lower(term) || '%'`` (wildcards in the term keep their
+    meaning; for a plain term this is ``contains``). It runs as an exact n-gram
+    join: names are indexed by their 1-3-grams; each term probes with the rarest
+    gram of its longest literal piece (every matching name holds that gram), and
+    candidates are verified. A term made of wildcards only matches every name of at
+    least as many characters as it has ``_``; that case reads a per-length table.
+    Only equi-joins, no nested loop.
     """
     terms = requests.select(F.col(term_col).alias("term")).where(F.col("term").isNotNull()).distinct()
     by_alias = (concepts.select("id", F.explode("aliases").alias("term"))
                 .join(terms, "term").select("term", "id"))
 
-    wild = F.col("term").rlike("[%_]")
-    plain = terms.where(~wild & (F.length("term") > 0)).withColumn("_lt", F.lower("term"))
+    lt = F.lower("term")
+    pieces = F.filter(F.split(lt, "[%_]+"), lambda x: x != "")
+    longest = F.element_at(F.array_sort(pieces, lambda a, b: F.length(b) - F.length(a)), 1)
+    t = terms.withColumn("_probe", F.coalesce(longest, F.lit(""))) \
+        .withColumn("_wild", F.col("term").rlike("[%_]"))
+    probed = t.where(F.col("_probe") != "")
     index = gram_index(concepts)
     freq = index.groupBy("gram").agg(F.count(F.lit(1)).alias("_df"))
-    probes = plain.select("term", "_lt", F.explode(_grams(F.col("_lt"), F.least(F.length("_lt"), F.lit(MAX_GRAM))))
-                          .alias("gram"))
-    best = (probes.join(freq, "gram", "left").groupBy("term", "_lt")
+    probes = probed.select("term", "_wild", F.explode(
+        _grams(F.col("_probe"), F.least(F.length("_probe"), F.lit(MAX_GRAM)))).alias("gram"))
+    best = (probes.join(freq, "gram", "left").groupBy("term", "_wild")
             .agg(F.min_by("gram", F.coalesce("_df", F.lit(0))).alias("gram"),
                  F.min(F.coalesce("_df", F.lit(0))).alias("_min_df"))
             .where(F.col("_min_df") > 0))
     names = concepts.select("id", F.lower("concept_name").alias("_lname"))
-    by_name = (best.join(index, "gram").join(names, "id")
-               .where(F.col("_lname").contains(F.col("_lt"))).select("term", "id"))
-
-    wild_terms = terms.where(wild)
-    by_wild = (names.join(bounded_broadcast(wild_terms),
-                          F.expr("_lname LIKE concat('%', lower(term), '%')")).select("term", "id"))
-    empty = terms.where(F.length("term") == 0)
-    by_empty = attach_one_row(empty, concepts.agg(F.min("id").alias("id"))).where(F.col("id").isNotNull())
-
-    hits = by_name.unionByName(by_wild).unionByName(by_empty).unionByName(by_alias)
+    verify = F.when(F.col("_wild"), F.expr("_lname LIKE concat('%', lower(term), '%')")) \
+        .otherwise(F.col("_lname").contains(F.lower("term")))
+    by_name = best.join(index, "gram").join(names, "id").where(verify).select("term", "id")
+
+    # Wildcard-only (or empty) terms: the first concept among names with length >= #'_'.
+    by_len = names.groupBy(F.length("_lname").alias("_len")).agg(F.min("id").alias("_mid"))
+    max_len = by_len.agg(F.max("_len").alias("_m")).scalar()
+    suffix_min = (by_len.select(F.explode(F.sequence(F.lit(0), F.col("_len"))).alias("_k"), "_mid")
+                  .groupBy("_k").agg(F.min("_mid").alias("id")))
+    only_wild = (t.where(F.col("_probe") == "")
+                 .withColumn("_k", F.length("term") - F.length(F.regexp_replace("term", "_", "")))
+                 .where(F.col("_k") <= F.coalesce(max_len, F.lit(-1))))
+    by_wild = only_wild.join(suffix_min, "_k").select("term", "id")
+
+    hits = by_name.unionByName(by_wild).unionByName(by_alias)
     first = hits.groupBy("term").agg(F.min("id").alias("id"))
     return (terms.join(first, "term", "left")
             .join(concepts, "id", "left")
@@ -313,16 +323,21 @@ def segment_risks(segments: DataFrame, risks: DataFrame) -> DataFrame:
     which risk columns are NULL into four equi-joins, so no nested loop is planned.
     ``segments`` is the distinct segment list (bounded by the sector/stage domains).
     """
-    seg = bounded_broadcast(segments.select("sector", "stage").distinct())
+    seg = segments.select("sector", "stage").distinct()
+    seg_b = bounded_broadcast(seg)
     r = risks.withColumnRenamed("sector", "r_sector").withColumnRenamed("stage", "r_stage")
     both = r.where(F.col("r_sector").isNotNull() & F.col("r_stage").isNotNull()).join(
-        seg, (F.col("r_sector") == F.col("sector")) & (F.col("r_stage") == F.col("stage")))
+        seg_b, (F.col("r_sector") == F.col("sector")) & (F.col("r_stage") == F.col("stage")))
     any_stage = r.where(F.col("r_sector").isNotNull() & F.col("r_stage").isNull()).join(
-        seg, F.col("r_sector") == F.col("sector"))
+        seg_b, F.col("r_sector") == F.col("sector"))
     any_sector = r.where(F.col("r_sector").isNull() & F.col("r_stage").isNotNull()).join(
-        seg, F.col("r_stage") == F.col("stage"))
+        seg_b, F.col("r_stage") == F.col("stage"))
+    # A universal risk applies to every segment: expand it over the segment list, a
+    # scalar subquery bounded by the sector x stage vocabularies (no join at all).
+    seg_list = seg.agg(F.collect_list(F.struct("sector", "stage")).alias("_s")).scalar()
     universal = (r.where(F.col("r_sector").isNull() & F.col("r_stage").isNull())
-                 .withColumn("_k", F.lit(1)).join(seg.withColumn("_k", F.lit(1)), "_k").drop("_k"))
+                 .withColumn("_seg", F.explode(seg_list))
+                 .withColumn("sector", F.col("_seg.sector")).withColumn("stage", F.col("_seg.stage")).drop("_seg"))
     return both.unionByName(any_stage).unionByName(any_sector).unionByName(universal)
 
 
