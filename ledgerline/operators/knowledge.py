@@ -161,7 +161,7 @@ def concept_mentions(requests: DataFrame, concepts: DataFrame, term_col: str = "
 
     lt = F.lower("term")
     pieces = F.filter(F.split(lt, "[%_]+"), lambda x: x != "")
-    longest = F.element_at(F.array_sort(pieces, lambda a, b: F.length(b) - F.length(a)), 1)
+    longest = F.try_element_at(F.array_sort(pieces, lambda a, b: F.length(b) - F.length(a)), F.lit(1))
     t = terms.withColumn("_probe", F.coalesce(longest, F.lit(""))) \
         .withColumn("_wild", F.col("term").rlike("[%_]"))
     probed = t.where(F.col("_probe") != "")

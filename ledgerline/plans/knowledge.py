@@ -23,7 +23,7 @@ def _term_requests(spark, sf_dir):
     region = adapter(spark, sf_dir, "region")
     words = part.select(F.explode(F.split("p_name", " ")).alias("term"))
     regions = region.select(F.lower("r_name").alias("term"))
-    brands = part.select(F.element_at(F.split("p_brand", "#"), 2).alias("term"))
+    brands = part.select(F.try_element_at(F.split("p_brand", "#"), F.lit(2)).alias("term"))
     terms = words.unionByName(regions).unionByName(brands).distinct()
     return terms.withColumn("detail_level", F.when(F.length("term") % 2 == 0, "technical").otherwise("simple"))
 

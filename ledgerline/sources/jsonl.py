@@ -46,9 +46,10 @@ def read_examples(spark: SparkSession, path: str, strict: bool = False) -> DataF
 
 
 def bad_lines(spark: SparkSession, path: str) -> DataFrame:
-    raw = (spark.read.schema(EXAMPLE_SCHEMA).option("mode", "PERMISSIVE")
-           .option("columnNameOfCorruptRecord", "_bad").json(path))
-    return raw.where(F.col("_bad").isNotNull()).select("_bad")
+    """Non-blank lines that are not valid JSON (what the lenient reader drops)."""
+    lines = spark.read.text(path)
+    return lines.where((F.trim("value") != "") & F.try_parse_json("value").isNull()).select(
+        F.col("value").alias("line"))
 
 
 def examples_to_long(examples: DataFrame) -> DataFrame:
