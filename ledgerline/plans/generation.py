@@ -52,7 +52,55 @@ def q_weighted_choice(spark, sf_dir):
     return G.draws(_ids(spark, sf_dir)).select("id", "has_tool_use", "drawn_label", "drawn_difficulty")
 
 
-@query("generated_examples", "G3-G6", oracle=None)
+def _lit_list(values):
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def _generated_sql():
+    n_r, n_g, n_c = len(G.RISK_SIGNALS), len(G.GREEN_SIGNALS), len(G.CONCEPTS)
+    pick = lambda values, field: f"{_lit_list(values)}[CAST(floor({_u(field)} * {len(values)}) AS INTEGER) + 1]"
+    r1 = f"CAST(floor({_u('risk')} * {n_r}) AS INTEGER)"
+    r2 = f"(({r1} + 1 + CAST(floor({_u('risk2')} * {n_r - 1}) AS INTEGER)) % {n_r})"
+    rname, rprin, rsev = (_lit_list([r[i] for r in G.RISK_SIGNALS]) for i in (0, 1, 2))
+    gprin = _lit_list([g[1] for g in G.GREEN_SIGNALS])
+    cprin = _lit_list([c[1] for c in G.CONCEPTS])
+    return f"""
+WITH p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents),
+q AS (SELECT doc_id, pos,
+  CASE WHEN pos < floor(n * 0.32) THEN 'diagnostic_complet'
+       WHEN pos < floor(n * 0.32) + floor(n * 0.25) THEN 'identification_des_dangers'
+       WHEN pos < floor(n * 0.32) + floor(n * 0.25) + floor(n * 0.28) THEN 'evaluation_investissement'
+       ELSE 'simplification_concept' END AS category,
+  {_u('tool')} < 0.35 AS has_tool_use,
+  {_choice_sql(_u('label'), G.LABELS, G.LABEL_WEIGHTS)} AS drawn_label,
+  {_choice_sql(_u('difficulty'), G.DIFFICULTIES, G.DIFFICULTY_WEIGHTS)} AS drawn_difficulty,
+  {pick(G.SECTORS, 'sector')} AS sector_pick, {pick(G.STAGES, 'stage')} AS stage_pick,
+  {pick(G.REGIONS, 'region')} AS region_pick, {pick(G.INVESTOR_PROFILES, 'profile')} AS profile_pick,
+  {rsev}[{r1} + 1] AS sev1, {rsev}[{r2} + 1] AS sev2, {rprin}[{r1} + 1] AS rprin,
+  {gprin}[CAST(floor({_u('strength')} * {n_g}) AS INTEGER) + 1] AS gprin,
+  {cprin}[CAST(floor({_u('concept')} * {n_c}) AS INTEGER) + 1] AS cprin
+  FROM p),
+l AS (SELECT *,
+  CASE WHEN category IN ('diagnostic_complet', 'evaluation_investissement') THEN drawn_label
+       WHEN category = 'identification_des_dangers' THEN 'Red Flag' ELSE 'Green Flag' END AS label
+  FROM q)
+SELECT pos AS example_id, printf('lean-%05d', pos) AS example_key, category, label AS "Label",
+  CASE WHEN category = 'identification_des_dangers' THEN CASE WHEN sev1 = 'Fatal' OR sev2 = 'Fatal' THEN 'Fatal' ELSE 'Majeur' END
+       WHEN category = 'simplification_concept' THEN 'Non applicable'
+       WHEN label = 'Green Flag' THEN 'Non applicable' ELSE sev1 END AS "Severity",
+  CASE WHEN category = 'simplification_concept' THEN 'Explicite' ELSE drawn_difficulty END AS "Difficulty",
+  CASE WHEN category = 'simplification_concept' THEN 'universal' ELSE sector_pick END AS sector,
+  CASE WHEN category IN ('diagnostic_complet', 'evaluation_investissement') THEN stage_pick ELSE 'non applicable' END AS stage,
+  CASE WHEN category IN ('diagnostic_complet', 'evaluation_investissement') THEN region_pick ELSE 'non applicable' END AS region,
+  profile_pick AS investor_profile, has_tool_use,
+  CASE WHEN category = 'simplification_concept' THEN cprin WHEN category = 'identification_des_dangers' THEN rprin
+       WHEN label = 'Green Flag' THEN gprin ELSE rprin END AS lean_principle,
+  false AS hard_eval, CAST(CASE WHEN has_tool_use THEN 5 ELSE 3 END AS BIGINT) AS n_messages
+FROM l
+"""
+
+
+@query("generated_examples", "G3-G6", oracle=_generated_sql())
 def q_generated_examples(spark, sf_dir):
     meta, msgs = G.generate_examples(_ids(spark, sf_dir))
     counts = msgs.groupBy("example_id").agg(F.count(F.lit(1)).alias("n_messages"))
