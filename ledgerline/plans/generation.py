@@ -56,14 +56,33 @@ def _lit_list(values):
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
 
-def _generated_sql():
+def _generated_sql(hard: bool = False, extra: bool = False):
+    seed = G.HARD_SEED if hard else G.SEED
+
+    def draw(field):
+        return _u(field, seed)
+
+    lw = G.LABEL_WEIGHTS_HARD if hard else G.LABEL_WEIGHTS
+    dw = G.DIFFICULTY_WEIGHTS_HARD if hard else G.DIFFICULTY_WEIGHTS
+    danger_label = f"CASE WHEN {draw('mixed')} < 0.75 THEN 'Red Flag' ELSE 'Mixed' END" if hard else "'Red Flag'"
+    simple_diff = f"CASE WHEN {draw('simple_difficulty')} < 0.5 THEN 'Explicite' ELSE 'Implicite' END" if hard \
+        else "'Explicite'"
     n_r, n_g, n_c = len(G.RISK_SIGNALS), len(G.GREEN_SIGNALS), len(G.CONCEPTS)
-    pick = lambda values, field: f"{_lit_list(values)}[CAST(floor({_u(field)} * {len(values)}) AS INTEGER) + 1]"
-    r1 = f"CAST(floor({_u('risk')} * {n_r}) AS INTEGER)"
-    r2 = f"(({r1} + 1 + CAST(floor({_u('risk2')} * {n_r - 1}) AS INTEGER)) % {n_r})"
+    pick = lambda values, field: f"{_lit_list(values)}[CAST(floor({draw(field)} * {len(values)}) AS INTEGER) + 1]"
+    r1 = f"CAST(floor({draw('risk')} * {n_r}) AS INTEGER)"
+    r2 = f"(({r1} + 1 + CAST(floor({draw('risk2')} * {n_r - 1}) AS INTEGER)) % {n_r})"
     rname, rprin, rsev = (_lit_list([r[i] for r in G.RISK_SIGNALS]) for i in (0, 1, 2))
     gprin = _lit_list([g[1] for g in G.GREEN_SIGNALS])
     cprin = _lit_list([c[1] for c in G.CONCEPTS])
+    gname = _lit_list([g[0] for g in G.GREEN_SIGNALS])
+    cname = _lit_list([c[0] for c in G.CONCEPTS])
+    more = ""
+    if extra:
+        more = """,
+  CASE WHEN category = 'simplification_concept' THEN cn
+       WHEN category = 'identification_des_dangers' THEN rn1 || ' et ' || rn2
+       WHEN label = 'Green Flag' THEN gn ELSE rn1 END AS _subject,
+  sector_pick AS _sector_pick, stage_pick AS _stage_pick, region_pick AS _region_pick, pos AS _pos, rn1 AS _rn1"""
     return f"""
 WITH p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents),
 q AS (SELECT doc_id, pos,
@@ -71,31 +90,35 @@ q AS (SELECT doc_id, pos,
        WHEN pos < floor(n * 0.32) + floor(n * 0.25) THEN 'identification_des_dangers'
        WHEN pos < floor(n * 0.32) + floor(n * 0.25) + floor(n * 0.28) THEN 'evaluation_investissement'
        ELSE 'simplification_concept' END AS category,
-  {_u('tool')} < 0.35 AS has_tool_use,
-  {_choice_sql(_u('label'), G.LABELS, G.LABEL_WEIGHTS)} AS drawn_label,
-  {_choice_sql(_u('difficulty'), G.DIFFICULTIES, G.DIFFICULTY_WEIGHTS)} AS drawn_difficulty,
+  {draw('tool')} < 0.35 AS has_tool_use,
+  {_choice_sql(draw('label'), G.LABELS, lw)} AS drawn_label,
+  {_choice_sql(draw('difficulty'), G.DIFFICULTIES, dw)} AS drawn_difficulty,
+  {danger_label} AS danger_label, {simple_diff} AS simple_difficulty,
   {pick(G.SECTORS, 'sector')} AS sector_pick, {pick(G.STAGES, 'stage')} AS stage_pick,
   {pick(G.REGIONS, 'region')} AS region_pick, {pick(G.INVESTOR_PROFILES, 'profile')} AS profile_pick,
   {rsev}[{r1} + 1] AS sev1, {rsev}[{r2} + 1] AS sev2, {rprin}[{r1} + 1] AS rprin,
-  {gprin}[CAST(floor({_u('strength')} * {n_g}) AS INTEGER) + 1] AS gprin,
-  {cprin}[CAST(floor({_u('concept')} * {n_c}) AS INTEGER) + 1] AS cprin
+  {gprin}[CAST(floor({draw('strength')} * {n_g}) AS INTEGER) + 1] AS gprin,
+  {cprin}[CAST(floor({draw('concept')} * {n_c}) AS INTEGER) + 1] AS cprin,
+  {rname}[{r1} + 1] AS rn1, {rname}[{r2} + 1] AS rn2,
+  {gname}[CAST(floor({draw('strength')} * {n_g}) AS INTEGER) + 1] AS gn,
+  {cname}[CAST(floor({draw('concept')} * {n_c}) AS INTEGER) + 1] AS cn
   FROM p),
 l AS (SELECT *,
   CASE WHEN category IN ('diagnostic_complet', 'evaluation_investissement') THEN drawn_label
-       WHEN category = 'identification_des_dangers' THEN 'Red Flag' ELSE 'Green Flag' END AS label
+       WHEN category = 'identification_des_dangers' THEN danger_label ELSE 'Green Flag' END AS label
   FROM q)
 SELECT pos AS example_id, printf('lean-%05d', pos) AS example_key, category, label AS "Label",
   CASE WHEN category = 'identification_des_dangers' THEN CASE WHEN sev1 = 'Fatal' OR sev2 = 'Fatal' THEN 'Fatal' ELSE 'Majeur' END
        WHEN category = 'simplification_concept' THEN 'Non applicable'
        WHEN label = 'Green Flag' THEN 'Non applicable' ELSE sev1 END AS "Severity",
-  CASE WHEN category = 'simplification_concept' THEN 'Explicite' ELSE drawn_difficulty END AS "Difficulty",
+  CASE WHEN category = 'simplification_concept' THEN simple_difficulty ELSE drawn_difficulty END AS "Difficulty",
   CASE WHEN category = 'simplification_concept' THEN 'universal' ELSE sector_pick END AS sector,
   CASE WHEN category IN ('diagnostic_complet', 'evaluation_investissement') THEN stage_pick ELSE 'non applicable' END AS stage,
   CASE WHEN category IN ('diagnostic_complet', 'evaluation_investissement') THEN region_pick ELSE 'non applicable' END AS region,
   profile_pick AS investor_profile, has_tool_use,
   CASE WHEN category = 'simplification_concept' THEN cprin WHEN category = 'identification_des_dangers' THEN rprin
        WHEN label = 'Green Flag' THEN gprin ELSE rprin END AS lean_principle,
-  false AS hard_eval, CAST(CASE WHEN has_tool_use THEN 5 ELSE 3 END AS BIGINT) AS n_messages
+  {str(hard).lower()} AS hard_eval, CAST(CASE WHEN has_tool_use THEN 5 ELSE 3 END AS BIGINT) AS n_messages{more}
 FROM l
 """
 
@@ -107,19 +130,55 @@ def q_generated_examples(spark, sf_dir):
     return meta.join(counts, "example_id", "left")
 
 
-@query("hard_eval_examples", "G7", oracle=None)
+@query("hard_eval_examples", "G7", oracle="WITH gen AS (" + _generated_sql(hard=True) + """)
+SELECT category, "Label", count(*) AS n FROM gen GROUP BY category, "Label"
+""")
 def q_hard_eval_examples(spark, sf_dir):
     meta, _ = G.generate_examples(_ids(spark, sf_dir), hard=True)
     return meta.groupBy("category", "Label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("generated_overview", "G7+A2", oracle=None)
+def _overview_sql():
+    slug = "translate(lower(_sector_pick), 'éèê -', 'eee__')"
+    user = ("'Cas ' || _pos || ' (' || category || '): startup ' || _sector_pick || ' en ' || _stage_pick || "
+            "', basée en ' || _region_pick || '. Sujet: ' || _subject || '. Je suis ' || investor_profile || '.'")
+    answer = ("'Label: ' || \"Label\" || chr(10) || 'Severity: ' || \"Severity\" || chr(10) || 'Difficulty: ' || "
+              "\"Difficulty\" || chr(10) || 'Analyse: ' || _subject || '. Principe Lean Startup: ' || lean_principle || '.'")
+    call = ("'<|tool_call_start|>{\"name\": \"query_postgresql\", \"parameters\": {\"sql\": \"SELECT pattern_name, "
+            "criticality FROM risk_patterns WHERE sector = ''' || " + slug
+            + " || ''' LIMIT 3\"}}<|tool_call_end|>'")
+    payload = ("'{\"status\":\"success\",\"row_count\":1,\"execution_time_ms\":8.4,\"data\":[{\"pattern_name\":\"' || "
+               "_rn1 || '\",\"criticality\":\"' || \"Severity\" || '\"}]}'")
+    chars = (f"{len(G.SYSTEM_TEXT)} + length({user}) + length({answer})"
+             f" + CASE WHEN has_tool_use THEN length({call}) + length({payload}) ELSE 0 END")
+    return "WITH gen AS (" + _generated_sql(extra=True) + f"""),
+ch AS (SELECT *, {chars} AS n_chars FROM gen)
+SELECT count(*) AS total, count(*) FILTER (WHERE has_tool_use) AS tool_use_count,
+  count(*) FILTER (WHERE has_tool_use) / count(*) AS tool_use_ratio,
+  count(*) FILTER (WHERE "Difficulty" IN ('Implicite', 'Ambigu', 'Mixte')) / count(*) AS implicit_ratio,
+  round(sum(n_messages) / count(*), 1) AS avg_messages_per_example,
+  CAST(round(sum(n_chars) / count(*), 0) AS BIGINT) AS avg_chars_per_example,
+  CAST(min(n_chars) AS BIGINT) AS min_chars, CAST(max(n_chars) AS BIGINT) AS max_chars
+FROM ch
+"""
+
+
+@query("generated_overview", "G7+A2", oracle=_overview_sql())
 def q_generated_overview(spark, sf_dir):
     meta, msgs = G.generate_examples(_ids(spark, sf_dir))
     return Q.dataset_overview(Q.example_facts(meta, msgs))
 
 
-@query("generated_split_sizes", "G7+W4+A13", oracle=None)
+@query("generated_split_sizes", "G7+W4+A13", oracle="WITH gen AS (" + _generated_sql() + """),
+strat AS (SELECT example_id, category || '|' || "Label" || '|' || "Difficulty" || '|' ||
+                 CASE WHEN has_tool_use THEN 'tool' ELSE 'no_tool' END AS stratum,
+                 sha1('42:' || CAST(example_id AS VARCHAR)) AS h FROM gen),
+pos AS (SELECT row_number() OVER (ORDER BY stratum, h, example_id) - 1 AS p FROM strat),
+splits AS (SELECT CASE WHEN p % 10 < 8 THEN 'train' WHEN p % 10 = 8 THEN 'val' ELSE 'test' END AS split FROM pos)
+SELECT split, count(*) AS n_rows, CAST(ceil(count(*) / 16) * 3 AS BIGINT) AS est_steps,
+  CASE WHEN split = 'train' THEN count(*) >= 3750 END AS meets_floor
+FROM splits GROUP BY split
+""")
 def q_generated_split_sizes(spark, sf_dir):
     meta, msgs = G.generate_examples(_ids(spark, sf_dir))
     return S.split_sizes(S.stratified_split(Q.normalise_metadata(meta)))
