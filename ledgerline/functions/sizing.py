@@ -11,31 +11,31 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows we are willing to ship to every executor (reference tables, per-segment
-# top-k lists, rule tables). 2M narrow rows stay well under the 8 GB broadcast cap.
+# Bounds for shipping a side to every executor (reference tables, per-segment top-k
+# lists, rule tables). Both must hold: rows, and bytes measured as the JSON text of
+# the rows (an over-estimate of the in-memory broadcast relation).
 DEFAULT_BROADCAST_ROWS = 2_000_000
+DEFAULT_BROADCAST_BYTES = 128 * 1024 * 1024
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` when ``df`` has at most ``max_rows`` rows, else ``df`` unchanged.
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
+                      max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """``broadcast(df)`` when ``df`` is proven small (rows and bytes), else ``df`` unchanged.
 
-    The side is persisted while it is counted, so the check and the broadcast share
-    one computation (lost blocks are recomputed from lineage); a side over the bound
-    is released again and stays a shuffle join, where AQE may still broadcast it at
-    runtime or split skewed partitions.
+    The side is persisted while it is measured, so the check and the broadcast share
+    one computation (lost blocks are recomputed from lineage). The measurement reads at
+    most ``max_rows + 1`` rows. A side over either bound is released again and stays a
+    shuffle join, where AQE may still broadcast it at runtime or split skewed partitions.
     """
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = kept.limit(max_rows + 1).count()
-    if n <= max_rows:
+    width = F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))) if df.columns else F.lit(0)
+    n, size = kept.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    if n <= max_rows and size <= max_bytes:
         return F.broadcast(kept)
     kept.unpersist()
     return df
 
 
-def is_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
 def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Append the columns of a global aggregate (exactly one row) to every row of ``df``.
 

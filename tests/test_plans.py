@@ -34,3 +34,12 @@ def test_scan_reads_only_needed_columns(spark):
     plan = _plan(spark, "segment_risk_join")
     assert "ReadSchema: struct<c_custkey:bigint,c_nationkey:int,c_mktsegment:string>" in plan
     assert "c_acctbal" not in plan
+
+
+def test_bounded_broadcast_falls_back_over_either_bound(spark):
+    from ledgerline.functions.sizing import bounded_broadcast
+    df = spark.range(50).selectExpr("id", "repeat('x', 100) AS pad")
+    assert bounded_broadcast(df, max_rows=10) is df
+    assert bounded_broadcast(df, max_bytes=1000) is df
+    small = bounded_broadcast(df)
+    assert small is not df and small.count() == 50
