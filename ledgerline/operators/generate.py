@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.sizing import attach_one_row
 from ledgerline.operators.outputs import format_tool_call, tool_result_payload
-from ledgerline.operators.splits import positions_by_number
+from ledgerline.operators.splits import positions_by_order
 
 SEED = 42
 HARD_SEED = SEED + 99
@@ -109,7 +109,7 @@ def slug(c: Column) -> Column:
 
 def category_quotas(ids: DataFrame, id_col: str = "id") -> DataFrame:
     """G1: category by position in id order: 32 % / 25 % / 28 % (floors), rest to the last."""
-    pos = positions_by_number(ids.select(id_col), id_col)
+    pos = positions_by_order(ids.select(id_col), [id_col])
     n = ids.agg(F.count(F.lit(1)).alias("_n"))
     j = attach_one_row(pos, n)
     out = F.lit(LAST_CATEGORY)

@@ -105,3 +105,10 @@ def test_first_n_per_kind(spark):
     big = sorted(r.example_id for r in out if r.kind == "big")
     assert big == list(range(20)) and {r.n_more for r in out if r.kind == "big"} == {25}
     assert {r.n_more for r in out if r.kind == "small"} == {0}
+
+
+def test_positions_by_order_with_outlier_ids(spark):
+    ids = spark.range(3000).select(F.when(F.col("id") == 7, F.lit(10 ** 15)).otherwise(F.col("id") * 2).alias("k"))
+    got = S.positions_by_order(ids, ["k"], partitions=16).select("k", "pos")
+    want = ids.withColumn("pos", F.row_number().over(Window.orderBy("k")) - 1)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
