@@ -2,11 +2,14 @@
 
 ``row_number() OVER (PARTITION BY g ORDER BY v)`` sorts each group in a single task;
 when one group holds a third of the data that task holds a third of the data.
-Here each group's value range is cut into equal-width buckets (bounds from a
-small per-group min/max), rows are counted per (group, bucket), a running sum
-over that small table gives each bucket its offset, and rows are ranked only
-inside their (group, bucket). Buckets follow the value order, so the positions
-equal the single-sort ones.
+Here every row gets a bucket that follows the order inside its group: groups above
+``HOT_GROUP_ROWS`` rows (necessarily few) are cut at approximate quantiles of the
+first order column (``percentile_approx``, a partial aggregation), found per row by
+a binary search; smaller groups are one bucket. Rows are counted per (group,
+bucket), a running sum over that small table gives each bucket its offset, and rows
+are ranked only inside their bucket. Buckets are a pure function of the row, so
+every branch and every retried task sees the same buckets, and the positions equal
+those of a single sort.
 """
 
 from __future__ import annotations
@@ -18,7 +21,9 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.sizing import bounded_broadcast
 
-BUCKETS = 4096
+HOT_GROUP_ROWS = 1_000_000
+QUANTILE_BUCKETS = 4096
+SEARCH_STEPS = 14          # > log2(QUANTILE_BUCKETS + 1)
 
 
 def sortable_number(c: Column, dtype: str) -> Column:
@@ -35,28 +40,62 @@ def sortable_number(c: Column, dtype: str) -> Column:
     return c.cast("double")
 
 
-def positions_within(df: DataFrame, group_cols, order_cols, out: str = "pos",
-                     buckets: int = BUCKETS) -> DataFrame:
-    """0-based position of each row inside its group, in ``order_cols`` order.
+def lower_bound(bounds: Column, v: Column, steps: int = SEARCH_STEPS) -> Column:
+    """Number of elements of the ascending array ``bounds`` that are < ``v`` (binary search)."""
+    init = F.struct(F.lit(0).alias("lo"), F.size(bounds).alias("hi"))
 
-    The first order column decides the bucket (numbers or timestamps); the rest only
-    break ties inside a bucket.
-    """
+    def step(acc, _):
+        lo, hi = acc["lo"], acc["hi"]
+        mid = ((lo + hi) / 2).cast("int")
+        right = (lo < hi) & (F.try_element_at(bounds, mid + 1) < v)
+        return (F.when(lo >= hi, acc)
+                .when(right, F.struct((mid + 1).alias("lo"), hi.alias("hi")))
+                .otherwise(F.struct(lo.alias("lo"), mid.alias("hi"))))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)["lo"]
+
+
+def _null_safe_join(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where NULL equals NULL (group keys may be NULL)."""
+    lt, rt = left.alias("_lt"), right.alias("_rt")
+    cond = None
+    for k in keys:
+        c = F.col(f"_lt.`{k}`").eqNullSafe(F.col(f"_rt.`{k}`"))
+        cond = c if cond is None else cond & c
+    extra = [F.col(f"_rt.`{c}`") for c in right.columns if c not in keys]
+    return lt.join(rt, cond, how).select(*[F.col(f"_lt.`{c}`") for c in left.columns], *extra)
+
+
+def positions_within(df: DataFrame, group_cols, order_cols, out: str = "pos",
+                     hot_rows: int = HOT_GROUP_ROWS, buckets: int = QUANTILE_BUCKETS) -> DataFrame:
+    """0-based position of each row inside its group in ``order_cols`` order (make the
+    order columns unique for a deterministic result). No groups = one global order."""
     groups, order_cols = list(group_cols), list(order_cols)
+    if not groups:
+        df, groups = df.withColumn("_g0", F.lit(0)), ["_g0"]
     first = order_cols[0]
     d = df.withColumn("_ov", sortable_number(F.col(first), df.schema[first].dataType.simpleString()))
-    bounds = d.groupBy(*groups).agg(F.min("_ov").alias("_lo"), F.max("_ov").alias("_hi"))
-    width = (F.col("_hi") - F.col("_lo")) / F.lit(buckets)
-    bucket = F.when(width > 0, F.least(F.floor((F.col("_ov") - F.col("_lo")) / width), F.lit(buckets - 1))) \
-        .otherwise(F.lit(0)).cast("int")
-    b = d.join(bounded_broadcast(bounds), groups).withColumn("_bucket", bucket).drop("_lo", "_hi")
+    sizes = d.groupBy(*groups).agg(F.count(F.lit(1)).alias("_size"))
+    hot_groups = bounded_broadcast(sizes.where(F.col("_size") > hot_rows).drop("_size"))
+    if hot_groups.limit(1).count() == 0:
+        # No group is large enough to need splitting: one bucket per group.
+        b = d.withColumn("_bucket", F.lit(0))
+    else:
+        hot = _null_safe_join(d.select(*groups, "_ov"), hot_groups, groups)
+        qs = [i / buckets for i in range(1, buckets)]
+        bounds = bounded_broadcast(hot.groupBy(*groups).agg(
+            F.percentile_approx("_ov", qs, 10 * buckets).alias("_bounds")))
+        b = _null_safe_join(d, bounds, groups, "left")
+        b = b.withColumn("_bucket", F.when(F.col("_bounds").isNull(), F.lit(0))
+                         .otherwise(lower_bound(F.col("_bounds"), F.col("_ov")))).drop("_bounds")
     counts = b.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    j = _null_safe_join(b, bounded_broadcast(offsets), [*groups, "_bucket"])
     inner = Window.partitionBy(*groups, "_bucket").orderBy(*order_cols)
-    return (b.join(bounded_broadcast(offsets), [*groups, "_bucket"])
-            .withColumn(out, (F.col("_off") + F.row_number().over(inner) - 1).cast("bigint"))
-            .drop("_bucket", "_off", "_ov"))
+    out_df = (j.withColumn(out, (F.col("_off") + F.row_number().over(inner) - 1).cast("bigint"))
+              .drop("_bucket", "_off", "_ov"))
+    return out_df.drop("_g0") if "_g0" in out_df.columns else out_df
 
 
 def _rank_for(p: float, count_col: str = "_cnt") -> Column:
@@ -67,34 +106,21 @@ def _rank_for(p: float, count_col: str = "_cnt") -> Column:
 
 
 def percentile_disc(df: DataFrame, group_cols, value: str, percentiles: dict[str, float],
-                    ties=(), buckets: int = BUCKETS) -> DataFrame:
+                    ties=(), hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
     """Exact ``percentile_disc`` per group: for each name -> p, the value at rank ceil(p*n).
 
-    Two small aggregation passes find, for every wanted rank, the (group, value
-    bucket) that holds it and its rank inside that bucket; only rows of those
-    buckets are then sorted. No group is ever sorted whole, and only a few
-    thousandths of the rows reach the final ranking step.
+    Positions come from ``positions_within`` (no group sorted in one task); only the
+    rows at the wanted ranks reach the final per-group aggregation.
     """
     groups = list(group_cols)
-    v = df.where(F.col(value).isNotNull()).withColumn("_ov", F.col(value).cast("double"))
-    bounds = bounded_broadcast(v.groupBy(*groups).agg(F.min("_ov").alias("_lo"), F.max("_ov").alias("_hi")))
-    width = (F.col("_hi") - F.col("_lo")) / F.lit(buckets)
-    bucket = F.when(width > 0, F.least(F.floor((F.col("_ov") - F.col("_lo")) / width), F.lit(buckets - 1))) \
-        .otherwise(F.lit(0)).cast("int")
-    b = v.join(bounds, groups).withColumn("_bucket", bucket).drop("_lo", "_hi")
-    counts = b.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*groups)
-    offsets = (counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-               .withColumn("_cnt", F.sum("_n").over(whole)))
-    targets = offsets.select(*groups, "_bucket", F.explode(F.array(*[
-        F.struct(F.lit(name).alias("_name"), (_rank_for(p) - F.col("_off")).alias("_k"))
-        for name, p in percentiles.items()])).alias("t"), "_n").select(*groups, "_bucket", "t._name", "t._k", "_n") \
-        .where((F.col("_k") >= 1) & (F.col("_k") <= F.col("_n"))).drop("_n")
-    targets = bounded_broadcast(targets)
-    inner = Window.partitionBy(*groups, "_bucket").orderBy("_ov", *ties)
-    ranked = (b.join(targets.select(*groups, "_bucket").distinct(), [*groups, "_bucket"], "left_semi")
-              .withColumn("_r", F.row_number().over(inner)))
-    picked = ranked.join(targets, [*groups, "_bucket"]).where(F.col("_r") == F.col("_k"))
-    return picked.groupBy(*groups).agg(*[
-        F.max(F.when(F.col("_name") == name, F.col(value))).alias(name) for name in percentiles])
+    v = df.where(F.col(value).isNotNull())
+    pos = positions_within(v, groups, [value, *ties], out="_pos", hot_rows=hot_rows)
+    sizes = v.groupBy(*groups).agg(F.count(F.lit(1)).alias("_cnt"))
+    ranked = _null_safe_join(pos, sizes, groups)
+    wanted = [(name, _rank_for(p)) for name, p in percentiles.items()]
+    hit = F.lit(False)
+    for _, r in wanted:
+        hit = hit | (F.col("_pos") + 1 == r)
+    picks = ranked.where(hit)
+    return picks.groupBy(*groups).agg(*[
+        F.max(F.when(F.col("_pos") + 1 == r, F.col(value))).alias(name) for name, r in wanted])

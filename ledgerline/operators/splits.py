@@ -42,26 +42,14 @@ def global_positions(df: DataFrame, order_hash: str, id_col: str, group_cols=(),
             .drop("_bucket", "_off"))
 
 
-def positions_by_order(df: DataFrame, order_cols, out: str = "pos", partitions: int | None = None) -> DataFrame:
+def positions_by_order(df: DataFrame, order_cols, out: str = "pos") -> DataFrame:
     """0-based position of each row in the total order ``order_cols`` (must be unique).
 
-    Rows are range-partitioned (Spark samples the keys, so partitions stay balanced
-    whatever the key distribution) and sorted inside each partition; the index inside
-    a partition comes from ``monotonically_increasing_id`` after that sort, and each
-    partition's offset from a table of one row per partition (a proven-small
-    broadcast). No window, no single-task step over the data.
+    Quantile buckets of the first order column split the data evenly whatever the
+    key distribution (outliers included); see ``ranking.positions_within``.
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order_cols = list(order_cols)
-    r = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-         .withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()))
-    counts = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
-    return (r.join(F.broadcast(offsets), "_pid")   # at most n rows
-            .withColumn(out, (F.col("_off") + local).cast("bigint")).drop("_pid", "_mid", "_off"))
+    from ledgerline.operators.ranking import positions_within
+    return positions_within(df, [], order_cols, out=out)
 
 
 def stratum_key(facts: DataFrame) -> Column:

@@ -109,6 +109,30 @@ def test_first_n_per_kind(spark):
 
 def test_positions_by_order_with_outlier_ids(spark):
     ids = spark.range(3000).select(F.when(F.col("id") == 7, F.lit(10 ** 15)).otherwise(F.col("id") * 2).alias("k"))
-    got = S.positions_by_order(ids, ["k"], partitions=16).select("k", "pos")
+    from ledgerline.operators.ranking import positions_within
+    got = positions_within(ids, [], ["k"], out="pos", hot_rows=100, buckets=64).select("k", "pos")
+    assert sorted(map(tuple, S.positions_by_order(ids, ["k"]).select("k", "pos").collect())) == \
+        sorted(map(tuple, got.collect()))
     want = ids.withColumn("pos", F.row_number().over(Window.orderBy("k")) - 1)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_positions_within_hot_group_outliers_and_null_keys(spark):
+    from ledgerline.operators.ranking import percentile_disc, positions_within
+    df = spark.range(4000).select(
+        F.when(F.col("id") % 2 == 0, F.lit("hot")).when(F.col("id") % 7 == 0, F.lit(None))
+        .otherwise((F.col("id") % 5).cast("string")).alias("g"),
+        F.when(F.col("id") == 10, F.lit(1e12)).otherwise((F.col("id") * 37) % 1000).cast("double").alias("v"),
+        F.col("id"))
+    got = positions_within(df, ["g"], ["v", "id"], out="pos", hot_rows=300, buckets=32).select("id", "pos")
+    want = df.withColumn("pos", F.row_number().over(Window.partitionBy("g").orderBy("v", "id")) - 1)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select("id", "pos").collect()))
+    pct = {r.g: (r.p10, r.p50, r.p90) for r in percentile_disc(df, ["g"], "v", {"p10": 0.1, "p50": 0.5, "p90": 0.9},
+                                                                ties=["id"], hot_rows=300).collect()}
+    vals = {}
+    for r in df.collect():
+        vals.setdefault(r.g, []).append(r.v)
+    import math
+    for g, xs in vals.items():
+        xs.sort()
+        assert pct[g] == tuple(xs[max(1, math.ceil(p * len(xs) - 1e-9)) - 1] for p in (0.1, 0.5, 0.9))
