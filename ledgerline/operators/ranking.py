@@ -19,7 +19,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.functions.sizing import bounded_broadcast
+from ledgerline.functions.sizing import attach_one_row, bounded_broadcast
 
 HOT_GROUP_ROWS = 1_000_000
 QUANTILE_BUCKETS = 4096
@@ -69,33 +69,38 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys, how: str = "inner")
 def positions_within(df: DataFrame, group_cols, order_cols, out: str = "pos",
                      hot_rows: int = HOT_GROUP_ROWS, buckets: int = QUANTILE_BUCKETS) -> DataFrame:
     """0-based position of each row inside its group in ``order_cols`` order (make the
-    order columns unique for a deterministic result). No groups = one global order."""
+    order columns unique for a deterministic result). No groups = one global order.
+
+    Groups of at most ``hot_rows`` rows are ranked by a plain window (one task holds at
+    most ``hot_rows`` rows); larger groups are split into quantile buckets first.
+    """
     groups, order_cols = list(group_cols), list(order_cols)
-    if not groups:
-        df, groups = df.withColumn("_g0", F.lit(0)), ["_g0"]
     first = order_cols[0]
     d = df.withColumn("_ov", sortable_number(F.col(first), df.schema[first].dataType.simpleString()))
     sizes = d.groupBy(*groups).agg(F.count(F.lit(1)).alias("_size"))
     hot_groups = bounded_broadcast(sizes.where(F.col("_size") > hot_rows).drop("_size"))
     if hot_groups.limit(1).count() == 0:
-        # No group is large enough to need splitting: one bucket per group.
-        b = d.withColumn("_bucket", F.lit(0))
-    else:
+        w = Window.partitionBy(*groups).orderBy(*order_cols) if groups else Window.orderBy(*order_cols)
+        return df.withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
+
+    qs = [i / buckets for i in range(1, buckets)]
+    if groups:
         hot = _null_safe_join(d.select(*groups, "_ov"), hot_groups, groups)
-        qs = [i / buckets for i in range(1, buckets)]
         bounds = bounded_broadcast(hot.groupBy(*groups).agg(
             F.percentile_approx("_ov", qs, 10 * buckets).alias("_bounds")))
         b = _null_safe_join(d, bounds, groups, "left")
-        b = b.withColumn("_bucket", F.when(F.col("_bounds").isNull(), F.lit(0))
-                         .otherwise(lower_bound(F.col("_bounds"), F.col("_ov")))).drop("_bounds")
+    else:
+        b = attach_one_row(d, d.agg(F.percentile_approx("_ov", qs, 10 * buckets).alias("_bounds")))
+    b = b.withColumn("_bucket", F.when(F.col("_bounds").isNull(), F.lit(0))
+                     .otherwise(lower_bound(F.col("_bounds"), F.col("_ov")))).drop("_bounds")
     counts = b.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = (Window.partitionBy(*groups) if groups else Window).orderBy("_bucket") \
+        .rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     j = _null_safe_join(b, bounded_broadcast(offsets), [*groups, "_bucket"])
     inner = Window.partitionBy(*groups, "_bucket").orderBy(*order_cols)
-    out_df = (j.withColumn(out, (F.col("_off") + F.row_number().over(inner) - 1).cast("bigint"))
-              .drop("_bucket", "_off", "_ov"))
-    return out_df.drop("_g0") if "_g0" in out_df.columns else out_df
+    return (j.withColumn(out, (F.col("_off") + F.row_number().over(inner) - 1).cast("bigint"))
+            .drop("_bucket", "_off", "_ov"))
 
 
 def _rank_for(p: float, count_col: str = "_cnt") -> Column:
