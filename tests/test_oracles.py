@@ -39,10 +39,8 @@ def test_query_matches_oracle(spark, duck, key):
     assert canon(df.columns, rows_of(df)) == canon(ocols, orows)
 
 
-@pytest.mark.parametrize("key", sorted(set(QUERIES) - set(ORACLES)))
-def test_rows_only_queries_run(spark, key):
-    df = QUERIES[key](spark, SF_SMALL)
-    assert df.count() > 0
+def test_every_query_has_an_oracle():
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry_smoke(spark):
