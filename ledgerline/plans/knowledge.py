@@ -188,8 +188,8 @@ def q_investment_criteria_filter(spark, sf_dir):
 
 
 @query("criteria_for_requests", "P7", oracle=with_chain("investment_criteria", "startups") + """
-, req AS (SELECT DISTINCT p.profile AS investor_profile, s.stage FROM startups s
-          CROSS JOIN (SELECT unnest(['angel', 'vc', 'impact', 'strategic', 'crowdfunding']) AS profile) p),
+, req AS (SELECT DISTINCT unnest(['angel', 'vc', 'impact', 'strategic', 'crowdfunding']) AS investor_profile, stage
+          FROM startups),
 lst AS (SELECT investor_profile, stage,
           string_agg(CAST(id AS VARCHAR), ',' ORDER BY CASE weight WHEN 'critical' THEN 1 WHEN 'important' THEN 2 WHEN 'nice-to-have' THEN 3 END, id) AS criteria_ids,
           count(*) AS n FROM investment_criteria GROUP BY investor_profile, stage)

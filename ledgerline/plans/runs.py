@@ -123,9 +123,10 @@ def _calls_sql(*more_adapters):
 DECISION_SQL = """
 , dec AS (SELECT cmp.model_name, cmp.staging_version, cmp.production_version,
     concat_ws(',', CASE WHEN NOT cmp.should_promote THEN 'regression' END,
-              CASE WHEN coalesce(ss.tool_call_accuracy, 0) < 0.7 THEN 'tool_accuracy' END) AS rejection_reasons,
-    cmp.should_promote AND coalesce(ss.tool_call_accuracy, 0) >= 0.7 AS promoted
-  FROM cmp CROSS JOIN score_summary ss)
+              CASE WHEN coalesce((SELECT tool_call_accuracy FROM score_summary), 0) < 0.7 THEN 'tool_accuracy' END)
+      AS rejection_reasons,
+    cmp.should_promote AND coalesce((SELECT tool_call_accuracy FROM score_summary), 0) >= 0.7 AS promoted
+  FROM cmp)
 """
 
 
