@@ -131,11 +131,6 @@ def duplicate_count(df: DataFrame, key: str) -> DataFrame:
                       .alias("duplicates"))
 
 
-def example_fingerprint(examples: DataFrame) -> Column:
-    """SHA-1 of a canonical JSON of the whole example (messages in turn order, metadata)."""
-    return F.sha1(F.to_json(F.struct(*[F.col(c) for c in sorted(examples.columns)])))
-
-
 # --- A5 .. A8: error entries --------------------------------------------------
 def role_errors(facts: DataFrame) -> DataFrame:
     """Entries: bad first/last role (or no message), no user message, invalid roles."""
