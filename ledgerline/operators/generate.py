@@ -230,3 +230,33 @@ def prompt_batches(requests: DataFrame, system_text: str = SYSTEM_TEXT) -> DataF
     last = F.array(F.struct(F.lit("user").alias("role"), F.col("user_text").alias("content"))).cast(f"array<{msg_t}>")
     hist = F.coalesce(F.col("history").cast(f"array<{msg_t}>"), F.array().cast(f"array<{msg_t}>"))
     return requests.withColumn("messages", F.concat(first, hist, last))
+
+
+def build_dataset(ids: DataFrame, hard_ids: DataFrame, out_root: str, id_col: str = "id") -> DataFrame:
+    """G7 end to end: generate, split 80/10/10, write the canonical set, the splits, the
+    hard evaluation set and their training text; returns rows written per output.
+
+    The generated examples feed several outputs, so they are checkpointed once into
+    the cluster's checkpoint folder (lineage cut, survives lost executors).
+    """
+    from ledgerline.operators import quality as Q
+    from ledgerline.operators.splits import stratified_split
+    from ledgerline.session import cut_lineage
+    from ledgerline.sources import jsonl as J
+
+    meta, msgs = generate_examples(ids, id_col)
+    meta, msgs = cut_lineage(meta), cut_lineage(msgs)
+    split = stratified_split(Q.normalise_metadata(meta)).select("example_id", "split")
+    nested = Q.examples_nested(meta.join(split, "example_id"), msgs)
+    J.write_examples(nested.drop("split"), f"{out_root}/full", split_col=None)
+    J.write_examples(nested, f"{out_root}/splits")
+    text = Q.render_chat_text(msgs).join(meta.join(split, "example_id"), "example_id")
+    J.write_training_text(text, f"{out_root}/liquid")
+
+    hard_meta, hard_msgs = generate_examples(hard_ids, id_col, hard=True)
+    hard_nested = Q.examples_nested(hard_meta, hard_msgs).withColumn("split", F.lit("hard_eval"))
+    J.write_examples(hard_nested, f"{out_root}/hard")
+    spark = ids.sparkSession
+    written = spark.read.schema("split string").json(f"{out_root}/splits").unionByName(
+        spark.read.schema("split string").json(f"{out_root}/hard"))
+    return written.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))

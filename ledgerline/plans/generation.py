@@ -233,3 +233,18 @@ def q_prompt_batches(spark, sf_dir):
     rendered = F.array_join(F.transform("messages", lambda m: F.concat(
         F.lit("<|im_start|>"), m["role"], F.lit("\n"), m["content"], F.lit("<|im_end|>"))), "\n")
     return out.select("request_id", F.size("messages").cast("bigint").alias("n_messages"), rendered.alias("rendered"))
+
+
+@query("build_dataset", "G7+W4+S3+S4", oracle="WITH gen AS (" + _generated_sql() + """),
+strat AS (SELECT example_id, category || '|' || "Label" || '|' || "Difficulty" || '|' ||
+                 CASE WHEN has_tool_use THEN 'tool' ELSE 'no_tool' END AS stratum,
+                 sha1('42:' || CAST(example_id AS VARCHAR)) AS h FROM gen),
+pos AS (SELECT row_number() OVER (ORDER BY stratum, h, example_id) - 1 AS p FROM strat),
+splits AS (SELECT CASE WHEN p % 10 < 8 THEN 'train' WHEN p % 10 = 8 THEN 'val' ELSE 'test' END AS split FROM pos)
+SELECT split, count(*) AS n_rows FROM splits GROUP BY split
+UNION ALL SELECT 'hard_eval', count(*) FROM (SELECT DISTINCT conv_id FROM conversations)
+""")
+def q_build_dataset(spark, sf_dir):
+    from ledgerline.sources.jsonl import scratch_path
+    hard_ids = adapter(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id")).distinct()
+    return G.build_dataset(_ids(spark, sf_dir), hard_ids, scratch_path(spark, "dataset"))
