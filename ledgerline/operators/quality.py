@@ -132,71 +132,100 @@ def duplicate_count(df: DataFrame, key: str) -> DataFrame:
 
 
 # --- A5 .. A8: error entries --------------------------------------------------
-def role_errors(facts: DataFrame) -> DataFrame:
-    """Entries: bad first/last role (or no message), no user message, invalid roles."""
+def _entry(error: str, detail: Column | None = None) -> Column:
+    return F.struct(F.lit(error).alias("error"),
+                    (detail if detail is not None else F.lit(None).cast("string")).alias("detail"))
+
+
+def role_entries() -> Column:
+    """Bad first/last role (or no message), no user message, invalid roles."""
     seq = (F.col("n_messages") == 0) | ~F.coalesce(F.col("first_role") == "system", F.lit(False)) \
         | ~F.coalesce(F.col("last_role") == "assistant", F.lit(False))
-    entries = F.array(
-        F.when(seq, F.struct(F.lit("sequence").alias("error"), F.lit(None).cast("string").alias("detail"))),
-        F.when(~F.col("has_user"), F.struct(F.lit("no_user").alias("error"), F.lit(None).cast("string").alias("detail"))),
-        F.when(F.size("invalid_roles") > 0, F.struct(F.lit("invalid_roles").alias("error"),
-                                                     F.array_join("invalid_roles", ",").alias("detail"))))
-    return _explode_entries(facts, entries)
+    return F.array(F.when(seq, _entry("sequence")), F.when(~F.col("has_user"), _entry("no_user")),
+                   F.when(F.size("invalid_roles") > 0, _entry("invalid_roles", F.array_join("invalid_roles", ","))))
 
 
-def metadata_errors(facts: DataFrame) -> DataFrame:
-    """Entries: each required field missing; Label / Severity / Difficulty outside their domain."""
-    items = [F.when(~F.col(f"p_{f}"), F.struct(F.lit(f"missing:{f}").alias("error"),
-                                               F.lit(None).cast("string").alias("detail")))
-             for f in REQUIRED_METADATA]
+def metadata_entries() -> Column:
+    """Each required field missing; Label / Severity / Difficulty outside their domain."""
+    items = [F.when(~F.col(f"p_{f}"), _entry(f"missing:{f}")) for f in REQUIRED_METADATA]
     for f, dom in (("Label", VALID_LABELS), ("Severity", VALID_SEVERITIES), ("Difficulty", VALID_DIFFICULTIES)):
         ok = F.col(f"p_{f}") & F.coalesce(F.col(f"m_{f}").isin(*dom), F.lit(False))
-        items.append(F.when(~ok, F.struct(F.lit(f"invalid:{f}").alias("error"), F.col(f"m_{f}").alias("detail"))))
-    return _explode_entries(facts, F.array(*items))
+        items.append(F.when(~ok, _entry(f"invalid:{f}", F.col(f"m_{f}"))))
+    return F.array(*items)
 
 
-def label_mismatches(facts: DataFrame) -> DataFrame:
-    """Entries: the last assistant message lacks ``Label: <label>`` while a label is set."""
+def label_entries() -> Column:
+    """The last assistant message lacks ``Label: <label>`` while a label is set."""
     label = F.col("m_Label")
     needed = F.concat(F.lit("Label: "), label)
     bad = label.isNotNull() & (label != "") & (F.instr(F.coalesce("last_assistant", F.lit("")), needed) == 0)
-    return _explode_entries(facts, F.array(F.when(bad, F.struct(F.lit("label_mismatch").alias("error"),
-                                                                label.alias("detail")))))
+    return F.array(F.when(bad, _entry("label_mismatch", label)))
 
 
-def tool_flag_errors(facts: DataFrame) -> DataFrame:
-    """Entries: tool flag without a tool message, or a tool message without the flag."""
-    return _explode_entries(facts, F.array(
-        F.when(F.col("tool_flag") & ~F.col("has_tool_message"),
-               F.struct(F.lit("flag_without_tool").alias("error"), F.lit(None).cast("string").alias("detail"))),
-        F.when(~F.col("tool_flag") & F.col("has_tool_message"),
-               F.struct(F.lit("tool_without_flag").alias("error"), F.lit(None).cast("string").alias("detail")))))
+def tool_entries() -> Column:
+    """Tool flag without a tool message, or a tool message without the flag."""
+    return F.array(F.when(F.col("tool_flag") & ~F.col("has_tool_message"), _entry("flag_without_tool")),
+                   F.when(~F.col("tool_flag") & F.col("has_tool_message"), _entry("tool_without_flag")))
+
+
+ENTRY_KINDS = (("roles", role_entries), ("metadata", metadata_entries), ("label", label_entries),
+               ("tool", tool_entries))
+
+
+def _kept(entries: Column) -> Column:
+    return F.filter(entries, lambda e: e.isNotNull())
 
 
 def _explode_entries(facts: DataFrame, entries: Column) -> DataFrame:
-    kept = F.filter(entries, lambda e: e.isNotNull())
-    return facts.select("example_id", F.explode(kept).alias("e")).select("example_id", "e.error", "e.detail")
+    return facts.select("example_id", F.explode(_kept(entries)).alias("e")).select("example_id", "e.error", "e.detail")
+
+
+def role_errors(facts: DataFrame) -> DataFrame:
+    return _explode_entries(facts, role_entries())
+
+
+def metadata_errors(facts: DataFrame) -> DataFrame:
+    return _explode_entries(facts, metadata_entries())
+
+
+def label_mismatches(facts: DataFrame) -> DataFrame:
+    return _explode_entries(facts, label_entries())
+
+
+def tool_flag_errors(facts: DataFrame) -> DataFrame:
+    return _explode_entries(facts, tool_entries())
 
 
 def all_error_entries(facts: DataFrame) -> DataFrame:
-    parts = [(role_errors, "roles"), (metadata_errors, "metadata"),
-             (label_mismatches, "label"), (tool_flag_errors, "tool")]
-    return reduce(DataFrame.unionByName,
-                  [fn(facts).withColumn("kind", F.lit(kind)) for fn, kind in parts])
+    """Every entry of the four checks in one pass: ``(example_id, error, detail, kind)``."""
+    def tag(kind):
+        return lambda e: F.struct(e["error"].alias("error"), e["detail"].alias("detail"), F.lit(kind).alias("kind"))
+
+    tagged = F.flatten(F.array(*[F.transform(_kept(fn()), tag(kind)) for kind, fn in ENTRY_KINDS]))
+    return facts.select("example_id", F.explode(tagged).alias("e")).select(
+        "example_id", "e.error", "e.detail", "e.kind")
 
 
 # --- A9 / A10 ----------------------------------------------------------------
 def quality_metrics(facts: DataFrame) -> DataFrame:
-    """One row: every number the warning rules read."""
-    overview = dataset_overview(facts)
+    """One row: every number the warning rules read.
+
+    The overview and the four error-entry counts come from one aggregation over the
+    per-example facts (entries are counted per example, then summed); the two
+    duplicate counts are one digest group-by each. Three passes in all.
+    """
+    n = F.count(F.lit(1))
+    counts = [F.coalesce(F.sum(F.size(_kept(fn()))), F.lit(0)).cast("bigint").alias(f"{kind}_errors")
+              for kind, fn in ENTRY_KINDS]
+    overview = facts.agg(
+        n.alias("total"),
+        F.count_if(F.col("tool_flag")).alias("tool_use_count"),
+        (F.count_if(F.col("tool_flag")) / n).alias("tool_use_ratio"),
+        (F.count_if(F.col("m_Difficulty").isin(*IMPLICIT_DIFFICULTIES)) / n).alias("implicit_ratio"),
+        *counts)
     dup_full = duplicate_count(facts, "example_hash").withColumnRenamed("duplicates", "duplicate_full")
     dup_user = duplicate_count(facts, "prompt_hash").withColumnRenamed("duplicates", "duplicate_user")
-    errs = all_error_entries(facts).groupBy().pivot("kind", ["roles", "metadata", "label", "tool"]).agg(
-        F.count(F.lit(1)))
-    errs = errs.select(*[F.coalesce(F.col(k), F.lit(0)).cast("bigint").alias(f"{k}_errors")
-                         for k in ("roles", "metadata", "label", "tool")])
-    one_row = [overview, dup_full, dup_user, errs]
-    return reduce(attach_one_row, one_row)
+    return attach_one_row(attach_one_row(overview, dup_full), dup_user)
 
 
 # Warning thresholds of the dataset report.
