@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.sizing import attach_one_row
@@ -315,13 +315,15 @@ def examples_nested(meta: DataFrame, messages: DataFrame) -> DataFrame:
 def first_n_per_kind(entries: DataFrame, kinds, n: int = 20, order=("example_id", "error")) -> DataFrame:
     """First ``n`` entries of each kind plus how many more there are.
 
-    Each kind is a separate ``orderBy().limit(n)`` (per-partition top-n, then a merge),
-    so a kind holding most entries never lands in one task.
+    ``row_number() <= n`` per kind is planned as a partial top-n before the shuffle
+    (``WindowGroupLimit``), so a kind holding most entries sends at most ``n`` rows per
+    partition; the totals are a partial-aggregated count.
     """
-    shown = reduce(DataFrame.unionByName,
-                   [entries.where(F.col("kind") == k).orderBy(*order).limit(n) for k in kinds])
-    totals = entries.groupBy("kind").agg(F.count(F.lit(1)).alias("total"))
-    return (shown.join(F.broadcast(totals), "kind")
+    kept = entries.where(F.col("kind").isin(*kinds))
+    w = Window.partitionBy("kind").orderBy(*order)
+    shown = kept.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+    totals = kept.groupBy("kind").agg(F.count(F.lit(1)).alias("total"))
+    return (shown.join(F.broadcast(totals), "kind")          # one row per kind
             .withColumn("n_more", F.greatest(F.col("total") - F.lit(n), F.lit(0))))
 
 
