@@ -18,6 +18,18 @@ DEFAULT_BROADCAST_ROWS = 2_000_000
 DEFAULT_BROADCAST_BYTES = 128 * 1024 * 1024
 
 
+_PERSISTED: list[DataFrame] = []
+
+
+def release_broadcast_sides() -> int:
+    """Unpersist the small sides kept by ``bounded_broadcast`` (call after the actions
+    that use them; a later re-run recomputes them from lineage). Returns how many."""
+    n = len(_PERSISTED)
+    while _PERSISTED:
+        _PERSISTED.pop().unpersist()
+    return n
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
                       max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
     """``broadcast(df)`` when ``df`` is proven small (rows and bytes), else ``df`` unchanged.
@@ -28,10 +40,12 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
     shuffle join, where AQE may still broadcast it at runtime or split skewed partitions.
     """
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _PERSISTED.append(kept)
     width = F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))) if df.columns else F.lit(0)
     n, size = kept.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
     if n <= max_rows and size <= max_bytes:
         return F.broadcast(kept)
+    _PERSISTED.remove(kept)
     kept.unpersist()
     return df
 

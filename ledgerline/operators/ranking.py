@@ -78,12 +78,13 @@ def positions_within(df: DataFrame, group_cols, order_cols, out: str = "pos",
     first = order_cols[0]
     d = df.withColumn("_ov", sortable_number(F.col(first), df.schema[first].dataType.simpleString()))
     sizes = d.groupBy(*groups).agg(F.count(F.lit(1)).alias("_size"))
-    hot_groups = bounded_broadcast(sizes.where(F.col("_size") > hot_rows).drop("_size"))
-    if hot_groups.limit(1).count() == 0:
+    largest = sizes.agg(F.max("_size")).first()[0]
+    if largest is None or largest <= hot_rows:
         w = Window.partitionBy(*groups).orderBy(*order_cols) if groups else Window.orderBy(*order_cols)
         return df.withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
 
     qs = [i / buckets for i in range(1, buckets)]
+    hot_groups = bounded_broadcast(sizes.where(F.col("_size") > hot_rows).drop("_size"))
     if groups:
         hot = _null_safe_join(d.select(*groups, "_ov"), hot_groups, groups)
         bounds = bounded_broadcast(hot.groupBy(*groups).agg(

@@ -43,3 +43,12 @@ def test_bounded_broadcast_falls_back_over_either_bound(spark):
     assert bounded_broadcast(df, max_bytes=1000) is df
     small = bounded_broadcast(df)
     assert small is not df and small.count() == 50
+
+
+def test_release_broadcast_sides(spark):
+    from ledgerline.functions.sizing import bounded_broadcast, release_broadcast_sides
+    release_broadcast_sides()
+    small = bounded_broadcast(spark.range(5))
+    assert small.count() == 5
+    assert release_broadcast_sides() == 1 and release_broadcast_sides() == 0
+    assert small.count() == 5           # recomputed from lineage after the release
