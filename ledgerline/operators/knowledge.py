@@ -271,14 +271,21 @@ def validate_requests(requests: DataFrame) -> DataFrame:
 
 
 # --- J1 / J2 / J3 ----------------------------------------------------------
-def startups_with_pivot_count(startups: DataFrame, pivots: DataFrame) -> DataFrame:
+def startups_with_pivot_count(startups: DataFrame, pivots: DataFrame, prefilter: bool = False) -> DataFrame:
     """Every startup with its number of pivots (zero kept).
 
     Pivots are counted per startup first (partial + final aggregation), so the join
-    sees one row per startup instead of every pivot.
+    sees one row per startup instead of every pivot. With ``prefilter`` (a filtered
+    startup set), pivots are first cut to those startups by a map-side broadcast
+    semi-join, when the id set is proven small.
     """
-    counts = pivots.where(F.col("startup_id").isNotNull()).groupBy(
-        F.col("startup_id").alias("id")).agg(F.count("id").alias("pivot_count"))
+    p = pivots.where(F.col("startup_id").isNotNull())
+    if prefilter:
+        ids = startups.select(F.col("id").alias("startup_id")).distinct()
+        small = bounded_broadcast(ids)
+        if small is not ids:
+            p = p.join(small, "startup_id", "left_semi")
+    counts = p.groupBy(F.col("startup_id").alias("id")).agg(F.count("id").alias("pivot_count"))
     return (startups.join(counts, "id", "left")
             .withColumn("pivot_count", F.coalesce("pivot_count", F.lit(0)).cast("bigint")))
 
@@ -291,7 +298,7 @@ def similar_startups(startups: DataFrame, pivots: DataFrame, sector: str, stage=
         conds.append(F.col("stage") == stage)
     if outcome:
         conds.append(F.col("outcome") == outcome)
-    base = startups_with_pivot_count(startups.where(_and_all(conds)), pivots)
+    base = startups_with_pivot_count(startups.where(_and_all(conds)), pivots, prefilter=True)
     return base.orderBy(F.col("pivot_count").desc(), F.col("founding_year").desc_nulls_first(),
                         F.col("id").asc()).limit(limit)
 
@@ -456,7 +463,7 @@ def diagnosis_context(segments: DataFrame, risks: DataFrame, benchmarks: DataFra
              .agg(F.array_sort(F.collect_list("metric_name")).alias("benchmark_metrics")))
     crit = (criteria.where((F.col("investor_profile") == investor_profile) & (F.col("weight") == "critical"))
             .groupBy("stage").agg(F.array_sort(F.collect_list("id")).alias("criteria_ids")))
-    counted = startups_with_pivot_count(startups.join(seg, ["sector", "stage"], "left_semi"), pivots)
+    counted = startups_with_pivot_count(startups.join(seg, ["sector", "stage"], "left_semi"), pivots, prefilter=True)
     w = Window.partitionBy("sector", "stage").orderBy(
         F.col("pivot_count").desc(), F.col("founding_year").desc_nulls_first(), F.col("id"))
     similar = (counted.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 3)
