@@ -98,7 +98,7 @@ def q_cascade_delete(spark, sf_dir):
 @query("upsert_touch", "D4", oracle=with_chain("startups") + f"""
 , old AS (SELECT id, name, stage, mrr, '{BEFORE}' AS updated_at FROM startups WHERE id % 10 <> 7),
 new AS (SELECT id, name, CASE WHEN id % 4 = 0 THEN 'growth' ELSE stage END AS stage,
-          CASE WHEN id % 3 = 0 THEN round(mrr * 1.1, 2) ELSE mrr END AS mrr FROM startups WHERE id % 2 = 0 OR id % 10 = 7)
+          CASE WHEN id % 3 = 0 THEN CAST(round(CAST(mrr AS DECIMAL(14, 2)) * 1.1, 2) AS DOUBLE) ELSE mrr END AS mrr FROM startups WHERE id % 2 = 0 OR id % 10 = 7)
 SELECT coalesce(n.id, o.id) AS id,
   CASE WHEN n.id IS NOT NULL THEN n.name ELSE o.name END AS name,
   CASE WHEN n.id IS NOT NULL THEN n.stage ELSE o.stage END AS stage,
@@ -114,7 +114,8 @@ def q_upsert_touch(spark, sf_dir):
     old = st.where(F.col("id") % 10 != 7).select("id", "name", "stage", "mrr", F.lit(BEFORE).alias("updated_at"))
     new = st.where((F.col("id") % 2 == 0) | (F.col("id") % 10 == 7)).select(
         "id", "name", F.when(F.col("id") % 4 == 0, F.lit("growth")).otherwise(F.col("stage")).alias("stage"),
-        F.when(F.col("id") % 3 == 0, F.round(F.col("mrr") * 1.1, 2)).otherwise(F.col("mrr")).alias("mrr"))
+        F.when(F.col("id") % 3 == 0, F.round(F.col("mrr").cast("decimal(14,2)") * F.lit(1.1).cast("decimal(2,1)"), 2)
+               .cast("double")).otherwise(F.col("mrr")).alias("mrr"))
     return C.upsert_touch(old, new, "id", NOW)
 
 

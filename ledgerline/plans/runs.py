@@ -39,7 +39,10 @@ summary AS (
 """
 RUN_LOSS_SQL = """
 , run_loss AS (
-  SELECT run_id, round(coalesce(sum(CAST(value AS DECIMAL(30, 12))) / count(value), 0), 4) AS eval_loss,
+  SELECT run_id,
+    -- exact mean of the 12-digit decimals, rounded half-up to 4 digits in integer arithmetic
+    coalesce(CAST((2 * sum(CAST(CAST(value AS DECIMAL(30, 12)) * 1000000000000 AS HUGEINT)) + count(value) * 100000000)
+                  // (2 * count(value) * 100000000) AS DOUBLE) / 10000, 0.0) AS eval_loss,
     round(CASE WHEN coalesce(avg(value), 0) < 10 THEN exp(coalesce(avg(value), 0)) ELSE 999 END, 2) AS eval_perplexity,
     count(value) AS test_samples
   FROM training_log WHERE log_key = 'eval_loss' GROUP BY run_id)
