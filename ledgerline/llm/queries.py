@@ -6,15 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import langid
+from ledgerline.llm import decontam, langid, neardup
 from ledgerline.llm.common import table
 
 
+def op1_rare_seed_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 def op10_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_of_documents(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_rare_seed_alignment": op1_rare_seed_alignment,
+    "op2_weighted_minhash": op2_weighted_minhash,
     "op10_crf_language_id": op10_crf_language_id,
 }
 
