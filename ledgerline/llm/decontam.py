@@ -59,7 +59,7 @@ def _bitmap(df: DataFrame, col: str) -> np.ndarray:
     """Bits set for the values of a column; at most BITMAP / 8 rows reach the driver."""
     slot = F.pmod(F.col(col), F.lit(BITMAP))
     rows = df.groupBy(F.floor(slot / 8).cast("int").alias("at")).agg(
-        F.bit_or(F.shiftleft(F.lit(1), (slot % 8).cast("int"))).alias("bits")).toPandas()
+        F.bit_or(F.pow(F.lit(2), slot % 8).cast("int")).alias("bits")).toPandas()
     out = np.zeros(BITMAP // 8, np.uint8)
     out[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).astype(np.uint8)
     return out

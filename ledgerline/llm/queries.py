@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import decontam, langid, neardup
+from ledgerline.llm import bpe, decontam, langid, neardup, pii
 from ledgerline.llm.common import table
 
 
@@ -18,6 +19,15 @@ def op2_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"))
 
 
+def op6_disclosing_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+def op9_segment_tree_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    return bpe.digests(bpe.encode_documents(table(spark, sf_dir, "documents"),
+                                            path or public_tokenizers.path("word_bpe_49k.json")))
+
+
 def op10_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_of_documents(table(spark, sf_dir, "documents"))
 
@@ -25,6 +35,8 @@ def op10_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rare_seed_alignment": op1_rare_seed_alignment,
     "op2_weighted_minhash": op2_weighted_minhash,
+    "op6_disclosing_terms": op6_disclosing_terms,
+    "op9_segment_tree_bpe": op9_segment_tree_bpe,
     "op10_crf_language_id": op10_crf_language_id,
 }
 
