@@ -26,56 +26,66 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.common import on_workers, spread
 
-CACHE = 150_000          # words kept at a time
-NONE = 1 << 62
+CACHE = 150_000          # words in each of two generations
+WIDE = 16
+NONE, LOW = 1 << 62, (1 << 32) - 1
+HIGH = NONE - 1 - LOW
+HIGHER = re.compile("[\U00010000-\U0010ffff]")
 #: White space of the pattern's \s, and its contractions.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 
 
 def merge_word(symbols: list[int], ranks: dict[int, int]) -> list[int]:
-    """Merge one word's symbols. ``ranks``: left << 32 | right -> rank << 32 | merged id."""
+    """Merge one word's symbols. ``ranks``: left << 32 | right -> rank << 32 | merged id.
+
+    The tree is wide: each node is the least of ``WIDE`` children, so a short word is one node
+    and a point update takes log_WIDE(n) steps."""
     n = len(symbols)
     if n < 2:
         return symbols
-    width = 1 << (n - 2).bit_length() if n > 2 else 1
-    tree = [NONE] * (2 * width)
     get = ranks.get
+    leaves = []
     for i in range(n - 1):
         r = get(symbols[i] << 32 | symbols[i + 1])
-        if r is not None:
-            tree[width + i] = (r >> 32) << 32 | i
-    for i in range(width - 1, 0, -1):
-        a, b = tree[2 * i], tree[2 * i + 1]
-        tree[i] = a if a < b else b
+        leaves.append(NONE if r is None else (r & HIGH) | i)
+    levels = [leaves]
+    while len(levels[-1]) > WIDE:
+        below = levels[-1]
+        levels.append([min(below[i:i + WIDE]) for i in range(0, len(below), WIDE)])
+    top = levels[-1]
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    sym = list(symbols)
-
-    def put(place: int, value: int) -> None:
-        i = width + place
-        tree[i] = value
-        while i > 1:
-            i >>= 1
-            a, b = tree[2 * i], tree[2 * i + 1]
-            tree[i] = a if a < b else b
-
-    def pair(place: int) -> int:
-        right = after[place]
-        r = get(sym[place] << 32 | sym[right]) if right < n else None
-        return NONE if r is None else (r >> 32) << 32 | place
-
-    while tree[1] < NONE:
-        i = tree[1] & 0xFFFFFFFF
+    sym = symbols
+    while True:
+        root = min(top)
+        if root == NONE:
+            break
+        i = root & LOW
         j = after[i]
-        sym[i] = get(sym[i] << 32 | sym[j]) & 0xFFFFFFFF
-        after[i] = after[j]
-        if after[j] < n:
-            before[after[j]] = i
-        if j < width:
-            put(j, NONE)
-        put(i, pair(i))
-        if before[i] >= 0:
-            put(before[i], pair(before[i]))
+        right = after[j]
+        left = before[i]
+        sym[i] = merged = get(sym[i] << 32 | sym[j]) & LOW
+        after[i] = right
+        if j < n - 1:
+            leaves[j] = NONE
+        if right < n:
+            before[right] = i
+            r = get(merged << 32 | sym[right])
+            leaves[i] = NONE if r is None else (r & HIGH) | i
+        else:
+            leaves[i] = NONE
+        if left >= 0:
+            r = get(sym[left] << 32 | merged)
+            leaves[left] = NONE if r is None else (r & HIGH) | left
+        if len(levels) > 1:
+            for place in {left // WIDE if left >= 0 else i // WIDE, i // WIDE, min(j, n - 2) // WIDE}:
+                for level in range(1, len(levels)):
+                    low = place * WIDE
+                    least = min(levels[level - 1][low:low + WIDE])
+                    if levels[level][place] == least:
+                        break
+                    levels[level][place] = least
+                    place //= WIDE
     out, i = [], 0
     while i < n:
         out.append(sym[i])
@@ -83,12 +93,12 @@ def merge_word(symbols: list[int], ranks: dict[int, int]) -> list[int]:
     return out
 
 
-def _classes() -> tuple[str, str]:
-    """Ranges of letters and of numbers, for a character class."""
+def _classes(last: int) -> tuple[str, str]:
+    """Ranges of letters and of numbers up to a code point, for a character class."""
     found = {"L": [], "N": []}
     start, kind = 0, ""
-    for c in range(sys.maxunicode + 2):
-        k = unicodedata.category(chr(c))[0] if c <= sys.maxunicode else ""
+    for c in range(last + 2):
+        k = unicodedata.category(chr(c))[0] if c <= last else ""
         if k != kind:
             if kind in found:
                 found[kind].append(f"{re.escape(chr(start))}-{re.escape(chr(c - 1))}")
@@ -104,31 +114,20 @@ def _byte_chars() -> list[str]:
 
 
 class _Encoded(dict):
-    """word -> its ids (4 bytes each, little endian)."""
+    """word -> its ids (4 bytes each, little endian), in two generations of CACHE words."""
 
     def __init__(self, bpe: "Bpe"):
         super().__init__()
-        self.bpe = bpe
+        self.bpe, self.old = bpe, {}
 
     def __missing__(self, word: str) -> bytes:
+        got = self.old.get(word)
+        if got is None:
+            got = np.array(self.bpe.word(word), "<u4").tobytes()
         if len(self) >= CACHE:
+            self.old = dict(self)
             self.clear()
-        ids = self.bpe.word(word)
-        got = self[word] = np.array(ids, "<u4").tobytes()
-        return got
-
-
-class _Decoded(dict):
-    """ids of a word as bytes -> its decoded form."""
-
-    def __init__(self, bpe: "Bpe"):
-        super().__init__()
-        self.bpe = bpe
-
-    def __missing__(self, ids: bytes) -> str:
-        if len(self) >= CACHE:
-            self.clear()
-        got = self[ids] = " ".join([self.bpe.token[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        self[word] = got
         return got
 
 
@@ -141,7 +140,9 @@ class Bpe:
         self.vocab: dict[str, int] = model["vocab"]
         self.end = model["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in got["added_tokens"]}
-        self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
+        self.token = [""] * (1 + max([*self.vocab.values(), *self.special.values()], default=0))
+        for t, i in [*self.vocab.items(), *self.special.items()]:
+            self.token[i] = t
         self.ranks: dict[int, int] = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
@@ -149,11 +150,14 @@ class Bpe:
         chars = _byte_chars()
         self.inner = [self.vocab[c] for c in chars]
         self.last = [self.vocab[c + self.end] for c in chars]
-        letters, numbers = _classes()
-        self.pattern = re.compile(f"{CONTRACTIONS}|[{letters}]+|[{numbers}]|[^{WHITE}{letters}{numbers}]+")
-        self.plain = re.compile(rf"{CONTRACTIONS}|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
+        rest = [r"[a-z]+|[0-9]|[^\t-\r a-z0-9]+"]
+        for last in (0xFFFF, sys.maxunicode):
+            letters, numbers = _classes(last)
+            rest.append(f"[{letters}]+|[{numbers}]|[^{WHITE}{letters}{numbers}]+")
+        # (without apostrophes, with them) for ASCII, for text without and with higher planes
+        self.ascii, self.basic, self.any = ((re.compile(r), re.compile(f"{CONTRACTIONS}|{r}")) for r in rest)
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.encoded, self.decoded = _Encoded(self), _Decoded(self)
+        self.encoded = _Encoded(self)
 
     def word(self, word: str) -> list[int]:
         raw = word.encode("utf-8", "surrogatepass")
@@ -161,28 +165,29 @@ class Bpe:
 
     def words(self, text: str) -> list[str]:
         if text.isascii():
-            return self.plain.findall(text.lower())
+            return self.ascii["'" in text].findall(text.lower())
         text = unicodedata.normalize("NFC", text)
         if "\u03a3" in text:        # str.lower() looks at the neighbours of this letter alone
             text = text.replace("\u03a3", "\u03c3")
-        return self.pattern.findall(text.lower())
+        text = text.lower()
+        return (self.any if HIGHER.search(text) else self.basic)["'" in text].findall(text)
 
-    def encode(self, text: str) -> list[bytes]:
-        """The ids of each word or special token, in order."""
+    def encode(self, text: str) -> bytes:
+        """The ids of a text, 4 bytes each, little endian."""
         get = self.encoded.__getitem__
         if not self.special or not any(s in text for s in self.special):
-            return list(map(get, self.words(text)))
+            return b"".join(map(get, self.words(text)))
         out = []
         for part in self.cut.split(text):
             if part in self.special:
                 out.append(np.array([self.special[part]], "<u4").tobytes())
             else:
                 out += map(get, self.words(part))
-        return out
+        return b"".join(out)
 
-    def decode(self, ids: list[bytes]) -> str:
+    def decode(self, ids: bytes) -> str:
         """The tokens, joined by blanks, as a file without a decoder says."""
-        return " ".join(map(self.decoded.__getitem__, ids))
+        return " ".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 @lru_cache(maxsize=2)
@@ -203,9 +208,8 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id") -> DataFra
                 part = batch.slice(lo, 256)
                 ids, said = [], []
                 for text in part.column(1).to_pylist():
-                    words = bpe.encode(text or "")
-                    ids.append(b"".join(words))
-                    said.append(bpe.decode(words))
+                    ids.append(bpe.encode(text or ""))
+                    said.append(bpe.decode(ids[-1]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()),
                                                   pa.array(said, pa.string())], [key, "ids", "decoded"])
 

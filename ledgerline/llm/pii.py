@@ -93,7 +93,7 @@ def surroundings(text: str, found: list[tuple[int, int, int]]):
                 break
         near = [p for p in left[-WINDOW:] + right if not any(a < p[1] and p[0] < b for a, b in spans)]
         words = [text[a:b].lower() for a, b in near]
-        hashes = hash_of(words + [f"{KINDS[kind]}:{text[s:e]}", " ".join(words)]).view(np.int64).tolist()
+        hashes = hash_of(words + [f"{KINDS[kind]}:{text[s:e]}", f"near:{words}"]).view(np.int64).tolist()
         yield hashes[-2], hashes[-1], [{"term": h, "start": a, "end": b} for h, (a, b) in zip(hashes, near)]
 
 
