@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,12 +33,17 @@ def op10_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_of_documents(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rare_seed_alignment": op1_rare_seed_alignment,
     "op2_weighted_minhash": op2_weighted_minhash,
     "op6_disclosing_terms": op6_disclosing_terms,
     "op9_segment_tree_bpe": op9_segment_tree_bpe,
     "op10_crf_language_id": op10_crf_language_id,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {}
