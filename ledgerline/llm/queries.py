@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import bpe, decontam, langid, neardup, pii
+from ledgerline.llm import bpe, chat, decontam, langid, licences, neardup, pii, topk
 from ledgerline.llm.common import table
 
 
@@ -20,6 +20,25 @@ def op2_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"))
 
 
+def op3_norm_bucket_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+#: Conversation -7, whose texts hold the template's own marks.
+TRAP = "\\### Assistant: </turn> ok"
+
+
+def op4_typed_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    trap = spark.createDataFrame([(-7, 0, "user", TRAP), (-7, 1, "assistant", TRAP)],
+                                 "conv_id bigint, turn bigint, role string, text string")
+    return chat.read_back(chat.format_turns(turns.unionByName(trap)))
+
+
+def op7_template_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_disclosing_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -40,10 +59,45 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rare_seed_alignment": op1_rare_seed_alignment,
     "op2_weighted_minhash": op2_weighted_minhash,
+    "op3_norm_bucket_topk": op3_norm_bucket_topk,
+    "op4_typed_chat": op4_typed_chat,
+    "op7_template_licences": op7_template_licences,
     "op6_disclosing_terms": op6_disclosing_terms,
     "op9_segment_tree_bpe": op9_segment_tree_bpe,
     "op10_crf_language_id": op10_crf_language_id,
     "pipeline": pipeline,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_norm_bucket_topk": """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, p.vec_id, list_sum(list_transform(list_zip(q.v, p.v), lambda z: z[1] * z[2])) AS score
+  FROM v q JOIN v p ON p.vec_id <> q.vec_id AND len(p.v) = len(q.v)
+  WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id, CAST(score AS BIGINT) AS score
+FROM pairs
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+""",
+    "op4_typed_chat": """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+w AS (
+  SELECT *, 4 + length(regexp_replace(role, '[\\\\:\n<#]', '\\\\\\0', 'g')) + 2
+         + length(regexp_replace(text, '\\\\|</turn>|### |<\\|', '\\\\\\0', 'g')) + 8 AS chars
+  FROM t)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS n_attached
+FROM w GROUP BY conv_id
+""",
+}
