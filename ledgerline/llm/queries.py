@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import bpe, chat, decontam, langid, licences, neardup, pii, topk
+from ledgerline.llm import bpe, chat, decontam, langid, licences, lm, neardup, pii, secrets, topk
 from ledgerline.llm.common import table
 
 
@@ -39,6 +39,14 @@ def op7_template_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_character_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
+def op8_windowed_attention(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"), path or public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_disclosing_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -62,6 +70,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_norm_bucket_topk": op3_norm_bucket_topk,
     "op4_typed_chat": op4_typed_chat,
     "op7_template_licences": op7_template_licences,
+    "op5_character_network": op5_character_network,
+    "op8_windowed_attention": op8_windowed_attention,
     "op6_disclosing_terms": op6_disclosing_terms,
     "op9_segment_tree_bpe": op9_segment_tree_bpe,
     "op10_crf_language_id": op10_crf_language_id,
