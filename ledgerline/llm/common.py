@@ -8,6 +8,7 @@ time, so memory follows the slice (or the longest single text) and never the tab
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,13 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.session import cut_lineage, ensure_checkpoint_dir
-
-__all__ = ["cut_lineage", "ensure_checkpoint_dir"]
+from ledgerline.session import cut_lineage, ensure_checkpoint_dir  # noqa: F401
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: Bytes of text that a task handles at once (one longer text is handled alone).
 SLICE_BYTES = 1 << 20
+BITMAP = 1 << 22
 
 U = np.uint64
 _BASE = U(0x9E3779B97F4A7C15)
@@ -109,6 +109,29 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def bitmap(df: DataFrame, col: str) -> np.ndarray:
+    """Bits set for the values of a long column: a filter of fixed size that saves rows before
+    an exact join. At most BITMAP / 8 small rows reach the driver, whatever the column holds."""
+    slot = F.pmod(F.col(col), F.lit(BITMAP))
+    rows = df.groupBy(F.floor(slot / 8).cast("int").alias("at")).agg(
+        F.bit_or(F.pow(F.lit(2), slot % 8).cast("int")).alias("bits")).toPandas()
+    out = np.zeros(BITMAP // 8, np.uint8)
+    out[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).astype(np.uint8)
+    return out
+
+
+def in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    slot = np.mod(values.view(np.int64), BITMAP)
+    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet into the shared checkpoint folder, and read from there."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 class Words:
     """Words of the documents in one slice of bytes.
 

@@ -4,7 +4,7 @@ items, Smith-Waterman alignment scores them.
 1. The words of the test items are counted over all training texts; an n-gram's information is
    the sum of -log2 of its words' frequencies. An item's seeds are its 3-grams of at least
    ``RARE_BITS`` bits and the rarer half of its 3-grams (an item of fewer words: all its words).
-2. Training texts are scanned with a bitmap of the seeds, of fixed size (``BITMAP`` bits; it
+2. Training texts are scanned with a bitmap of the seeds, of fixed size (``common.BITMAP`` bits; it
    only saves rows, the join that follows is exact). Seeds close together form a passage,
    widened by the length of the longest item on both sides.
 3. Passages join items on seeds; each (passage, item) is aligned word by word over its whole
@@ -29,11 +29,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.sizing import attach_one_row
-from ledgerline.llm.common import U, cut_lineage, on_workers, word_slices
+from ledgerline.llm.common import U, bitmap, cut_lineage, in_bitmap, on_workers, word_slices
 
 GRAM = 3
 RARE_BITS = 30.0
-BITMAP = 1 << 22
 SCORE = 0.5
 SHORT = 8
 
@@ -55,31 +54,16 @@ def _words_of(items: DataFrame) -> DataFrame:
     return d.mapInArrow(cut, "item_id bigint, words array<bigint>, grams array<bigint>").where(F.size("words") > 0)
 
 
-def _bitmap(df: DataFrame, col: str) -> np.ndarray:
-    """Bits set for the values of a column; at most BITMAP / 8 rows reach the driver."""
-    slot = F.pmod(F.col(col), F.lit(BITMAP))
-    rows = df.groupBy(F.floor(slot / 8).cast("int").alias("at")).agg(
-        F.bit_or(F.pow(F.lit(2), slot % 8).cast("int")).alias("bits")).toPandas()
-    out = np.zeros(BITMAP // 8, np.uint8)
-    out[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).astype(np.uint8)
-    return out
-
-
-def _in_bitmap(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    slot = np.mod(h.view(np.int64), BITMAP)
-    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
-
-
 def word_frequencies(docs: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(word, n over all texts) for the given words; one row with the number of all words."""
-    bits = _bitmap(words, "word")
+    bits = bitmap(words, "word")
 
     def count(batches):
         parts, total = [], 0
         for batch in batches:
             for _, _, w in word_slices(batch.column(0)):
                 total += len(w.hash)
-                parts.append(np.unique(w.hash[_in_bitmap(bits, w.hash)], return_counts=True))
+                parts.append(np.unique(w.hash[in_bitmap(bits, w.hash)], return_counts=True))
                 if len(parts) > 64:
                     parts = [_merge(parts)]
         word, n = _merge(parts)
@@ -128,7 +112,7 @@ def passages(docs: DataFrame, seed_bits: np.ndarray, widen: int) -> DataFrame:
             ids, ats, words, grams = [], [], [], []
             for a, b, w in word_slices(batch.column(1)):
                 g, first = w.grams(GRAM)
-                hit = np.flatnonzero(_in_bitmap(seed_bits, g))
+                hit = np.flatnonzero(in_bitmap(seed_bits, g))
                 if not len(hit):
                     continue
                 doc = np.searchsorted(first, hit, side="right") - 1
@@ -176,7 +160,7 @@ def contaminated(docs: DataFrame, items: DataFrame, score: float = SCORE) -> Dat
     tests = cut_lineage(_words_of(items))
     longest = tests.agg(F.max(F.size("words"))).first()[0] or 0
     seed = cut_lineage(seeds(tests, docs))
-    found = cut_lineage(passages(docs, _bitmap(seed, "gram"), max(longest, GRAM)).withColumn(
+    found = cut_lineage(passages(docs, bitmap(seed, "gram"), max(longest, GRAM)).withColumn(
         "passage", F.xxhash64("doc_id", "at", "words")).dropDuplicates(["passage"]))
     pairs = (found.select("passage", F.explode("grams").alias("gram")).join(seed, "gram")
              .select("passage", "item_id").distinct())

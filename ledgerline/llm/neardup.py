@@ -12,6 +12,7 @@
    that share a band key are compared: all pairs of a key with at most ``SMALL`` of them, else
    each with the most popular member (the least edited one shares the most keys) of each of
    ``PIVOTS`` parts. A second round repeats this among those left outside the pivots' classes.
+   Pairs that agree in fewer than ``AGREE`` samples are left out.
 4. A pair is a link if its weighted Jaccard similarity, from the whole texts, is ``SIMILAR`` or
    more; classes are the connected components, named after their smallest id.
 
@@ -23,14 +24,13 @@ extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import U, cut_lineage, mix, on_workers, word_slices
+from ledgerline.llm.common import U, bitmap, cut_lineage, in_bitmap, keep, mix, on_workers, word_slices
 from ledgerline.llm.components import components
 
 SHINGLE = 5
@@ -41,6 +41,7 @@ SAMPLES = 24
 BAND = (0, 1, 4, 9, 11)      # its differences are all distinct modulo 24
 SMALL = 10
 PIVOTS = 3
+AGREE = 12                   # of SAMPLES
 _BITS = 44                   # of a shingle's hash
 
 _rng = np.random.default_rng(2010)
@@ -123,30 +124,34 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """doc_id, sig (16 bytes: same shingles and counts, null without words), bands."""
+    """doc_id, sig (16 bytes: same shingles and counts, null without words), samples (their low
+    32 bits), bands."""
     def sign(batches):
         for batch in batches:
-            sig, bands = [], []
+            sig, drawn, bands = [], [], []
             for a, b, w in word_slices(batch.column(1)):
                 key, tf, first = shingles(w)
                 has = np.diff(first) > 0
-                keys = band_keys(samples(key, weights(key, tf, idf), first)) if has.any() else np.zeros((0, SAMPLES))
+                s = samples(key, weights(key, tf, idf), first) if has.any() else np.zeros((0, SAMPLES), U)
                 own = key & U((1 << _BITS) - 1)
-                rows = iter(keys)
+                rows = zip(s.astype(np.uint32).view(np.int32), band_keys(s))
                 for i in range(b - a):
                     if not has[i]:
                         sig.append(None)
+                        drawn.append(None)
                         bands.append(None)
                         continue
                     x, y = first[i], first[i + 1]
                     sig.append(hashlib.blake2b(own[x:y].tobytes() + tf[x:y].tobytes(), digest_size=16).digest())
-                    bands.append(next(rows))
+                    low, high = next(rows)
+                    drawn.append(low)
+                    bands.append(high)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                ["doc_id", "sig", "bands"])
+                [batch.column(0), pa.array(sig, pa.binary()), pa.array(drawn, pa.list_(pa.int32())),
+                 pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "sig", "samples", "bands"])
 
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return d.mapInArrow(sign, "doc_id bigint, sig binary, bands array<bigint>")
+    return d.mapInArrow(sign, "doc_id bigint, sig binary, samples array<int>, bands array<bigint>")
 
 
 def candidate_pairs(keys: DataFrame) -> DataFrame:
@@ -166,11 +171,32 @@ def candidate_pairs(keys: DataFrame) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
-def similar_pairs(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, similar: float = SIMILAR) -> DataFrame:
-    """The pairs whose weighted Jaccard similarity reaches ``similar``: a, b, similarity."""
+def plausible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs that agree in ``AGREE`` samples or more (at a similarity of SIMILAR fewer agree
+    once in some thousand pairs)."""
+    drawn = reps.select("rep", "samples")
+    both = pairs.join(drawn.select(F.col("rep").alias("b"), F.col("samples").alias("sb")), "b").join(
+        drawn.select(F.col("rep").alias("a"), F.col("samples").alias("sa")), "a")
+    same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
+    return both.where(same >= AGREE).select("a", "b")
+
+
+def texts_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, text of the documents in ``pairs``, each text once."""
+    ids = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    bits = bitmap(ids, "doc_id")
+
+    def near(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(bits, batch.column(0).to_numpy())))
+
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = cut_lineage(d.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    some = d.where("doc_id is not null").mapInArrow(near, "doc_id bigint, text string")
+    return keep(some.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "texts")
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similar: float = SIMILAR) -> DataFrame:
+    """The pairs whose weighted Jaccard similarity reaches ``similar``: a, b, similarity."""
     both = (pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
             .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
             .select("a", "b", "text_a", "text_b"))
@@ -210,18 +236,21 @@ def classes(docs: DataFrame) -> DataFrame:
     idf = inverse_frequencies(docs)
     sigs = cut_lineage(signatures(docs, idf))
     known = sigs.where(F.col("doc_id").isNotNull() & F.col("sig").isNotNull())
-    reps = cut_lineage(known.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")))
+    reps = cut_lineage(known.groupBy("sig").agg(
+        F.min("doc_id").alias("rep"), F.any_value("samples").alias("samples"), F.any_value("bands").alias("bands")))
     keys = reps.select(F.explode("bands").alias("key"), "rep")
-    first_pairs = candidate_pairs(keys)
-    links = [cut_lineage(similar_pairs(first_pairs, docs, idf).select("a", "b"))]
+    pairs = cut_lineage(plausible(candidate_pairs(keys), reps))
+    texts = texts_of(pairs, docs)
+    links = cut_lineage(similar_pairs(pairs, texts, idf).select("a", "b"))
     # ids that carry several texts hold these together
     held = known.select("doc_id", "sig").distinct().join(reps.select("sig", "rep"), "sig").where("doc_id <> rep")
     held = held.join(held.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "doc_id").select(
         F.least("rep", "doc_id").alias("a"), F.greatest("rep", "doc_id").alias("b"))
-    found = components(reduce(DataFrame.unionByName, [*links, held]))
-    rest = _outside(keys, found)
-    links.append(cut_lineage(similar_pairs(candidate_pairs(rest), docs, idf).select("a", "b")))
-    found = components(reduce(DataFrame.unionByName, [*links, held]))
+    links = links.unionByName(held)
+    found = components(links)
+    again = cut_lineage(plausible(candidate_pairs(_outside(keys, found)), reps).join(pairs, ["a", "b"], "left_anti"))
+    more = cut_lineage(similar_pairs(again, texts_of(again, docs), idf).select("a", "b"))
+    found = components(links.unionByName(more))
     named = reps.select("sig", "rep").join(found, F.col("rep") == F.col("node"), "left").select(
         "sig", F.coalesce("label", "rep").alias("class_id"))
     out = sigs.select("doc_id", "sig").join(named, "sig", "left").select(
@@ -243,6 +272,6 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each class: that of the smallest id (rows without an id
     stay; of repeated rows of an id one stays). Columns are those of ``docs``."""
     gone = classes(docs).where(~F.col("is_first")).select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    return left.where(F.col("doc_id").isNull()).unionByName(
-        left.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]))
+    each = docs.withColumn("_one", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+    left = each.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return left.dropDuplicates(["doc_id", "_one"]).select(*docs.columns)

@@ -23,14 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.sizing import attach_one_row
-from ledgerline.llm.common import U, cut_lineage, hash_of, on_workers, spread, word_slices
+from ledgerline.llm.common import U, bitmap, cut_lineage, hash_of, in_bitmap, on_workers, spread, word_slices
 
 KINDS = ("email", "ip", "card", "phone", "term")
 SHOWN = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]")
 WINDOW = 8
 SUPPORT = 3
 ALPHA = 1.25
-BITMAP = 1 << 22
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -129,18 +128,13 @@ def find_entities(docs: DataFrame) -> DataFrame:
 def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, n): documents that hold each of the given terms, over all documents. A bitmap of
     fixed size saves most other words; the join keeps only the given terms."""
-    slot = F.pmod(F.col("term"), F.lit(BITMAP))
-    rows = terms.groupBy(F.floor(slot / 8).cast("int").alias("at")).agg(
-        F.bit_or(F.pow(F.lit(2), slot % 8).cast("int")).alias("bits")).toPandas()
-    bits = np.zeros(BITMAP // 8, np.uint8)
-    bits[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).astype(np.uint8)
+    bits = bitmap(terms, "term")
 
     def count(batches):
         for batch in batches:
             kept = [np.zeros(0, U)]
             for _, _, w in word_slices(batch.column(0)):
-                at = np.mod(w.hash.view(np.int64), BITMAP)
-                hit = np.flatnonzero((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+                hit = np.flatnonzero(in_bitmap(bits, w.hash))
                 doc = np.searchsorted(w.first, hit, side="right") - 1
                 order = np.lexsort((w.hash[hit], doc))
                 h, d = w.hash[hit][order], doc[order]
