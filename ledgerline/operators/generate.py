@@ -61,19 +61,13 @@ CONCEPTS = (
     ("Customer Discovery", "Customer Discovery"),
     ("Vanity Metrics", "Métriques actionnables"),
 )
-# Profile instructions added to the system prompt.
+# Instructions added to the system prompt for a known profile.
 PROFILE_INSTRUCTIONS = {
-    "entrepreneur": "L'interlocuteur est un entrepreneur. Concentre-toi sur des conseils actionnables, les étapes "
-                    "concrètes et les façons d'améliorer la situation. Sois constructif.",
-    "angel": "L'interlocuteur est un angel investor. Structure ta réponse autour de : qualité de l'équipe, taille du "
-             "marché, premiers signaux de traction, et risques de dilution. Sois direct sur le go/no-go.",
-    "vc": "L'interlocuteur est un venture capitalist. Il attend des métriques précises, une analyse des unit "
-          "economics, une évaluation de la scalabilité et du potentiel de sortie. Utilise le vocabulaire technique "
-          "approprié.",
-    "impact": "L'interlocuteur est un investisseur à impact. Évalue autant la théorie du changement et les métriques "
-              "d'impact que la viabilité financière. Les deux doivent être alignées.",
-    "both": "La réponse doit être utile à la fois pour un investisseur et pour l'entrepreneur. Structure-la en deux "
-            "parties si nécessaire.",
+    "entrepreneur": "Réponds à la personne qui dirige le projet : dis quoi faire ensuite, dans quel ordre.",
+    "angel": "Réponds à un business angel : équipe, marché, traction, dilution, puis un avis net.",
+    "vc": "Réponds à un fonds de capital-risque : chiffres, coût d'acquisition, croissance possible, sortie.",
+    "impact": "Réponds à un fonds à impact : effets attendus et solidité financière, à égalité.",
+    "both": "Réponds en deux temps : d'abord pour le financeur, ensuite pour la personne qui dirige le projet.",
 }
 SYSTEM_TEXT = "Tu es un analyste Lean Startup."
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.sizing import attach_one_row, bounded_broadcast
+from ledgerline.operators.ranking import _null_safe_join
 
 # Thresholds of the training and promotion rules.
 PERPLEXITY_MAX_LOSS = 10.0
@@ -39,7 +40,7 @@ def running_min(df: DataFrame, part: str, order: str, value: str, out: str) -> D
     prior = Window.partitionBy(part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carry = bucket_min.withColumn("_carry", F.min("_bm").over(prior)).drop("_bm")
     inner = Window.partitionBy(part, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return (b.join(carry, [part, "_b"])
+    return (_null_safe_join(b, carry, [part, "_b"])
             .withColumn(out, F.least(F.min(value).over(inner), F.coalesce("_carry", F.min(value).over(inner))))
             .drop("_b", "_carry"))
 

@@ -14,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.functions.sizing import attach_one_row, bounded_broadcast
+from ledgerline.functions.sizing import bounded_broadcast
+from ledgerline.operators.ranking import _null_safe_join
 
 SEED = 42
 BUCKET_HEX_DIGITS = 3  # 4,096 buckets per group
@@ -37,7 +38,7 @@ def global_positions(df: DataFrame, order_hash: str, id_col: str, group_cols=(),
     running = Window.orderBy(*groups, "_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(running), F.lit(0))).drop("_n")
     inner = Window.partitionBy(*groups, "_bucket").orderBy(order_hash, id_col)
-    return (b.join(bounded_broadcast(offsets), [*groups, "_bucket"])
+    return (_null_safe_join(b, bounded_broadcast(offsets), [*groups, "_bucket"])
             .withColumn(out, (F.col("_off") + F.row_number().over(inner) - 1).cast("bigint"))
             .drop("_bucket", "_off"))
 

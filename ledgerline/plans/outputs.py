@@ -195,20 +195,17 @@ def q_format_tool_calls(spark, sf_dir):
 
 
 @query("tool_result_payload", "F6", oracle=with_chain("risk_patterns") + """
-, top AS (SELECT category, id, pattern_name, criticality,
-                 row_number() OVER (PARTITION BY category ORDER BY id) AS rn FROM risk_patterns)
-SELECT category, '{"status":"success","row_count":' || count(*) || ',"execution_time_ms":8.4,"data":'
+, req AS (SELECT category, id // 20 AS request, id, pattern_name, criticality FROM risk_patterns)
+SELECT category, request, '{"status":"success","row_count":' || count(*) || ',"execution_time_ms":8.4,"data":'
   || CAST(to_json(list({'id': id, 'pattern_name': pattern_name, 'criticality': criticality} ORDER BY id)) AS VARCHAR) || '}' AS payload
-FROM top WHERE rn <= 3 GROUP BY category
+FROM req GROUP BY category, request
 """)
 def q_tool_result_payload(spark, sf_dir):
-    from pyspark.sql import Window
-    rp = adapter(spark, sf_dir, "risk_patterns")
-    w = Window.partitionBy("category").orderBy("id")
-    top = rp.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= 3)
+    # a request asks for the patterns of a category in a range of 20 ids, so payloads stay small
+    req = adapter(spark, sf_dir, "risk_patterns").withColumn("request", F.floor(F.col("id") / 20))
     rows = F.transform(F.array_sort(F.collect_list(F.struct("id", "pattern_name", "criticality"))),
                        lambda x: x)
-    return top.groupBy("category").agg(O.tool_result_payload(rows).alias("payload"))
+    return req.groupBy("category", "request").agg(O.tool_result_payload(rows).alias("payload"))
 
 
 @query("parameterised_query", "S8", oracle=with_chain("risk_patterns") + """

@@ -320,9 +320,11 @@ def q_render_chat_text(spark, sf_dir):
 
 
 @query("examples_roundtrip", "S3+S1", oracle=with_chain("example_meta", "example_messages").rstrip() + SPLIT_SQL + """
-SELECT s.example_id, s.split, m.category, m.label, coalesce(n.n, 0) AS n_messages
+SELECT s.example_id, s.split, m.category, m.label, coalesce(n.n, 0) AS n_messages,
+  sha256(coalesce(n.body, '')) AS messages_sha256
 FROM splits s JOIN example_meta m USING (example_id)
-LEFT JOIN (SELECT example_id, count(*) AS n FROM example_messages GROUP BY example_id) n USING (example_id)
+LEFT JOIN (SELECT example_id, count(*) AS n, string_agg(role || ':' || coalesce(content, ''), '|' ORDER BY turn) AS body
+           FROM example_messages GROUP BY example_id) n USING (example_id)
 """)
 def q_examples_roundtrip(spark, sf_dir):
     meta = adapter(spark, sf_dir, "example_meta")
@@ -330,11 +332,13 @@ def q_examples_roundtrip(spark, sf_dir):
     nested = Q.examples_nested(meta.join(split, "example_id"), adapter(spark, sf_dir, "example_messages"))
     path = J.scratch_path(spark, "examples")
     J.write_examples(nested, path)
-    back = spark.read.schema(J.EXAMPLE_SCHEMA.add("split", "string")).json(path)
-    return back.select(F.get_json_object("metadata", "$.example_id").cast("bigint").alias("example_id"), "split",
-                       F.get_json_object("metadata", "$.category").alias("category"),
-                       F.get_json_object("metadata", "$.label").alias("label"),
-                       F.size("messages").cast("bigint").alias("n_messages"))
+    back = J.read_examples(spark, path, partition_cols=("split",))
+    said = F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), F.coalesce(m["content"], F.lit(""))))
+    return back.select(F.col("example_id").cast("bigint").alias("example_id"), "split",
+                       F.get_json_object("metadata_json", "$.category").alias("category"),
+                       F.get_json_object("metadata_json", "$.label").alias("label"),
+                       F.size("messages").cast("bigint").alias("n_messages"),
+                       F.sha2(F.array_join(said, "|"), 256).alias("messages_sha256"))
 
 
 @query("training_text_roundtrip", "S4+S2", oracle=with_chain("example_meta", "example_messages").rstrip() + SPLIT_SQL + """
@@ -349,6 +353,6 @@ def q_training_text_roundtrip(spark, sf_dir):
     text = Q.render_chat_text(adapter(spark, sf_dir, "example_messages"))
     path = J.scratch_path(spark, "training-text")
     J.write_training_text(split.join(text, "example_id"), path)
-    back = spark.read.schema("text string, metadata string, split string").json(path)
+    back = J.read_training_text(spark, path)
     return back.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"),
                                      F.sum(F.length("text")).cast("bigint").alias("n_chars"))

@@ -95,12 +95,12 @@ from conversations c join example_meta m on m.example_id = c.conv_id
 """,
     "model_outputs": """
 select doc_id as output_id, case doc_id % 6
-  when 0 then substr(text, 1, 400)
-  when 1 then substr(text, 1, 60) || '<|tool_call_start|>[query_postgresql(sql="SELECT * FROM risk_patterns WHERE id = ' || cast(doc_id as string) || '")]<|tool_call_end|>'
-  when 2 then '<|tool_call_start|>{"name": "query_postgresql", "parameters": {"sql": "SELECT a FROM startups LIMIT 3"}}<|tool_call_end|>' || substr(text, 1, 60)
-  when 3 then '<|tool_call_start|>[query_postgresql(sql="DROP TABLE startups")]<|tool_call_end|>'
-  when 4 then '<|tool_call_start|>[drop_table(sql="SELECT 1")]<|tool_call_end|> and <|tool_call_start|>[query_postgresql(sql="SELECT b FROM startups")]<|tool_call_end|>'
-  else '<|tool_call_start|>[oops]<|tool_call_end|>' end as output
+  when 0 then text
+  when 1 then text || '<|tool_call_start|>[query_postgresql(sql="SELECT * FROM risk_patterns WHERE id = ' || cast(doc_id as string) || '")]<|tool_call_end|>'
+  when 2 then '<|tool_call_start|>{"name": "query_postgresql", "parameters": {"sql": "SELECT a FROM startups LIMIT 3"}}<|tool_call_end|>' || text
+  when 3 then text || '<|tool_call_start|>[query_postgresql(sql="DROP TABLE startups")]<|tool_call_end|>'
+  when 4 then text || '<|tool_call_start|>[drop_table(sql="SELECT 1")]<|tool_call_end|> and <|tool_call_start|>[query_postgresql(sql="SELECT b FROM startups")]<|tool_call_end|>'
+  else '<|tool_call_start|>[oops]<|tool_call_end|>' || text end as output
 from documents
 """,
     "metric_log": """

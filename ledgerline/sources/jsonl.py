@@ -29,20 +29,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/ledgerline-out/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def read_examples(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+def read_examples(spark: SparkSession, path: str, strict: bool = False, partition_cols=()) -> DataFrame:
     """S1: examples as ``(example_id, messages, metadata_json)``; bad lines dropped.
 
     Blank lines are skipped by the reader. In the lenient mode malformed lines land
     in ``_bad`` and are filtered out (count them with ``bad_lines``); ``strict`` fails
     on the first malformed line. A missing path raises ``AnalysisException``.
-    The id is the example's ``metadata.example_id`` when present.
+    The id is the text of the example's ``metadata.example_id``; an example without one
+    gets the SHA-1 of its content, so it keeps an id of its own on every read. Columns of
+    the folder names (``split=...``) come along when named in ``partition_cols``.
     """
     mode = "FAILFAST" if strict else "PERMISSIVE"
     raw = (spark.read.schema(EXAMPLE_SCHEMA).option("mode", mode)
            .option("columnNameOfCorruptRecord", "_bad").json(path))
     good = raw.where(F.col("_bad").isNull()).drop("_bad")
-    return good.select(F.get_json_object("metadata", "$.example_id").cast("bigint").alias("example_id"),
-                       "messages", F.col("metadata").alias("metadata_json"))
+    content = F.sha1(F.to_json(F.struct("messages", "metadata")))
+    return good.select(F.coalesce(F.get_json_object("metadata", "$.example_id"), content).alias("example_id"),
+                       "messages", F.col("metadata").alias("metadata_json"), *partition_cols)
 
 
 def bad_lines(spark: SparkSession, path: str) -> DataFrame:

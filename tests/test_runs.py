@@ -90,3 +90,10 @@ def test_answer_scores(spark):
     assert not s[2].tool_call_ok and not s[2].structure_ok and s[2].keyword_ratio == 0.0
     summ = R.score_summary(R.answer_scores(answers, cases)).first()
     assert (summ.tool_call_accuracy, summ.structure_score, summ.keyword_coverage) == (0.5, 0.5, 0.5)
+
+
+def test_running_min_keeps_null_steps_and_runs(spark):
+    rows = [(1, 5, 3.0), (1, None, 4.0), (None, 2, 1.0)]
+    df = spark.createDataFrame(rows, "run_id long, step long, value double")
+    got = {(r.run_id, r.step): r.best for r in R.running_min(df, "run_id", "step", "value", "best").collect()}
+    assert set(got) == {(1, 5), (1, None), (None, 2)} and got[(1, 5)] == 3.0 and got[(None, 2)] == 1.0

@@ -23,16 +23,26 @@ def test_read_examples_skips_blank_and_bad_lines(spark, scratch):
     with open(path, "w", encoding="utf-8") as f:
         f.write(json.dumps(good) + "\n\n{not json\n" + json.dumps({**good, "metadata": {"example_id": 8}}) + "\n")
     ex = J.read_examples(spark, path)
-    assert sorted(r.example_id for r in ex.collect()) == [7, 8]
+    assert sorted(r.example_id for r in ex.collect()) == ["7", "8"]
     assert J.bad_lines(spark, path).count() == 1
     facts = Q.example_facts(ex.select("example_id", "metadata_json"), J.examples_to_long(ex))
     errors = {(r.example_id, r.error) for r in Q.metadata_errors(facts).collect()}
-    assert (7, "invalid:Severity") in errors and (7, "missing:Severity") not in errors
-    assert (8, "missing:Label") in errors and (8, "invalid:Label") in errors
+    assert ("7", "invalid:Severity") in errors and ("7", "missing:Severity") not in errors
+    assert ("8", "missing:Label") in errors and ("8", "invalid:Label") in errors
     with pytest.raises(AnalysisException):
         J.read_examples(spark, os.path.join(scratch, "missing.jsonl")).count()
 
 
+def test_read_examples_with_text_ids_and_without_ids(spark, scratch):
+    path = os.path.join(scratch, "ids.jsonl")
+    rows = [{"messages": [], "metadata": {"example_id": "lean-00001"}}, {"messages": [], "metadata": {"category": "x"}}]
+    with open(path, "w", encoding="utf-8") as f:
+        f.writelines(json.dumps(r) + "\n" for r in rows)
+    first = sorted(r.example_id for r in J.read_examples(spark, path).collect())
+    assert len(set(first)) == 2 and "lean-00001" in first and None not in first
+    assert first == sorted(r.example_id for r in J.read_examples(spark, path).collect())
+
+
 def test_write_examples_keeps_nulls_and_splits(spark, scratch):
     nested = spark.createDataFrame(
         [(1, "train", None, [("user", "hi")]), (2, "val", "x", [("assistant", "yo")])],
