@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import bpe, decontam, langid, neardup, pii
-from ledgerline.llm.common import ensure_checkpoint_dir, table
+from ledgerline.llm.common import ensure_checkpoint_dir, fresh, table
 
 #: A document is rejected if no language holds this share of its words (or it has no letters).
 LEAST_SCORE = 0.35
@@ -23,11 +23,12 @@ LEAST_SCORE = 0.35
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go: no letters, or no language with LEAST_SCORE of it."""
     model = langid.fit(docs, ~langid.held_out())
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    gone = (langid.predict(keyed.select("_row", "text"), model, key="_row")
+    row, out = fresh("row", docs.columns), fresh("gone", docs.columns)
+    keyed = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    gone = (langid.predict(keyed.select(row, "text"), model, key=row)
             .where((F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < LEAST_SCORE))
-            .select(F.col("_row").alias("_gone")).distinct())
-    return keyed.join(gone, F.col("_row") == F.col("_gone"), "left_anti").select(*docs.columns)
+            .select(F.col(row).alias(out)).distinct())
+    return keyed.join(gone, F.col(row) == F.col(out), "left_anti").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,6 +54,14 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.hint("rebalance", *[F.col(k) for k in keys])
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name that ``columns`` doesn't have."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def id_crc(col: str = "doc_id") -> Column:
     """crc32 of the id as text (a null id counts as empty text)."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")))

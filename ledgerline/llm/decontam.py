@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.sizing import attach_one_row
-from ledgerline.llm.common import U, bitmap, cut_lineage, in_bitmap, on_workers, word_slices
+from ledgerline.llm.common import U, bitmap, cut_lineage, fresh, in_bitmap, on_workers, word_slices
 
 GRAM = 3
 RARE_BITS = 30.0
@@ -191,5 +191,6 @@ def contaminated(docs: DataFrame, items: DataFrame, score: float = SCORE) -> Dat
 
 def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the contaminated documents (rows without an id stay)."""
-    gone = contaminated(docs, items).select(F.col("doc_id").alias("_gone")).where("_gone is not null").distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    out = fresh("gone", docs.columns)
+    gone = contaminated(docs, items).where("doc_id is not null").select(F.col("doc_id").alias(out)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(out), "left_anti")

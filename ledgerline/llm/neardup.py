@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import U, bitmap, cut_lineage, in_bitmap, keep, mix, on_workers, word_slices
+from ledgerline.llm.common import U, bitmap, cut_lineage, fresh, in_bitmap, keep, mix, on_workers, word_slices
 from ledgerline.llm.components import components
 
 SHINGLE = 5
@@ -271,7 +271,8 @@ def _outside(keys: DataFrame, found: DataFrame) -> DataFrame:
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each class: that of the smallest id (rows without an id
     stay; of repeated rows of an id one stays). Columns are those of ``docs``."""
-    gone = classes(docs).where(~F.col("is_first")).select(F.col("doc_id").alias("_gone")).distinct()
-    each = docs.withColumn("_one", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
-    left = each.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    return left.dropDuplicates(["doc_id", "_one"]).select(*docs.columns)
+    one, out = fresh("one", docs.columns), fresh("gone", docs.columns)
+    gone = classes(docs).where(~F.col("is_first")).select(F.col("doc_id").alias(out)).distinct()
+    each = docs.withColumn(one, F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+    left = each.join(gone, F.col("doc_id") == F.col(out), "left_anti")
+    return left.dropDuplicates(["doc_id", one]).select(*docs.columns)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.sizing import attach_one_row
-from ledgerline.llm.common import U, bitmap, cut_lineage, hash_of, in_bitmap, on_workers, spread, word_slices
+from ledgerline.llm.common import U, bitmap, cut_lineage, fresh, hash_of, in_bitmap, on_workers, spread, word_slices
 
 KINDS = ("email", "ip", "card", "phone", "term")
 SHOWN = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]")
@@ -37,7 +37,7 @@ _IP = re.compile(r"(?<![0-9])([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 def luhn(digits: str) -> bool:
@@ -91,7 +91,7 @@ def surroundings(text: str, found: list[tuple[int, int, int]]):
             if len(right) == WINDOW:
                 break
         near = [p for p in left[-WINDOW:] + right if not any(a < p[1] and p[0] < b for a, b in spans)]
-        words = [text[a:b].lower() for a, b in near]
+        words = [text[a:b] for a, b in near]          # hashes don't tell A-Z from a-z
         hashes = hash_of(words + [f"{KINDS[kind]}:{text[s:e]}", f"near:{words}"]).view(np.int64).tolist()
         yield hashes[-2], hashes[-1], [{"term": h, "start": a, "end": b} for h, (a, b) in zip(hashes, near)]
 
@@ -212,15 +212,16 @@ def replace(text: str | None, found) -> str | None:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data generalised in ``text`` (and ``n_chars`` counted anew)."""
+    row, every = fresh("row", docs.columns), fresh("all", docs.columns)
     todo = spans(docs).where(F.size("all") > 0).select(
-        F.col("row").alias("_row"), F.col("all").alias("_all")).dropDuplicates(["_row"])
+        F.col("row").alias(row), F.col("all").alias(every)).dropDuplicates([row])
 
     @F.arrow_udf("string")
     def cleaned(text: pa.Array, found: pa.Array) -> pa.Array:
         return pa.array([replace(t, f) for t, f in zip(text.to_pylist(), found.to_pylist())], pa.string())
 
-    out = docs.join(todo, F.xxhash64(docs["doc_id"], docs["text"]) == F.col("_row"), "left")
-    out = out.withColumn("text", F.when(F.col("_all").isNotNull(), cleaned("text", "_all")).otherwise(F.col("text")))
+    out = docs.join(todo, F.xxhash64(docs["doc_id"], docs["text"]) == F.col(row), "left")
+    out = out.withColumn("text", F.when(F.col(every).isNotNull(), cleaned("text", every)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType),
                                                    F.col("n_chars")))
