@@ -122,9 +122,9 @@ def bitmap(df: DataFrame, col: str) -> np.ndarray:
     an exact join. At most BITMAP / 8 small rows reach the driver, whatever the column holds."""
     slot = F.pmod(F.col(col), F.lit(BITMAP))
     rows = df.groupBy(F.floor(slot / 8).cast("int").alias("at")).agg(
-        F.bit_or(F.pow(F.lit(2), slot % 8).cast("int")).alias("bits")).toPandas()
+        F.bit_or(F.pow(F.lit(2), slot % 8).cast("int")).alias("bits")).toArrow()
     out = np.zeros(BITMAP // 8, np.uint8)
-    out[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).astype(np.uint8)
+    out[rows["at"].to_numpy()] = rows["bits"].to_numpy().astype(np.uint8)
     return out
 
 

@@ -112,15 +112,12 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
                                          ["feature", "n"])
 
     got = (docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "feature bigint, n bigint")
-           .groupBy("feature").agg(F.sum("n").alias("n")).toPandas())
-    df, total = np.ones(FEATURES), 1
-    for f, n in zip(got["feature"].to_numpy(), got["n"].to_numpy()):
-        if f < 0:
-            total = max(int(n), 2)
-        else:
-            df[f] = n
-    df = np.minimum(df, total)
-    return (1 + IDF * np.log(total / df) / np.log(max(total, 2))).astype(np.float32)
+           .groupBy("feature").agg(F.sum("n").alias("n")).toArrow())
+    at, n = got["feature"].to_numpy(), got["n"].to_numpy()
+    total = max(int(n[at < 0].sum()), 2)          # slot -1 holds the number of documents
+    df = np.ones(FEATURES)
+    df[at[at >= 0]] = n[at >= 0]
+    return (1 + IDF * np.log(total / np.minimum(df, total)) / np.log(total)).astype(np.float32)
 
 
 def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
