@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,19 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.hint("rebalance", *[F.col(k) for k in keys])
 
 
+@contextmanager
+def short_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for the actions inside; the session's own setting
+    holds again after them. For rows of several whole texts each."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, own)
+
+
 def fresh(name: str, columns: list[str]) -> str:
     """A column name that ``columns`` doesn't have."""
     taken = {c.lower() for c in columns}

@@ -27,10 +27,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import U, bitmap, cut_lineage, fresh, in_bitmap, keep, mix, on_workers, word_slices
+from ledgerline.llm.common import (U, bitmap, cut_lineage, fresh, in_bitmap, keep, mix, on_workers, short_batches,
+                                   slices, word_slices)
 from ledgerline.llm.components import components
 
 SHINGLE = 5
@@ -42,6 +44,7 @@ BAND = (0, 1, 4, 9, 11)      # its differences are all distinct modulo 24
 SMALL = 10
 PIVOTS = 3
 AGREE = 12                   # of SAMPLES
+PAIRS = 256                  # of whole texts in one Arrow batch
 _BITS = 44                   # of a shingle's hash
 
 _rng = np.random.default_rng(2010)
@@ -200,8 +203,9 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similar:
 
     def compare(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 128):
-                part = batch.slice(lo, 128)
+            size = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy() for c in (2, 3))
+            for lo, hi in slices(np.concatenate(([0], np.cumsum(size, dtype=np.int64)))):
+                part = batch.slice(lo, hi - lo)
                 got = []
                 for c in (2, 3):
                     ks, ws, at = [], [], 0
@@ -238,7 +242,8 @@ def classes(docs: DataFrame) -> DataFrame:
     keys = reps.select(F.explode("bands").alias("key"), "rep")
     pairs = cut_lineage(plausible(candidate_pairs(keys), reps))
     texts = texts_of(pairs, docs)
-    links = cut_lineage(similar_pairs(pairs, texts, idf).select("a", "b"))
+    with short_batches(docs.sparkSession, PAIRS):
+        links = cut_lineage(similar_pairs(pairs, texts, idf).select("a", "b"))
     # ids that carry several texts hold these together
     held = known.select("doc_id", "sig").distinct().join(reps.select("sig", "rep"), "sig").where("doc_id <> rep")
     held = held.join(held.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "doc_id").select(
@@ -246,7 +251,9 @@ def classes(docs: DataFrame) -> DataFrame:
     links = links.unionByName(held)
     found = components(links)
     again = cut_lineage(plausible(candidate_pairs(_outside(keys, found)), reps).join(pairs, ["a", "b"], "left_anti"))
-    more = cut_lineage(similar_pairs(again, texts_of(again, docs), idf).select("a", "b"))
+    texts = texts_of(again, docs)
+    with short_batches(docs.sparkSession, PAIRS):
+        more = cut_lineage(similar_pairs(again, texts, idf).select("a", "b"))
     found = components(links.unionByName(more))
     named = reps.select("sig", "rep").join(found, F.col("rep") == F.col("node"), "left").select(
         "sig", F.coalesce("label", "rep").alias("class_id"))
