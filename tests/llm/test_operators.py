@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from ledgerline.llm import bpe, chat, components, decontam, langid, licences, lm, neardup, pii, secrets, topk
-from ledgerline.llm.common import Words, hash_of, text_bytes, word_slices
+from ledgerline.llm.common import NOT_SPACE, Words, hash_of, text_bytes, word_slices
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, _row string"
@@ -128,6 +128,27 @@ def test_near_duplicate_classes(spark, rng):
     assert neardup.classes(docs.limit(0)).count() == 0
 
 
+def test_near_duplicate_ids_with_null_texts_and_long_pairs(spark, rng):
+    long = " ".join(f"w{rng.randrange(50_000)}" for _ in range(20_000))
+    docs = spark.createDataFrame([(1, long), (1, None), (2, long + " more"), (3, "a few other words of no copy"), (4, "")],
+                                 "doc_id long, text string")
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {(r.doc_id, r.class_id) for r in neardup.classes(docs).collect()}
+    assert got == {(1, 1), (2, 1), (3, 3), (4, 4)}
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == batch
+
+
+def test_long_texts_are_encoded_in_parts(monkeypatch):
+    with open(WORD_BPE, encoding="utf-8") as f:
+        sub = lm.Subwords(f.read())
+    texts = ["", "One two, it's three <|endoftext|> four\u0301 \u03a3\u03c2\n five", "x"]
+    whole = [sub.bpe.encode(t.lower()) + sub.end.to_bytes(4, "little") for t in texts]
+    monkeypatch.setattr(lm, "PART", 2)
+    (_, _, w), = word_slices(pa.array(texts), NOT_SPACE)
+    assert [sub.of(w, i) for i in range(3)] == whole
+
+
+
 # --- 3 -------------------------------------------------------------------------------------
 def test_top_k_matches_brute_force(spark):
     r = np.random.default_rng(4)
