@@ -1,8 +1,8 @@
 """Closed vocabularies and declaration-order ranks.
 
 The knowledge tables store enums; ``ORDER BY`` on them follows declaration order,
-not text order. ``enum_rank`` turns a string column into that order (1-based,
-0 for a value outside the domain, NULL for NULL).
+not text order. ``enum_rank`` turns a string column into that order (1-based; NULL for
+NULL and for a value outside the domain, which sorts last: use ``asc_nulls_last``).
 """
 
 from __future__ import annotations
@@ -29,10 +29,10 @@ IMPLICIT_DIFFICULTIES = ("Implicite", "Ambigu", "Mixte")
 
 def enum_rank(col: Column | str, domain: tuple[str, ...]) -> Column:
     c = F.col(col) if isinstance(col, str) else col
-    return F.array_position(F.array(*[F.lit(v) for v in domain]), c).cast("int")
+    return F.nullif(F.array_position(F.array(*[F.lit(v) for v in domain]), c).cast("int"), F.lit(0))
 
 
 def sql_enum_rank(expr: str, domain: tuple[str, ...]) -> str:
-    """Same rank as SQL text (used by oracles): ``CASE expr WHEN .. THEN i .. ELSE 0 END``."""
+    """Same rank as SQL text (used by oracles): ``CASE expr WHEN .. THEN i .. END``."""
     whens = " ".join(f"WHEN '{v}' THEN {i}" for i, v in enumerate(domain, 1))
-    return f"(CASE WHEN {expr} IS NULL THEN NULL ELSE (CASE {expr} {whens} ELSE 0 END) END)"
+    return f"(CASE {expr} {whens} END)"

@@ -38,7 +38,7 @@ def wildcard_match(col: str, value) -> Column:
 
 def risk_order(df: DataFrame) -> list[Column]:
     """Criticality rank, sector-specific before universal, then id."""
-    return [enum_rank("criticality", CRITICALITIES).asc(),
+    return [enum_rank("criticality", CRITICALITIES).asc_nulls_last(),
             F.col("sector").isNull().cast("int").asc(), F.col("id").asc()]
 
 
@@ -214,8 +214,10 @@ def criteria_for_requests(requests: DataFrame, criteria: DataFrame) -> DataFrame
     """Per (investor_profile, stage) request: criteria ids in weight order, count, found flag."""
     ranked = criteria.withColumn("weight_rank", enum_rank("weight", CRITERION_WEIGHTS))
     per_key = (ranked.groupBy("investor_profile", "stage")
-               .agg(F.array_sort(F.collect_list(F.struct("weight_rank", "id", "criterion_name", "weight")))
-                    .alias("criteria")))
+               .agg(F.array_sort(F.collect_list(F.struct(
+                   F.col("weight_rank").isNull().alias("unknown"), "weight_rank", "id", "criterion_name", "weight")))
+                    .alias("criteria"))
+               .withColumn("criteria", F.transform("criteria", lambda c: c.dropFields("unknown"))))
     out = requests.select("investor_profile", "stage").join(bounded_broadcast(per_key),
                                                            ["investor_profile", "stage"], "left")
     n = F.coalesce(F.size("criteria"), F.lit(0))
@@ -389,7 +391,7 @@ def top_risks_per_startup(startups: DataFrame, risks: DataFrame, k: int = 5,
     r = risks.where(F.col("criticality") == criticality) if criticality else risks
     per_seg = segment_risks(startups, r)
     w = Window.partitionBy("sector", "stage").orderBy(
-        enum_rank("criticality", CRITICALITIES), F.col("r_sector").isNull().cast("int"), F.col("id"))
+        enum_rank("criticality", CRITICALITIES).asc_nulls_last(), F.col("r_sector").isNull().cast("int"), F.col("id"))
     top = (per_seg.withColumn("risk_rank", F.row_number().over(w)).where(F.col("risk_rank") <= k)
            .select("sector", "stage", F.col("id").alias("risk_id"), "criticality", "risk_rank"))
     return startups.select(F.col("id").alias("startup_id"), "sector", "stage").join(
@@ -490,5 +492,5 @@ def priority_sort(df: DataFrame) -> DataFrame:
                      ("stage", STAGES), ("investor_profile", INVESTOR_PROFILES), ("outcome", OUTCOMES)):
         if col in df.columns:
             df = df.withColumn(f"{col}_rank", enum_rank(col, dom))
-            ranks.append(F.col(f"{col}_rank"))
+            ranks.append(F.col(f"{col}_rank").asc_nulls_last())
     return df.orderBy(*ranks, F.col("id"))

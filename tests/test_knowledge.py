@@ -94,6 +94,12 @@ def test_outcome_enum_order(spark):
     assert got == ["ongoing", "acquired", "pivot", "failure", "success"]
 
 
+def test_unknown_enum_values_sort_last(spark):
+    df = spark.createDataFrame([(1, "blocker"), (2, "low"), (3, None), (4, "critical")], "id int, criticality string")
+    got = [(r.id, r.criticality_rank) for r in K.priority_sort(df).collect()]
+    assert got == [(4, 1), (2, 4), (1, None), (3, None)]
+
+
 def _brute_mentions(terms, concepts):
     out = {}
     for t in terms:
