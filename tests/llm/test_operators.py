@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -298,6 +299,41 @@ def test_language_model_base_and_windows(spark, rng):
     assert lm.score_documents(docs_of(spark, []), WORD_BPE).count() == 0
 
 
+def test_language_model_learns_from_whole_texts(spark, rng):
+    """What follows the first 1,500 characters of the training texts is learned too."""
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
+    learn = [i for i in range(400) if zlib.crc32(str(i).encode()) % 10][:40]
+    texts = [(i, prose(rng, 300) + " one two three" * 200) for i in learn]
+    assert all(t.index(" one two") > 1500 for _, t in texts)
+    texts += [(held[0], " one two three" * 60), (held[1], " three two one" * 60)]
+    got = {r.doc_id: r for r in lm.score_documents(docs_of(spark, texts), WORD_BPE).collect()}
+    assert abs(got[held[0]].base_score - got[held[1]].base_score) < 1e-6
+    assert got[held[0]].score > got[held[1]].score + 30
+
+
+def test_training_blocks_hold_every_place_once(spark, rng, monkeypatch):
+    monkeypatch.setattr(lm, "PIECE", 2)
+    monkeypatch.setattr(lm, "BLOCK", 5)
+    with open(WORD_BPE, encoding="utf-8") as f:
+        spec = f.read()
+    texts = [(i, prose(rng, 1 + 23 * i)) for i in range(12)] + [(20, None), (21, ""), (3, prose(rng, 70))]
+    scorer = lm.Scorer(spec, np.ones(lm.Subwords(spec).size, np.int64))
+
+    def places(ids, first, lead=None):
+        """Each place in use with its context class and its window's earlier classes."""
+        _, cls, slot, target, use = scorer.batches(ids, first, lead)
+        return Counter((tuple(cls[i, :j + 1]), int(slot[i, j]), int(target[i, j])) for i, j in zip(*np.nonzero(use)))
+
+    want = Counter()
+    for _, t in texts:
+        for _, _, w in word_slices(pa.array([t or ""]), NOT_SPACE):
+            want += places(*scorer.sequences(w))
+    rows = lm.training_blocks(docs_of(spark, texts), spec).collect()
+    got = sum((places(np.frombuffer(r.ids, "<u4").astype(np.int64), np.cumsum([0, *r["size"]]), np.array(r.lead))
+               for r in rows), Counter())
+    assert got == want and len(rows) > 3 and any(x for r in rows for x in r.lead)
+
+
 def test_attention_gradients_and_probabilities():
     r = np.random.default_rng(0)
     net = lm.Attention(2 * lm.MEMBERS)
