@@ -11,8 +11,10 @@
 3. Documents with the same shingles and weights are one class at once. The representatives
    that share a band key are compared: all pairs of a key with at most ``SMALL`` of them, else
    each with the most popular member (the least edited one shares the most keys) of each of
-   ``PIVOTS`` parts. A second round repeats this among those left outside the pivots' classes.
-   Pairs that agree in fewer than ``AGREE`` samples are left out.
+   ``PIVOTS`` parts. Rounds of one member of each class and large key follow while they halve
+   these members; then every pair of a large key whose members are still in different classes is
+   compared, so the pivots only save pairs that the classes already hold together. Pairs that agree in
+   fewer than ``AGREE`` samples are left out.
 4. A pair is a link if its weighted Jaccard similarity, from the whole texts, is ``SIMILAR`` or
    more; classes are the connected components, named after their smallest id.
 
@@ -43,6 +45,7 @@ SAMPLES = 24
 BAND = (0, 1, 4, 9, 11)      # its differences are all distinct modulo 24
 SMALL = 10
 PIVOTS = 3
+TASK_ROWS = 1000             # members of a large key in one part of the last comparison
 AGREE = 12                   # of SAMPLES
 PAIRS = 256                  # of whole texts in one Arrow batch
 _BITS = 44                   # of a shingle's hash
@@ -241,35 +244,78 @@ def classes(docs: DataFrame) -> DataFrame:
         F.min("doc_id").alias("rep"), F.any_value("samples").alias("samples"), F.any_value("bands").alias("bands")))
     keys = reps.select(F.explode("bands").alias("key"), "rep")
     pairs = cut_lineage(plausible(candidate_pairs(keys), reps))
-    texts = texts_of(pairs, docs)
-    with short_batches(docs.sparkSession, PAIRS):
-        links = cut_lineage(similar_pairs(pairs, texts, idf).select("a", "b"))
+    links = _links(pairs, docs, idf)
     # ids that carry several texts hold these together
     held = known.select("doc_id", "sig").distinct().join(reps.select("sig", "rep"), "sig").where("doc_id <> rep")
     held = held.join(held.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "doc_id").select(
         F.least("rep", "doc_id").alias("a"), F.greatest("rep", "doc_id").alias("b"))
-    links = links.unionByName(held)
-    found = components(links)
-    again = cut_lineage(plausible(candidate_pairs(_outside(keys, found)), reps).join(pairs, ["a", "b"], "left_anti"))
-    texts = texts_of(again, docs)
-    with short_batches(docs.sparkSession, PAIRS):
-        more = cut_lineage(similar_pairs(again, texts, idf).select("a", "b"))
-    found = components(links.unionByName(more))
-    named = reps.select("sig", "rep").join(found, F.col("rep") == F.col("node"), "left").select(
-        "sig", F.coalesce("label", "rep").alias("class_id"))
+    found = _merged(reps.select("rep", F.col("rep").alias("label")).distinct(), links.unionByName(held))
+    done, before = pairs, None
+    while True:
+        outside = cut_lineage(_outside(keys, found))
+        members = outside.count()
+        if not members or before is not None and members > before / 2:
+            break
+        before = members
+        again = cut_lineage(plausible(candidate_pairs(outside), reps).join(done, ["a", "b"], "left_anti"))
+        done, more = done.unionByName(again), _links(again, docs, idf)
+        if more.isEmpty():
+            break
+        found = _merged(found, more)
+    rest = cut_lineage(plausible(unresolved_pairs(keys, found), reps).join(done, ["a", "b"], "left_anti"))
+    more = _links(rest, docs, idf)
+    if not more.isEmpty():
+        found = _merged(found, more)
+    named = reps.select("sig", "rep").join(found, "rep").select("sig", F.col("label").alias("class_id"))
     out = sigs.select("doc_id", "sig").join(named, "sig", "left").select(
         "doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
     return out.withColumn("is_first", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
 
+def _links(pairs: DataFrame, docs: DataFrame, idf: np.ndarray) -> DataFrame:
+    texts = texts_of(pairs, docs)
+    with short_batches(docs.sparkSession, PAIRS):
+        return cut_lineage(similar_pairs(pairs, texts, idf).select("a", "b"))
+
+
+def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """(rep, label) of all representatives after the classes of linked ones become one."""
+    of = lambda c: found.select(F.col("rep").alias(c), F.col("label").alias(f"label_{c}"))
+    both = links.join(of("a"), "a").join(of("b"), "b").where("label_a <> label_b").select(
+        F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+    up = components(both).select(F.col("node").alias("label"), F.col("label").alias("least"))
+    return cut_lineage(found.join(up, "label", "left").select("rep", F.coalesce("least", "label").alias("label")))
+
+
+def _large(keys: DataFrame, found: DataFrame) -> DataFrame:
+    """key, rep, n, label of the members of large keys."""
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SMALL)
+    return keys.join(sizes, "key").join(found, "rep").select("key", "rep", "n", "label")
+
+
 def _outside(keys: DataFrame, found: DataFrame) -> DataFrame:
     """Rows of large keys that hold several classes: one member of each class, the one that
     its class has in the key with the smallest hash, so that other members meet each time."""
-    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SMALL).select("key")
-    big = keys.join(sizes, "key").join(found, F.col("rep") == F.col("node"), "left").select(
-        "key", "rep", F.coalesce("label", "rep").alias("label"))
-    return big.groupBy("key", "label").agg(F.min(F.struct(F.xxhash64("key", "rep"), "rep"))["rep"].alias("rep")).select(
-        "key", "rep")
+    return _large(keys, found).groupBy("key", "label").agg(
+        F.min(F.struct(F.xxhash64("key", "rep"), "rep"))["rep"].alias("rep")).select("key", "rep")
+
+
+def unresolved_pairs(keys: DataFrame, found: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b, of all pairs of a large key whose members are in different classes.
+    Members outside the key's largest class meet all others; parts of at most about TASK_ROWS
+    members keep a key from being one task."""
+    big = _large(keys, found)
+    main = (big.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("key")
+            .agg(F.max(F.struct("m", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("labels"))
+            .where("labels > 1").select("key", "main"))
+    parts = F.ceil(F.col("n") / TASK_ROWS).cast("int")
+    rows = cut_lineage(big.join(main, "key").withColumn("parts", parts))
+    out = rows.where("label <> main").select(
+        "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("rep").alias("x"),
+        F.col("label").alias("label_x"))
+    every = rows.select("key", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), "rep", "label", "main")
+    return out.join(every, ["key", "part"]).where("label <> label_x and (label = main or x < rep)").select(
+        F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:

@@ -129,6 +129,29 @@ def test_near_duplicate_classes(spark, rng):
     assert neardup.classes(docs.limit(0)).count() == 0
 
 
+def test_large_keys_lose_no_pairs(spark, monkeypatch):
+    """Drifting edits under one key: a document's only partners are members that are no pivots."""
+    signatures = neardup.signatures
+    monkeypatch.setattr(neardup, "signatures", lambda *a: signatures(*a).withColumn(
+        "bands", F.array(F.lit(1).cast("bigint"))))
+    r = random.Random(8)
+    texts = []
+    for g in range(3):
+        words = [f"g{g}w{r.randrange(10_000)}" for _ in range(300)]
+        for i in range(16):
+            texts.append((1000 * g + i, " ".join(words)))
+            for k in r.sample(range(300), 4):
+                words[k] = f"g{g}e{r.randrange(10_000)}"
+    r.shuffle(texts)
+    docs = docs_of(spark, [(7 * i % 3001, t) for i, t in texts])
+    named = {}
+    for small in (10 ** 6, 2):                 # all pairs of the key, then pivots first
+        monkeypatch.setattr(neardup, "SMALL", small)
+        monkeypatch.setattr(neardup, "TASK_ROWS", 3, raising=False)
+        named[small] = {(x.doc_id, x.class_id) for x in neardup.classes(docs).collect()}
+    assert named[2] == named[10 ** 6] and len({c for _, c in named[2]}) == 3
+
+
 def test_near_duplicate_ids_with_null_texts_and_long_pairs(spark, rng):
     long = " ".join(f"w{rng.randrange(50_000)}" for _ in range(20_000))
     docs = spark.createDataFrame([(1, long), (1, None), (2, long + " more"), (3, "a few other words of no copy"), (4, "")],
