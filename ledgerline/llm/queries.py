@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import bpe, chat, decontam, langid, licences, lm, neardup, pii, secrets, topk
+from ledgerline.llm import bpe, chat, decontam, langid, licences, lm, neardup, periodic, pieces, pii, secrets, topk, trie
 from ledgerline.llm.common import table
 
 
@@ -60,6 +60,19 @@ def op10_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_of_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_time_forward_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie_of_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op12_aligned_sentencepiece(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    return pieces.digests(pieces.encode_documents(table(spark, sf_dir, "documents"),
+                                                  path or public_tokenizers.path("piece_bpe_32k.model")))
+
+
+def op13_link_cut_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.runs_of_documents(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -75,6 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_disclosing_terms": op6_disclosing_terms,
     "op9_segment_tree_bpe": op9_segment_tree_bpe,
     "op10_crf_language_id": op10_crf_language_id,
+    "op11_time_forward_trie": op11_time_forward_trie,
+    "op12_aligned_sentencepiece": op12_aligned_sentencepiece,
+    "op13_link_cut_runs": op13_link_cut_runs,
     "pipeline": pipeline,
 }
 
