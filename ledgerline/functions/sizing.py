@@ -1,54 +1,10 @@
-"""Size checks in front of broadcast hints.
-
-A broadcast hint skips Spark's own size estimate, so we only give it after counting
-the side; above the bound the plan stays a shuffle join, which AQE may still turn
-into a broadcast at runtime or split when a key is skewed.
-"""
+"""One-row aggregates next to every row of a table, without a join."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Bounds for shipping a side to every executor (reference tables, per-segment top-k
-# lists, rule tables). Both must hold: rows, and bytes measured as the JSON text of
-# the rows (an over-estimate of the in-memory broadcast relation).
-DEFAULT_BROADCAST_ROWS = 2_000_000
-DEFAULT_BROADCAST_BYTES = 128 * 1024 * 1024
-
-
-_PERSISTED: list[DataFrame] = []
-
-
-def release_broadcast_sides() -> int:
-    """Unpersist the small sides kept by ``bounded_broadcast`` (call after the actions
-    that use them; a later re-run recomputes them from lineage). Returns how many."""
-    n = len(_PERSISTED)
-    while _PERSISTED:
-        _PERSISTED.pop().unpersist()
-    return n
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
-                      max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
-    """``broadcast(df)`` when ``df`` is proven small (rows and bytes), else ``df`` unchanged.
-
-    The side is persisted while it is measured, so the check and the broadcast share
-    one computation (lost blocks are recomputed from lineage). The measurement reads at
-    most ``max_rows + 1`` rows. A side over either bound is released again and stays a
-    shuffle join, where AQE may still broadcast it at runtime or split skewed partitions.
-    """
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    _PERSISTED.append(kept)
-    width = F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))) if df.columns else F.lit(0)
-    n, size = kept.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
-    if n <= max_rows and size <= max_bytes:
-        return F.broadcast(kept)
-    _PERSISTED.remove(kept)
-    kept.unpersist()
-    return df
-
 
 def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Append the columns of a global aggregate (exactly one row) to every row of ``df``.

@@ -2,21 +2,25 @@
 
 One example per input id. Every random draw is a uniform number taken from
 ``sha1("<seed>:<field>:<id>")``, so the result is reproducible and independent of
-partitioning and retries. Category quotas follow the example's position in id
-order (computed with bucketed offsets, no single-task window). Dimension picks
-index small broadcast arrays; the second risk of a danger example is offset from
-the first, so the two are always distinct.
+partitioning and retries. Category quotas follow the example's position in id order.
+
+All wording comes from input tables (``Catalogues``): what risks, strengths, concepts and
+criteria say, the contexts of a question, and for each branch (category and label) its prompts,
+evidence, answer and SQL with ``{field}`` places. A pick from a catalogue is a place in it, drawn
+per example, and an equi-join on the place; several distinct rows of one catalogue are drawn as
+offsets from the first, so there is no window over examples and a catalogue may be of any size.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.sizing import attach_one_row
 from ledgerline.operators.outputs import format_tool_call, tool_result_payload
+from ledgerline.operators.ranking import running_sum
 from ledgerline.operators.splits import positions_by_order
 
 SEED = 42
@@ -38,43 +42,36 @@ SECTORS = ("SaaS B2B", "Marketplace", "Fintech", "Healthtech", "Edtech", "Agrite
 STAGES = ("Idéation", "Pre-Seed", "Seed", "Series A", "Post-Pivot")
 INVESTOR_PROFILES = ("angel", "vc", "impact", "strategic", "entrepreneur")
 REGIONS = ("France", "Afrique subsaharienne", "Maroc", "USA", "Europe", "Asie du Sud-Est")
-# Risk signals (name, principle, severity, slug), strengths and concepts (name, principle).
-RISK_SIGNALS = (
-    ("CAC supérieur à la LTV", "Unit economics avant croissance", "Fatal", "unit_economics"),
-    ("Rétention faible", "Build-Measure-Learn", "Majeur", "retention"),
-    ("TAM trop petit", "Validation du marché", "Majeur", "market_size"),
-    ("Solution avant problème", "Customer Discovery", "Majeur", "customer_discovery"),
-    ("Vanity metrics", "Métriques actionnables", "Mineur", "vanity_metrics"),
-    ("Dépendance client", "Réduction du risque systémique", "Majeur", "customer_concentration"),
-    ("Burn rate non maîtrisé", "Runway avant scale", "Fatal", "burn_rate"),
-)
-GREEN_SIGNALS = (
-    ("Canal organique défendable", "Moteur de croissance"),
-    ("Painkiller mesurable", "Problem-Solution Fit"),
-    ("Cycle d'itération court", "Build-Measure-Learn"),
-    ("Expansion nette positive", "Validation par usage répété"),
-)
-CONCEPTS = (
-    ("MVP", "Build-Measure-Learn"),
-    ("Product-Market Fit", "Validation du marché"),
-    ("Pivot", "Apprentissage validé"),
-    ("Customer Discovery", "Customer Discovery"),
-    ("Vanity Metrics", "Métriques actionnables"),
-)
-# Instructions added to the system prompt for a known profile.
-PROFILE_INSTRUCTIONS = {
-    "entrepreneur": "Réponds à la personne qui dirige le projet : dis quoi faire ensuite, dans quel ordre.",
-    "angel": "Réponds à un business angel : équipe, marché, traction, dilution, puis un avis net.",
-    "vc": "Réponds à un fonds de capital-risque : chiffres, coût d'acquisition, croissance possible, sortie.",
-    "impact": "Réponds à un fonds à impact : effets attendus et solidité financière, à égalité.",
-    "both": "Réponds en deux temps : d'abord pour le financeur, ensuite pour la personne qui dirige le projet.",
-}
-SYSTEM_TEXT = "Tu es un analyste Lean Startup."
-
-
-def uniform(field: str, id_col: str = "id", seed: int = SEED) -> Column:
+LABELS_OF_DANGERS = ("Red Flag", "Mixed")
+RED_SHARE_HARD = 0.75          # of the dangers in the hard set
+
+
+@dataclass(frozen=True)
+class Catalogues:
+    """Input tables of the generator; ``id`` orders each one, so that a drawn place means the
+    same row on every run.
+
+    ``risks(id, name, principle, severity, slug, explicit, implicit, why)``,
+    ``strengths(id, name, principle, evidence, why)``, ``concepts(id, name, principle, simple_def,
+    analogy)``, ``criteria(id, criterion_name, weight, simple_rule)``, ``contexts(id, context)``,
+    ``branches(category, label, implicit_for, evidence, users, answer, sql, system_plain,
+    system_tools)``: ``users`` holds the forms of the question and ``implicit_for`` the
+    difficulties that state a risk implicitly, both joined by ``#``; in the texts ``{field}`` is
+    replaced, ``{risk.mode}`` by the implicit or explicit statement.
+    """
+
+    risks: DataFrame
+    strengths: DataFrame
+    concepts: DataFrame
+    criteria: DataFrame
+    contexts: DataFrame
+    branches: DataFrame
+
+
+def uniform(field: str, id_col: str = "id", seed: int | Column = SEED) -> Column:
     """Uniform draw in [0, 1) from the first 32 bits of ``sha1("seed:field:id")``."""
-    h = F.sha1(F.concat(F.lit(f"{seed}:{field}:"), F.col(id_col).cast("string")))
+    seed = seed if isinstance(seed, Column) else F.lit(seed)
+    h = F.sha1(F.concat(seed.cast("string"), F.lit(f":{field}:"), F.col(id_col).cast("string")))
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
@@ -102,10 +99,11 @@ def slug(c: Column) -> Column:
 
 
 def category_quotas(ids: DataFrame, id_col: str = "id") -> DataFrame:
-    """G1: category by position in id order: 32 % / 25 % / 28 % (floors), rest to the last."""
-    pos = positions_by_order(ids.select(id_col), [id_col])
-    n = ids.agg(F.count(F.lit(1)).alias("_n"))
-    j = attach_one_row(pos, n)
+    """G1: category by position in id order: 32 % / 25 % / 28 % (floors), rest to the last.
+
+    Ids with a ``hard`` column make two sets (plain and hard) with quotas of their own."""
+    sets = ["hard"] if "hard" in ids.columns else []
+    j = running_sum(ids.select(id_col, *sets), sets, [id_col], F.lit(1), "pos", total="_n")
     out = F.lit(LAST_CATEGORY)
     edge = F.lit(0).cast("bigint")
     edges = []
@@ -114,143 +112,183 @@ def category_quotas(ids: DataFrame, id_col: str = "id") -> DataFrame:
         edges.append((name, edge))
     for name, e in reversed(edges):
         out = F.when(F.col("pos") < e, F.lit(name)).otherwise(out)
-    return j.select(id_col, "pos", out.alias("category"), F.col("_n").alias("n_total"))
+    return j.select(id_col, *sets, "pos", out.alias("category"), F.col("_n").alias("n_total"))
+
 
+def _seed() -> Column:
+    return F.when(F.col("hard"), HARD_SEED).otherwise(SEED)
 
-def draws(quotas: DataFrame, id_col: str = "id", hard: bool = False) -> DataFrame:
-    """G2: tool flag, label and difficulty draws (hard-set weights when ``hard``)."""
-    seed = HARD_SEED if hard else SEED
-    lw = LABEL_WEIGHTS_HARD if hard else LABEL_WEIGHTS
-    dw = DIFFICULTY_WEIGHTS_HARD if hard else DIFFICULTY_WEIGHTS
-    return quotas.select(
+
+def draws(quotas: DataFrame, id_col: str = "id") -> DataFrame:
+    """G2: tool flag, label and difficulty draws (weights of the hard set where ``hard``)."""
+    q = quotas if "hard" in quotas.columns else quotas.withColumn("hard", F.lit(False))
+    label, difficulty = uniform("label", id_col, _seed()), uniform("difficulty", id_col, _seed())
+    out = q.select(
         "*",
-        (uniform("tool", id_col, seed) < TOOL_USE_RATIO).alias("has_tool_use"),
-        weighted_choice(uniform("label", id_col, seed), LABELS, lw).alias("drawn_label"),
-        weighted_choice(uniform("difficulty", id_col, seed), DIFFICULTIES, dw).alias("drawn_difficulty"))
+        (uniform("tool", id_col, _seed()) < TOOL_USE_RATIO).alias("has_tool_use"),
+        F.when(F.col("hard"), weighted_choice(label, LABELS, LABEL_WEIGHTS_HARD))
+        .otherwise(weighted_choice(label, LABELS, LABEL_WEIGHTS)).alias("drawn_label"),
+        F.when(F.col("hard"), weighted_choice(difficulty, DIFFICULTIES, DIFFICULTY_WEIGHTS_HARD))
+        .otherwise(weighted_choice(difficulty, DIFFICULTIES, DIFFICULTY_WEIGHTS)).alias("drawn_difficulty"))
+    return out if "hard" in quotas.columns else out.drop("hard")
+
+
+def drawn_rows(examples: DataFrame, catalogue: DataFrame, field: str, names: list[str], id_col: str = "id") -> DataFrame:
+    """Adds a struct column for each of the one or two ``names``: rows of ``catalogue`` (all its
+    columns), drawn per example by ``field`` and ``field2``. The second one's place is the first
+    one's plus 1 + an offset below n - 1, so the two are distinct (unless the catalogue has a single
+    row). An empty catalogue gives NULLs."""
+    place = positions_by_order(catalogue, ["id"], out="_place")
+    rows = place.select("_place", F.struct(*catalogue.columns).alias("_row"))
+    n = catalogue.agg(F.count(F.lit(1)).alias("n")).scalar()
+    first = F.floor(uniform(field, id_col, _seed()) * n).cast("bigint")
+    offset = F.floor(uniform(f"{field}2", id_col, _seed()) * F.greatest(n - 1, F.lit(1))).cast("bigint")
+    places = [first, F.pmod(first + 1 + offset, F.greatest(n, F.lit(1)))]
+    out = examples
+    for name, at in zip(names, places, strict=False):
+        out = (out.withColumn("_place", at).join(rows.withColumnRenamed("_row", name), "_place", "left").drop("_place"))
+    return out
+
 
+def _fields(g: DataFrame) -> Column:
+    """What ``{field}`` may name, as a map."""
+    named = {"idx": F.col("pos"), "sector": F.col("sector_pick"), "stage": F.col("stage_pick"), "region": F.col("region_pick"),
+             "profile": F.col("profile_pick"), "sector_slug": slug(F.col("sector_pick")), "stage_slug": slug(F.col("stage_pick")),
+             "label": F.col("label"), "severity": F.col("severity"), "difficulty": F.col("difficulty"), "principle": F.col("lean_principle"),
+             "context": F.col("context.context")}
+    for struct, columns in (("risk", ("name", "principle", "severity", "slug", "explicit", "implicit", "why")),
+                            ("risk2", ("name", "principle", "severity", "slug", "explicit", "implicit", "why")),
+                            ("strength", ("name", "principle", "evidence", "why")),
+                            ("concept", ("name", "principle", "simple_def", "analogy"))):
+        named |= {f"{struct}.{c}": F.col(f"{struct}.{c}") for c in columns}
+    return F.create_map(*[x for k, v in named.items() for x in (F.lit(k), F.coalesce(v.cast("string"), F.lit("")))])
 
-def _catalogue(rows, names) -> Column:
-    return F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(r, names)]) for r in rows])
 
+def fill(template: Column, fields: Column) -> Column:
+    """``template`` with every ``{field}`` replaced (an unknown field by nothing); what is put in
+    is not looked at again."""
+    parts = F.split(template, r"[{}]", -1)
+    return F.array_join(F.transform(parts, lambda x, i: F.when(
+        i % 2 == 1, F.coalesce(F.try_element_at(fields, x), F.lit(""))).otherwise(x)), "")
 
-def generate_examples(ids: DataFrame, id_col: str = "id", hard: bool = False):
+
+def generate_examples(ids: DataFrame, catalogues: Catalogues, id_col: str = "id", hard: bool = False):
     """G3-G7: one example per id. Returns ``(meta, messages)`` in the working form
-    ``meta(example_id, ...)`` and ``messages(example_id, turn, role, content)``."""
-    seed = HARD_SEED if hard else SEED
-    base = draws(category_quotas(ids, id_col), id_col, hard)
-    u = {f: uniform(f, id_col, seed) for f in ("sector", "stage", "region", "profile", "risk", "risk2",
-                                               "strength", "concept", "mixed", "simple_difficulty")}
-    risks = _catalogue(RISK_SIGNALS, ("name", "principle", "severity", "slug"))
-    greens = _catalogue(GREEN_SIGNALS, ("name", "principle"))
-    concepts = _catalogue(CONCEPTS, ("name", "principle"))
-    n_r = len(RISK_SIGNALS)
-    r1 = F.floor(u["risk"] * n_r).cast("int")
-    r2 = F.pmod(r1 + 1 + F.floor(u["risk2"] * (n_r - 1)).cast("int"), F.lit(n_r))
-    cat, lab, diff = F.col("category"), F.col("drawn_label"), F.col("drawn_difficulty")
+    ``meta(example_id, ...)`` and ``messages(example_id, turn, role, content)``.
+
+    ``hard`` (or a boolean column of that name) chooses the hard evaluation set; its examples
+    count from 0 as well, so a frame with both sets carries ``hard_eval`` beside ``example_id``
+    in both tables.
+    """
+    both = ids if "hard" in ids.columns else ids.withColumn("hard", F.lit(hard))
+    base = draws(category_quotas(both, id_col), id_col)
+    u = lambda field: uniform(field, id_col, _seed())
     g = base.select(
-        "*", pick(SECTORS, u["sector"]).alias("sector_pick"), pick(STAGES, u["stage"]).alias("stage_pick"),
-        pick(REGIONS, u["region"]).alias("region_pick"), pick(INVESTOR_PROFILES, u["profile"]).alias("profile_pick"),
-        F.element_at(risks, r1 + 1).alias("risk"), F.element_at(risks, r2 + 1).alias("risk_b"),
-        F.element_at(greens, F.floor(u["strength"] * len(GREEN_SIGNALS)).cast("int") + 1).alias("strength"),
-        F.element_at(concepts, F.floor(u["concept"] * len(CONCEPTS)).cast("int") + 1).alias("concept"),
-        u["mixed"].alias("_u_mixed"), u["simple_difficulty"].alias("_u_sd"))
-    is_diag_like = cat.isin("diagnostic_complet", "evaluation_investissement")
-    label = (F.when(is_diag_like, lab)
-             .when(cat == "identification_des_dangers",
-                   F.when(F.lit(not hard) | (F.col("_u_mixed") < 0.75), "Red Flag").otherwise("Mixed"))
-             .otherwise("Green Flag"))
-    difficulty = F.when(cat == LAST_CATEGORY, F.when(F.lit(not hard) | (F.col("_u_sd") < 0.5), "Explicite")
-                        .otherwise("Implicite")).otherwise(diff)
-    severity = (F.when(cat == "identification_des_dangers",
-                       F.when((F.col("risk.severity") == "Fatal") | (F.col("risk_b.severity") == "Fatal"), "Fatal")
-                       .otherwise("Majeur"))
-                .when(cat == LAST_CATEGORY, "Non applicable")
-                .when(F.col("label") == "Green Flag", "Non applicable").otherwise(F.col("risk.severity")))
-    principle = (F.when(cat == LAST_CATEGORY, F.col("concept.principle"))
-                 .when(cat == "identification_des_dangers", F.col("risk.principle"))
-                 .when(F.col("label") == "Green Flag", F.col("strength.principle")).otherwise(F.col("risk.principle")))
-    has_segment = cat.isin("diagnostic_complet", "evaluation_investissement")
+        "*", pick(SECTORS, u("sector")).alias("sector_pick"), pick(STAGES, u("stage")).alias("stage_pick"),
+        pick(REGIONS, u("region")).alias("region_pick"), pick(INVESTOR_PROFILES, u("profile")).alias("profile_pick"),
+        u("mixed").alias("_u_mixed"), u("simple_difficulty").alias("_u_sd"), u("form").alias("_u_form"))
+    g = drawn_rows(g, catalogues.risks, "risk", ["risk", "risk2"], id_col)
+    g = drawn_rows(g, catalogues.strengths, "strength", ["strength"], id_col)
+    g = drawn_rows(g, catalogues.concepts, "concept", ["concept"], id_col)
+    g = drawn_rows(g, catalogues.criteria, "criterion", ["criterion", "criterion2"], id_col)
+    g = drawn_rows(g, catalogues.contexts, "context", ["context"], id_col)
+    cat, is_hard = F.col("category"), F.col("hard")
+    danger, simple = cat == "identification_des_dangers", cat == LAST_CATEGORY
+    label = (F.when(danger, F.when(~is_hard | (F.col("_u_mixed") < RED_SHARE_HARD), LABELS_OF_DANGERS[0]).otherwise(LABELS_OF_DANGERS[1]))
+             .when(simple, "Green Flag").otherwise(F.col("drawn_label")))
+    difficulty = F.when(simple, F.when(~is_hard | (F.col("_u_sd") < 0.5), "Explicite").otherwise("Implicite")).otherwise(F.col("drawn_difficulty"))
+    fatal = (F.col("risk.severity") == "Fatal") | (F.col("risk2.severity") == "Fatal")
+    severity = (F.when(danger, F.when(fatal, "Fatal").otherwise("Majeur"))
+                .when(simple | (F.col("label") == "Green Flag"), "Non applicable").otherwise(F.col("risk.severity")))
+    principle = (F.when(simple, F.col("concept.principle"))
+                 .when(~danger & (F.col("label") == "Green Flag"), F.col("strength.principle")).otherwise(F.col("risk.principle")))
     g = (g.withColumn("label", label).withColumn("difficulty", difficulty)
          .withColumn("severity", severity).withColumn("lean_principle", principle))
+    has_segment = ~danger & ~simple
+    key = [F.col("pos").alias("example_id"), is_hard.alias("hard_eval")]
     meta = g.select(
-        F.col("pos").alias("example_id"), F.format_string("lean-%05d", F.col("pos")).alias("example_key"),
+        *key, F.format_string("lean-%05d", F.col("pos")).alias("example_key"),
         "category", F.col("label").alias("Label"), F.col("severity").alias("Severity"),
         F.col("difficulty").alias("Difficulty"),
-        F.when(cat == LAST_CATEGORY, F.lit("universal")).otherwise(F.col("sector_pick")).alias("sector"),
+        F.when(simple, F.lit("universal")).otherwise(F.col("sector_pick")).alias("sector"),
         F.when(has_segment, F.col("stage_pick")).otherwise(F.lit("non applicable")).alias("stage"),
         F.when(has_segment, F.col("region_pick")).otherwise(F.lit("non applicable")).alias("region"),
-        F.col("profile_pick").alias("investor_profile"), "has_tool_use", "lean_principle",
-        F.lit(hard).alias("hard_eval"))
-    return meta, _messages(g)
-
-
-def _messages(g: DataFrame) -> DataFrame:
-    cat = F.col("category")
-    subject = (F.when(cat == LAST_CATEGORY, F.col("concept.name"))
-               .when(cat == "identification_des_dangers",
-                     F.concat_ws(" et ", F.col("risk.name"), F.col("risk_b.name")))
-               .when(F.col("label") == "Green Flag", F.col("strength.name")).otherwise(F.col("risk.name")))
-    user = F.format_string("Cas %d (%s): startup %s en %s, basée en %s. Sujet: %s. Je suis %s.",
-                           F.col("pos"), cat, F.col("sector_pick"), F.col("stage_pick"), F.col("region_pick"),
-                           subject, F.col("profile_pick"))
-    answer = F.format_string("Label: %s\nSeverity: %s\nDifficulty: %s\nAnalyse: %s. Principe Lean Startup: %s.",
-                             F.col("label"), F.col("severity"), F.col("difficulty"), subject, F.col("lean_principle"))
-    sql = F.format_string("SELECT pattern_name, criticality FROM risk_patterns WHERE sector = '%s' LIMIT 3",
-                          slug(F.col("sector_pick")))
-    rows = F.array(F.struct(F.col("risk.name").alias("pattern_name"), F.col("severity").alias("criticality")))
+        F.col("profile_pick").alias("investor_profile"), "has_tool_use", "lean_principle")
+    return meta, _messages(g, catalogues.branches)
+
+
+def _messages(g: DataFrame, branches: DataFrame) -> DataFrame:
+    """The turns of every example: system, question, with tools the call and its result, answer."""
+    told = g.withColumn("_fields", _fields(g)).join(branches, ["category", "label"])
+    mode = F.when(F.array_contains(F.split("implicit_for", "#"), F.col("difficulty")), "implicit").otherwise("explicit")
+    forms = F.split("users", "#")
+    form = F.element_at(forms, (F.floor(F.col("_u_form") * F.size(forms)) + 1).cast("int"))
+    moded = lambda t: F.regexp_replace(t, r"\.mode\}", F.concat(F.lit("."), mode, F.lit("}")))
+    whole = lambda t: fill(moded(F.replace(t, F.lit("{evidence}"), F.col("evidence"))), F.col("_fields"))
+    danger, simple, invest = (F.col("category") == c for c in ("identification_des_dangers", LAST_CATEGORY, "evaluation_investissement"))
+    risk_line = lambda r, severity: F.struct(
+        F.col(f"{r}.name").alias("pattern_name"), severity.alias("criticality"), F.col(f"{r}.why").alias("simple_explain"),
+        F.col(f"{r}.principle").alias("lean_principle"))
+    criterion_line = lambda c, weight: F.struct(
+        F.col(f"{c}.criterion_name").alias("criterion_name"), weight.alias("weight"), F.col(f"{c}.simple_rule").alias("simple_rule"))
+    concept_line = F.struct(F.col("concept.name").alias("concept_name"), F.col("concept.simple_def").alias("simple_def"),
+                            F.col("concept.analogy").alias("analogy"), F.col("lean_principle").alias("lean_principle"))
+    case_line = F.struct(F.col("risk.name").alias("pattern_name"), F.col("severity").alias("criticality"),
+                         F.col("risk.why").alias("simple_explain"), F.col("lean_principle").alias("lean_principle"))
+    result = (F.when(danger, tool_result_payload(F.array(risk_line("risk", F.col("risk.severity")), risk_line("risk2", F.col("risk2.severity")))))
+              .when(invest, tool_result_payload(F.array(
+                  criterion_line("criterion", F.when(F.col("severity") == "Fatal", "critical").otherwise(F.col("criterion.weight"))),
+                  criterion_line("criterion2", F.col("criterion2.weight")))))
+              .when(simple, tool_result_payload(F.array(concept_line)))
+              .otherwise(tool_result_payload(F.array(case_line))))
+    turn = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    tools = F.col("has_tool_use")
     turns = F.array(
-        F.struct(F.lit("system").alias("role"), F.lit(SYSTEM_TEXT).alias("content")),
-        F.struct(F.lit("user").alias("role"), user.alias("content")),
-        F.when(F.col("has_tool_use"), F.struct(F.lit("assistant").alias("role"), format_tool_call(sql).alias("content"))),
-        F.when(F.col("has_tool_use"), F.struct(F.lit("tool").alias("role"), tool_result_payload(rows).alias("content"))),
-        F.struct(F.lit("assistant").alias("role"), answer.alias("content")))
-    kept = F.filter(turns, lambda t: t.isNotNull())
-    return (g.select(F.col("pos").alias("example_id"), F.posexplode(kept).alias("turn", "m"))
-            .select("example_id", F.col("turn").cast("bigint").alias("turn"), "m.role", "m.content"))
+        turn("system", F.when(tools, F.col("system_tools")).otherwise(F.col("system_plain"))), turn("user", whole(form)),
+        F.when(tools, turn("assistant", format_tool_call(whole(F.col("sql"))))), F.when(tools, turn("tool", result)),
+        turn("assistant", whole(F.col("answer"))))
+    return (told.select(F.col("pos").alias("example_id"), F.col("hard").alias("hard_eval"), F.posexplode(F.array_compact(turns)).alias("turn", "m"))
+            .select("example_id", "hard_eval", F.col("turn").cast("bigint").alias("turn"), "m.role", "m.content"))
 
 
-def prompt_batches(requests: DataFrame, system_text: str = SYSTEM_TEXT) -> DataFrame:
-    """``messages`` = system (+ profile instruction), history, user text.
+def prompt_batches(requests: DataFrame, instructions: DataFrame, system_text: str) -> DataFrame:
+    """``messages`` = system (+ the profile's instruction), history, user text.
 
     ``requests``: ``(request_id, investor_profile, history ARRAY<STRUCT<role, content>>, user_text)``;
-    an unknown profile adds no instruction.
+    ``instructions``: ``(investor_profile, instruction)``, one row for each known profile. An unknown
+    profile adds no instruction.
     """
-    keys = list(PROFILE_INSTRUCTIONS)
-    lookup = F.create_map(*[x for k in keys for x in (F.lit(k), F.lit(PROFILE_INSTRUCTIONS[k]))])
-    instr = F.element_at(lookup, F.col("investor_profile"))
-    system = F.when(instr.isNotNull(), F.concat(F.lit(system_text + "\n\n"), instr)).otherwise(F.lit(system_text))
+    told = requests.join(instructions.select("investor_profile", F.col("instruction").alias("_instr")), "investor_profile", "left")
+    system = F.concat(F.lit(system_text), F.when(F.col("_instr").isNotNull(), F.concat(F.lit("\n\n"), "_instr")).otherwise(F.lit("")))
     msg_t = "struct<role:string,content:string>"
     first = F.array(F.struct(F.lit("system").alias("role"), system.alias("content"))).cast(f"array<{msg_t}>")
     last = F.array(F.struct(F.lit("user").alias("role"), F.col("user_text").alias("content"))).cast(f"array<{msg_t}>")
     hist = F.coalesce(F.col("history").cast(f"array<{msg_t}>"), F.array().cast(f"array<{msg_t}>"))
-    return requests.withColumn("messages", F.concat(first, hist, last))
+    return told.withColumn("messages", F.concat(first, hist, last)).drop("_instr")
 
 
-def build_dataset(ids: DataFrame, hard_ids: DataFrame, out_root: str, id_col: str = "id") -> DataFrame:
-    """G7 end to end: generate, split 80/10/10, write the canonical set, the splits, the
-    hard evaluation set and their training text; returns rows written per output.
+def build_dataset(ids: DataFrame, hard_ids: DataFrame, catalogues: Catalogues, out_root: str, id_col: str = "id") -> str:
+    """G7 end to end: the plain set split 80/10/10 and the hard evaluation set, generated as one
+    frame and written once per format: ``<out_root>/examples`` and ``<out_root>/training_text``,
+    JSON lines in one folder per split (``train``, ``val``, ``test``, ``hard_eval``).
 
-    The generated examples feed several outputs, so they are checkpointed once into
-    the cluster's checkpoint folder (lineage cut, survives lost executors).
+    The examples feed two outputs and the split, so metadata and messages are checkpointed once
+    into the cluster's checkpoint folder (lineage cut, survives lost executors). Returns ``out_root``.
     """
     from ledgerline.operators import quality as Q
     from ledgerline.operators.splits import stratified_split
     from ledgerline.session import cut_lineage
     from ledgerline.sources import jsonl as J
 
-    meta, msgs = generate_examples(ids, id_col)
+    both = ids.select(id_col, F.lit(False).alias("hard")).unionByName(hard_ids.select(id_col, F.lit(True).alias("hard")))
+    meta, msgs = generate_examples(both, catalogues, id_col)
     meta, msgs = cut_lineage(meta), cut_lineage(msgs)
-    split = stratified_split(Q.normalise_metadata(meta)).select("example_id", "split")
-    nested = Q.examples_nested(meta.join(split, "example_id"), msgs)
-    J.write_examples(nested.drop("split"), f"{out_root}/full", split_col=None)
-    J.write_examples(nested, f"{out_root}/splits")
-    text = Q.render_chat_text(msgs).join(meta.join(split, "example_id"), "example_id")
-    J.write_training_text(text, f"{out_root}/liquid")
-
-    hard_meta, hard_msgs = generate_examples(hard_ids, id_col, hard=True)
-    hard_nested = Q.examples_nested(hard_meta, hard_msgs).withColumn("split", F.lit("hard_eval"))
-    J.write_examples(hard_nested, f"{out_root}/hard")
-    spark = ids.sparkSession
-    written = spark.read.schema("split string").json(f"{out_root}/splits").unionByName(
-        spark.read.schema("split string").json(f"{out_root}/hard"))
-    return written.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
+    plain = meta.where("not hard_eval")
+    split = stratified_split(Q.normalise_metadata(plain)).select("example_id", "split")
+    split = (split.select("example_id", F.lit(False).alias("hard_eval"), "split")
+             .unionByName(meta.where("hard_eval").select("example_id", "hard_eval", F.lit("hard_eval").alias("split"))))
+    keys = ["example_id", "hard_eval"]
+    labelled = meta.join(split, keys)
+    J.write_examples(Q.examples_nested(labelled, msgs, keys), f"{out_root}/examples")
+    J.write_training_text(labelled.join(Q.render_chat_text(msgs, keys), keys), f"{out_root}/training_text")
+    return out_root

@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from ledgerline.functions.enums import (
     CRITERION_WEIGHTS, CRITICALITIES, INVESTOR_PROFILES, OUTCOMES, STAGES, enum_rank,
 )
-from ledgerline.functions.sizing import attach_one_row, bounded_broadcast
+from ledgerline.operators.ranking import _null_safe_join, positions_within
+from ledgerline.session import cut_lineage
 
+# Columns of the risk listing.
 RISK_COLUMNS = ("id", "pattern_name", "sector", "stage", "criticality", "category",
                 "simple_explain", "warning_signals", "mitigation_simple",
                 "impact_on_runway", "time_to_impact")
@@ -92,6 +94,7 @@ def critical_risks(risks: DataFrame) -> DataFrame:
 
 
 # --- P4 --------------------------------------------------------------------
+# Columns of the benchmark listing.
 BENCHMARK_COLUMNS = ("sector", "stage", "metric_name", "value_median", "value_good",
                      "value_excellent", "value_warning", "unit", "context",
                      "interpretation_good", "interpretation_bad")
@@ -110,7 +113,6 @@ def benchmarks_for_requests(requests: DataFrame, benchmarks: DataFrame,
     ctx = benchmarks_with_context(benchmarks)
     if metric_name:
         ctx = ctx.where(F.col("metric_name") == metric_name)
-    ctx = bounded_broadcast(ctx)
     joined = requests.select("sector", "stage").join(ctx, ["sector", "stage"], "left")
     w = Window.partitionBy("sector", "stage")
     n = F.count("metric_name").over(w)
@@ -126,33 +128,39 @@ def concept_lookup(concepts: DataFrame, term: str) -> DataFrame:
 
 
 MAX_GRAM = 3
+#: Postings of a frequent gram are dealt into parts of about this many.
+POSTINGS_PER_PART = 100_000
 
 
 def _grams(text: Column, n: Column | int) -> Column:
-    """Distinct substrings of length ``n`` of ``text`` (empty when shorter)."""
+    """``(gram, pos)`` of every substring of length ``n`` of ``text`` (empty when shorter)."""
     n = n if isinstance(n, Column) else F.lit(n)
-    return F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(0))),
-        lambda i: F.substring(text, i, n)))
+    places = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.struct(F.substring(text, i, n).alias("gram"), i.alias("pos")))
 
 
-def gram_index(concepts: DataFrame) -> DataFrame:
-    """``(gram, id)`` for every distinct 1-, 2- and 3-gram of each lower-cased name."""
+def gram_postings(concepts: DataFrame) -> DataFrame:
+    """``(gram, id, pos)`` for every place of every 1-, 2- and 3-gram of the lower-cased names."""
     low = F.lower("concept_name")
-    grams = F.array_distinct(F.flatten(F.array(*[_grams(low, n) for n in range(1, MAX_GRAM + 1)])))
-    return concepts.select("id", F.explode(F.filter(grams, lambda g: g != "")).alias("gram"))
+    grams = F.flatten(F.array(*[_grams(low, n) for n in range(1, MAX_GRAM + 1)]))
+    return concepts.select("id", F.explode(grams).alias("g")).select("g.gram", "id", "g.pos")
 
 
 def concept_mentions(requests: DataFrame, concepts: DataFrame, term_col: str = "term") -> DataFrame:
     """Batch P5: for each request term, the first matching concept (or none).
 
-    Alias match: exact equi-join on exploded aliases. Name match: the lower-cased
-    name is ``LIKE '%' || lower(term) || '%'`` (wildcards in the term keep their
-    meaning; for a plain term this is ``contains``). It runs as an exact n-gram
-    join: names are indexed by their 1-3-grams; each term probes with the rarest
-    gram of its longest literal piece (every matching name holds that gram), and
-    candidates are verified. A term made of wildcards only matches every name of at
-    least as many characters as it has ``_``; that case reads a per-length table.
+    Alias match: exact equi-join on exploded aliases. Name match: the lower-cased name is
+    ``LIKE '%' || lower(term) || '%'`` (wildcards in the term keep their meaning; for a plain
+    term this is ``contains``), found in positional gram postings that are built once:
+
+    * a plain term of up to three characters is a gram itself; the gram table knows its
+      lowest id, so no postings are read;
+    * any other term takes the two rarest grams of its longest literal piece. Their postings,
+      salted into parts by id where a gram is frequent, must agree on where the piece would
+      start; only such (term, id) pairs meet the names, and are verified there;
+    * a term of wildcards only matches every name of at least as many characters as it has
+      ``_``; that case reads a per-length table.
+
     Only equi-joins, no nested loop.
     """
     terms = requests.select(F.col(term_col).alias("term")).where(F.col("term").isNotNull()).distinct()
@@ -162,21 +170,37 @@ def concept_mentions(requests: DataFrame, concepts: DataFrame, term_col: str = "
     lt = F.lower("term")
     pieces = F.filter(F.split(lt, "[%_]+"), lambda x: x != "")
     longest = F.try_element_at(F.array_sort(pieces, lambda a, b: F.length(b) - F.length(a)), F.lit(1))
-    t = terms.withColumn("_probe", F.coalesce(longest, F.lit(""))) \
-        .withColumn("_wild", F.col("term").rlike("[%_]"))
-    probed = t.where(F.col("_probe") != "")
-    index = gram_index(concepts)
-    freq = index.groupBy("gram").agg(F.count(F.lit(1)).alias("_df"))
-    probes = probed.select("term", "_wild", F.explode(
-        _grams(F.col("_probe"), F.least(F.length("_probe"), F.lit(MAX_GRAM)))).alias("gram"))
-    best = (probes.join(freq, "gram", "left").groupBy("term", "_wild")
-            .agg(F.min_by("gram", F.coalesce("_df", F.lit(0))).alias("gram"),
-                 F.min(F.coalesce("_df", F.lit(0))).alias("_min_df"))
-            .where(F.col("_min_df") > 0))
+    t = (terms.withColumn("_probe", F.coalesce(longest, F.lit("")))
+         .withColumn("_wild", F.col("term").rlike("[%_]")))
+    postings = cut_lineage(gram_postings(concepts))
+    grams = postings.groupBy("gram").agg(
+        F.count(F.lit(1)).alias("_df"), F.min("id").alias("_first"),
+        F.ceil(F.count(F.lit(1)) / F.lit(POSTINGS_PER_PART)).cast("int").alias("_parts"))
+
+    short = (F.col("_probe") != "") & ~F.col("_wild") & (F.length("_probe") <= MAX_GRAM)
+    by_gram = (t.where(short).select("term", F.col("_probe").alias("gram"))
+               .join(grams, "gram").select("term", F.col("_first").alias("id")))
+
+    # the two rarest grams of each other piece; one that no name holds rules the term out
+    probes = t.where((F.col("_probe") != "") & ~short).select(
+        "term", "_wild", F.explode(_grams(F.col("_probe"), F.least(F.length("_probe"), F.lit(MAX_GRAM)))).alias("g")
+    ).select("term", "_wild", "g.gram", F.col("g.pos").alias("_off"))
+    rarest = (probes.join(grams, "gram", "left").groupBy("term", "_wild")
+              .agg(F.bool_and(F.col("_df").isNotNull()).alias("_known"),
+                   F.slice(F.array_sort(F.collect_list(F.struct("_df", "_off", "gram", "_parts"))), 1, 2).alias("_two"))
+              .where("_known").withColumn("_need", F.size("_two"))
+              .select("term", "_wild", "_need", F.explode("_two").alias("g"))
+              .select("term", "_wild", "_need", "g.gram", F.col("g._off").alias("_off"), F.col("g._parts").alias("_parts")))
+    salted = (postings.join(rarest.select("gram", "_parts").distinct(), "gram")
+              .withColumn("_part", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int")))
+    asked = rarest.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    agreed = (asked.join(salted.select("gram", "_part", "id", "pos"), ["gram", "_part"])
+              .groupBy("term", "_wild", "_need", "id", (F.col("pos") - F.col("_off")).alias("_start"))
+              .agg(F.count(F.lit(1)).alias("_n")).where("_n = _need").select("term", "_wild", "id").distinct())
     names = concepts.select("id", F.lower("concept_name").alias("_lname"))
     verify = F.when(F.col("_wild"), F.expr("_lname LIKE concat('%', lower(term), '%')")) \
         .otherwise(F.col("_lname").contains(F.lower("term")))
-    by_name = best.join(index, "gram").join(names, "id").where(verify).select("term", "id")
+    by_name = agreed.join(names, "id").where(verify).select("term", "id")
 
     # Wildcard-only (or empty) terms: the first concept among names with length >= #'_'.
     by_len = names.groupBy(F.length("_lname").alias("_len")).agg(F.min("id").alias("_mid"))
@@ -188,7 +212,7 @@ def concept_mentions(requests: DataFrame, concepts: DataFrame, term_col: str = "
                  .where(F.col("_k") <= F.coalesce(max_len, F.lit(-1))))
     by_wild = only_wild.join(suffix_min, "_k").select("term", "id")
 
-    hits = by_name.unionByName(by_wild).unionByName(by_alias)
+    hits = by_gram.unionByName(by_name).unionByName(by_wild).unionByName(by_alias)
     first = hits.groupBy("term").agg(F.min("id").alias("id"))
     return (terms.join(first, "term", "left")
             .join(concepts, "id", "left")
@@ -211,16 +235,21 @@ def investment_criteria_filter(criteria: DataFrame, profile: str, stage: str,
 
 
 def criteria_for_requests(requests: DataFrame, criteria: DataFrame) -> DataFrame:
-    """Per (investor_profile, stage) request: criteria ids in weight order, count, found flag."""
-    ranked = criteria.withColumn("weight_rank", enum_rank("weight", CRITERION_WEIGHTS))
-    per_key = (ranked.groupBy("investor_profile", "stage")
-               .agg(F.array_sort(F.collect_list(F.struct(
-                   F.col("weight_rank").isNull().alias("unknown"), "weight_rank", "id", "criterion_name", "weight")))
-                    .alias("criteria"))
-               .withColumn("criteria", F.transform("criteria", lambda c: c.dropFields("unknown"))))
-    out = requests.select("investor_profile", "stage").join(bounded_broadcast(per_key),
-                                                           ["investor_profile", "stage"], "left")
-    n = F.coalesce(F.size("criteria"), F.lit(0))
+    """Per (investor_profile, stage) request: a row for each criterion with its place
+    (``criterion_rank`` from 1, by weight, unknown weights last, then id), their count and a
+    found flag. A request without criteria keeps one row with NULLs and ``found = false``.
+
+    Places come from block scans, so a profile that holds a third of the criteria is neither
+    sorted in one task nor gathered into one row.
+    """
+    keys = ["investor_profile", "stage"]
+    ranked = criteria.withColumn("weight_rank", enum_rank("weight", CRITERION_WEIGHTS)) \
+        .withColumn("_unknown", F.col("weight_rank").isNull())
+    placed = positions_within(ranked, keys, ["_unknown", "weight_rank", "id"], out="_pos")
+    counts = criteria.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"))
+    out = (requests.select(*keys).distinct().join(counts, keys, "left")
+           .join(placed.select(*keys, (F.col("_pos") + 1).alias("criterion_rank"), "id", "criterion_name", "weight"), keys, "left"))
+    n = F.coalesce("count", F.lit(0).cast("bigint"))
     return out.withColumn("count", n).withColumn("found", n > 0)
 
 
@@ -229,6 +258,7 @@ def concept_cards(requests: DataFrame, concepts: DataFrame) -> DataFrame:
     """Per request (term, detail_level): found flag, definition by level, fallback sentence."""
     hits = concept_mentions(requests.select("term"), concepts)
     tech = F.col("technical_def") if "technical_def" in concepts.columns else F.lit(None).cast("string")
+    # Fixed value: the sentence for a concept that isn't there.
     fallback = F.format_string(
         "Concept '%s' non trouvé dans la base. Essayez avec un terme différent (ex: 'MVP', 'churn', 'pivot').",
         F.col("term"))
@@ -278,15 +308,11 @@ def startups_with_pivot_count(startups: DataFrame, pivots: DataFrame, prefilter:
 
     Pivots are counted per startup first (partial + final aggregation), so the join
     sees one row per startup instead of every pivot. With ``prefilter`` (a filtered
-    startup set), pivots are first cut to those startups by a map-side broadcast
-    semi-join, when the id set is proven small.
+    startup set), pivots are first cut to those startups by a semi-join.
     """
     p = pivots.where(F.col("startup_id").isNotNull())
     if prefilter:
-        ids = startups.select(F.col("id").alias("startup_id")).distinct()
-        small = bounded_broadcast(ids)
-        if small is not ids:
-            p = p.join(small, "startup_id", "left_semi")
+        p = p.join(startups.select(F.col("id").alias("startup_id")).distinct(), "startup_id", "left_semi")
     counts = p.groupBy(F.col("startup_id").alias("id")).agg(F.count("id").alias("pivot_count"))
     return (startups.join(counts, "id", "left")
             .withColumn("pivot_count", F.coalesce("pivot_count", F.lit(0)).cast("bigint")))
@@ -325,77 +351,70 @@ def pivot_case_search(pivots: DataFrame, startups: DataFrame, pivot_type=None, o
 
 
 # --- J4 / W6 ---------------------------------------------------------------
-def segment_risks(segments: DataFrame, risks: DataFrame) -> DataFrame:
-    """(sector, stage) segments x applicable risks, NULL risk columns being wildcards.
+def segment_classes(segments: DataFrame) -> DataFrame:
+    """For each (sector, stage) the risk classes that apply to it: ``(c_sector, c_stage)`` with
+    the segment's own values or NULL (a wildcard), four at most."""
+    nothing = F.lit(None).cast("string")
+    pairs = [(F.col("sector"), F.col("stage")), (F.col("sector"), nothing), (nothing, F.col("stage")), (nothing, nothing)]
+    classes = F.array_distinct(F.array(*[F.struct(a.alias("c_sector"), b.alias("c_stage")) for a, b in pairs]))
+    return (segments.select("sector", "stage").distinct()
+            .select("sector", "stage", F.explode(classes).alias("c")).select("sector", "stage", "c.c_sector", "c.c_stage"))
 
-    The theta join ``(r.sector = s.sector OR r.sector IS NULL) AND (...)`` is split by
-    which risk columns are NULL into four equi-joins, so no nested loop is planned.
-    ``segments`` is the distinct segment list (bounded by the sector/stage domains).
-    """
-    seg = segments.select("sector", "stage").distinct()
-    seg_b = bounded_broadcast(seg)
-    r = risks.withColumnRenamed("sector", "r_sector").withColumnRenamed("stage", "r_stage")
-    both = r.where(F.col("r_sector").isNotNull() & F.col("r_stage").isNotNull()).join(
-        seg_b, (F.col("r_sector") == F.col("sector")) & (F.col("r_stage") == F.col("stage")))
-    any_stage = r.where(F.col("r_sector").isNotNull() & F.col("r_stage").isNull()).join(
-        seg_b, F.col("r_sector") == F.col("sector"))
-    any_sector = r.where(F.col("r_sector").isNull() & F.col("r_stage").isNotNull()).join(
-        seg_b, F.col("r_stage") == F.col("stage"))
-    # A universal risk applies to every segment: expand it over the segment list, a
-    # scalar subquery bounded by the sector x stage vocabularies (no join at all).
-    seg_list = seg.agg(F.collect_list(F.struct("sector", "stage")).alias("_s")).scalar()
-    universal = (r.where(F.col("r_sector").isNull() & F.col("r_stage").isNull())
-                 .withColumn("_seg", F.explode(seg_list))
-                 .withColumn("sector", F.col("_seg.sector")).withColumn("stage", F.col("_seg.stage")).drop("_seg"))
-    return both.unionByName(any_stage).unionByName(any_sector).unionByName(universal)
+
+def _of_class(risks: DataFrame) -> DataFrame:
+    return risks.withColumnRenamed("sector", "c_sector").withColumnRenamed("stage", "c_stage")
 
 
 def segment_risk_join(startups: DataFrame, risks: DataFrame) -> DataFrame:
     """Batch P1 without a limit, answered per segment: every (sector, stage) that has
     startups, with every risk that applies to it and the number of startups there.
 
-    The request is the segment, so the result is segments x applicable risks; it
-    never spells out startups x risks (all pairs inside a segment). Per-startup
-    figures come from ``startup_risk_exposure`` and the top-k from
-    ``top_risks_per_startup``.
+    The theta join ``(r.sector = s.sector OR r.sector IS NULL) AND (...)`` is one equi-join on
+    the risk's class, where a segment belongs to at most four classes. The request is the
+    segment; startups x risks is never spelled out (see ``startup_risk_exposure`` and
+    ``top_risks_per_startup``).
     """
     counts = startups.groupBy("sector", "stage").agg(F.count(F.lit(1)).alias("n_startups"))
-    per_seg = segment_risks(counts, risks)
-    return per_seg.join(bounded_broadcast(counts), ["sector", "stage"]).select(
+    per_seg = _null_safe_join(segment_classes(counts), _of_class(risks), ["c_sector", "c_stage"])
+    return _null_safe_join(per_seg, counts, ["sector", "stage"]).select(
         "sector", "stage", F.col("id").alias("risk_id"), "criticality", "category",
-        F.col("r_sector").isNull().alias("universal_sector"), "n_startups")
+        F.col("c_sector").isNull().alias("universal_sector"), "n_startups")
 
 
 def startup_risk_exposure(startups: DataFrame, risks: DataFrame) -> DataFrame:
     """Per startup: how many risks apply, and how many per criticality.
 
-    Counted once per segment, then attached to startups by an equi-join against a
-    broadcast of one row per segment.
+    Risks are counted per class, a segment sums at most four of those counts, and startups
+    meet one row per segment.
     """
-    per_seg = segment_risks(startups, risks).groupBy("sector", "stage").agg(
-        F.count(F.lit(1)).alias("n_risks"),
-        *[F.count_if(F.col("criticality") == c).alias(f"n_{c}") for c in CRITICALITIES])
-    return startups.select(F.col("id").alias("startup_id"), "sector", "stage").join(
-        bounded_broadcast(per_seg), ["sector", "stage"], "left").na.fill(
-        0, ["n_risks"] + [f"n_{c}" for c in CRITICALITIES])
+    figures = ["n_risks"] + [f"n_{c}" for c in CRITICALITIES]
+    per_class = _of_class(risks).groupBy("c_sector", "c_stage").agg(
+        F.count(F.lit(1)).alias("n_risks"), *[F.count_if(F.col("criticality") == c).alias(f"n_{c}") for c in CRITICALITIES])
+    per_seg = (_null_safe_join(segment_classes(startups), per_class, ["c_sector", "c_stage"])
+               .groupBy("sector", "stage").agg(*[F.sum(f).alias(f) for f in figures]))
+    return _null_safe_join(startups.select(F.col("id").alias("startup_id"), "sector", "stage"), per_seg,
+                           ["sector", "stage"], "left").na.fill(0, figures)
+
+
+def top_risks_per_segment(segments: DataFrame, risks: DataFrame, k: int = 5) -> DataFrame:
+    """The ``k`` first risks of each segment: the ``k`` first of each class (a partial top-k
+    before the shuffle), then a merge of at most 4 * k rows per segment."""
+    order = [enum_rank("criticality", CRITICALITIES).asc_nulls_last(), F.col("c_sector").isNull().cast("int"), F.col("id")]
+    in_class = Window.partitionBy("c_sector", "c_stage").orderBy(*order)
+    tops = (_of_class(risks).select("c_sector", "c_stage", "id", "criticality")
+            .withColumn("_r", F.row_number().over(in_class)).where(F.col("_r") <= k).drop("_r"))
+    merged = Window.partitionBy("sector", "stage").orderBy(*order)
+    return (_null_safe_join(segment_classes(segments), tops, ["c_sector", "c_stage"])
+            .withColumn("risk_rank", F.row_number().over(merged)).where(F.col("risk_rank") <= k)
+            .select("sector", "stage", F.col("id").alias("risk_id"), "criticality", "risk_rank"))
 
 
 def top_risks_per_startup(startups: DataFrame, risks: DataFrame, k: int = 5,
                           criticality: str | None = None) -> DataFrame:
-    """P1's top-k for every startup, computed once per segment and joined back.
-
-    Ranking happens on segment x risk (small); the join back is an equi-join on the
-    segment against a broadcast of at most ``segments * k`` rows, so a segment that
-    holds a third of all startups does not pile into one task.
-    """
+    """P1's top-k for every startup, computed once per segment and joined back (k rows a segment)."""
     r = risks.where(F.col("criticality") == criticality) if criticality else risks
-    per_seg = segment_risks(startups, r)
-    w = Window.partitionBy("sector", "stage").orderBy(
-        enum_rank("criticality", CRITICALITIES).asc_nulls_last(), F.col("r_sector").isNull().cast("int"), F.col("id"))
-    top = (per_seg.withColumn("risk_rank", F.row_number().over(w)).where(F.col("risk_rank") <= k)
-           .select("sector", "stage", F.col("id").alias("risk_id"), "criticality", "risk_rank"))
-    return startups.select(F.col("id").alias("startup_id"), "sector", "stage").join(
-        bounded_broadcast(top), ["sector", "stage"])
+    return _null_safe_join(startups.select(F.col("id").alias("startup_id"), "sector", "stage"),
+                           top_risks_per_segment(startups, r, k), ["sector", "stage"])
 
 
 # --- J5 / F16 --------------------------------------------------------------
@@ -419,12 +438,12 @@ def metric_level(value: Column, excellent: Column, good: Column, median: Column,
 def evaluate_metrics(observations: DataFrame, benchmarks: DataFrame) -> DataFrame:
     """Each observation against its (sector, stage, metric) benchmark; ``unknown`` when none.
 
-    The benchmark table is a reference table (one row per key); it is broadcast after
-    a row-count check, so the observation side is never shuffled.
+    The benchmark table has one row per key; a hot segment of observations is left to the
+    adaptive skew handling, which may also turn a small side into a broadcast.
     """
     keys = ["sector", "stage", "metric_name"]
-    bench = bounded_broadcast(benchmarks.select(*keys, "value_median", "value_good", "value_excellent",
-                                                "value_warning", F.lit(True).alias("_has_bench")))
+    bench = benchmarks.select(*keys, "value_median", "value_good", "value_excellent", "value_warning",
+                              F.lit(True).alias("_has_bench"))
     level = F.when(F.col("_has_bench").isNull(), "unknown").otherwise(
         metric_level(F.col("value"), F.col("value_excellent"), F.col("value_good"),
                      F.col("value_median"), F.col("value_warning")))
@@ -454,34 +473,29 @@ def interpretation_text(level: Column, metric: Column, value: Column, sector: Co
 def diagnosis_context(segments: DataFrame, risks: DataFrame, benchmarks: DataFrame,
                       criteria: DataFrame, startups: DataFrame, pivots: DataFrame,
                       investor_profile: str = "angel") -> DataFrame:
-    """Per requested (sector, stage): 5 critical risks, all benchmarks, critical
-    criteria of the profile and 3 similar startups, each as an ordered array."""
+    """Per requested (sector, stage), in long form ``(kind, rank, item_id, item)``: the 5 first
+    critical risks, all benchmarks, the critical criteria of the profile and the 3 most similar
+    startups; ``kind = 'segment'`` is one row for the request itself. Lists of any length come as
+    rows, never as one array.
+    """
     seg = segments.select("sector", "stage").distinct()
-    risk_top = (top_risks_per_startup(seg.withColumn("id", F.lit(0)), risks, k=5, criticality="critical")
-                .groupBy("sector", "stage")
-                .agg(F.transform(F.array_sort(F.collect_list(F.struct("risk_rank", "risk_id"))),
-                                 lambda x: x["risk_id"]).alias("risk_ids")))
-    bench = (benchmarks_with_context(benchmarks).groupBy("sector", "stage")
-             .agg(F.array_sort(F.collect_list("metric_name")).alias("benchmark_metrics")))
-    crit = (criteria.where((F.col("investor_profile") == investor_profile) & (F.col("weight") == "critical"))
-            .groupBy("stage").agg(F.array_sort(F.collect_list("id")).alias("criteria_ids")))
+    shape = lambda df, kind, rank, item_id, item: df.select(
+        "sector", "stage", F.lit(kind).alias("kind"), rank.cast("bigint").alias("rank"), item_id.cast("bigint").alias("item_id"),
+        item.cast("string").alias("item"))
+    null = F.lit(None)
+    risk = shape(top_risks_per_segment(seg, risks.where(F.col("criticality") == "critical"), k=5), "risk", F.col("risk_rank"),
+                 F.col("risk_id"), null)
+    named = positions_within(_null_safe_join(benchmarks_with_context(benchmarks), seg, ["sector", "stage"]).select("sector", "stage", "metric_name"),
+                             ["sector", "stage"], ["metric_name"], out="_pos")
+    bench = shape(named, "benchmark", F.col("_pos") + 1, null, F.col("metric_name"))
+    wanted = criteria.where((F.col("investor_profile") == investor_profile) & (F.col("weight") == "critical")).select("stage", "id")
+    crit = shape(seg.join(positions_within(wanted, ["stage"], ["id"], out="_pos"), "stage"), "criterion", F.col("_pos") + 1, F.col("id"), null)
     counted = startups_with_pivot_count(startups.join(seg, ["sector", "stage"], "left_semi"), pivots, prefilter=True)
     w = Window.partitionBy("sector", "stage").orderBy(
         F.col("pivot_count").desc(), F.col("founding_year").desc_nulls_first(), F.col("id"))
-    similar = (counted.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 3)
-               .groupBy("sector", "stage")
-               .agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "id"))), lambda x: x["id"])
-                    .alias("similar_ids")))
-    empty_long = F.array().cast("array<bigint>")
-    return (seg.join(risk_top, ["sector", "stage"], "left")
-            .join(bench, ["sector", "stage"], "left")
-            .join(crit, "stage", "left")
-            .join(similar, ["sector", "stage"], "left")
-            .select("sector", "stage",
-                    F.coalesce("risk_ids", empty_long).alias("risk_ids"),
-                    F.coalesce("benchmark_metrics", F.array().cast("array<string>")).alias("benchmark_metrics"),
-                    F.coalesce("criteria_ids", empty_long).alias("criteria_ids"),
-                    F.coalesce("similar_ids", empty_long).alias("similar_ids")))
+    similar = shape(counted.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 3), "startup", F.col("_r"), F.col("id"), F.col("name"))
+    return (shape(seg, "segment", F.lit(0), null, null).unionByName(risk).unionByName(bench)
+            .unionByName(crit).unionByName(similar))
 
 
 # --- W9 --------------------------------------------------------------------

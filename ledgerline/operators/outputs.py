@@ -10,7 +10,9 @@ their calls by position.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Special tokens and the tool registry.
@@ -22,6 +24,7 @@ MAX_ROWS = 20
 AUDIT_CHARS = 300
 TRACE_SQL_CHARS = 200
 
+# Patterns of call blocks and their forms.
 BLOCK = r"(?s)<\|tool_call_start\|>(.*?)<\|tool_call_end\|>"
 FUNCTION_FORM = r"""(?sU)^(\w+)\s*\(\s*sql\s*=\s*["']?(.*?)["']?\s*\)\s*$"""
 BARE_SQL_FORM = r"""(?si)sql\s*=\s*["']?(SELECT.*?)["']?\s*$"""
@@ -157,14 +160,79 @@ def classify_calls(parsed: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
             .withColumn("audit_sql", F.substring(effective, 1, AUDIT_CHARS)))
 
 
-def guard_results(classified: DataFrame) -> DataFrame:
-    """Result rows known before execution: guard refusals are failures, accepted calls
-    are marked successful with no rows yet (an execution table replaces them)."""
-    ok = F.col("status").startswith("accepted")
-    return classified.select("output_id", "call_pos", ok.alias("success"), "error",
-                             F.when(ok, F.lit(0)).alias("row_count"),
-                             F.lit(0.0).alias("execution_time_ms"),
-                             F.when(ok, F.lit("[]")).alias("data_json"))
+@dataclass(frozen=True)
+class CallTemplate:
+    """A form of call that is answered from a table: SQL with its constants as ``?`` (upper case,
+    single blanks), the rows to look in, the column that the first constant is compared with
+    (None: no condition), the columns of a result row and their order. A second constant, or the
+    only one where there is no condition, is the row limit."""
+
+    sql: str
+    rows: DataFrame
+    key: str | None
+    columns: tuple[str, ...]
+    order: tuple[str, ...]
+
+
+# A literal of a query (quoted text or a number).
+LITERAL = r"'(?:[^']|'')*'|\b\d+(?:\.\d+)?\b"
+
+
+def call_template(sql: Column) -> Column:
+    """``struct(template, constants)``: the text with every literal as ``?``, upper case, single
+    blanks, no closing semicolon; the literals in order, without quotes."""
+    constants = F.transform(F.regexp_extract_all(sql, F.lit(f"({LITERAL})"), 1), lambda c: F.when(
+        c.startswith("'"), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit("''"), F.lit("'"))).otherwise(c))
+    text = F.upper(strip_ws(F.regexp_replace(F.regexp_replace(sql, LITERAL, "?"), r"(?U)\s+", " ")))
+    return F.struct(F.regexp_replace(text, r"\s*;+\z", "").alias("template"), constants.alias("constants"))
+
+
+def execute_calls(classified: DataFrame, templates: list[CallTemplate], max_rows: int = MAX_ROWS) -> DataFrame:
+    """Results of classified calls: ``(output_id, call_pos, success, error, row_count,
+    execution_time_ms, data_json)``, one row per call.
+
+    Accepted calls are brought to a template and its constants. Each registered template is
+    answered by one equi-join for the distinct constants asked for (their first rows by the
+    template's order, at most the call's limit and ``max_rows``), and the answers are joined back
+    to the calls; so a call made a million times reads its rows once. An accepted call of no
+    registered form is an error, as are the guard's refusals.
+    """
+    ids = ["output_id", "call_pos"]
+    accepted = (classified.where(F.col("status").startswith("accepted"))
+                .select(*ids, call_template(F.col("effective_sql")).alias("_t"))
+                .select(*ids, F.col("_t.template").alias("_template"), F.col("_t.constants").alias("_constants")))
+    asked = accepted.select("_template", "_constants").distinct()
+    answers = None
+    for t in templates:
+        own = asked.where(F.col("_template") == t.sql)
+        limit = F.least(F.lit(max_rows), F.coalesce(F.expr(f"try_cast(try_element_at(_constants, {2 if t.key else 1}) as int)"), F.lit(max_rows)))
+        line = F.struct(*[F.col(c) for c in t.columns])
+        by = Window.orderBy(*t.order) if t.key is None else Window.partitionBy("_key").orderBy(*t.order)
+        rows = t.rows.select(*({*t.columns, *t.order} | ({t.key} if t.key else set())))
+        if t.key:
+            rows = rows.withColumn("_key", F.col(t.key).cast("string"))
+            keys = own.select(F.try_element_at("_constants", F.lit(1)).alias("_key")).distinct()
+            first = rows.join(keys, "_key", "left_semi").withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= max_rows)
+            found = (own.withColumn("_key", F.try_element_at("_constants", F.lit(1))).withColumn("_limit", limit)
+                     .join(first.select("_key", "_r", line.alias("_row")), "_key", "left"))
+        else:
+            top = rows.orderBy(*t.order).limit(max_rows).agg(F.collect_list(line).alias("_top")).scalar()
+            found = (own.withColumn("_limit", limit).withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(max_rows))))
+                     .withColumn("_row", F.try_element_at(top, F.col("_r"))))
+        shown = F.when(F.col("_r") <= F.col("_limit"), F.struct("_r", "_row"))
+        lines = F.transform(F.array_sort(F.collect_list(F.when(F.col("_row").isNotNull(), shown))), lambda x: x["_row"])
+        part = found.groupBy("_template", "_constants").agg(lines.alias("_rows")).select(
+            "_template", "_constants", F.size("_rows").alias("row_count"), F.to_json("_rows").alias("data_json"))
+        answers = part if answers is None else answers.unionByName(part)
+    executed = accepted if answers is None else accepted.join(answers, ["_template", "_constants"], "left")
+    count, data = (F.lit(None).cast("int"), F.lit(None).cast("string")) if answers is None else (F.col("row_count"), F.col("data_json"))
+    done = executed.select(*ids, count.isNotNull().alias("success"),
+                           F.when(count.isNull(), F.concat(F.lit("No registered call of the form "), "_template")).alias("error"),
+                           count.alias("row_count"), F.lit(0.0).alias("execution_time_ms"), data.alias("data_json"))
+    refused = classified.where(~F.col("status").startswith("accepted")).select(
+        *ids, F.lit(False).alias("success"), "error", F.lit(None).cast("int").alias("row_count"), F.lit(0.0).alias("execution_time_ms"),
+        F.lit(None).cast("string").alias("data_json"))
+    return done.unionByName(refused)
 
 
 # --- J10 / F18 / F19 ----------------------------------------------------------
@@ -207,21 +275,27 @@ def results_context(pairs: DataFrame) -> DataFrame:
 
 
 # --- A17 -------------------------------------------------------------------
-def tool_use_stats(outputs: DataFrame, parsed: DataFrame, results: DataFrame) -> DataFrame:
-    """Per output: parsed calls made, successful results, source tables in first-seen order."""
-    calls = parsed.where(F.col("parse_path") != "none").join(
-        results.select("output_id", "call_pos", "success"), ["output_id", "call_pos"], "left")
-    per = calls.groupBy("output_id").agg(
-        F.count(F.lit(1)).alias("tool_calls_made"),
-        F.count_if(F.coalesce("success", F.lit(False))).alias("tool_calls_successful"),
-        F.array_distinct(F.filter(F.transform(F.array_sort(F.collect_list(F.struct(
-            "call_pos", source_table(F.col("sql")).alias("t")))), lambda x: x["t"]),
-            lambda t: t.isNotNull())).alias("data_sources_used"))
-    return (outputs.select("output_id").join(per, "output_id", "left")
-            .select("output_id",
-                    F.coalesce("tool_calls_made", F.lit(0)).alias("tool_calls_made"),
-                    F.coalesce("tool_calls_successful", F.lit(0)).alias("tool_calls_successful"),
-                    F.coalesce("data_sources_used", F.array().cast("array<string>")).alias("data_sources_used")))
+def tool_use_stats(outputs: DataFrame, results: DataFrame, key: str = "output_id", text: str = "output") -> DataFrame:
+    """Per output: parsed calls made, successful results, source tables in first-seen order.
+
+    Calls and their tables are read off the output's own row; only the successes come from
+    ``results``, counted per output.
+    """
+    contents = F.transform(F.regexp_extract_all(F.col(text), F.lit(BLOCK), 1), lambda body: parse_call(_block_content(body)[1]))
+    calls = F.filter(contents, lambda c: c["parse_path"] != "none")
+    tables = F.array_distinct(F.array_compact(F.transform("_calls", lambda c: source_table(c["sql"]))))
+    good = results.groupBy(F.col("output_id").alias(key)).agg(F.count_if("success").alias("tool_calls_successful"))
+    return (outputs.select(key, calls.alias("_calls"))
+            .select(key, F.size("_calls").cast("bigint").alias("tool_calls_made"), tables.alias("data_sources_used"))
+            .join(good, key, "left")
+            .select(key, "tool_calls_made", F.coalesce("tool_calls_successful", F.lit(0).cast("bigint")).alias("tool_calls_successful"),
+                    "data_sources_used"))
+
+
+def calls_made(output: Column) -> Column:
+    """Parsed calls of an output (a whole number), without leaving its row."""
+    contents = F.transform(F.regexp_extract_all(output, F.lit(BLOCK), 1), lambda body: parse_call(_block_content(body)[1])["parse_path"])
+    return F.size(F.filter(contents, lambda p: p != "none"))
 
 
 # --- F5 / F6 ---------------------------------------------------------------

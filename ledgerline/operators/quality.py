@@ -23,6 +23,7 @@ from ledgerline.functions.enums import (
     VALID_SEVERITIES,
 )
 
+# Fields of the metadata.
 DIMENSIONS = ("category", "Label", "Severity", "Difficulty", "sector", "investor_profile", "lean_principle")
 META_FIELDS = ("category", "Label", "Severity", "Difficulty", "sector", "stage", "region",
                "investor_profile", "has_tool_use", "lean_principle", "hard_eval")
@@ -75,6 +76,26 @@ def message_facts(messages: DataFrame) -> DataFrame:
     )
 
 
+def canonical_json(text: Column) -> Column:
+    """JSON with the keys of every object in order, at every depth, and no blanks: equal for two
+    texts that hold the same values. Text that isn't JSON stays as it is."""
+    return F.coalesce(F.to_json(F.try_parse_json(text)), text)
+
+
+def metadata_text(meta: DataFrame) -> Column:
+    """All metadata of an example in one canonical text: the raw JSON, or every flat column by name
+    (listed or not, its id too, NULLs written)."""
+    if "metadata_json" in meta.columns:
+        return canonical_json(F.col("metadata_json"))
+    return F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(meta.columns)]), {"ignoreNullFields": "false"})
+
+
+def line_hash(examples: DataFrame) -> Column:
+    """A3: digest of a whole example line in nested form ``(messages, metadata_json)``."""
+    said = F.to_json(F.transform("messages", lambda m: F.struct(m["content"].alias("content"), m["role"].alias("role"))), {"ignoreNullFields": "false"})
+    return F.sha1(F.concat_ws("|", F.coalesce(said, F.lit("")), F.coalesce(metadata_text(examples), F.lit(""))))
+
+
 def normalise_prompt(text: Column) -> Column:
     """Lower-case, every run of (Unicode) blanks to one space, trimmed."""
     return F.trim(F.regexp_replace(F.lower(text), r"(?U)\s+", " "))
@@ -83,7 +104,7 @@ def normalise_prompt(text: Column) -> Column:
 def example_facts(meta: DataFrame, messages: DataFrame) -> DataFrame:
     """``normalise_metadata(meta)`` joined with ``message_facts``; examples without messages kept."""
     facts = message_facts(messages)
-    j = normalise_metadata(meta).join(facts, "example_id", "left")
+    j = normalise_metadata(meta.withColumn("_meta_text", metadata_text(meta))).join(facts, "example_id", "left")
     return (j.withColumn("n_messages", F.coalesce("n_messages", F.lit(0)))
             .withColumn("n_chars", F.coalesce("n_chars", F.lit(0)))
             .withColumn("has_user", F.coalesce("has_user", F.lit(False)))
@@ -91,8 +112,8 @@ def example_facts(meta: DataFrame, messages: DataFrame) -> DataFrame:
             .withColumn("user_text", F.coalesce("user_text", F.lit("")))
             .withColumn("invalid_roles", F.coalesce("invalid_roles", F.array().cast("array<string>")))
             .withColumn("prompt_hash", F.sha1(normalise_prompt(F.col("user_text"))))
-            .withColumn("example_hash", F.sha1(F.concat_ws("|", F.coalesce("messages_hash", F.lit("")), F.to_json(
-                F.struct(*[F.col(f"{k}_{f}") for f in META_FIELDS for k in ("p", "m")]))))))
+            .withColumn("example_hash", F.sha1(F.concat_ws("|", F.coalesce("messages_hash", F.lit("")), "_meta_text")))
+            .drop("_meta_text"))
 
 
 # --- A1 --------------------------------------------------------------------
@@ -208,24 +229,27 @@ def all_error_entries(facts: DataFrame) -> DataFrame:
 
 # --- A9 / A10 ----------------------------------------------------------------
 def quality_metrics(facts: DataFrame) -> DataFrame:
-    """One row: every number the warning rules read.
+    """One row: every number the warning rules read, from one grouping pass over the facts.
 
-    The overview and the four error-entry counts come from one aggregation over the
-    per-example facts (entries are counted per example, then summed); the two
-    duplicate counts are one digest group-by each. Three passes in all.
+    Each example gives two digests, of itself and of its prompt; both kinds are grouped together
+    (so only digests and counts are shuffled), the example's own figures travel with its first
+    digest, and a last aggregation sums groups and figures.
     """
-    n = F.count(F.lit(1))
-    counts = [F.coalesce(F.sum(F.size(_kept(fn()))), F.lit(0)).cast("bigint").alias(f"{kind}_errors")
-              for kind, fn in ENTRY_KINDS]
-    overview = facts.agg(
-        n.alias("total"),
-        F.count_if(F.col("tool_flag")).alias("tool_use_count"),
-        (F.count_if(F.col("tool_flag")) / n).alias("tool_use_ratio"),
-        (F.count_if(F.col("m_Difficulty").isin(*IMPLICIT_DIFFICULTIES)) / n).alias("implicit_ratio"),
-        *counts)
-    dup_full = duplicate_count(facts, "example_hash").withColumnRenamed("duplicates", "duplicate_full")
-    dup_user = duplicate_count(facts, "prompt_hash").withColumnRenamed("duplicates", "duplicate_user")
-    return attach_one_row(attach_one_row(overview, dup_full), dup_user)
+    figures = {"tool_use_count": F.col("tool_flag").cast("int"),
+               "implicit": F.coalesce(F.col("m_Difficulty").isin(*IMPLICIT_DIFFICULTIES), F.lit(False)).cast("int"),
+               **{f"{kind}_errors": F.size(_kept(fn())) for kind, fn in ENTRY_KINDS}}
+    per = facts.select("example_hash", "prompt_hash", *[c.alias(n) for n, c in figures.items()])
+    digests = F.array(F.struct(F.lit(True).alias("full"), F.col("example_hash").alias("h")),
+                      F.struct(F.lit(False).alias("full"), F.col("prompt_hash").alias("h")))
+    groups = (per.select(F.explode(digests).alias("d"), *figures).groupBy("d.full", "d.h")
+              .agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.when(F.col("d.full"), F.col(f))).alias(f) for f in figures]))
+    n = F.coalesce(F.sum(F.when(F.col("full"), F.col("n"))), F.lit(0))
+    again = lambda full: F.coalesce(F.sum(F.when(F.col("full") == full, F.col("n") - 1)), F.lit(0)).cast("bigint")
+    total = lambda f: F.coalesce(F.sum(f), F.lit(0)).cast("bigint")
+    share = lambda f: F.when(n > 0, total(f) / n)
+    return groups.agg(n.alias("total"), total("tool_use_count").alias("tool_use_count"), share("tool_use_count").alias("tool_use_ratio"),
+                      share("implicit").alias("implicit_ratio"), *[total(f"{kind}_errors").alias(f"{kind}_errors") for kind, _ in ENTRY_KINDS],
+                      again(True).alias("duplicate_full"), again(False).alias("duplicate_user"))
 
 
 # Warning thresholds of the dataset report.
@@ -235,8 +259,8 @@ MIN_IMPLICIT_RATIO = 0.55
 MAX_DUPLICATE_PROMPT_SHARE = 0.03
 
 
-def dataset_warnings(metrics: DataFrame) -> DataFrame:
-    """Failed rules only: ``(rule, observed)``."""
+def failed_rules() -> Column:
+    """The failed rules of a metrics row: array of ``(rule, observed)``."""
     lo, hi = TOOL_RATIO_RANGE
     rules = [
         ("volume", F.col("total").cast("double"), F.col("total") < MIN_EXAMPLES),
@@ -250,9 +274,12 @@ def dataset_warnings(metrics: DataFrame) -> DataFrame:
         ("label_mismatches", F.col("label_errors").cast("double"), F.col("label_errors") > 0),
         ("tool_flag_errors", F.col("tool_errors").cast("double"), F.col("tool_errors") > 0),
     ]
-    arr = F.array(*[F.struct(F.lit(n).alias("rule"), v.alias("observed"), c.alias("failed")) for n, v, c in rules])
-    return (metrics.select(F.explode(arr).alias("r")).select("r.*")
-            .where(F.col("failed")).drop("failed"))
+    return F.array_compact(F.array(*[F.when(c, F.struct(F.lit(n).alias("rule"), v.alias("observed"))) for n, v, c in rules]))
+
+
+def dataset_warnings(metrics: DataFrame) -> DataFrame:
+    """Failed rules only: ``(rule, observed)``."""
+    return metrics.select(F.explode(failed_rules()).alias("r")).select("r.*")
 
 
 # Stop rules of the build gate.
@@ -271,16 +298,16 @@ def build_stats(facts: DataFrame) -> DataFrame:
     return attach_one_row(cats, totals)
 
 
-def dataset_gate(metrics: DataFrame, warnings: DataFrame) -> DataFrame:
-    """One verdict row: valid, total, tool ratio (3 dp), warning count and failed rules."""
-    n_warn = warnings.agg(F.count(F.lit(1)).alias("warning_count"))
+def dataset_gate(metrics: DataFrame) -> DataFrame:
+    """One verdict row from the one metrics row: valid, total, tool ratio (3 dp), warning count and
+    failed rules."""
     lo, hi = GATE_TOOL_RATIO
-    m = attach_one_row(metrics.select("total", F.round("tool_use_ratio", 3).alias("tool_ratio")), n_warn)
-    errors = F.filter(F.array(
+    m = metrics.select("total", F.round("tool_use_ratio", 3).alias("tool_ratio"), F.size(failed_rules()).cast("bigint").alias("warning_count"))
+    errors = F.array_compact(F.array(
         F.when(F.col("total") < GATE_MIN_EXAMPLES, F.lit("volume")),
         F.when(F.col("tool_ratio") < lo, F.lit("tool_ratio_low")),
         F.when(F.col("tool_ratio") > hi, F.lit("tool_ratio_high")),
-        F.when(F.col("warning_count") > GATE_MAX_WARNINGS, F.lit("warnings"))), lambda x: x.isNotNull())
+        F.when(F.col("warning_count") > GATE_MAX_WARNINGS, F.lit("warnings"))))
     return m.withColumn("errors", errors).withColumn("valid", F.size("errors") == 0)
 
 
@@ -293,21 +320,22 @@ def last_message_by_role(messages: DataFrame, key: str = "example_id", text: str
         F.max_by(text, F.when(role == "assistant", turn)).alias("last_assistant"))
 
 
-def render_chat_text(messages: DataFrame, key: str = "example_id", text: str = "content") -> DataFrame:
+def render_chat_text(messages: DataFrame, key: str | list[str] = "example_id", text: str = "content") -> DataFrame:
     """``<|im_start|>role\\ncontent<|im_end|>`` per message, joined by newlines in turn order."""
     part = F.concat(F.lit("<|im_start|>"), F.coalesce(F.col("role"), F.lit("")), F.lit("\n"),
                     F.coalesce(F.col(text), F.lit("")), F.lit("<|im_end|>"))
-    return messages.groupBy(key).agg(
+    return messages.groupBy(*([key] if isinstance(key, str) else key)).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("turn").alias("t"), part.alias("p")))),
                                  lambda x: x["p"]), "\n").alias("text"))
 
 
-def examples_nested(meta: DataFrame, messages: DataFrame) -> DataFrame:
+def examples_nested(meta: DataFrame, messages: DataFrame, key: str | list[str] = "example_id") -> DataFrame:
     """Edge form: ``messages ARRAY<STRUCT<role, content>>`` in turn order + metadata columns."""
-    arr = messages.groupBy("example_id").agg(F.transform(
+    keys = [key] if isinstance(key, str) else key
+    arr = messages.groupBy(*keys).agg(F.transform(
         F.array_sort(F.collect_list(F.struct(F.col("turn").alias("t"), F.col("role"), F.col("content")))),
         lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))
-    return meta.join(arr, "example_id", "left").withColumn(
+    return meta.join(arr, keys, "left").withColumn(
         "messages", F.coalesce("messages", F.array().cast("array<struct<role:string,content:string>>")))
 
 

@@ -1,15 +1,14 @@
-"""Positions and exact discrete percentiles inside groups, without a group in one task.
-
-``row_number() OVER (PARTITION BY g ORDER BY v)`` sorts each group in a single task;
-when one group holds a third of the data that task holds a third of the data.
-Here every row gets a bucket that follows the order inside its group: groups above
-``HOT_GROUP_ROWS`` rows (necessarily few) are cut at approximate quantiles of the
-first order column (``percentile_approx``, a partial aggregation), found per row by
-a binary search; smaller groups are one bucket. Rows are counted per (group,
-bucket), a running sum over that small table gives each bucket its offset, and rows
-are ranked only inside their bucket. Buckets are a pure function of the row, so
-every branch and every retried task sees the same buckets, and the positions equal
-those of a single sort.
+"""Running sums and minima along an order, positions and exact percentiles, in groups of any size.
+
+``row_number() OVER (PARTITION BY g ORDER BY v)`` sorts each group in a single task; when one
+group holds a third of the data that task holds a third of the data. Here Spark's range
+partitioning cuts the total order (group, order columns) into blocks of even size, whatever the
+keys' types or distribution. A scan runs inside each (block, group), and each block adds what
+its group's earlier blocks amount to: one row per (block, group), scanned again. The results
+equal those of a single sort, and there is one path for all sizes.
+
+The blocks are checkpointed once in the cluster's checkpoint folder: both the blocks' totals and
+the rows read them from there, so a lost executor can't give them other borders.
 """
 
 from __future__ import annotations
@@ -19,40 +18,10 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.functions.sizing import attach_one_row, bounded_broadcast
-
-HOT_GROUP_ROWS = 1_000_000
-QUANTILE_BUCKETS = 4096
-SEARCH_STEPS = 14          # > log2(QUANTILE_BUCKETS + 1)
-
-
-def sortable_number(c: Column, dtype: str) -> Column:
-    """A number that never decreases along the column's order (bucketing only).
-
-    Zone-free timestamps use their own calendar fields, so no session time zone or
-    daylight-saving shift can reorder them; instants use epoch microseconds.
-    """
-    if dtype == "timestamp_ntz":
-        return (F.datediff(F.to_date(c), F.lit("1970-01-01")).cast("double") * 86400.0
-                + F.hour(c) * 3600.0 + F.minute(c) * 60.0 + F.second(c))
-    if dtype == "timestamp":
-        return F.unix_micros(c).cast("double")
-    return c.cast("double")
+from ledgerline.session import cut_lineage
 
-
-def lower_bound(bounds: Column, v: Column, steps: int = SEARCH_STEPS) -> Column:
-    """Number of elements of the ascending array ``bounds`` that are < ``v`` (binary search)."""
-    init = F.struct(F.lit(0).alias("lo"), F.size(bounds).alias("hi"))
-
-    def step(acc, _):
-        lo, hi = acc["lo"], acc["hi"]
-        mid = ((lo + hi) / 2).cast("int")
-        right = (lo < hi) & (F.try_element_at(bounds, mid + 1) < v)
-        return (F.when(lo >= hi, acc)
-                .when(right, F.struct((mid + 1).alias("lo"), hi.alias("hi")))
-                .otherwise(F.struct(lo.alias("lo"), mid.alias("hi"))))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)["lo"]
+#: Blocks whose totals one task adds up when there is no group to divide them by.
+BLOCKS_PER_PART = 1024
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
@@ -66,67 +35,88 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys, how: str = "inner")
     return lt.join(rt, cond, how).select(*[F.col(f"_lt.`{c}`") for c in left.columns], *extra)
 
 
-def positions_within(df: DataFrame, group_cols, order_cols, out: str = "pos",
-                     hot_rows: int = HOT_GROUP_ROWS, buckets: int = QUANTILE_BUCKETS) -> DataFrame:
-    """0-based position of each row inside its group in ``order_cols`` order (make the
-    order columns unique for a deterministic result). No groups = one global order.
-
-    Groups of at most ``hot_rows`` rows are ranked by a plain window (one task holds at
-    most ``hot_rows`` rows); larger groups are split into quantile buckets first.
-    """
-    groups, order_cols = list(group_cols), list(order_cols)
-    first = order_cols[0]
-    d = df.withColumn("_ov", sortable_number(F.col(first), df.schema[first].dataType.simpleString()))
-    sizes = d.groupBy(*groups).agg(F.count(F.lit(1)).alias("_size"))
-    largest = sizes.agg(F.max("_size")).first()[0]
-    if largest is None or largest <= hot_rows:
-        w = Window.partitionBy(*groups).orderBy(*order_cols) if groups else Window.orderBy(*order_cols)
-        return df.withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
-
-    qs = [i / buckets for i in range(1, buckets)]
-    hot_groups = bounded_broadcast(sizes.where(F.col("_size") > hot_rows).drop("_size"))
+def with_blocks(df: DataFrame, group_cols, order_cols, out: str = "_block") -> DataFrame:
+    """Adds the number of the row's block in the order (groups, order columns), NULLs first.
+
+    Rows of the same key stand in one block: make the order columns unique, or aggregate such
+    rows first. Select only the columns that are needed: the rows are written once."""
+    return cut_lineage(df.repartitionByRange(*group_cols, *order_cols).withColumn(out, F.spark_partition_id()))
+
+
+def _before(totals: DataFrame, groups: list[str], how: str) -> DataFrame:
+    """``_before``: what ``_total`` amounts to over the earlier blocks of the group (NULL: none).
+
+    Without groups the blocks are divided into parts of BLOCKS_PER_PART neighbours, whose own
+    totals fit in one row."""
+    agg = {"sum": F.sum, "min": F.min}[how]
     if groups:
-        hot = _null_safe_join(d.select(*groups, "_ov"), hot_groups, groups)
-        bounds = bounded_broadcast(hot.groupBy(*groups).agg(
-            F.percentile_approx("_ov", qs, 10 * buckets).alias("_bounds")))
-        b = _null_safe_join(d, bounds, groups, "left")
-    else:
-        b = attach_one_row(d, d.agg(F.percentile_approx("_ov", qs, 10 * buckets).alias("_bounds")))
-    b = b.withColumn("_bucket", F.when(F.col("_bounds").isNull(), F.lit(0))
-                     .otherwise(lower_bound(F.col("_bounds"), F.col("_ov")))).drop("_bounds")
-    counts = b.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = (Window.partitionBy(*groups) if groups else Window).orderBy("_bucket") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    j = _null_safe_join(b, bounded_broadcast(offsets), [*groups, "_bucket"])
-    inner = Window.partitionBy(*groups, "_bucket").orderBy(*order_cols)
-    return (j.withColumn(out, (F.col("_off") + F.row_number().over(inner) - 1).cast("bigint"))
-            .drop("_bucket", "_off", "_ov"))
-
-
-def _rank_for(p: float, count_col: str = "_cnt") -> Column:
+        w = Window.partitionBy(*groups).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        return totals.withColumn("_before", agg("_total").over(w))
+    parted = totals.withColumn("_part", F.floor(F.col("_block") / BLOCKS_PER_PART))
+    parts = (parted.groupBy("_part").agg(agg("_total").alias("_total"))
+             .agg(F.sort_array(F.collect_list(F.struct("_part", "_total"))).alias("_all")))
+    earlier = lambda i: F.transform(F.slice("_all", F.lit(1), i), lambda p: p["_total"])
+    whole = (lambda i: F.aggregate(earlier(i), F.lit(0).cast("bigint"), lambda a, x: a + x)) if how == "sum" else (lambda i: F.array_min(earlier(i)))
+    above = (parts.select(F.explode(F.transform("_all", lambda p, i: F.struct(p["_part"].alias("_part"), whole(i).alias("_above")))).alias("p"))
+             .select("p._part", "p._above"))
+    w = Window.partitionBy("_part").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    inside = agg("_total").over(w)
+    both = F.coalesce(inside, F.lit(0)) + F.col("_above") if how == "sum" else F.least(inside, "_above")
+    return parted.join(above, "_part").withColumn("_before", both).drop("_part", "_above")
+
+
+def running_sum(df: DataFrame, group_cols, order_cols, value: Column, out: str, total: str | None = None) -> DataFrame:
+    """Sum of ``value`` (whole numbers) over the group's earlier rows; ``total``: over all of them."""
+    groups = list(group_cols)
+    b = with_blocks(df.withColumn("_v", value.cast("bigint")), groups, order_cols)
+    totals = b.groupBy(*groups, "_block").agg(F.sum("_v").alias("_total"))
+    offsets = _before(totals, groups, "sum")
+    if total:
+        offsets = (offsets.withColumn(total, F.sum("_total").over(Window.partitionBy(*groups))) if groups
+                   else offsets.withColumn(total, totals.agg(F.sum("_total")).scalar()))
+    inner = Window.partitionBy("_block", *groups).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
+    return (_null_safe_join(b, offsets.drop("_total"), [*groups, "_block"])
+            .withColumn(out, F.coalesce("_before", F.lit(0)) + F.coalesce(F.sum("_v").over(inner), F.lit(0)))
+            .drop("_block", "_before", "_v"))
+
+
+def running_min(df: DataFrame, group_cols, order_cols, value: str, out: str) -> DataFrame:
+    """Least ``value`` of the group's rows up to and with this one (NULLs don't count)."""
+    groups = list(group_cols)
+    b = with_blocks(df, groups, order_cols)
+    totals = b.groupBy(*groups, "_block").agg(F.min(value).alias("_total"))
+    inner = Window.partitionBy("_block", *groups).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
+    return (_null_safe_join(b, _before(totals, groups, "min").drop("_total"), [*groups, "_block"])
+            .withColumn(out, F.least("_before", F.min(value).over(inner))).drop("_block", "_before"))
+
+
+def positions_within(df: DataFrame, group_cols, order_cols, out: str = "pos") -> DataFrame:
+    """0-based position of each row inside its group in ``order_cols`` order (make the
+    order columns unique for a deterministic result). No groups = one global order."""
+    return running_sum(df, group_cols, order_cols, F.lit(1), out)
+
+
+def _rank_for(p: float, count_col: str) -> Column:
     """1-based rank of the discrete percentile: ``max(1, ceil(p * n))`` in integer arithmetic."""
     frac = Fraction(str(p))
     num, den = frac.numerator, frac.denominator
     return F.expr(f"greatest(CAST(1 AS BIGINT), ({count_col} * {num} + {den - 1}) div {den})")
 
 
-def percentile_disc(df: DataFrame, group_cols, value: str, percentiles: dict[str, float],
-                    ties=(), hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
-    """Exact ``percentile_disc`` per group: for each name -> p, the value at rank ceil(p*n).
+def percentile_disc(df: DataFrame, group_cols, value: str, percentiles: dict[str, float]) -> DataFrame:
+    """Exact ``percentile_disc`` per group, for values of any type with an order: for each
+    name -> p, the value at rank ceil(p * n).
 
-    Positions come from ``positions_within`` (no group sorted in one task); only the
-    rows at the wanted ranks reach the final per-group aggregation.
-    """
+    Rows are first counted per (group, value), so a repeated value is one row; running sums of
+    those counts then give the ranks that a value covers, and all percentiles of a group are
+    picked from one pass over them. Groups without a non-NULL value have no row."""
     groups = list(group_cols)
-    v = df.where(F.col(value).isNotNull())
-    pos = positions_within(v, groups, [value, *ties], out="_pos", hot_rows=hot_rows)
-    sizes = v.groupBy(*groups).agg(F.count(F.lit(1)).alias("_cnt"))
-    ranked = _null_safe_join(pos, sizes, groups)
-    wanted = [(name, _rank_for(p)) for name, p in percentiles.items()]
-    hit = F.lit(False)
-    for _, r in wanted:
-        hit = hit | (F.col("_pos") + 1 == r)
-    picks = ranked.where(hit)
-    return picks.groupBy(*groups).agg(*[
-        F.max(F.when(F.col("_pos") + 1 == r, F.col(value))).alias(name) for name, r in wanted])
+    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running_sum(counts, groups, [value], F.col("_n"), "_first", total="_all")
+    wanted = {name: _rank_for(p, "_all") for name, p in percentiles.items()}
+    covers = {name: (F.col("_first") < r) & (r <= F.col("_first") + F.col("_n")) for name, r in wanted.items()}
+    any_of = F.lit(False)
+    for c in covers.values():
+        any_of = any_of | c
+    return (ranked.where(any_of).groupBy(*groups)
+            .agg(*[F.max(F.when(c, F.col(value))).alias(name) for name, c in covers.items()]))

@@ -4,17 +4,17 @@ version comparison and promotion decisions.
 Inputs are tables: a training log ``(run_id, step, log_key, value)``, per-example
 losses, scored answers, and the model registry ``(model_name, version, stage, run_id)``.
 Latest-per-group picks use ``max_by`` aggregates (partial aggregation, no sort of a
-whole group); running minima are computed per step bucket and stitched by a small
-per-run prefix, so a very long run is not ranked inside one task.
+whole group); running minima are block scans (``ranking.running_min``), so a very long run
+is not ranked inside one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.sizing import attach_one_row, bounded_broadcast
-from ledgerline.operators.ranking import _null_safe_join
+from ledgerline.functions.sizing import attach_one_row
+from ledgerline.operators.ranking import running_min
 
 # Thresholds of the training and promotion rules.
 PERPLEXITY_MAX_LOSS = 10.0
@@ -23,7 +23,6 @@ MAX_REGRESSION_DELTA = 0.10
 MIN_TOOL_CALL_ACCURACY = 0.70
 STRUCTURE_MIN_CHARS = 300
 KEYWORD_HIT_SHARE = 0.5
-STEP_BUCKET = 1024
 
 
 def perplexity(loss: Column, overflow: str = "omit") -> Column:
@@ -33,18 +32,6 @@ def perplexity(loss: Column, overflow: str = "omit") -> Column:
     return F.when(loss < PERPLEXITY_MAX_LOSS, F.exp(loss)).otherwise(fallback)
 
 
-def running_min(df: DataFrame, part: str, order: str, value: str, out: str) -> DataFrame:
-    """Running minimum of ``value`` per ``part`` in ``order``, split by ``order`` buckets."""
-    b = df.withColumn("_b", F.floor(F.col(order) / STEP_BUCKET))
-    bucket_min = b.groupBy(part, "_b").agg(F.min(value).alias("_bm"))
-    prior = Window.partitionBy(part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = bucket_min.withColumn("_carry", F.min("_bm").over(prior)).drop("_bm")
-    inner = Window.partitionBy(part, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return (_null_safe_join(b, carry, [part, "_b"])
-            .withColumn(out, F.least(F.min(value).over(inner), F.coalesce("_carry", F.min(value).over(inner))))
-            .drop("_b", "_carry"))
-
-
 # --- W5 --------------------------------------------------------------------
 def metric_series(logs: DataFrame) -> DataFrame:
     """Trainer logs -> logged metrics ``(run_id, step, metric, value)``.
@@ -62,11 +49,11 @@ def metric_series(logs: DataFrame) -> DataFrame:
         ~is_eval & (key == "loss"), F.lit("train/perplexity"))
     items = F.array(F.struct(name.alias("metric"), v.alias("value")),
                     F.when(ppl_name.isNotNull() & (v < PERPLEXITY_MAX_LOSS),
-                           F.struct(ppl_name.alias("metric"), F.round(F.exp(v), 6).alias("value"))))
+                           F.struct(ppl_name.alias("metric"), F.exp(v).alias("value"))))
     base = logs.select("run_id", "step", F.explode(F.filter(items, lambda x: x.isNotNull())).alias("m")) \
         .select("run_id", "step", "m.metric", "m.value")
     evals = base.where(F.col("metric") == "eval/loss")
-    best = running_min(evals, "run_id", "step", "value", "_best").select(
+    best = running_min(evals, ["run_id"], ["step"], "value", "_best").select(
         "run_id", "step", F.lit("eval/best_loss_so_far").alias("metric"), F.col("_best").alias("value"))
     return base.unionByName(best)
 
@@ -135,9 +122,9 @@ def answer_scores(answers: DataFrame, cases: DataFrame) -> DataFrame:
     """Per answer: tool call as expected, structure, keyword ratio (2 dp) and keyword hit.
 
     ``answers``: ``(answer_id, case_id, answer, tool_calls_made)``; ``cases``: ``(case_id,
-    expected_tool_call, expected_keywords, category)`` (a small broadcast table).
+    expected_tool_call, expected_keywords, category)``.
     """
-    j = answers.join(bounded_broadcast(cases), "case_id")
+    j = answers.join(cases, "case_id")
     low = F.lower(F.coalesce("answer", F.lit("")))
     share = keyword_share(low, F.col("expected_keywords"))
     return j.select("answer_id", "case_id", "category",
@@ -163,9 +150,9 @@ def evaluation_cases(spark) -> DataFrame:
                                        "expected_tool_call boolean, expected_keywords array<string>, category string")
 
 
-def score_summary(scores: DataFrame) -> DataFrame:
-    """Shares of hits over all answers (3 dp): tool accuracy, structure, keyword coverage."""
-    return scores.agg(
+def score_summary(scores: DataFrame, by: str | None = None) -> DataFrame:
+    """Shares of hits over all answers (3 dp), or per ``by``: tool accuracy, structure, keyword coverage."""
+    return (scores.groupBy(by) if by else scores).agg(
         F.round(F.avg(F.col("tool_call_ok").cast("double")), 3).alias("tool_call_accuracy"),
         F.round(F.avg(F.col("structure_ok").cast("double")), 3).alias("structure_score"),
         F.round(F.avg(F.col("keyword_hit").cast("double")), 3).alias("keyword_coverage"),
@@ -218,31 +205,44 @@ def compare_versions(versions: DataFrame, run_loss: DataFrame,
 
 
 def staging_gate(versions: DataFrame, run_loss: DataFrame, max_eval_loss: float = STAGING_MAX_EVAL_LOSS) -> DataFrame:
-    """Per model: the newest version overall, whether its run's eval loss passes the
-    threshold, and the stage it ends in (only None/Archived move to Staging)."""
-    latest = versions.groupBy("model_name").agg(F.max_by(F.struct("version", "stage", "run_id"),
-                                                         F.col("version").cast("bigint")).alias("v")) \
-        .select("model_name", "v.version", "v.stage", "v.run_id")
-    j = latest.join(run_loss.select("run_id", "eval_loss"), "run_id", "left") \
-        .withColumn("eval_loss", F.coalesce("eval_loss", F.lit(999.0)))
-    passes = F.col("eval_loss") < max_eval_loss
-    return j.select("model_name", "version", "run_id", "eval_loss", passes.alias("passes_threshold"),
-                    passes.alias("promoted"),
-                    F.when(~passes, "eval_loss_above_threshold").alias("reason"),
-                    F.when(passes & ~F.col("stage").isin("Staging", "Production"), F.lit("Staging"))
-                    .otherwise(F.col("stage")).alias("new_stage"))
-
-
-def promotion_decision(comparison: DataFrame, summary: DataFrame,
+    """Per trained run ``run_loss(run_id, model_name, eval_loss)``: does its eval loss (999 when
+    missing) pass the threshold, and what follows for the model it was trained for.
+
+    A run above the threshold stops there, whatever is registered. A passing one needs a
+    registered version: without any the reason is ``no_version``; else the model's newest
+    version is promoted, and it ends in Staging unless it is in Staging or Production already.
+    """
+    latest = versions.groupBy("model_name").agg(F.max_by(F.struct("version", "stage"),
+                                                         F.col("version").cast("bigint")).alias("v"))
+    loss = F.coalesce("eval_loss", F.lit(999.0))
+    j = (run_loss.select("run_id", "model_name", loss.alias("eval_loss"), (loss < max_eval_loss).alias("passes_threshold"))
+         .join(latest, "model_name", "left"))
+    promoted = F.col("passes_threshold") & F.col("v").isNotNull()
+    return j.select("run_id", "model_name", "eval_loss", "passes_threshold", promoted.alias("promoted"),
+                    F.when(~F.col("passes_threshold"), "eval_loss_above_threshold")
+                    .when(F.col("v").isNull(), "no_version").alias("reason"),
+                    F.when(promoted, F.col("v.version")).alias("version"),
+                    F.when(promoted & F.coalesce(F.col("v.stage").isin("Staging", "Production"), F.lit(False)), F.col("v.stage"))
+                    .when(promoted, F.lit("Staging")).alias("new_stage"))
+
+
+def promotion_decision(comparison: DataFrame, evaluations: DataFrame,
                        min_tool_accuracy: float = MIN_TOOL_CALL_ACCURACY) -> DataFrame:
-    """All rejection reasons per model; promoted when there is none."""
-    j = attach_one_row(comparison, summary.select("tool_call_accuracy", F.lit(False).alias("eval_error")))
+    """All rejection reasons per model; promoted when there is none.
+
+    ``evaluations``: ``(model_name, tool_call_accuracy, source, error)``, the qualitative
+    evaluation of each model. A missing accuracy counts as 0; ``source = 'error'`` means that the
+    evaluation itself failed, and ``error`` says how.
+    """
+    j = comparison.join(evaluations.select("model_name", "tool_call_accuracy", "source", "error"), "model_name", "left")
+    failed = F.coalesce(F.col("source") == "error", F.lit(False))
     reasons = F.array_compact(F.array(
-        F.when(~F.col("should_promote"), F.lit("regression")),
+        F.when(~F.col("should_promote"), F.concat(F.lit("regression: "), "reason")),
         F.when(F.coalesce(F.col("tool_call_accuracy"), F.lit(0.0)) < min_tool_accuracy, F.lit("tool_accuracy")),
-        F.when(F.col("eval_error"), F.lit("evaluation_error"))))
+        F.when(failed, F.concat(F.lit("evaluation_error: "), F.coalesce("error", F.lit("None"))))))
     return j.select("model_name", "staging_version", "production_version", reasons.alias("rejection_reasons"),
-                    (F.size(reasons) == 0).alias("promoted"))
+                    (F.size(reasons) == 0).alias("promoted"),
+                    F.when(F.size(reasons) == 0, "Production").otherwise("Staging").alias("model_stage"))
 
 
 def apply_promotion(versions: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -1,55 +1,32 @@
 """Reproducible shuffles and stratified train/val/test splits.
 
 Order comes from ``sha1("<seed>:<id>")``, never from ``rand()``, so the result does
-not depend on partitioning or retries. Positions in a global order are computed
-without a single-task window: rows are counted per (group, hash bucket), the
-small count table gives every bucket its offset, and rows are ranked only inside
-their bucket. A bucket is a hash prefix, so ordering by (group, bucket, hash)
-equals ordering by (group, hash), while a stratum holding a third of the data is
-spread over 4,096 tasks.
+not depend on partitioning or retries. Positions in a global order come from block scans
+(``ranking.running_sum``): blocks of about sqrt(n) rows, so neither a stratum that holds a
+third of the data nor the whole order is sorted in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.sizing import bounded_broadcast
-from ledgerline.operators.ranking import _null_safe_join
+from ledgerline.operators.ranking import positions_within
 
 SEED = 42
-BUCKET_HEX_DIGITS = 3  # 4,096 buckets per group
 
 
 def seeded_hash(id_col: str, seed: int = SEED) -> Column:
     return F.sha1(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
 
 
-def global_positions(df: DataFrame, order_hash: str, id_col: str, group_cols=(), out: str = "pos",
-                     bucket: Column | None = None) -> DataFrame:
-    """0-based position of each row in the order (group_cols, order_hash, id_col).
-
-    ``bucket`` must be monotonic in the order key; by default it is the hash prefix.
-    """
-    groups = list(group_cols)
-    b = df.withColumn("_bucket", bucket if bucket is not None else F.substring(order_hash, 1, BUCKET_HEX_DIGITS))
-    counts = b.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    # Running sum over at most (#groups x 4,096) rows: the one small single-task step.
-    running = Window.orderBy(*groups, "_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(running), F.lit(0))).drop("_n")
-    inner = Window.partitionBy(*groups, "_bucket").orderBy(order_hash, id_col)
-    return (_null_safe_join(b, bounded_broadcast(offsets), [*groups, "_bucket"])
-            .withColumn(out, (F.col("_off") + F.row_number().over(inner) - 1).cast("bigint"))
-            .drop("_bucket", "_off"))
+def global_positions(df: DataFrame, order_hash: str, id_col: str, group_cols=(), out: str = "pos") -> DataFrame:
+    """0-based position of each row in the order (group_cols, order_hash, id_col)."""
+    return positions_within(df, [], [*group_cols, order_hash, id_col], out=out)
 
 
 def positions_by_order(df: DataFrame, order_cols, out: str = "pos") -> DataFrame:
-    """0-based position of each row in the total order ``order_cols`` (must be unique).
-
-    Quantile buckets of the first order column split the data evenly whatever the
-    key distribution (outliers included); see ``ranking.positions_within``.
-    """
-    from ledgerline.operators.ranking import positions_within
+    """0-based position of each row in the total order ``order_cols`` (must be unique)."""
     return positions_within(df, [], order_cols, out=out)
 
 

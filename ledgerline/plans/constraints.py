@@ -15,40 +15,98 @@ NOW = "2025-01-01 00:00:00"
 BEFORE = "2024-01-01 00:00:00"
 
 
-@query("domain_violations", "D1", oracle=with_chain("startups") + f"""
-SELECT id, 'name' AS "column", 'not_null' AS rule, CAST(name AS VARCHAR) AS value FROM startups WHERE name IS NULL
-UNION ALL SELECT id, 'sector', 'not_null', sector FROM startups WHERE sector IS NULL
-UNION ALL SELECT id, 'stage', 'not_null', stage FROM startups WHERE stage IS NULL
-UNION ALL SELECT id, 'outcome', 'not_null', outcome FROM startups WHERE outcome IS NULL
-UNION ALL SELECT id, 'stage', 'domain', stage FROM startups WHERE stage NOT IN {tuple(STAGES)}
-UNION ALL SELECT id, 'outcome', 'domain', outcome FROM startups WHERE outcome NOT IN {tuple(OUTCOMES)}
-UNION ALL SELECT id, 'name', 'max_length', name FROM startups WHERE length(name) > 255
-UNION ALL SELECT id, 'sector', 'max_length', sector FROM startups WHERE length(sector) > 100
-UNION ALL SELECT id, 'region', 'max_length', region FROM startups WHERE length(region) > 100
-UNION ALL SELECT id, 'country', 'max_length', country FROM startups WHERE length(country) > 100
-UNION ALL SELECT id, 'mrr', 'precision', CAST(mrr AS VARCHAR) FROM startups WHERE abs(mrr) >= 1e10
-UNION ALL SELECT id, 'founding_year', 'domain', CAST(founding_year AS VARCHAR) FROM startups
-  WHERE founding_year NOT IN (2000, 2001, 2002, 2003, 2004, 2005, 2006, 2007, 2008, 2009, 2010, 2011, 2012,
-                              2013, 2014, 2015, 2016, 2017, 2018, 2019, 2020)
+# The rules written out by hand, one line each: table, key, column, rule, SQL condition.
+STAGE_SET = "('idea', 'pre-seed', 'seed', 'series-a', 'series-b', 'growth', 'mature')"
+OUTCOME_SET = "('success', 'failure', 'pivot', 'acquired', 'ongoing')"
+CONDITIONS = {
+    "startups": [
+        *[(c, "not_null", f"{c} IS NULL") for c in ("name", "sector", "stage", "description", "outcome")],
+        ("stage", "domain", f"stage NOT IN {STAGE_SET}"), ("outcome", "domain", f"outcome NOT IN {OUTCOME_SET}"),
+        ("name", "max_length", "length(name) > 255"), ("sector", "max_length", "length(sector) > 100"),
+        ("region", "max_length", "length(region) > 100"), ("country", "max_length", "length(country) > 100"),
+        ("mrr", "precision", "abs(mrr) >= 10000000000")],
+    "pivot_cases": [
+        *[(c, "not_null", f"{c} IS NULL") for c in ("pivot_type", "trigger_signal", "before_model", "after_model", "outcome")],
+        ("outcome", "domain", f"outcome NOT IN {OUTCOME_SET}"), ("pivot_type", "max_length", "length(pivot_type) > 100"),
+        ("startup_id", "reference", "startup_id IS NOT NULL AND startup_id NOT IN (SELECT id FROM loaded_startups)")],
+    "risk_patterns": [
+        *[(c, "not_null", f"{c} IS NULL") for c in ("pattern_name", "criticality", "description", "simple_explain", "warning_signals", "mitigation")],
+        ("stage", "domain", f"stage NOT IN {STAGE_SET}"), ("criticality", "domain", "criticality NOT IN ('critical', 'high', 'medium', 'low')"),
+        ("pattern_name", "max_length", "length(pattern_name) > 255"), ("sector", "max_length", "length(sector) > 100"),
+        ("category", "max_length", "length(category) > 100")],
+    "sector_benchmarks": [
+        *[(c, "not_null", f"{c} IS NULL") for c in ("sector", "stage", "metric_name", "unit", "context")],
+        ("stage", "domain", f"stage NOT IN {STAGE_SET}"), ("sector", "max_length", "length(sector) > 100"),
+        ("metric_name", "max_length", "length(metric_name) > 100"), ("unit", "max_length", "length(unit) > 50")],
+    "lean_concepts": [
+        *[(c, "not_null", f"{c} IS NULL") for c in ("concept_name", "category", "technical_def", "simple_def", "example")],
+        ("category", "domain", "category NOT IN ('framework', 'metric', 'strategy', 'principle', 'tool')"),
+        ("concept_name", "max_length", "length(concept_name) > 255")],
+    "investment_criteria": [
+        *[(c, "not_null", f"{c} IS NULL")
+          for c in ("investor_profile", "stage", "criterion_name", "weight", "description", "red_flags", "green_flags")],
+        ("investor_profile", "domain", "investor_profile NOT IN ('angel', 'vc', 'impact', 'strategic', 'crowdfunding')"),
+        ("stage", "domain", f"stage NOT IN {STAGE_SET}"), ("weight", "domain", "weight NOT IN ('critical', 'important', 'nice-to-have')"),
+        ("criterion_name", "max_length", "length(criterion_name) > 255")],
+}
+TABLES = tuple(CONDITIONS)
+VIOLATIONS_SQL = with_chain(*[f"loaded_{t}" for t in TABLES]).rstrip() + ", found AS (" + " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, CAST(id AS VARCHAR) AS \"key\", '{c}' AS \"column\", '{r}' AS rule, CAST({c} AS VARCHAR) AS value "
+    f"FROM loaded_{t} WHERE {cond}" for t, rows in CONDITIONS.items() for c, r, cond in rows) + """
+ UNION ALL SELECT 'sector_benchmarks', id, 'metric_name', 'unique', sector || '|' || stage || '|' || metric_name FROM loaded_sector_benchmarks
+   WHERE sector IS NOT NULL AND stage IS NOT NULL AND (sector, stage, metric_name) IN (SELECT (sector, stage, metric_name) FROM loaded_sector_benchmarks
+                                          GROUP BY sector, stage, metric_name HAVING count(*) > 1)
+ UNION ALL SELECT 'lean_concepts', CAST(id AS VARCHAR), 'concept_name', 'unique', concept_name FROM loaded_lean_concepts
+   WHERE concept_name IN (SELECT concept_name FROM loaded_lean_concepts GROUP BY concept_name HAVING count(*) > 1))
+"""
+
+
+def _loaded(spark, sf_dir, *names):
+    return {n: adapter(spark, sf_dir, f"loaded_{n}") for n in names or TABLES}
+
+
+@query("rule_violations", "D1+D2+J9", oracle=VIOLATIONS_SQL + "SELECT * FROM found")
+def q_rule_violations(spark, sf_dir):
+    return C.rule_violations(_loaded(spark, sf_dir))
+
+
+CHECKED = [(t, c, r) for t, rows in CONDITIONS.items() for c, r, _ in rows] + [
+    ("sector_benchmarks", "metric_name", "unique"), ("lean_concepts", "concept_name", "unique")]
+UNCHECKED = [("startups", "subsector", "max_length"), ("startups", "business_model", "max_length"), ("startups", "source", "max_length"),
+             ("startups", "growth_rate_monthly", "precision"), ("pivot_cases", "trigger_metric", "max_length"),
+             ("risk_patterns", "impact_on_runway", "max_length"), ("risk_patterns", "time_to_impact", "max_length"),
+             ("sector_benchmarks", "source", "max_length"), ("lean_concepts", "source_whitepaper", "max_length"),
+             ("lean_concepts", "source_page", "max_length"), ("investment_criteria", "criterion_category", "max_length")]
+
+
+@query("rule_summary", "D1", oracle=VIOLATIONS_SQL + ", rules AS (SELECT * FROM (VALUES " + ", ".join(
+    f"('{t}', '{c}', '{r}', {str((t, c, r) in CHECKED).lower()})" for t, c, r in CHECKED + UNCHECKED)
+    + """) v(table_name, "column", rule, checked))
+SELECT r.table_name, r."column", r.rule, r.checked, CASE WHEN r.checked THEN count(f."key") END AS n_rows
+FROM rules r LEFT JOIN found f ON f.table_name = r.table_name AND f."column" = r."column" AND f.rule = r.rule
+GROUP BY r.table_name, r."column", r.rule, r.checked
 """)
+def q_rule_summary(spark, sf_dir):
+    return C.rule_summary(_loaded(spark, sf_dir)).drop("argument")
+
+
+@query("domain_violations", "D1", oracle=with_chain("loaded_startups").rstrip() + " " + " UNION ALL ".join(
+    f"SELECT id, '{c}' AS \"column\", '{r}' AS rule, CAST({c} AS VARCHAR) AS value FROM loaded_startups WHERE {cond}"
+    for c, r, cond in CONDITIONS["startups"]))
 def q_domain_violations(spark, sf_dir):
-    st = adapter(spark, sf_dir, "startups")
-    # The founding-year rule is a data-quality domain on top of the DDL (years after 2020 flagged).
-    years = [str(y) for y in range(2000, 2021)]
     return C.domain_violations(
-        st.withColumn("founding_year", F.col("founding_year").cast("string")), "id",
-        not_null=("name", "sector", "stage", "outcome"),
-        domains={"stage": STAGES, "outcome": OUTCOMES, "founding_year": years},
-        max_length={"name": 255, "sector": 100, "region": 100, "country": 100},
-        max_abs={"mrr": 1e10})
+        adapter(spark, sf_dir, "loaded_startups"), "id", not_null=("name", "sector", "stage", "description", "outcome"),
+        domains={"stage": STAGES, "outcome": OUTCOMES},
+        max_length={"name": 255, "sector": 100, "region": 100, "country": 100}, max_abs={"mrr": 1e10})
 
 
-@query("concept_domain_violations", "D1", oracle=with_chain("lean_concepts") + f"""
-SELECT id, 'category' AS "column", 'domain' AS rule, category AS value FROM lean_concepts WHERE category NOT IN {tuple(LEAN_CATEGORIES)}
-UNION ALL SELECT id, 'concept_name', 'max_length', concept_name FROM lean_concepts WHERE length(concept_name) > 255
+@query("concept_domain_violations", "D1", oracle=with_chain("loaded_lean_concepts") + """
+SELECT id, 'category' AS "column", 'domain' AS rule, category AS value FROM loaded_lean_concepts
+WHERE category NOT IN ('framework', 'metric', 'strategy', 'principle', 'tool')
+UNION ALL SELECT id, 'concept_name', 'max_length', concept_name FROM loaded_lean_concepts WHERE length(concept_name) > 255
 """)
 def q_concept_domain_violations(spark, sf_dir):
-    return C.domain_violations(adapter(spark, sf_dir, "lean_concepts"), "id",
+    return C.domain_violations(adapter(spark, sf_dir, "loaded_lean_concepts"), "id",
                                domains={"category": LEAN_CATEGORIES}, max_length={"concept_name": 255})
 
 
@@ -75,22 +133,24 @@ def q_concept_name_unique(spark, sf_dir):
     return C.unique_violations(planted, ["concept_name"])
 
 
-@query("orphan_rows", "J9", oracle="""
-SELECT o.o_orderkey, o.o_custkey, o.o_totalprice FROM orders o WHERE o.o_custkey IS NOT NULL
-  AND NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey)
+@query("orphan_rows", "J9", oracle=with_chain("loaded_pivot_cases") + """
+SELECT p.id, p.startup_id, p.pivot_type FROM loaded_pivot_cases p WHERE p.startup_id IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = p.startup_id)
 """)
 def q_orphan_rows(spark, sf_dir):
-    orders = adapter(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    return C.orphan_rows(orders, adapter(spark, sf_dir, "customer"), "o_custkey", "c_custkey")
+    pivots = adapter(spark, sf_dir, "loaded_pivot_cases").select("id", "startup_id", "pivot_type")
+    return C.orphan_rows(pivots, adapter(spark, sf_dir, "customer"), "startup_id", "c_custkey")
 
 
 @query("orphan_lineitems", "J9", oracle="""
 SELECT l_orderkey, l_linenumber FROM lineitem l
-WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey)
+WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey AND o.o_orderstatus <> 'P')
 """)
 def q_orphan_lineitems(spark, sf_dir):
+    # the line items whose orders were archived
     li = adapter(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
-    return C.orphan_rows(li, adapter(spark, sf_dir, "orders"), "l_orderkey", "o_orderkey")
+    kept = adapter(spark, sf_dir, "orders").where("o_orderstatus <> 'P'")
+    return C.orphan_rows(li, kept, "l_orderkey", "o_orderkey")
 
 
 @query("cascade_delete", "D5", oracle=with_chain("startups", "pivot_cases") + """

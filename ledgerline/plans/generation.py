@@ -1,5 +1,6 @@
 """Registered generation queries (survey 2.8 G1-G7, F1, F20): examples are seeded from
-the ids of a given table, so the work grows with it."""
+the ids of a given table, so the work grows with it. The oracles spell out seeds, weights and
+vocabularies by themselves."""
 
 from __future__ import annotations
 
@@ -9,21 +10,36 @@ from ledgerline.operators import generate as G
 from ledgerline.operators import quality as Q
 from ledgerline.operators import splits as S
 from ledgerline.plans.registry import query
-from ledgerline.sources.adapters import adapter
+from ledgerline.sources import jsonl as J
+from ledgerline.sources.adapters import adapter, with_chain
 
 
 def _ids(spark, sf_dir):
     return adapter(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
 
 
-def _u(field, seed=G.SEED):
-    return f"(CAST('0x' || substr(sha1('{seed}:{field}:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0)"
+def _hard_ids(spark, sf_dir):
+    return adapter(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id")).distinct()
 
 
-def _choice_sql(u, values, weights):
-    edges = G.cumulative(weights)[:-1]
-    whens = " ".join(f"WHEN {u} < {e!r} THEN '{v}'" for v, e in zip(values[:-1], edges))
-    return f"CASE {whens} ELSE '{values[-1]}' END"
+def _catalogues(spark, sf_dir):
+    return G.Catalogues(*[adapter(spark, sf_dir, f"gen_{n}") for n in ("risks", "strengths", "concepts", "criteria", "contexts", "branches")])
+
+
+def _u(field, seed=42, ident="id"):
+    return f"(CAST('0x' || substr(sha1('{seed}:{field}:' || CAST({ident} AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0)"
+
+
+LABEL_SQL = {False: "CASE WHEN {u} < 0.36 THEN 'Green Flag' WHEN {u} < 0.75 THEN 'Red Flag' ELSE 'Mixed' END",
+             True: "CASE WHEN {u} < 0.31 THEN 'Green Flag' WHEN {u} < 0.68 THEN 'Red Flag' ELSE 'Mixed' END"}
+DIFFICULTY_SQL = {
+    False: "CASE WHEN {u} < 0.30 THEN 'Explicite' WHEN {u} < 0.68 THEN 'Implicite' WHEN {u} < 0.86 THEN 'Ambigu' ELSE 'Mixte' END",
+    True: "CASE WHEN {u} < 0.15 THEN 'Explicite' WHEN {u} < 0.55 THEN 'Implicite' WHEN {u} < 0.85 THEN 'Ambigu' ELSE 'Mixte' END"}
+SECTORS_SQL = ("['SaaS B2B', 'Marketplace', 'Fintech', 'Healthtech', 'Edtech', 'Agritech', 'E-commerce', 'Deeptech', 'Web3', 'Cleantech', "
+               "'Proptech', 'Adtech', 'Insurtech', 'Logistique', 'Foodtech']", 15)
+STAGES_SQL = ("['Idéation', 'Pre-Seed', 'Seed', 'Series A', 'Post-Pivot']", 5)
+REGIONS_SQL = ("['France', 'Afrique subsaharienne', 'Maroc', 'USA', 'Europe', 'Asie du Sud-Est']", 6)
+PROFILES_SQL = ("['angel', 'vc', 'impact', 'strategic', 'entrepreneur']", 5)
 
 
 QUOTA_SQL = """
@@ -43,208 +59,233 @@ def q_category_quotas(spark, sf_dir):
 
 
 @query("weighted_choice", "G2", oracle=f"""
-SELECT doc_id AS id, {_u('tool')} < 0.35 AS has_tool_use,
-  {_choice_sql(_u('label'), G.LABELS, G.LABEL_WEIGHTS)} AS drawn_label,
-  {_choice_sql(_u('difficulty'), G.DIFFICULTIES, G.DIFFICULTY_WEIGHTS)} AS drawn_difficulty
+SELECT doc_id AS id, {_u('tool', ident='doc_id')} < 0.35 AS has_tool_use,
+  {LABEL_SQL[False].format(u=_u('label', ident='doc_id'))} AS drawn_label,
+  {DIFFICULTY_SQL[False].format(u=_u('difficulty', ident='doc_id'))} AS drawn_difficulty
 FROM documents
 """)
 def q_weighted_choice(spark, sf_dir):
     return G.draws(_ids(spark, sf_dir)).select("id", "has_tool_use", "drawn_label", "drawn_difficulty")
 
 
-def _lit_list(values):
-    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
-
-
-def _generated_sql(hard: bool = False, extra: bool = False):
-    seed = G.HARD_SEED if hard else G.SEED
-
-    def draw(field):
-        return _u(field, seed)
-
-    lw = G.LABEL_WEIGHTS_HARD if hard else G.LABEL_WEIGHTS
-    dw = G.DIFFICULTY_WEIGHTS_HARD if hard else G.DIFFICULTY_WEIGHTS
-    danger_label = f"CASE WHEN {draw('mixed')} < 0.75 THEN 'Red Flag' ELSE 'Mixed' END" if hard else "'Red Flag'"
-    simple_diff = f"CASE WHEN {draw('simple_difficulty')} < 0.5 THEN 'Explicite' ELSE 'Implicite' END" if hard \
-        else "'Explicite'"
-    n_r, n_g, n_c = len(G.RISK_SIGNALS), len(G.GREEN_SIGNALS), len(G.CONCEPTS)
-    pick = lambda values, field: f"{_lit_list(values)}[CAST(floor({draw(field)} * {len(values)}) AS INTEGER) + 1]"
-    r1 = f"CAST(floor({draw('risk')} * {n_r}) AS INTEGER)"
-    r2 = f"(({r1} + 1 + CAST(floor({draw('risk2')} * {n_r - 1}) AS INTEGER)) % {n_r})"
-    rname, rprin, rsev = (_lit_list([r[i] for r in G.RISK_SIGNALS]) for i in (0, 1, 2))
-    gprin = _lit_list([g[1] for g in G.GREEN_SIGNALS])
-    cprin = _lit_list([c[1] for c in G.CONCEPTS])
-    gname = _lit_list([g[0] for g in G.GREEN_SIGNALS])
-    cname = _lit_list([c[0] for c in G.CONCEPTS])
-    more = ""
-    if extra:
-        more = """,
-  CASE WHEN category = 'simplification_concept' THEN cn
-       WHEN category = 'identification_des_dangers' THEN rn1 || ' et ' || rn2
-       WHEN label = 'Green Flag' THEN gn ELSE rn1 END AS _subject,
-  sector_pick AS _sector_pick, stage_pick AS _stage_pick, region_pick AS _region_pick, pos AS _pos, rn1 AS _rn1"""
+CATALOGUE_ADAPTERS = ("gen_risks", "gen_strengths", "gen_concepts", "gen_criteria", "gen_contexts", "gen_branches")
+
+
+def _set_sql(name: str, ids: str, hard: bool = False) -> str:
+    """CTEs ``<name>_...`` of one set, the last one ``<name>`` with every field of an example."""
+    seed = 141 if hard else 42
+    u = lambda field: _u(field, seed)
+    one = lambda values, field: f"{values[0]}[CAST(floor({u(field)} * {values[1]}) AS INTEGER) + 1]"
+    place = lambda cat, field: f"CAST(floor({u(field)} * (SELECT count(*) FROM {cat})) AS BIGINT)"
+    second = lambda cat, field: (f"(({place(cat, field)} + 1 + CAST(floor({u(field + '2')} * greatest((SELECT count(*) FROM {cat}) - 1, 1)) AS BIGINT)) "
+                                 f"% (SELECT count(*) FROM {cat}))")
+    danger_label = f"CASE WHEN {u('mixed')} < 0.75 THEN 'Red Flag' ELSE 'Mixed' END" if hard else "'Red Flag'"
+    simple = f"CASE WHEN {u('simple_difficulty')} < 0.5 THEN 'Explicite' ELSE 'Implicite' END" if hard else "'Explicite'"
     return f"""
-WITH p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents),
-q AS (SELECT doc_id, pos,
+{name}_p AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS pos, count(*) OVER () AS n FROM ({ids})),
+{name}_q AS (SELECT id, pos,
   CASE WHEN pos < floor(n * 0.32) THEN 'diagnostic_complet'
        WHEN pos < floor(n * 0.32) + floor(n * 0.25) THEN 'identification_des_dangers'
        WHEN pos < floor(n * 0.32) + floor(n * 0.25) + floor(n * 0.28) THEN 'evaluation_investissement'
        ELSE 'simplification_concept' END AS category,
-  {draw('tool')} < 0.35 AS has_tool_use,
-  {_choice_sql(draw('label'), G.LABELS, lw)} AS drawn_label,
-  {_choice_sql(draw('difficulty'), G.DIFFICULTIES, dw)} AS drawn_difficulty,
-  {danger_label} AS danger_label, {simple_diff} AS simple_difficulty,
-  {pick(G.SECTORS, 'sector')} AS sector_pick, {pick(G.STAGES, 'stage')} AS stage_pick,
-  {pick(G.REGIONS, 'region')} AS region_pick, {pick(G.INVESTOR_PROFILES, 'profile')} AS profile_pick,
-  {rsev}[{r1} + 1] AS sev1, {rsev}[{r2} + 1] AS sev2, {rprin}[{r1} + 1] AS rprin,
-  {gprin}[CAST(floor({draw('strength')} * {n_g}) AS INTEGER) + 1] AS gprin,
-  {cprin}[CAST(floor({draw('concept')} * {n_c}) AS INTEGER) + 1] AS cprin,
-  {rname}[{r1} + 1] AS rn1, {rname}[{r2} + 1] AS rn2,
-  {gname}[CAST(floor({draw('strength')} * {n_g}) AS INTEGER) + 1] AS gn,
-  {cname}[CAST(floor({draw('concept')} * {n_c}) AS INTEGER) + 1] AS cn
-  FROM p),
-l AS (SELECT *,
-  CASE WHEN category IN ('diagnostic_complet', 'evaluation_investissement') THEN drawn_label
-       WHEN category = 'identification_des_dangers' THEN danger_label ELSE 'Green Flag' END AS label
-  FROM q)
-SELECT pos AS example_id, printf('lean-%05d', pos) AS example_key, category, label AS "Label",
-  CASE WHEN category = 'identification_des_dangers' THEN CASE WHEN sev1 = 'Fatal' OR sev2 = 'Fatal' THEN 'Fatal' ELSE 'Majeur' END
-       WHEN category = 'simplification_concept' THEN 'Non applicable'
-       WHEN label = 'Green Flag' THEN 'Non applicable' ELSE sev1 END AS "Severity",
-  CASE WHEN category = 'simplification_concept' THEN simple_difficulty ELSE drawn_difficulty END AS "Difficulty",
-  CASE WHEN category = 'simplification_concept' THEN 'universal' ELSE sector_pick END AS sector,
-  CASE WHEN category IN ('diagnostic_complet', 'evaluation_investissement') THEN stage_pick ELSE 'non applicable' END AS stage,
-  CASE WHEN category IN ('diagnostic_complet', 'evaluation_investissement') THEN region_pick ELSE 'non applicable' END AS region,
-  profile_pick AS investor_profile, has_tool_use,
-  CASE WHEN category = 'simplification_concept' THEN cprin WHEN category = 'identification_des_dangers' THEN rprin
-       WHEN label = 'Green Flag' THEN gprin ELSE rprin END AS lean_principle,
-  {str(hard).lower()} AS hard_eval, CAST(CASE WHEN has_tool_use THEN 5 ELSE 3 END AS BIGINT) AS n_messages{more}
-FROM l
-"""
+  {u('tool')} < 0.35 AS tools, {LABEL_SQL[hard].format(u=u('label'))} AS drawn_label, {DIFFICULTY_SQL[hard].format(u=u('difficulty'))} AS drawn_difficulty,
+  {danger_label} AS danger_label, {simple} AS simple_difficulty, {u('form')} AS u_form,
+  {one(SECTORS_SQL, 'sector')} AS sector, {one(STAGES_SQL, 'stage')} AS stage, {one(REGIONS_SQL, 'region')} AS region, {one(PROFILES_SQL, 'profile')} AS profile,
+  {place('gen_risks', 'risk')} AS r1, {second('gen_risks', 'risk')} AS r2, {place('gen_strengths', 'strength')} AS s1,
+  {place('gen_concepts', 'concept')} AS c1, {place('gen_criteria', 'criterion')} AS k1, {second('gen_criteria', 'criterion')} AS k2,
+  {place('gen_contexts', 'context')} AS x1
+  FROM {name}_p),
+{name}_l AS (SELECT *,
+  CASE category WHEN 'identification_des_dangers' THEN danger_label WHEN 'simplification_concept' THEN 'Green Flag' ELSE drawn_label END AS label,
+  CASE WHEN category = 'simplification_concept' THEN simple_difficulty ELSE drawn_difficulty END AS difficulty FROM {name}_q),
+{name}_f AS (SELECT q.*, ra.name AS ra_name, ra.principle AS ra_principle, ra.severity AS ra_severity, ra.slug AS ra_slug, ra.explicit AS ra_explicit,
+    ra.implicit AS ra_implicit, ra.why AS ra_why, rb.name AS rb_name, rb.principle AS rb_principle, rb.severity AS rb_severity, rb.slug AS rb_slug,
+    rb.explicit AS rb_explicit, rb.implicit AS rb_implicit, rb.why AS rb_why, st.name AS st_name, st.principle AS st_principle, st.evidence AS st_evidence,
+    st.why AS st_why, co.name AS co_name, co.principle AS co_principle, co.simple_def, co.analogy, ka.criterion_name AS ka_name, ka.weight AS ka_weight,
+    ka.simple_rule AS ka_rule, kb.criterion_name AS kb_name, kb.weight AS kb_weight, kb.simple_rule AS kb_rule, cx.context,
+    CASE WHEN category = 'identification_des_dangers' THEN CASE WHEN ra.severity = 'Fatal' OR rb.severity = 'Fatal' THEN 'Fatal' ELSE 'Majeur' END
+         WHEN category = 'simplification_concept' OR label = 'Green Flag' THEN 'Non applicable' ELSE ra.severity END AS severity,
+    CASE WHEN category = 'simplification_concept' THEN co.principle WHEN category <> 'identification_des_dangers' AND label = 'Green Flag' THEN st.principle
+         ELSE ra.principle END AS principle
+  FROM {name}_l q JOIN n_risks ra ON ra.pos = q.r1 JOIN n_risks rb ON rb.pos = q.r2 JOIN n_strengths st ON st.pos = q.s1
+    JOIN n_concepts co ON co.pos = q.c1 JOIN n_criteria ka ON ka.pos = q.k1 JOIN n_criteria kb ON kb.pos = q.k2 JOIN n_contexts cx ON cx.pos = q.x1),
+{name} AS (SELECT f.*, b.system_plain, b.system_tools, b.evidence, b.answer, b.sql, string_split(b.users, '#') AS forms,
+    CASE WHEN list_contains(string_split(b.implicit_for, '#'), f.difficulty) THEN 'implicit' ELSE 'explicit' END AS mode
+  FROM {name}_f f JOIN gen_branches b ON b.category = f.category AND b.label = f.label)"""
+
+
+FIELDS = {
+    "evidence": "evidence", "risk.mode": "CASE mode WHEN 'implicit' THEN ra_implicit ELSE ra_explicit END",
+    "risk2.mode": "CASE mode WHEN 'implicit' THEN rb_implicit ELSE rb_explicit END", "idx": "CAST(pos AS VARCHAR)", "sector": "sector", "stage": "stage",
+    "region": "region", "profile": "profile", "stage_slug": "translate(lower(stage), 'éèê -', 'eee__')", "label": "label", "severity": "severity",
+    "difficulty": "difficulty", "principle": "principle", "context": "context", "risk.name": "ra_name", "risk.slug": "ra_slug", "risk.why": "ra_why",
+    "risk2.name": "rb_name", "risk2.slug": "rb_slug", "strength.evidence": "st_evidence", "strength.why": "st_why", "concept.name": "co_name",
+    "concept.simple_def": "simple_def", "concept.analogy": "analogy"}
+
+
+def _filled(template: str) -> str:
+    for field, value in FIELDS.items():
+        template = f"replace({template}, '{{{field}}}', {value})"
+    return template
+
+
+NUMBERED = with_chain(*CATALOGUE_ADAPTERS).rstrip() + "".join(
+    f", n_{t} AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS pos FROM gen_{t})" for t in ("risks", "strengths", "concepts", "criteria", "contexts")) + ","
+PLAIN_IDS, HARD_IDS = "SELECT doc_id AS id FROM documents", "SELECT DISTINCT conv_id AS id FROM conversations"
+RESULT_SQL = """'{"status":"success","row_count":' || CASE WHEN category IN ('identification_des_dangers', 'evaluation_investissement') THEN '2' ELSE '1' END
+  || ',"execution_time_ms":8.4,"data":' || CAST(CASE category
+    WHEN 'identification_des_dangers' THEN to_json([{'pattern_name': ra_name, 'criticality': ra_severity, 'simple_explain': ra_why, 'lean_principle': ra_principle},
+                                                    {'pattern_name': rb_name, 'criticality': rb_severity, 'simple_explain': rb_why, 'lean_principle': rb_principle}])
+    WHEN 'evaluation_investissement' THEN to_json([{'criterion_name': ka_name, 'weight': CASE WHEN severity = 'Fatal' THEN 'critical' ELSE ka_weight END, 'simple_rule': ka_rule},
+                                                   {'criterion_name': kb_name, 'weight': kb_weight, 'simple_rule': kb_rule}])
+    WHEN 'simplification_concept' THEN to_json([{'concept_name': co_name, 'simple_def': simple_def, 'analogy': analogy, 'lean_principle': principle}])
+    ELSE to_json([{'pattern_name': ra_name, 'criticality': severity, 'simple_explain': ra_why, 'lean_principle': principle}]) END AS VARCHAR) || '}'"""
+
+
+def _turns_sql(name: str) -> str:
+    """CTE ``<name>_t(pos, turn, role, content)``."""
+    call = ("'<|tool_call_start|>{\"name\": \"query_postgresql\", \"parameters\": {\"sql\": \"' || " + _filled("sql")
+            + " || '\"}}<|tool_call_end|>'")
+    user = _filled("forms[CAST(floor(u_form * len(forms)) AS INTEGER) + 1]")
+    return f"""
+{name}_t AS (
+  SELECT pos, 0 AS turn, 'system' AS role, CASE WHEN tools THEN system_tools ELSE system_plain END AS content FROM {name}
+  UNION ALL SELECT pos, 1, 'user', {user} FROM {name}
+  UNION ALL SELECT pos, 2, 'assistant', {call} FROM {name} WHERE tools
+  UNION ALL SELECT pos, 3, 'tool', {RESULT_SQL} FROM {name} WHERE tools
+  UNION ALL SELECT pos, CASE WHEN tools THEN 4 ELSE 2 END, 'assistant', {_filled('answer')} FROM {name})"""
+
+
+META_COLUMNS = """printf('lean-%05d', pos) AS example_key, category, label AS "Label", severity AS "Severity", difficulty AS "Difficulty",
+  CASE WHEN category = 'simplification_concept' THEN 'universal' ELSE sector END AS sector,
+  CASE WHEN category IN ('diagnostic_complet', 'evaluation_investissement') THEN stage ELSE 'non applicable' END AS stage,
+  CASE WHEN category IN ('diagnostic_complet', 'evaluation_investissement') THEN region ELSE 'non applicable' END AS region,
+  profile AS investor_profile, tools AS has_tool_use, principle AS lean_principle"""
+PLAIN = NUMBERED + _set_sql("g", PLAIN_IDS)
 
 
-@query("generated_examples", "G3-G6", oracle=_generated_sql())
+@query("generated_examples", "G3-G6", oracle=PLAIN + "," + _turns_sql("g") + """
+SELECT pos AS example_id, CAST(turn AS BIGINT) AS turn, role, content FROM g_t
+""")
 def q_generated_examples(spark, sf_dir):
-    meta, msgs = G.generate_examples(_ids(spark, sf_dir))
-    counts = msgs.groupBy("example_id").agg(F.count(F.lit(1)).alias("n_messages"))
-    return meta.join(counts, "example_id", "left")
+    _, msgs = G.generate_examples(_ids(spark, sf_dir), _catalogues(spark, sf_dir))
+    return msgs.drop("hard_eval")
+
+
+@query("generated_metadata", "G3-G6", oracle=PLAIN + f" SELECT pos AS example_id, false AS hard_eval, {META_COLUMNS} FROM g")
+def q_generated_metadata(spark, sf_dir):
+    return G.generate_examples(_ids(spark, sf_dir), _catalogues(spark, sf_dir))[0]
 
 
-@query("hard_eval_examples", "G7", oracle="WITH gen AS (" + _generated_sql(hard=True) + """)
-SELECT category, "Label", count(*) AS n FROM gen GROUP BY category, "Label"
+@query("hard_eval_examples", "G7", oracle=NUMBERED + _set_sql("g", PLAIN_IDS, hard=True) + "," + _turns_sql("g") + f"""
+SELECT g.pos AS example_id, true AS hard_eval, {META_COLUMNS.replace('pos)', 'g.pos)')}, t.text
+FROM g JOIN (SELECT pos AS p, string_agg('<|im_start|>' || role || chr(10) || content || '<|im_end|>', chr(10) ORDER BY turn) AS text FROM g_t GROUP BY pos) t
+  ON t.p = g.pos
 """)
 def q_hard_eval_examples(spark, sf_dir):
-    meta, _ = G.generate_examples(_ids(spark, sf_dir), hard=True)
-    return meta.groupBy("category", "Label").agg(F.count(F.lit(1)).alias("n"))
-
-
-def _overview_sql():
-    slug = "translate(lower(_sector_pick), 'éèê -', 'eee__')"
-    user = ("'Cas ' || _pos || ' (' || category || '): startup ' || _sector_pick || ' en ' || _stage_pick || "
-            "', basée en ' || _region_pick || '. Sujet: ' || _subject || '. Je suis ' || investor_profile || '.'")
-    answer = ("'Label: ' || \"Label\" || chr(10) || 'Severity: ' || \"Severity\" || chr(10) || 'Difficulty: ' || "
-              "\"Difficulty\" || chr(10) || 'Analyse: ' || _subject || '. Principe Lean Startup: ' || lean_principle || '.'")
-    call = ("'<|tool_call_start|>{\"name\": \"query_postgresql\", \"parameters\": {\"sql\": \"SELECT pattern_name, "
-            "criticality FROM risk_patterns WHERE sector = ''' || " + slug
-            + " || ''' LIMIT 3\"}}<|tool_call_end|>'")
-    payload = ("'{\"status\":\"success\",\"row_count\":1,\"execution_time_ms\":8.4,\"data\":[{\"pattern_name\":\"' || "
-               "_rn1 || '\",\"criticality\":\"' || \"Severity\" || '\"}]}'")
-    chars = (f"{len(G.SYSTEM_TEXT)} + length({user}) + length({answer})"
-             f" + CASE WHEN has_tool_use THEN length({call}) + length({payload}) ELSE 0 END")
-    return "WITH gen AS (" + _generated_sql(extra=True) + f"""),
-ch AS (SELECT *, {chars} AS n_chars FROM gen)
-SELECT count(*) AS total, count(*) FILTER (WHERE has_tool_use) AS tool_use_count,
-  count(*) FILTER (WHERE has_tool_use) / count(*) AS tool_use_ratio,
-  count(*) FILTER (WHERE "Difficulty" IN ('Implicite', 'Ambigu', 'Mixte')) / count(*) AS implicit_ratio,
+    meta, msgs = G.generate_examples(_ids(spark, sf_dir), _catalogues(spark, sf_dir), hard=True)
+    return meta.join(Q.render_chat_text(msgs), "example_id")
+
+
+@query("generated_overview", "G7+A2", oracle=PLAIN + "," + _turns_sql("g") + """,
+ch AS (SELECT pos, count(*) AS n_messages, sum(length(content)) AS n_chars FROM g_t GROUP BY pos)
+SELECT count(*) AS total, count(*) FILTER (WHERE tools) AS tool_use_count,
+  count(*) FILTER (WHERE tools) / count(*) AS tool_use_ratio,
+  count(*) FILTER (WHERE difficulty IN ('Implicite', 'Ambigu', 'Mixte')) / count(*) AS implicit_ratio,
   round(sum(n_messages) / count(*), 1) AS avg_messages_per_example,
   CAST(round(sum(n_chars) / count(*), 0) AS BIGINT) AS avg_chars_per_example,
   CAST(min(n_chars) AS BIGINT) AS min_chars, CAST(max(n_chars) AS BIGINT) AS max_chars
-FROM ch
-"""
-
-
-@query("generated_overview", "G7+A2", oracle=_overview_sql())
+FROM g JOIN ch USING (pos)
+""")
 def q_generated_overview(spark, sf_dir):
-    meta, msgs = G.generate_examples(_ids(spark, sf_dir))
+    meta, msgs = G.generate_examples(_ids(spark, sf_dir), _catalogues(spark, sf_dir))
     return Q.dataset_overview(Q.example_facts(meta, msgs))
 
 
-@query("generated_split_sizes", "G7+W4+A13", oracle="WITH gen AS (" + _generated_sql() + """),
-strat AS (SELECT example_id, category || '|' || "Label" || '|' || "Difficulty" || '|' ||
-                 CASE WHEN has_tool_use THEN 'tool' ELSE 'no_tool' END AS stratum,
-                 sha1('42:' || CAST(example_id AS VARCHAR)) AS h FROM gen),
-pos AS (SELECT row_number() OVER (ORDER BY stratum, h, example_id) - 1 AS p FROM strat),
-splits AS (SELECT CASE WHEN p % 10 < 8 THEN 'train' WHEN p % 10 = 8 THEN 'val' ELSE 'test' END AS split FROM pos)
+SPLIT_OF_SET = """,
+strat AS (SELECT pos, category || '|' || label || '|' || difficulty || '|' || CASE WHEN tools THEN 'tool' ELSE 'no_tool' END AS stratum,
+                 sha1('42:' || CAST(pos AS VARCHAR)) AS h FROM g),
+ranked AS (SELECT pos, row_number() OVER (ORDER BY stratum, h, pos) - 1 AS p FROM strat),
+splits AS (SELECT pos, CASE WHEN p % 10 < 8 THEN 'train' WHEN p % 10 = 8 THEN 'val' ELSE 'test' END AS split FROM ranked)
+"""
+
+
+@query("generated_split_sizes", "G7+W4+A13", oracle=PLAIN + SPLIT_OF_SET + """
 SELECT split, count(*) AS n_rows, CAST(ceil(count(*) / 16) * 3 AS BIGINT) AS est_steps,
   CASE WHEN split = 'train' THEN count(*) >= 3750 END AS meets_floor
 FROM splits GROUP BY split
 """)
 def q_generated_split_sizes(spark, sf_dir):
-    meta, msgs = G.generate_examples(_ids(spark, sf_dir))
+    meta, _ = G.generate_examples(_ids(spark, sf_dir), _catalogues(spark, sf_dir))
     return S.split_sizes(S.stratified_split(Q.normalise_metadata(meta)))
 
 
 @query("slug_values", "F1", oracle="""
-SELECT n_nationkey, translate(lower(n_name), 'éèê -', 'eee__') AS slug FROM nation
-UNION ALL SELECT r_regionkey + 1000, translate(lower(r_name), 'éèê -', 'eee__') FROM region
+SELECT doc_id, translate(lower(text), 'éèê -', 'eee__') AS slug FROM documents
 """)
 def q_slug_values(spark, sf_dir):
-    n = adapter(spark, sf_dir, "nation").select("n_nationkey", G.slug(F.col("n_name")).alias("slug"))
-    r = adapter(spark, sf_dir, "region").select((F.col("r_regionkey") + 1000).alias("n_nationkey"),
-                                                G.slug(F.col("r_name")).alias("slug"))
-    return n.unionByName(r)
+    return adapter(spark, sf_dir, "documents").select("doc_id", G.slug(F.col("text")).alias("slug"))
 
 
-PROFILE_KEYS = list(G.PROFILE_INSTRUCTIONS) + ["strategic"]
+PROFILES = ("angel", "vc", "impact", "strategic", "crowdfunding", "unheard-of")
+SYSTEM_TEXT = "You judge young companies."
 
 
 def _prompt_requests(spark, sf_dir):
     conv = adapter(spark, sf_dir, "conversations")
     msgs = conv.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
     last_user = F.array_max(F.transform(F.filter("m", lambda x: x["role"] == "user"), lambda x: x["turn"]))
-    profiles = F.array(*[F.lit(p) for p in PROFILE_KEYS])
+    profiles = F.array(*[F.lit(p) for p in PROFILES])
     return (msgs.withColumn("_lu", last_user).where(F.col("_lu").isNotNull())
             .select(F.col("conv_id").alias("request_id"),
-                    F.element_at(profiles, (F.col("conv_id") % len(PROFILE_KEYS)).cast("int") + 1).alias("investor_profile"),
+                    F.element_at(profiles, (F.col("conv_id") % len(PROFILES)).cast("int") + 1).alias("investor_profile"),
                     F.transform(F.filter("m", lambda x: x["turn"] < F.col("_lu")),
                                 lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("history"),
                     F.filter("m", lambda x: x["turn"] == F.col("_lu"))[0]["text"].alias("user_text")))
 
 
-def _instr_sql():
-    cases = " ".join(f"WHEN '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in G.PROFILE_INSTRUCTIONS.items())
-    return f"CASE profile {cases} END"
-
-
-@query("prompt_batches", "F20", oracle=f"""
-WITH lu AS (SELECT conv_id, max(turn) AS lu FROM conversations WHERE role = 'user' GROUP BY conv_id),
-req AS (SELECT conv_id, lu, {[p for p in PROFILE_KEYS]}[conv_id % {len(PROFILE_KEYS)} + 1] AS profile FROM lu),
-sys AS (SELECT conv_id, lu, CASE WHEN {_instr_sql()} IS NULL THEN '{G.SYSTEM_TEXT}'
-          ELSE '{G.SYSTEM_TEXT}' || chr(10) || chr(10) || {_instr_sql()} END AS s FROM req),
+@query("prompt_batches", "F20", oracle=with_chain("gen_instructions").rstrip() + """,
+lu AS (SELECT conv_id, max(turn) AS lu FROM conversations WHERE role = 'user' GROUP BY conv_id),
+req AS (SELECT conv_id, lu, ['angel', 'vc', 'impact', 'strategic', 'crowdfunding', 'unheard-of'][conv_id % 6 + 1] AS profile FROM lu),
 parts AS (
-  SELECT y.conv_id, -1 AS turn, '<|im_start|>system' || chr(10) || y.s || '<|im_end|>' AS p FROM sys y
+  SELECT y.conv_id, -1 AS turn, '<|im_start|>system' || chr(10) || 'You judge young companies.'
+      || coalesce(chr(10) || chr(10) || i.instruction, '') || '<|im_end|>' AS p
+    FROM req y LEFT JOIN gen_instructions i ON i.investor_profile = y.profile
   UNION ALL SELECT c.conv_id, c.turn, '<|im_start|>' || c.role || chr(10) || c.text || '<|im_end|>'
-    FROM conversations c JOIN sys y ON y.conv_id = c.conv_id WHERE c.turn <= y.lu)
+    FROM conversations c JOIN req y ON y.conv_id = c.conv_id WHERE c.turn <= y.lu)
 SELECT conv_id AS request_id, count(*) AS n_messages, string_agg(p, chr(10) ORDER BY turn) AS rendered
 FROM parts GROUP BY conv_id
 """)
 def q_prompt_batches(spark, sf_dir):
-    out = G.prompt_batches(_prompt_requests(spark, sf_dir))
+    out = G.prompt_batches(_prompt_requests(spark, sf_dir), adapter(spark, sf_dir, "gen_instructions"), SYSTEM_TEXT)
     rendered = F.array_join(F.transform("messages", lambda m: F.concat(
         F.lit("<|im_start|>"), m["role"], F.lit("\n"), m["content"], F.lit("<|im_end|>"))), "\n")
     return out.select("request_id", F.size("messages").cast("bigint").alias("n_messages"), rendered.alias("rendered"))
 
 
-@query("build_dataset", "G7+W4+S3+S4", oracle="WITH gen AS (" + _generated_sql() + """),
-strat AS (SELECT example_id, category || '|' || "Label" || '|' || "Difficulty" || '|' ||
-                 CASE WHEN has_tool_use THEN 'tool' ELSE 'no_tool' END AS stratum,
-                 sha1('42:' || CAST(example_id AS VARCHAR)) AS h FROM gen),
-pos AS (SELECT row_number() OVER (ORDER BY stratum, h, example_id) - 1 AS p FROM strat),
-splits AS (SELECT CASE WHEN p % 10 < 8 THEN 'train' WHEN p % 10 = 8 THEN 'val' ELSE 'test' END AS split FROM pos)
-SELECT split, count(*) AS n_rows FROM splits GROUP BY split
-UNION ALL SELECT 'hard_eval', count(*) FROM (SELECT DISTINCT conv_id FROM conversations)
-""")
+def _lines_sql() -> str:
+    """Every line that build_dataset writes, as its file holds it."""
+    meta = ("{'example_id': pos, 'hard_eval': hard, 'example_key': printf('lean-%05d', pos), 'category': category, 'Label': label, 'Severity': severity, "
+            "'Difficulty': difficulty, 'sector': CASE WHEN category = 'simplification_concept' THEN 'universal' ELSE sector END, "
+            "'stage': CASE WHEN category IN ('diagnostic_complet', 'evaluation_investissement') THEN stage ELSE 'non applicable' END, "
+            "'region': CASE WHEN category IN ('diagnostic_complet', 'evaluation_investissement') THEN region ELSE 'non applicable' END, "
+            "'investor_profile': profile, 'has_tool_use': tools, 'lean_principle': principle}")
+    chat = "string_agg('<|im_start|>' || role || chr(10) || content || '<|im_end|>', chr(10) ORDER BY turn)"
+    parts = []
+    for name, hard, split in (("g", "false", "s.split"), ("h", "true", "'hard_eval'")):
+        join = "JOIN splits s USING (pos)" if name == "g" else ""
+        parts += [f"SELECT 'examples' AS format, {split} AS split, CAST(to_json({{'messages': t.m, 'metadata': {meta}}}) AS VARCHAR) AS line "
+                  f"FROM (SELECT *, {hard} AS hard FROM {name}) g0 {join} JOIN {name}_m t USING (pos)",
+                  f"SELECT 'training_text', {split}, CAST(to_json({{'text': t.x, 'metadata': {meta}}}) AS VARCHAR) "
+                  f"FROM (SELECT *, {hard} AS hard FROM {name}) g0 {join} JOIN {name}_m t USING (pos)"]
+    agg = "".join(f", {n}_m AS (SELECT pos, list({{'role': role, 'content': content}} ORDER BY turn) AS m, {chat} AS x FROM {n}_t GROUP BY pos)" for n in "gh")
+    return (PLAIN + "," + _turns_sql("g") + "," + _set_sql("h", HARD_IDS, hard=True) + "," + _turns_sql("h") + SPLIT_OF_SET + agg
+            + " UNION ALL ".join(["\n" + parts[0], *parts[1:]]))
+
+
+@query("build_dataset", "G7+W4+S3+S4", oracle=_lines_sql())
 def q_build_dataset(spark, sf_dir):
-    from ledgerline.sources.jsonl import scratch_path
-    hard_ids = adapter(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id")).distinct()
-    return G.build_dataset(_ids(spark, sf_dir), hard_ids, scratch_path(spark, "dataset"))
+    root = G.build_dataset(_ids(spark, sf_dir), _hard_ids(spark, sf_dir), _catalogues(spark, sf_dir), J.scratch_path(spark, "dataset"))
+    formats = [spark.read.schema("value string, split string").text(f"{root}/{f}").select(
+        F.lit(f).alias("format"), "split", F.col("value").alias("line")) for f in ("examples", "training_text")]
+    return formats[0].unionByName(formats[1])

@@ -12,10 +12,6 @@ from ledgerline.sources.adapters import adapter, with_chain
 SECTOR, STAGE = "building", "seed"
 
 
-def _ids(col: str):
-    return F.array_join(F.transform(F.col(col), lambda x: x.cast("string")), ",")
-
-
 # Request terms derived from the data: words of part names (many matches), region
 # names (no match, fallback path) and brand numbers (exact alias matches).
 def _term_requests(spark, sf_dir):
@@ -155,10 +151,10 @@ def q_critical_risks(spark, sf_dir):
 
 @query("concept_lookup", "P5", oracle=with_chain("lean_concepts") + """
 SELECT id, concept_name, category, simple_def FROM lean_concepts
-WHERE concept_name ILIKE '%green%' OR list_contains(aliases, 'green') ORDER BY id LIMIT 1
+WHERE concept_name ILIKE '%ING%' OR list_contains(aliases, 'ING') ORDER BY id LIMIT 1
 """)
 def q_concept_lookup(spark, sf_dir):
-    return K.concept_lookup(adapter(spark, sf_dir, "lean_concepts"), "green").select(
+    return K.concept_lookup(adapter(spark, sf_dir, "lean_concepts"), "ING").select(
         "id", "concept_name", "category", "simple_def")
 
 
@@ -190,20 +186,17 @@ def q_investment_criteria_filter(spark, sf_dir):
 @query("criteria_for_requests", "P7", oracle=with_chain("investment_criteria", "startups") + """
 , req AS (SELECT DISTINCT unnest(['angel', 'vc', 'impact', 'strategic', 'crowdfunding']) AS investor_profile, stage
           FROM startups),
-lst AS (SELECT investor_profile, stage,
-          string_agg(CAST(id AS VARCHAR), ',' ORDER BY CASE weight WHEN 'critical' THEN 1 WHEN 'important' THEN 2 WHEN 'nice-to-have' THEN 3 END, id) AS criteria_ids,
-          count(*) AS n FROM investment_criteria GROUP BY investor_profile, stage)
-SELECT r.investor_profile, r.stage, coalesce(l.criteria_ids, '') AS criteria_ids,
-  CAST(coalesce(l.n, 0) AS INTEGER) AS count, coalesce(l.n, 0) > 0 AS found
+lst AS (SELECT investor_profile, stage, id, criterion_name, weight,
+          row_number() OVER (PARTITION BY investor_profile, stage
+            ORDER BY CASE weight WHEN 'critical' THEN 1 WHEN 'important' THEN 2 WHEN 'nice-to-have' THEN 3 ELSE 4 END, id) AS criterion_rank,
+          count(*) OVER (PARTITION BY investor_profile, stage) AS n FROM investment_criteria)
+SELECT r.investor_profile, r.stage, l.criterion_rank, l.id, l.criterion_name, l.weight, coalesce(l.n, 0) AS count, l.n IS NOT NULL AS found
 FROM req r LEFT JOIN lst l ON l.investor_profile = r.investor_profile AND l.stage = r.stage
 """)
 def q_criteria_for_requests(spark, sf_dir):
-    from ledgerline.functions.enums import INVESTOR_PROFILES as P
     stages = adapter(spark, sf_dir, "startups").select("stage").distinct()
-    profiles = stages.select(F.explode(F.array(*[F.lit(p) for p in P])).alias("investor_profile"), "stage")
-    out = K.criteria_for_requests(profiles.distinct(), adapter(spark, sf_dir, "investment_criteria"))
-    ids = F.array_join(F.transform(F.coalesce("criteria", F.array()), lambda x: x["id"].cast("string")), ",")
-    return out.select("investor_profile", "stage", ids.alias("criteria_ids"), "count", "found")
+    profiles = stages.select(F.explode(F.array(*[F.lit(p) for p in INVESTOR_PROFILES])).alias("investor_profile"), "stage")
+    return K.criteria_for_requests(profiles, adapter(spark, sf_dir, "investment_criteria"))
 
 
 @query("concept_cards", "P9", oracle=with_chain("lean_concepts") + "," + TERMS_SQL + """
@@ -211,7 +204,7 @@ def q_criteria_for_requests(spark, sf_dir):
 SELECT r.term, r.detail_level, f.id IS NOT NULL AS found, coalesce(c.concept_name, r.term) AS concept_name,
   CASE WHEN f.id IS NOT NULL THEN c.simple_def
        ELSE 'Concept ''' || r.term || ''' non trouvé dans la base. Essayez avec un terme différent (ex: ''MVP'', ''churn'', ''pivot'').' END AS simple_def,
-  CAST(NULL AS VARCHAR) AS technical_def
+  CASE WHEN r.detail_level = 'technical' THEN c.technical_def END AS technical_def
 FROM req r LEFT JOIN term_first f ON f.term = r.term LEFT JOIN lean_concepts c ON c.id = f.id
 """)
 def q_concept_cards(spark, sf_dir):
@@ -309,32 +302,28 @@ def q_top_risks_per_startup(spark, sf_dir):
 
 
 @query("diagnosis_context", "J7", oracle=with_chain("startups", "risk_patterns", "sector_benchmarks",
-                                                    "investment_criteria", "pivot_cases") + f"""
+                                                    "investment_criteria", "pivot_cases") + """
 , seg AS (SELECT DISTINCT sector, stage FROM startups),
 rk AS (SELECT g.sector, g.stage, r.id,
          row_number() OVER (PARTITION BY g.sector, g.stage ORDER BY CASE WHEN r.sector IS NULL THEN 1 ELSE 0 END, r.id) AS rn
        FROM seg g JOIN risk_patterns r ON (r.sector = g.sector OR r.sector IS NULL) AND (r.stage = g.stage OR r.stage IS NULL)
        WHERE r.criticality = 'critical'),
-rl AS (SELECT sector, stage, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rn) AS risk_ids FROM rk WHERE rn <= 5 GROUP BY sector, stage),
-bl AS (SELECT sector, stage, string_agg(metric_name, ',' ORDER BY metric_name) AS benchmark_metrics FROM sector_benchmarks GROUP BY sector, stage),
-cl AS (SELECT stage, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS criteria_ids FROM investment_criteria
-       WHERE investor_profile = 'angel' AND weight = 'critical' GROUP BY stage),
-pc AS (SELECT s.id, s.sector, s.stage, s.founding_year, count(p.id) AS n FROM startups s LEFT JOIN pivot_cases p ON p.startup_id = s.id
-       GROUP BY s.id, s.sector, s.stage, s.founding_year),
-sr AS (SELECT sector, stage, id, row_number() OVER (PARTITION BY sector, stage ORDER BY n DESC, founding_year DESC NULLS FIRST, id) AS rn FROM pc),
-sl AS (SELECT sector, stage, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rn) AS similar_ids FROM sr WHERE rn <= 3 GROUP BY sector, stage)
-SELECT g.sector, g.stage, coalesce(rl.risk_ids, '') AS risk_ids, coalesce(bl.benchmark_metrics, '') AS benchmark_metrics,
-  coalesce(cl.criteria_ids, '') AS criteria_ids, coalesce(sl.similar_ids, '') AS similar_ids
-FROM seg g LEFT JOIN rl USING (sector, stage) LEFT JOIN bl USING (sector, stage) LEFT JOIN cl ON cl.stage = g.stage
-  LEFT JOIN sl USING (sector, stage)
+pc AS (SELECT s.id, s.name, s.sector, s.stage, s.founding_year, count(p.id) AS n FROM startups s LEFT JOIN pivot_cases p ON p.startup_id = s.id
+       GROUP BY s.id, s.name, s.sector, s.stage, s.founding_year),
+sr AS (SELECT sector, stage, id, name,
+         row_number() OVER (PARTITION BY sector, stage ORDER BY n DESC, founding_year DESC NULLS FIRST, id) AS rn FROM pc)
+SELECT sector, stage, 'segment' AS kind, CAST(0 AS BIGINT) AS rank, CAST(NULL AS BIGINT) AS item_id, CAST(NULL AS VARCHAR) AS item FROM seg
+UNION ALL SELECT sector, stage, 'risk', rn, id, NULL FROM rk WHERE rn <= 5
+UNION ALL SELECT b.sector, b.stage, 'benchmark', row_number() OVER (PARTITION BY b.sector, b.stage ORDER BY b.metric_name), NULL, b.metric_name
+  FROM sector_benchmarks b JOIN seg USING (sector, stage)
+UNION ALL SELECT g.sector, g.stage, 'criterion', row_number() OVER (PARTITION BY g.sector, g.stage ORDER BY c.id), c.id, NULL
+  FROM seg g JOIN investment_criteria c ON c.stage = g.stage WHERE c.investor_profile = 'angel' AND c.weight = 'critical'
+UNION ALL SELECT sector, stage, 'startup', rn, id, name FROM sr WHERE rn <= 3
 """)
 def q_diagnosis_context(spark, sf_dir):
     st = adapter(spark, sf_dir, "startups")
-    out = K.diagnosis_context(st, adapter(spark, sf_dir, "risk_patterns"), adapter(spark, sf_dir, "sector_benchmarks"),
-                              adapter(spark, sf_dir, "investment_criteria"), st, adapter(spark, sf_dir, "pivot_cases"))
-    return out.select("sector", "stage", _ids("risk_ids").alias("risk_ids"),
-                      F.array_join("benchmark_metrics", ",").alias("benchmark_metrics"),
-                      _ids("criteria_ids").alias("criteria_ids"), _ids("similar_ids").alias("similar_ids"))
+    return K.diagnosis_context(st, adapter(spark, sf_dir, "risk_patterns"), adapter(spark, sf_dir, "sector_benchmarks"),
+                               adapter(spark, sf_dir, "investment_criteria"), st, adapter(spark, sf_dir, "pivot_cases"))
 
 
 @query("priority_sort", "W9", oracle=with_chain("investment_criteria") + f"""

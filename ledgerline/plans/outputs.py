@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerline.operators import outputs as O
 from ledgerline.plans.registry import query
+from ledgerline.sources import audit
 from ledgerline.sources import sql as SQ
 from ledgerline.sources.adapters import adapter, with_chain
+from ledgerline.sources.jsonl import scratch_path
 
-MO = with_chain("model_outputs")
+MO = with_chain("model_outputs", "risk_patterns", "startups")
 STRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 BLOCK_RE = "(?s)<\\|tool_call_start\\|>(.*?)<\\|tool_call_end\\|>"
 FN_RE = """(?s)^(\\w+)\\s*\\(\\s*sql\\s*=\\s*["']?(.*?)["']?\\s*\\)\\s*$""".replace("'", "''")
@@ -58,11 +61,23 @@ cls2 AS (
     END AS error,
     CASE status WHEN 'accepted' THEN sql WHEN 'accepted_capped' THEN regexp_replace(sql, ';+$', '') || ' LIMIT 20' END AS effective_sql
   FROM cls),
+risk_rows AS (SELECT id, pattern_name, sector, stage, criticality, category FROM risk_patterns),
+building AS (SELECT id, name FROM startups WHERE sector = 'building' ORDER BY id LIMIT 3),
 res AS (
-  SELECT output_id, call_pos, status LIKE 'accepted%' AS success, error,
-    CASE WHEN status LIKE 'accepted%' THEN 0 END AS row_count, 0.0 AS execution_time_ms,
-    CASE WHEN status LIKE 'accepted%' THEN '[]' END AS data_json
-  FROM cls2)
+  SELECT c.output_id, c.call_pos, c.status LIKE 'accepted%' AND c.sql NOT LIKE 'SELECT b%' AS success,
+    CASE WHEN c.status NOT LIKE 'accepted%' THEN c.error
+         WHEN c.sql LIKE 'SELECT b%' THEN 'No registered call of the form SELECT B FROM STARTUPS LIMIT ?' END AS error,
+    CASE WHEN c.status NOT LIKE 'accepted%' OR c.sql LIKE 'SELECT b%' THEN NULL
+         WHEN c.sql LIKE 'SELECT id, name%' THEN (SELECT count(*) FROM building)
+         WHEN r.id IS NULL THEN 0 ELSE 1 END AS row_count,
+    0.0 AS execution_time_ms,
+    CASE WHEN c.status NOT LIKE 'accepted%' OR c.sql LIKE 'SELECT b%' THEN NULL
+         WHEN c.sql LIKE 'SELECT id, name%' THEN (SELECT '[' || string_agg('{{"id":' || id || ',"name":"' || name || '"}}', ',' ORDER BY id) || ']' FROM building)
+         WHEN r.id IS NULL THEN '[]'
+         ELSE '[{{"id":' || r.id || ',"pattern_name":"' || r.pattern_name || '"' || coalesce(',"sector":"' || r.sector || '"', '')
+              || coalesce(',"stage":"' || r.stage || '"', '') || ',"criticality":"' || r.criticality || '","category":"' || r.category || '"}}]' END AS data_json
+  FROM cls2 c LEFT JOIN risk_rows r ON c.sql LIKE 'SELECT * FROM risk_patterns WHERE id = %'
+    AND CAST(r.id AS VARCHAR) = regexp_extract(c.sql, 'id = ([0-9]+)', 1))
 """
 
 
@@ -70,8 +85,17 @@ def parsed_of(spark, sf_dir):
     return O.parsed_calls(adapter(spark, sf_dir, "model_outputs"))
 
 
-def results_of(parsed):
-    return O.guard_results(O.classify_calls(parsed))
+def templates_of(spark, sf_dir):
+    """The registered forms: one risk pattern by id, and the first startups of a sector."""
+    return [
+        O.CallTemplate("SELECT * FROM RISK_PATTERNS WHERE ID = ? LIMIT ?", adapter(spark, sf_dir, "risk_patterns"), "id",
+                       ("id", "pattern_name", "sector", "stage", "criticality", "category"), ("id",)),
+        O.CallTemplate("SELECT ID, NAME FROM STARTUPS WHERE SECTOR = ? LIMIT ?", adapter(spark, sf_dir, "startups"), "sector",
+                       ("id", "name"), ("id",))]
+
+
+def results_of(spark, sf_dir, parsed):
+    return O.execute_calls(O.classify_calls(parsed), templates_of(spark, sf_dir))
 
 
 @query("has_tool_call", "F7/R13", oracle=MO + f"""
@@ -142,7 +166,7 @@ def q_classify_calls(spark, sf_dir):
 
 
 @query("call_result_pairs", "J10+F18", oracle=CALLS_SQL + """
-SELECT c.output_id, c.call_pos, r.success,
+SELECT c.output_id, c.call_pos, r.success, CAST(r.row_count AS INTEGER) AS row_count,
   CASE WHEN r.success THEN '{"status":"success","row_count":' || CAST(r.row_count AS VARCHAR) || ',"execution_time_ms":0.0,"data":'
          || r.data_json || ',"_tool_call_sql":' || coalesce(CAST(to_json(substr(c.sql, 1, 200)) AS VARCHAR), 'null') || '}'
        ELSE '{"status":"error","error":' || coalesce(CAST(to_json(r.error) AS VARCHAR), 'null') || ',"_tool_call_sql":'
@@ -151,8 +175,8 @@ FROM calls c JOIN res r ON r.output_id = c.output_id AND r.call_pos = c.call_pos
 """)
 def q_call_result_pairs(spark, sf_dir):
     parsed = parsed_of(spark, sf_dir)
-    pairs = O.call_result_pairs(parsed, results_of(parsed))
-    return pairs.select("output_id", "call_pos", "success", O.tool_message(pairs).alias("tool_message"))
+    pairs = O.call_result_pairs(parsed, results_of(spark, sf_dir, parsed))
+    return pairs.select("output_id", "call_pos", "success", "row_count", O.tool_message(pairs).alias("tool_message"))
 
 
 @query("results_context", "F19", oracle=CALLS_SQL + """
@@ -164,7 +188,7 @@ def q_call_result_pairs(spark, sf_dir):
 SELECT output_id, string_agg(s, chr(10) || chr(10) ORDER BY call_pos) AS context FROM sec GROUP BY output_id
 """)
 def q_results_context(spark, sf_dir):
-    return O.results_context(results_of(parsed_of(spark, sf_dir)))
+    return O.results_context(results_of(spark, sf_dir, parsed_of(spark, sf_dir)))
 
 
 @query("tool_use_stats", "A17", oracle=CALLS_SQL + """
@@ -178,8 +202,7 @@ SELECT m.output_id, coalesce(per.made, 0) AS tool_calls_made, coalesce(per.ok, 0
 FROM model_outputs m LEFT JOIN per USING (output_id) LEFT JOIN srcs USING (output_id)
 """)
 def q_tool_use_stats(spark, sf_dir):
-    parsed = parsed_of(spark, sf_dir)
-    st = O.tool_use_stats(adapter(spark, sf_dir, "model_outputs"), parsed, results_of(parsed))
+    st = O.tool_use_stats(adapter(spark, sf_dir, "model_outputs"), results_of(spark, sf_dir, parsed_of(spark, sf_dir)))
     return st.withColumn("data_sources_used", F.array_join("data_sources_used", ","))
 
 
@@ -208,6 +231,28 @@ def q_tool_result_payload(spark, sf_dir):
     return req.groupBy("category", "request").agg(O.tool_result_payload(rows).alias("payload"))
 
 
+@query("tool_error_payload", "F6", oracle=CALLS_SQL + """
+SELECT output_id, call_pos, '{"status":"error","error":' || CAST(to_json(error) AS VARCHAR) || '}' AS payload FROM res WHERE error IS NOT NULL
+""")
+def q_tool_error_payload(spark, sf_dir):
+    failed = results_of(spark, sf_dir, parsed_of(spark, sf_dir)).where(F.col("error").isNotNull())
+    return failed.select("output_id", "call_pos", O.tool_error_payload(F.col("error")).alias("payload"))
+
+
+@query("call_templates", "J10", oracle=CALLS_SQL + """
+SELECT CASE WHEN sql LIKE 'SELECT * FROM risk_patterns%' THEN 'SELECT * FROM RISK_PATTERNS WHERE ID = ? LIMIT ?'
+            WHEN sql LIKE 'SELECT id, name%' THEN 'SELECT ID, NAME FROM STARTUPS WHERE SECTOR = ? LIMIT ?'
+            ELSE 'SELECT B FROM STARTUPS LIMIT ?' END AS template,
+  count(*) AS n_calls, count(DISTINCT sql) AS n_constants
+FROM cls2 WHERE status LIKE 'accepted%' GROUP BY 1
+""")
+def q_call_templates(spark, sf_dir):
+    accepted = O.classify_calls(parsed_of(spark, sf_dir)).where(F.col("status").startswith("accepted"))
+    t = accepted.select(O.call_template(F.col("effective_sql")).alias("t"))
+    return t.groupBy(F.col("t.template").alias("template")).agg(
+        F.count(F.lit(1)).alias("n_calls"), F.count_distinct(F.col("t.constants")).alias("n_constants"))
+
+
 @query("parameterised_query", "S8", oracle=with_chain("risk_patterns") + """
 SELECT id, pattern_name, criticality FROM risk_patterns WHERE criticality = 'high' AND category LIKE '%med%'
 """)
@@ -224,3 +269,23 @@ SELECT id, pattern_name FROM risk_patterns WHERE criticality = 'critical' ORDER
 def q_guarded_sql(spark, sf_dir):
     adapter(spark, sf_dir, "risk_patterns").createOrReplaceTempView("risk_patterns")
     return SQ.guarded_sql(spark, "SELECT id, pattern_name FROM risk_patterns WHERE criticality = 'critical' ORDER BY id;")
+
+
+@query("audit_log", "S9", oracle=CALLS_SQL + """
+, logged AS (
+  SELECT substr(effective_sql, 1, 300) AS sql, 1 AS commit FROM cls2 WHERE status LIKE 'accepted%'
+  UNION ALL SELECT 'SELECT id FROM risk_patterns WHERE criticality = ''low''', 2
+  UNION ALL SELECT 'SELECT count(*) AS n FROM risk_patterns', 3)
+SELECT sql, 20 AS max_rows, count(*) AS n_rows, min(commit) AS first_commit, max(commit) AS last_commit FROM logged GROUP BY sql
+""")
+def q_audit_log(spark, sf_dir):
+    """One commit for the batch of accepted calls, one for each of two guarded queries."""
+    root = scratch_path(spark, "audit")
+    adapter(spark, sf_dir, "risk_patterns").createOrReplaceTempView("risk_patterns")
+    SQ.audit_calls(O.classify_calls(parsed_of(spark, sf_dir)), root)
+    for text in ("SELECT id FROM risk_patterns WHERE criticality = 'low'", "SELECT count(*) AS n FROM risk_patterns"):
+        SQ.guarded_sql(spark, text, audit_root=root)
+    log = audit.read(spark, root, SQ.AUDIT_SCHEMA)
+    place = audit.versions(spark, root).select("version", F.dense_rank().over(Window.orderBy("version")).alias("commit"))
+    return log.join(place, "version").groupBy("sql", "max_rows").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min("commit").alias("first_commit"), F.max("commit").alias("last_commit"))

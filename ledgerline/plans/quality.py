@@ -76,7 +76,7 @@ METRICS_SQL = ENTRIES_SQL + """, metrics AS (
        SELECT count(*) AS n FROM example_meta em LEFT JOIN (
          SELECT example_id, string_agg(CAST(turn AS VARCHAR) || chr(2) || coalesce(role, '') || chr(2) || coalesce(content, ''),
                                        chr(1) ORDER BY turn) AS mfp FROM example_messages GROUP BY example_id) mf USING (example_id)
-       GROUP BY mf.mfp, em.category, em.label, em.severity, em.difficulty, em.has_tool_use) z WHERE n > 1) AS duplicate_full,
+       GROUP BY mf.mfp, em.example_id, em.category, em.label, em.severity, em.difficulty, em.has_tool_use) z WHERE n > 1) AS duplicate_full,
     (SELECT coalesce(sum(n - 1), 0) FROM (SELECT prompt_hash, count(*) AS n FROM facts GROUP BY prompt_hash) z WHERE n > 1) AS duplicate_user,
     (SELECT count(*) FROM entries WHERE kind = 'roles') AS roles_errors,
     (SELECT count(*) FROM entries WHERE kind = 'metadata') AS metadata_errors,
@@ -135,6 +135,18 @@ def q_duplicate_examples(spark, sf_dir):
     return Q.duplicate_count(docs.select(F.sha1("text").alias("fp")), "fp")
 
 
+@query("duplicate_lines", "A3", oracle=with_chain("raw_lines", "example_messages") + """
+, said AS (SELECT example_id, string_agg(coalesce(role, '') || chr(2) || coalesce(content, ''), chr(1) ORDER BY turn) AS m FROM example_messages GROUP BY example_id),
+l AS (SELECT example_id, json_extract_string(metadata_json, '$.note') AS note, json_extract_string(metadata_json, '$.category') AS category,
+        json_extract_string(metadata_json, '$.extra.b') AS b, json_extract_string(metadata_json, '$.extra.a[0]') AS a0,
+        json_extract_string(metadata_json, '$.extra.a[1].y') AS y, said.m FROM raw_lines LEFT JOIN said USING (example_id))
+SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicates FROM (SELECT count(*) AS n FROM l GROUP BY example_id, note, category, b, a0, y, m) z WHERE n > 1
+""")
+def q_duplicate_lines(spark, sf_dir):
+    nested = Q.examples_nested(adapter(spark, sf_dir, "raw_lines"), adapter(spark, sf_dir, "example_messages"))
+    return Q.duplicate_count(nested.select(Q.line_hash(nested).alias("fp")), "fp")
+
+
 @query("duplicate_prompts", "A4+F2", oracle=FACTS + """
 SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicates
 FROM (SELECT prompt_hash, count(*) AS n FROM facts GROUP BY prompt_hash) g WHERE n > 1
@@ -178,8 +190,7 @@ FROM g
 """)
 def q_dataset_gate(spark, sf_dir):
     facts = facts_of(spark, sf_dir)
-    metrics = Q.quality_metrics(facts)
-    gate = Q.dataset_gate(metrics, Q.dataset_warnings(metrics))
+    gate = Q.dataset_gate(Q.quality_metrics(facts))
     return gate.withColumn("errors", F.array_join("errors", ","))
 
 
@@ -219,7 +230,7 @@ splits AS (SELECT example_id, stratum,
 
 
 def split_of(spark, sf_dir):
-    return S.stratified_split(facts_of(spark, sf_dir))
+    return S.stratified_split(Q.normalise_metadata(adapter(spark, sf_dir, "example_meta")))
 
 
 @query("stratified_split", "W4+F13", oracle=with_chain("example_meta").rstrip() + SPLIT_SQL + "SELECT * FROM splits")
@@ -236,17 +247,17 @@ def q_split_sizes(spark, sf_dir):
     return S.split_sizes(split_of(spark, sf_dir))
 
 
-@query("split_leakage", "U2", oracle=with_chain("example_meta", "example_messages").rstrip() + SPLIT_SQL + """
+@query("split_leakage", "U2", oracle=with_chain("leaky_meta", "leaky_messages").rstrip() + SPLIT_SQL.replace("FROM example_meta", "FROM leaky_meta") + """
 , fp AS (SELECT example_id, sha1(string_agg(coalesce(content, ''), chr(10) ORDER BY turn)) AS fingerprint
-         FROM example_messages GROUP BY example_id)
+         FROM leaky_messages GROUP BY example_id)
 SELECT fingerprint, array_to_string(list_sort(list_distinct(list(split))), ',') AS splits
 FROM splits s JOIN fp USING (example_id) GROUP BY fingerprint HAVING count(DISTINCT split) > 1
 """)
 def q_split_leakage(spark, sf_dir):
-    msgs = adapter(spark, sf_dir, "example_messages")
+    msgs = adapter(spark, sf_dir, "leaky_messages")
     fp = msgs.groupBy("example_id").agg(F.sha1(F.array_join(F.transform(F.array_sort(F.collect_list(
         F.struct("turn", F.coalesce("content", F.lit("")).alias("c")))), lambda x: x["c"]), "\n")).alias("_fp"))
-    sp = split_of(spark, sf_dir).join(fp, "example_id")
+    sp = S.stratified_split(Q.normalise_metadata(adapter(spark, sf_dir, "leaky_meta"))).join(fp, "example_id")
     return S.split_leakage(sp, F.col("_fp")).withColumn("splits", F.array_join("splits", ","))
 
 

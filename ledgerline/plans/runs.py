@@ -81,12 +81,10 @@ def _run_loss(spark, sf_dir):
 
 
 def _answers(spark, sf_dir):
-    mo = adapter(spark, sf_dir, "model_outputs")
-    parsed = O.parsed_calls(mo)
-    stats = O.tool_use_stats(mo, parsed, O.guard_results(O.classify_calls(parsed)))
-    return (mo.select(F.col("output_id").alias("answer_id"), (F.col("output_id") % 4).cast("int").alias("case_id"),
-                      O.clean_answer(F.col("output")).alias("answer"), "output_id")
-            .join(stats.select("output_id", "tool_calls_made"), "output_id").drop("output_id"))
+    """Model outputs as answers to the four cases; calls are counted in the output's own row."""
+    return adapter(spark, sf_dir, "model_outputs").select(
+        F.col("output_id").alias("answer_id"), (F.col("output_id") % 4).cast("int").alias("case_id"),
+        O.clean_answer(F.col("output")).alias("answer"), O.calls_made(F.col("output")).alias("tool_calls_made"))
 
 
 CASES_SQL = """
@@ -120,22 +118,42 @@ score_summary AS (
 def _calls_sql(*more_adapters):
     """The model-output call CTEs, with extra adapters merged into the same WITH."""
     from ledgerline.plans.outputs import CALLS_SQL, MO
-    return with_chain("model_outputs", *more_adapters).rstrip() + CALLS_SQL[len(MO.rstrip()):]
+    return with_chain("model_outputs", "risk_patterns", "startups", *more_adapters).rstrip() + CALLS_SQL[len(MO.rstrip()):]
 
 
-DECISION_SQL = """
-, dec AS (SELECT cmp.model_name, cmp.staging_version, cmp.production_version,
-    concat_ws(',', CASE WHEN NOT cmp.should_promote THEN 'regression' END,
-              CASE WHEN coalesce((SELECT tool_call_accuracy FROM score_summary), 0) < 0.7 THEN 'tool_accuracy' END)
-      AS rejection_reasons,
-    cmp.should_promote AND coalesce((SELECT tool_call_accuracy FROM score_summary), 0) >= 0.7 AS promoted
-  FROM cmp)
+# The qualitative evaluation of each model: its own share of the scored answers; where the evaluation
+# of a model's answers broke off, its source is 'error' with the reason.
+EVALUATIONS_SQL = """
+, ev AS (SELECT 'model_' || CAST(answer_id % 5 AS VARCHAR) AS model_name,
+    round(avg(CAST(tool_call_ok AS DOUBLE)), 3) + CASE answer_id % 5 WHEN 2 THEN 0.0 ELSE 0.3 END AS tool_call_accuracy,
+    CASE answer_id % 5 WHEN 3 THEN 'error' ELSE 'live' END AS source,
+    CASE answer_id % 5 WHEN 3 THEN 'timeout' END AS error
+  FROM scores GROUP BY answer_id % 5)
 """
+DECISION_SQL = EVALUATIONS_SQL + """
+, dec0 AS (SELECT cmp.model_name, cmp.staging_version, cmp.production_version,
+    concat_ws(',', CASE WHEN NOT cmp.should_promote THEN 'regression: ' || cmp.reason END,
+              CASE WHEN coalesce(ev.tool_call_accuracy, 0) < 0.7 THEN 'tool_accuracy' END,
+              CASE WHEN ev.source = 'error' THEN 'evaluation_error: ' || coalesce(ev.error, 'None') END) AS rejection_reasons
+  FROM cmp LEFT JOIN ev USING (model_name)),
+dec AS (SELECT *, rejection_reasons = '' AS promoted,
+    CASE WHEN rejection_reasons = '' THEN 'Production' ELSE 'Staging' END AS model_stage FROM dec0)
+"""
+
+
+def _evaluations(spark, sf_dir):
+    model = F.col("answer_id") % 5
+    scores = R.answer_scores(_answers(spark, sf_dir), R.evaluation_cases(spark)).withColumn("_m", model)
+    return R.score_summary(scores, "_m").select(
+        F.concat(F.lit("model_"), F.col("_m").cast("string")).alias("model_name"),
+        (F.col("tool_call_accuracy") + F.when(F.col("_m") == 2, 0.0).otherwise(0.3)).alias("tool_call_accuracy"),
+        F.when(F.col("_m") == 3, "error").otherwise("live").alias("source"), F.when(F.col("_m") == 3, "timeout").alias("error"))
 
 
 @query("metric_series", "W5", oracle=SERIES_SQL + "SELECT run_id, CAST(step AS INTEGER) AS step, metric, value FROM series")
 def q_metric_series(spark, sf_dir):
-    return _series(spark, sf_dir)
+    rounded = F.when(F.col("metric").endswith("/perplexity"), F.round("value", 6)).otherwise(F.col("value"))
+    return _series(spark, sf_dir).withColumn("value", rounded)
 
 
 @query("run_summary", "A16", oracle=SUMMARY_SQL + "SELECT * FROM summary")
@@ -209,18 +227,27 @@ def q_compare_versions(spark, sf_dir):
     return R.compare_versions(adapter(spark, sf_dir, "model_versions"), _run_loss(spark, sf_dir))
 
 
-@query("staging_gate", "D6", oracle=with_chain("training_log", "model_versions").rstrip() + RUN_LOSS_SQL + """
-, lt AS (SELECT model_name, version, stage, run_id FROM (
+# The runs that were trained for each registered model, and for one model that was never registered.
+TRAINED_SQL = """
+, trained AS (SELECT run_id, 'model_' || CAST(run_id % 6 AS VARCHAR) AS model_name, eval_loss FROM run_loss)
+"""
+
+
+@query("staging_gate", "D6", oracle=with_chain("training_log", "model_versions").rstrip() + RUN_LOSS_SQL + TRAINED_SQL + """
+, lt AS (SELECT model_name, version, stage FROM (
     SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY CAST(version AS BIGINT) DESC) AS rn FROM model_versions) z
   WHERE rn = 1)
-SELECT lt.model_name, lt.version, lt.run_id, coalesce(rl.eval_loss, 999.0) AS eval_loss,
-  coalesce(rl.eval_loss, 999.0) < 2.5 AS passes_threshold, coalesce(rl.eval_loss, 999.0) < 2.5 AS promoted,
-  CASE WHEN NOT coalesce(rl.eval_loss, 999.0) < 2.5 THEN 'eval_loss_above_threshold' END AS reason,
-  CASE WHEN coalesce(rl.eval_loss, 999.0) < 2.5 AND lt.stage NOT IN ('Staging', 'Production') THEN 'Staging' ELSE lt.stage END AS new_stage
-FROM lt LEFT JOIN run_loss rl USING (run_id)
+SELECT t.run_id, t.model_name, t.eval_loss, t.eval_loss < 2.5 AS passes_threshold,
+  t.eval_loss < 2.5 AND lt.version IS NOT NULL AS promoted,
+  CASE WHEN NOT t.eval_loss < 2.5 THEN 'eval_loss_above_threshold' WHEN lt.version IS NULL THEN 'no_version' END AS reason,
+  CASE WHEN t.eval_loss < 2.5 THEN lt.version END AS version,
+  CASE WHEN t.eval_loss < 2.5 AND lt.version IS NOT NULL THEN CASE WHEN lt.stage IN ('Staging', 'Production') THEN lt.stage ELSE 'Staging' END END
+    AS new_stage
+FROM trained t LEFT JOIN lt USING (model_name)
 """)
 def q_staging_gate(spark, sf_dir):
-    return R.staging_gate(adapter(spark, sf_dir, "model_versions"), _run_loss(spark, sf_dir))
+    trained = _run_loss(spark, sf_dir).withColumn("model_name", F.concat(F.lit("model_"), (F.col("run_id") % 6).cast("string")))
+    return R.staging_gate(adapter(spark, sf_dir, "model_versions"), trained)
 
 
 def _scores_sql():
@@ -241,8 +268,7 @@ def q_score_summary(spark, sf_dir):
        + COMPARE_SQL + DECISION_SQL + "SELECT * FROM dec")
 def q_promotion_decision(spark, sf_dir):
     cmp = R.compare_versions(adapter(spark, sf_dir, "model_versions"), _run_loss(spark, sf_dir))
-    summary = R.score_summary(R.answer_scores(_answers(spark, sf_dir), R.evaluation_cases(spark)))
-    d = R.promotion_decision(cmp, summary)
+    d = R.promotion_decision(cmp, _evaluations(spark, sf_dir))
     return d.withColumn("rejection_reasons", F.array_join("rejection_reasons", ","))
 
 
@@ -256,8 +282,7 @@ FROM model_versions v LEFT JOIN dec d USING (model_name)
 def q_apply_promotion(spark, sf_dir):
     versions = adapter(spark, sf_dir, "model_versions")
     cmp = R.compare_versions(versions, _run_loss(spark, sf_dir))
-    summary = R.score_summary(R.answer_scores(_answers(spark, sf_dir), R.evaluation_cases(spark)))
-    return R.apply_promotion(versions, R.promotion_decision(cmp, summary))
+    return R.apply_promotion(versions, R.promotion_decision(cmp, _evaluations(spark, sf_dir)))
 
 
 @query("evaluation_pairs", "S6+W3", oracle=with_chain("example_meta", "example_messages", "model_outputs") + """

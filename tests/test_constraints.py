@@ -39,3 +39,20 @@ def test_upsert_touch(spark):
                    2: ("b", 2.0, "t1", True),        # NULL -> 2.0 counts as a change
                    3: ("c", 3.0, "t0", False),       # only in old: kept
                    4: ("d", 4.0, "t1", False)}       # inserted
+
+
+def test_rule_table(spark):
+    startups = spark.createDataFrame([(1, "a", "seed"), (2, None, "exit"), (3, "x" * 300, None)], "id long, name string, stage string")
+    pivots = spark.createDataFrame([(10, 1, "zoom-in"), (11, 9, None), (12, None, "zoom-in")], "id long, startup_id long, pivot_type string")
+    concepts = spark.createDataFrame([(1, "MVP"), (2, "MVP"), (3, None), (4, None)], "id long, concept_name string")
+    tables = {"startups": startups, "pivot_cases": pivots, "lean_concepts": concepts}
+    got = sorted((r.table_name, r.key, r.column, r.rule) for r in C.rule_violations(tables).collect())
+    assert got == sorted([
+        ("startups", "2", "name", "not_null"), ("startups", "2", "stage", "domain"), ("startups", "3", "name", "max_length"),
+        ("startups", "3", "stage", "not_null"), ("pivot_cases", "11", "pivot_type", "not_null"), ("pivot_cases", "11", "startup_id", "reference"),
+        ("lean_concepts", "1", "concept_name", "unique"), ("lean_concepts", "2", "concept_name", "unique"),
+        ("lean_concepts", "3", "concept_name", "not_null"), ("lean_concepts", "4", "concept_name", "not_null")])
+    summary = {(r.table_name, r.column, r.rule): (r.checked, r.n_rows) for r in C.rule_summary(tables).collect()}
+    assert len(summary) == len(C.RULES)
+    assert summary["startups", "name", "max_length"] == (True, 1) and summary["startups", "stage", "domain"] == (True, 1)
+    assert summary["startups", "sector", "not_null"] == (False, None) and summary["pivot_cases", "pivot_type", "max_length"] == (True, 0)

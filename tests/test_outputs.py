@@ -102,7 +102,7 @@ def test_results_context_and_stats(spark, outputs):
     ctx = {r.output_id: r.context for r in O.results_context(results).collect()}
     assert ctx[1] == '[Données récupérées 1/1 — 2 résultat(s)]\n[{"a":1},{"a":2}]'
     assert ctx[3] == "[Requête 1/2 — aucun résultat]\n\n[Erreur requête 2/2]\nboom"
-    stats = {r.output_id: r for r in O.tool_use_stats(outputs, parsed, results).collect()}
+    stats = {r.output_id: r for r in O.tool_use_stats(outputs, results).collect()}
     assert (stats[3].tool_calls_made, stats[3].tool_calls_successful) == (2, 1)
     assert stats[0].tool_calls_made == 0 and stats[0].data_sources_used == []
     assert stats[1].data_sources_used == ["risk_patterns"]
@@ -111,3 +111,45 @@ def test_results_context_and_stats(spark, outputs):
         "output_id", "call_pos", O.tool_message(msg).alias("m")).collect()}
     assert payloads[(1, 0)]["row_count"] == 2 and payloads[(3, 1)] == {
         "status": "error", "error": "boom", "_tool_call_sql": "SELECT 2"}
+
+
+def test_call_templates(spark):
+    texts = ["SELECT a FROM t WHERE id = 'it''s' LIMIT 5;", "select  a\nfrom t where id = '12' limit 20", "SELECT 1.5, x1 FROM t2"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, sql string")
+    got = [tuple(r.t) for r in df.orderBy("i").select(O.call_template(F.col("sql")).alias("t")).collect()]
+    assert got == [("SELECT A FROM T WHERE ID = ? LIMIT ?", ["it's", "5"]), ("SELECT A FROM T WHERE ID = ? LIMIT ?", ["12", "20"]),
+                   ("SELECT ?, X1 FROM T2", ["1.5"])]
+
+
+def test_calls_are_answered_by_template(spark):
+    risks = spark.createDataFrame([(i, f"r{i}", "a" if i < 30 else "b") for i in range(40)] + [(99, None, None)], "id long, name string, kind string")
+    templates = [O.CallTemplate("SELECT NAME FROM RISKS WHERE KIND = ? LIMIT ?", risks, "kind", ("name",), ("id",)),
+                 O.CallTemplate("SELECT ID FROM RISKS LIMIT ?", risks, None, ("id",), ("id",))]
+    calls = ["SELECT name FROM risks WHERE kind = 'a'", "SELECT name FROM risks WHERE kind = 'a' LIMIT 2", "SELECT name FROM risks WHERE kind = 'none'",
+             "SELECT id FROM risks LIMIT 3", "SELECT id FROM risks", "SELECT other FROM risks", "DROP TABLE risks", "SELECT name FROM risks WHERE kind = 'a' LIMIT 0",
+             "SELECT name FROM risks WHERE kind = 'a' LIMIT 99999999999"]
+    outputs = spark.createDataFrame([(i, f'{S}[query_postgresql(sql="{c}")]{E}') for i, c in enumerate(calls)] * 1, "output_id long, output string")
+    got = {r.output_id: r for r in O.execute_calls(O.classify_calls(O.parsed_calls(outputs)), templates).collect()}
+    assert len(got) == len(calls) and [got[i].row_count for i in range(9)] == [20, 2, 0, 3, 20, None, None, 0, 20]
+    assert json.loads(got[1].data_json) == [{"name": "r0"}, {"name": "r1"}] and json.loads(got[3].data_json) == [{"id": 0}, {"id": 1}, {"id": 2}]
+    assert got[2].success and got[2].data_json == "[]"
+    assert not got[5].success and "SELECT OTHER FROM RISKS LIMIT ?" in got[5].error and not got[6].success
+    none = {r.output_id: r.success for r in O.execute_calls(O.classify_calls(O.parsed_calls(outputs)), []).collect()}
+    assert set(none) == set(got) and not any(none.values())
+
+
+def test_audit_log_reads_committed_rows_of_a_version(spark, scratch):
+    from ledgerline.sources import audit
+    spark.range(10).createOrReplaceTempView("guard_t")
+    root = f"{scratch}/audit"
+    assert SQ.guarded_sql(spark, "SELECT id FROM guard_t;", audit_root=root).count() == 10
+    first = audit.versions(spark, root).first().version
+    classified = spark.createDataFrame([("accepted", "SELECT 1" + "0" * 400), ("accepted_capped", "SELECT 2"), ("unknown_tool", None)], "status string, effective_sql string")
+    SQ.audit_calls(classified, root)
+    with pytest.raises(ValueError):
+        SQ.guarded_sql(spark, "DELETE FROM guard_t", audit_root=root)
+    spark.createDataFrame([("lost", 1)], "sql string, max_rows int").write.parquet(f"{root}/rows/v=uncommitted")      # a writer that failed
+    log = audit.read(spark, root, SQ.AUDIT_SCHEMA).collect()
+    assert sorted(r.sql for r in log) == ["SELECT 1" + "0" * 292, "SELECT 2", "SELECT id FROM guard_t;"]
+    assert [r.sql for r in audit.read(spark, root, SQ.AUDIT_SCHEMA, first).collect()] == ["SELECT id FROM guard_t;"]
+    assert sorted(r.n_rows for r in audit.versions(spark, root).collect()) == [1, 2]

@@ -110,7 +110,7 @@ def test_first_n_per_kind(spark):
 def test_positions_by_order_with_outlier_ids(spark):
     ids = spark.range(3000).select(F.when(F.col("id") == 7, F.lit(10 ** 15)).otherwise(F.col("id") * 2).alias("k"))
     from ledgerline.operators.ranking import positions_within
-    got = positions_within(ids, [], ["k"], out="pos", hot_rows=100, buckets=64).select("k", "pos")
+    got = positions_within(ids, [], ["k"], out="pos").select("k", "pos")
     assert sorted(map(tuple, S.positions_by_order(ids, ["k"]).select("k", "pos").collect())) == \
         sorted(map(tuple, got.collect()))
     want = ids.withColumn("pos", F.row_number().over(Window.orderBy("k")) - 1)
@@ -124,11 +124,10 @@ def test_positions_within_hot_group_outliers_and_null_keys(spark):
         .otherwise((F.col("id") % 5).cast("string")).alias("g"),
         F.when(F.col("id") == 10, F.lit(1e12)).otherwise((F.col("id") * 37) % 1000).cast("double").alias("v"),
         F.col("id"))
-    got = positions_within(df, ["g"], ["v", "id"], out="pos", hot_rows=300, buckets=32).select("id", "pos")
+    got = positions_within(df, ["g"], ["v", "id"], out="pos").select("id", "pos")
     want = df.withColumn("pos", F.row_number().over(Window.partitionBy("g").orderBy("v", "id")) - 1)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select("id", "pos").collect()))
-    pct = {r.g: (r.p10, r.p50, r.p90) for r in percentile_disc(df, ["g"], "v", {"p10": 0.1, "p50": 0.5, "p90": 0.9},
-                                                                ties=["id"], hot_rows=300).collect()}
+    pct = {r.g: (r.p10, r.p50, r.p90) for r in percentile_disc(df, ["g"], "v", {"p10": 0.1, "p50": 0.5, "p90": 0.9}).collect()}
     vals = {}
     for r in df.collect():
         vals.setdefault(r.g, []).append(r.v)
@@ -136,3 +135,60 @@ def test_positions_within_hot_group_outliers_and_null_keys(spark):
     for g, xs in vals.items():
         xs.sort()
         assert pct[g] == tuple(xs[max(1, math.ceil(p * len(xs) - 1e-9)) - 1] for p in (0.1, 0.5, 0.9))
+
+
+def test_percentiles_of_any_type_with_repeated_values(spark):
+    from ledgerline.operators.ranking import percentile_disc
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 11).cast("string")).alias("g"),
+        F.when(F.col("id") % 4 == 0, "same").otherwise(F.sha1(F.col("id").cast("string"))).alias("s"),
+        F.when(F.col("id") % 5 != 0, F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 400).cast("int"))).alias("d"))
+    rows = df.collect()
+    for col in ("s", "d"):
+        got = {r.g: (r.p0, r.p25, r.p100) for r in percentile_disc(df, ["g"], col, {"p0": 0.0, "p25": 0.25, "p100": 1.0}).collect()}
+        groups = {}
+        for r in rows:
+            if r[col] is not None:
+                groups.setdefault(r.g, []).append(r[col])
+        assert set(got) == set(groups)
+        for g, xs in groups.items():
+            xs.sort()
+            assert got[g] == (xs[0], xs[-(-len(xs) // 4) - 1], xs[-1])
+
+
+def test_running_sums_and_minima_with_and_without_groups(spark):
+    from ledgerline.operators.ranking import running_min, running_sum
+    df = spark.range(2000).select(F.when(F.col("id") % 3 > 0, F.lit("a")).otherwise((F.col("id") % 7).cast("string")).alias("g"),
+                                  F.col("id").alias("k"), F.when(F.col("id") % 13 > 0, (F.col("id") * 7919) % 1000).alias("v"))
+    for groups in ([], ["g"]):
+        w = (Window.partitionBy(*groups) if groups else Window.partitionBy()).orderBy("k")
+        least = df.withColumn("m", F.min("v").over(w.rowsBetween(Window.unboundedPreceding, 0))).select("k", "m")
+        assert sorted(map(tuple, running_min(df, groups, ["k"], "v", "m").select("k", "m").collect()), key=str) == sorted(map(tuple, least.collect()), key=str)
+        before = F.coalesce(F.sum("x").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        every = F.sum("x").over(Window.partitionBy(*groups))
+        d = df.withColumn("x", F.col("k") % 17)
+        want = sorted(map(tuple, d.withColumn("s", before).withColumn("t", every).select("k", "s", "t").collect()))
+        got = running_sum(d, groups, ["k"], F.col("x"), "s", total="t").select("k", "s", "t")
+        assert sorted(map(tuple, got.collect())) == want
+        assert running_sum(d.limit(0), groups, ["k"], F.col("x"), "s", total="t").count() == 0
+
+
+def test_canonical_json_and_line_hash(spark):
+    a = '{"b": 1, "a": {"y": [1, {"q": null, "p": "é"}], "x": 2}}'
+    b = '{"a":{"x":2,"y":[1,{"p":"é","q":null}]},"b":1}'
+    rows = [(1, [("user", "hi")], a), (2, [("user", "hi")], b), (3, [("user", "hi")], a.replace("2}", "3}")),
+            (4, [("user", "ho")], a), (5, [("user", "hi")], "no json"), (6, None, None)]
+    df = spark.createDataFrame(rows, "example_id long, messages array<struct<role: string, content: string>>, metadata_json string")
+    h = {r.example_id: r.h for r in df.select("example_id", Q.line_hash(df).alias("h")).collect()}
+    assert h[1] == h[2] and len(set(h.values())) == 5
+    said = [r.c for r in df.where("example_id < 3 or example_id = 5").orderBy("example_id").select(Q.canonical_json(F.col("metadata_json")).alias("c")).collect()]
+    assert said == [b, b, "no json"]
+
+
+def test_flat_duplicates_look_at_unlisted_columns_and_the_id(spark):
+    meta = spark.createDataFrame([(1, "c", "x"), (2, "c", "x")], "example_id long, category string, note string")
+    msgs = spark.createDataFrame([(1, 0, "user", "q"), (2, 0, "user", "q")], "example_id long, turn long, role string, content string")
+    m = Q.quality_metrics(Q.example_facts(meta, msgs)).first()
+    assert (m.total, m.duplicate_full, m.duplicate_user) == (2, 0, 1)
+    empty = Q.quality_metrics(Q.example_facts(meta.limit(0), msgs)).first()
+    assert (empty.total, empty.duplicate_full, empty.tool_use_ratio) == (0, 0, None)

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerline.operators import runs as R
+from ledgerline.operators.ranking import running_min
 
 
 def test_perplexity_overflow_rules(spark):
@@ -37,7 +38,7 @@ def test_metric_series_keys_and_running_best(spark):
 def test_running_min_across_step_buckets(spark):
     df = spark.range(6000).select(F.lit(7).alias("run_id"), F.col("id").alias("step"),
                                   ((F.col("id") * 7919) % 1000).cast("double").alias("v"))
-    got = R.running_min(df, "run_id", "step", "v", "m").select("step", "m")
+    got = running_min(df, ["run_id"], ["step"], "v", "m").select("step", "m")
     want = df.withColumn("m", F.min("v").over(Window.partitionBy("run_id").orderBy("step")
                                                .rowsBetween(Window.unboundedPreceding, 0))).select("step", "m")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
@@ -68,16 +69,22 @@ def test_versions_compare_as_numbers_and_decisions(spark):
     assert cmp["z"].should_promote and cmp["z"].delta_pct == 0.0 and cmp["z"].reason == "marginal_degradation"
     regress = spark.createDataFrame([(2, 1.5), (3, 1.2)], "run_id long, eval_loss double")
     assert R.compare_versions(versions.where("model_name = 'm'"), regress).first().reason == "regression"
-    summary = spark.createDataFrame([(0.5,)], "tool_call_accuracy double")
-    dec = {r.model_name: r for r in R.promotion_decision(R.compare_versions(versions, loss), summary).collect()}
-    assert dec["m"].rejection_reasons == ["tool_accuracy"] and not dec["m"].promoted
-    good = spark.createDataFrame([(0.9,)], "tool_call_accuracy double")
+    schema = "model_name string, tool_call_accuracy double, source string, error string"
+    evaluations = spark.createDataFrame([("m", 0.5, "live", None), ("n", 0.9, "error", "timeout"), ("z", 0.9, "error", None)], schema)
+    dec = {r.model_name: r for r in R.promotion_decision(R.compare_versions(versions, loss), evaluations).collect()}
+    assert dec["m"].rejection_reasons == ["tool_accuracy"] and not dec["m"].promoted and dec["m"].model_stage == "Staging"
+    assert dec["n"].rejection_reasons == ["evaluation_error: timeout"] and dec["z"].rejection_reasons == ["evaluation_error: None"]
+    unseen = R.promotion_decision(R.compare_versions(versions.where("model_name = 'm'"), regress), evaluations.limit(0)).first()
+    assert unseen.rejection_reasons == ["regression: regression", "tool_accuracy"]
+    good = spark.createDataFrame([("m", 0.9, "live", None)], schema)
     applied = R.apply_promotion(versions, R.promotion_decision(R.compare_versions(versions, loss), good))
     stages = {(r.model_name, r.version): r.new_stage for r in applied.collect()}
     assert stages[("m", "10")] == "Production" and stages[("m", "3")] == "Archived" and stages[("m", "9")] == "Staging"
-    gate = {r.model_name: r for r in R.staging_gate(versions, loss).collect()}
-    assert gate["m"].passes_threshold and gate["m"].new_stage == "Staging"
-    assert not gate["n"].passes_threshold and gate["n"].reason == "eval_loss_above_threshold"
+    trained = spark.createDataFrame([(2, "m", 1.0), (4, "n", 3.0), (7, "never", 1.0), (8, "never", None), (6, "z", 0.1)],
+                                    "run_id long, model_name string, eval_loss double")
+    gate = {r.run_id: (r.promoted, r.reason, r.version, r.new_stage) for r in R.staging_gate(versions, trained).collect()}
+    assert gate == {2: (True, None, "10", "Staging"), 4: (False, "eval_loss_above_threshold", None, None), 7: (False, "no_version", None, None),
+                    8: (False, "eval_loss_above_threshold", None, None), 6: (True, None, "2", "Staging")}
 
 
 def test_answer_scores(spark):
@@ -95,5 +102,5 @@ def test_answer_scores(spark):
 def test_running_min_keeps_null_steps_and_runs(spark):
     rows = [(1, 5, 3.0), (1, None, 4.0), (None, 2, 1.0)]
     df = spark.createDataFrame(rows, "run_id long, step long, value double")
-    got = {(r.run_id, r.step): r.best for r in R.running_min(df, "run_id", "step", "value", "best").collect()}
+    got = {(r.run_id, r.step): r.best for r in running_min(df, ["run_id"], ["step"], "value", "best").collect()}
     assert set(got) == {(1, 5), (1, None), (None, 2)} and got[(1, 5)] == 3.0 and got[(None, 2)] == 1.0
