@@ -94,6 +94,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 
+def _crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII string, bit by bit."""
+    return (f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({text}, ''), lambda ch: CAST(ascii(ch) AS BIGINT))), "
+            "lambda c, b: list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda k: CAST(k AS BIGINT))), "
+            "lambda v, k: xor(v >> 1, (v & 1) * 3988292384))), CAST(4294967295 AS BIGINT))")
+
+
 ORACLE_SQL: dict[str, str] = {
     "op3_norm_bucket_topk": """
 WITH v AS (
@@ -125,5 +132,63 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
        CAST(sum(chars) AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS n_attached
 FROM w GROUP BY conv_id
+""",
+    "op11_time_forward_trie": f"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_crc32_sql("CAST(conv_id AS VARCHAR)")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+whole AS (
+  SELECT i.conv_id, 0 AS part, t.pos, role, text FROM ids i JOIN t ON t.conv_id = i.base AND t.pos < i.h
+  UNION ALL SELECT i.conv_id, 1, t.pos, role, text FROM ids i JOIN t ON t.conv_id = i.conv_id AND t.pos >= i.h),
+seq AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth FROM whole),
+path AS (
+  SELECT conv_id, depth, length(text) AS chars,
+         sha256(string_agg(length(role) || ':' || length(text) || ':' || role || text, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS node
+  FROM seq
+  UNION ALL SELECT conv_id, 0, 0, '' FROM ids),
+up AS (SELECT *, lag(node) OVER w AS parent, lead(node) OVER w IS NULL AS ends FROM path WINDOW w AS (PARTITION BY conv_id ORDER BY depth)),
+node AS (SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars, any_value(parent) AS parent FROM up GROUP BY ALL),
+kids AS (SELECT parent AS node, count(*) AS n FROM node WHERE parent IS NOT NULL GROUP BY parent),
+sums AS (
+  SELECT p.node, sum(CASE WHEN k.n IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((v.n_convs - 1) * v.chars) AS saved
+  FROM node v LEFT JOIN kids k ON k.node = v.node JOIN path p ON p.conv_id = v.conv_id AND p.depth <= v.depth GROUP BY p.node),
+ended AS (SELECT node, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS members FROM up WHERE ends GROUP BY node)
+SELECT v.conv_id, CAST(v.depth AS BIGINT) AS depth, a.conv_id AS parent_conv_id, CAST(v.n_convs AS BIGINT) AS n_convs,
+       CAST(coalesce(k.n, 0) AS BIGINT) AS n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens,
+       sha256(coalesce(e.members, '')) AS ends_sha256
+FROM node v LEFT JOIN node a ON a.node = v.parent LEFT JOIN kids k ON k.node = v.node JOIN sums s ON s.node = v.node LEFT JOIN ended e ON e.node = v.node
+""",
+    "op13_link_cut_runs": f"""
+WITH d AS (
+  SELECT doc_id, {_crc32_sql("CAST(doc_id AS VARCHAR)")} AS h,
+         list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS own
+  FROM documents),
+t AS (SELECT doc_id, own, len(own) AS n, h, (h // 10) % greatest(len(own), 1) AS a FROM d),
+p AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM t),
+l AS (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 THEN list_transform(range(n), lambda i: CASE WHEN i >= a THEN own[1 + a + (i - a) % p] ELSE own[1 + i] END)
+                         ELSE own END AS words
+  FROM p),
+w AS (SELECT doc_id, n, unnest(range(n)) AS i, unnest(words) AS word FROM l),
+same AS (
+  SELECT x.doc_id, x.i, y.i - x.i AS q
+  FROM w x JOIN w y ON y.doc_id = x.doc_id AND y.word = x.word AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+islands AS (SELECT doc_id, i, q, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM same),
+periodic AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM islands GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(24, 3 * q)),
+runs AS (
+  SELECT * FROM periodic r
+  WHERE NOT EXISTS (SELECT 1 FROM periodic s WHERE s.doc_id = r.doc_id AND s.q < r.q AND s.start <= r.start AND s.start + s.length >= r.start + r.length)),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length / q DESC, start, q) = 1),
+listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS lines FROM runs GROUP BY doc_id),
+kept AS (
+  SELECT w.doc_id, string_agg(word, ' ' ORDER BY w.i) AS text
+  FROM w LEFT JOIN (SELECT DISTINCT doc_id, unnest(range(start + q, start + length)) AS i FROM runs) r ON r.doc_id = w.doc_id AND r.i = w.i
+  WHERE r.i IS NULL GROUP BY w.doc_id)
+SELECT l.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(b.start AS BIGINT) AS start, CAST(b.length AS BIGINT) AS length,
+       CAST(b.q AS BIGINT) AS period, CAST(1000 * b.length // b.q AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+       sha256(coalesce(kept.text, '')) AS collapsed_sha256, CAST(l.n AS BIGINT) AS n_words
+FROM l LEFT JOIN best b ON b.doc_id = l.doc_id LEFT JOIN listed s ON s.doc_id = l.doc_id LEFT JOIN kept ON kept.doc_id = l.doc_id
 """,
 }
