@@ -8,10 +8,10 @@ meet in partial aggregations and no text is shuffled for them.
 Subtree totals go from the leaves up. Within a shard, nodes arrive in reverse level order
 (deepest first, then by hash; sorted outside of memory by Spark) and every node sends its totals
 forward to its parent through a priority queue that spills sorted runs to disk. Shards are
-whole subtrees: with T = ceil(sqrt(rows)), a node of at least T members is *heavy*, and the
+whole subtrees: with T = ceil(sqrt(rows) / 4), a node of at least T members is *heavy*, and the
 topmost light nodes are shard roots, dealt out by hash. A light subtree holds turns of under T
 conversations. Totals of shard roots are summed by their heavy parent; the heavy nodes, at most
-rows / T <= sqrt(rows) of them, then form the last shard.
+rows / T <= 4 * sqrt(rows) of them, then form the last shard.
 
 Edge cases: a null conv_id takes no part (it names no conversation); null role or text is empty
 text; equal turns of one conversation are ordered by role, then text; an empty table -> no
@@ -229,13 +229,13 @@ def prefix_trie(turns: DataFrame, limit: int = IN_MEMORY) -> DataFrame:
     on_workers(spark)
     path = keep(paths(turns), "trie-paths")
     rows = path.count()
-    heavy_from = max(2, int(np.ceil(np.sqrt(rows))))
+    heavy_from = max(2, int(np.ceil(np.sqrt(rows) / 4)))
     nodes = keep(path.groupBy(*NODE).agg(F.count(F.lit(1)).alias("n_convs"), F.min("conv_id").alias("conv_id"), F.max("chars").alias("chars"),
                                          F.max("p1").alias("p1"), F.max("p2").alias("p2")), "trie-nodes")
     heavy = nodes.where(F.col("n_convs") >= heavy_from)
     light = nodes.where(F.col("n_convs") < heavy_from)
 
-    # at most sqrt(rows) heavy nodes: a small broadcast side. The deepest one on each path is
+    # at most 4 * sqrt(rows) heavy nodes: a small broadcast side. The deepest one on each path is
     # where its shard hangs; a conversation is the smallest member of its light nodes' shard
     tops = heavy.select(*NODE, F.lit(True).alias("heavy"))
     below = (path.join(F.broadcast(tops), NODE, "left")

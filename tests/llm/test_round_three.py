@@ -243,15 +243,16 @@ def test_collapsing_drops_a_word_that_any_run_repeats():
 
 def test_run_documents_edge_cases(spark):
     texts = [(1, None), (2, " \t\x0b\n"), (3, "a b c " * 10), (3, "a b c " * 10), (None, "x " * 30), (4, "word " * 40_000),
-             (5, "a b " * 24 + "tail"), (6, "same " * 23)]
+             (5, "a\u00a0b " * 24 + "tail"), (7, "a b " * 24 + "tail"), (6, "same " * 23)]
     out = periodic.find_runs(docs_of(spark, texts)).collect()
     by = {r.doc_id: r for r in out}
     as_rows = lambda d: [tuple(x) for x in by[d].runs]
-    assert len(out) == 8 and set(out[0].asDict()) == {"doc_id", "n_words", "runs", "collapsed"}
+    assert len(out) == 9 and set(out[0].asDict()) == {"doc_id", "n_words", "runs", "collapsed"}
     assert (by[1].n_words, by[1].runs, by[1].collapsed) == (by[2].n_words, by[2].runs, by[2].collapsed) == (0, [], "")
     assert as_rows(3) == [(0, 30, 3)] and by[3].collapsed == "a b c"
     assert as_rows(4) == [(0, 40_000, 1)] and by[4].collapsed == "word" and as_rows(None) == [(0, 30, 1)]
-    assert as_rows(5) == [(0, 48, 2)] and by[5].collapsed == "a b tail" and as_rows(6) == []
+    assert as_rows(5) == [(0, 24, 1)] and by[5].collapsed == "a\u00a0b tail" and as_rows(6) == []   # one word for this rule
+    assert as_rows(7) == [(0, 48, 2)] and by[7].collapsed == "a b tail"
     assert periodic.find_runs(docs_of(spark, texts).limit(0)).count() == 0
 
 
