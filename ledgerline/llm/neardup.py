@@ -12,9 +12,18 @@
    that share a band key are compared: all pairs of a key with at most ``SMALL`` of them, else
    each with the most popular member (the least edited one shares the most keys) of each of
    ``PIVOTS`` parts. Rounds of one member of each class and large key follow while they halve
-   these members; then every pair of a large key whose members are still in different classes is
-   compared, so the pivots only save pairs that the classes already hold together. Pairs that agree in
-   fewer than ``AGREE`` samples are left out.
+   these members. Pairs that agree in fewer than ``AGREE`` samples are left out (at a similarity
+   of 0.8 once in 10 ** 8 pairs).
+   Large keys that still hold several classes are settled exactly and without all their pairs:
+   they form clusters, and each member is described by what it has more and less than the
+   cluster's leader (signed differences of weights). With c = (1 - SIMILAR) / (1 + SIMILAR), E a
+   member's total difference and S its total weight, two members are similar if and only if twice
+   the weight of the differences that they share is E_x + E_y - c * (S_x + S_y) or more. So a
+   member that isn't similar to the leader is similar to y only if they share differences of more
+   than half of c * S_leader + E_y - c * S_y; of y's differences, rarest first, a prefix that
+   leaves no more than that must hold one of x's. Only pairs that meet on such an element are
+   compared. 1 - similarity is a metric: a round settles the pairs with a member within NEAR of
+   the leader (the other one is within NEAR + 1 - SIMILAR), and the rest elects a new leader.
 4. A pair is a link if its weighted Jaccard similarity, from the whole texts, is ``SIMILAR`` or
    more; classes are the connected components, named after their smallest id.
 
@@ -45,8 +54,9 @@ SAMPLES = 24
 BAND = (0, 1, 4, 9, 11)      # its differences are all distinct modulo 24
 SMALL = 10
 PIVOTS = 3
-TASK_ROWS = 1000             # members of a large key in one part of the last comparison
-AGREE = 12                   # of SAMPLES
+AGREE = 8                    # of SAMPLES
+NEAR = 0.6                   # distance from the leader whose members a round settles
+ROUNDS = 8                   # of leaders; the last one settles all that is left
 PAIRS = 256                  # of whole texts in one Arrow batch
 _BITS = 44                   # of a shingle's hash
 
@@ -176,7 +186,7 @@ def candidate_pairs(keys: DataFrame) -> DataFrame:
 
 def plausible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """The pairs that agree in ``AGREE`` samples or more (at a similarity of SIMILAR fewer agree
-    once in some thousand pairs)."""
+    once in 10 ** 8 pairs)."""
     drawn = reps.select("rep", "samples")
     both = pairs.join(drawn.select(F.col("rep").alias("b"), F.col("samples").alias("sb")), "b").join(
         drawn.select(F.col("rep").alias("a"), F.col("samples").alias("sa")), "a")
@@ -262,10 +272,7 @@ def classes(docs: DataFrame) -> DataFrame:
         if more.isEmpty():
             break
         found = _merged(found, more)
-    rest = cut_lineage(plausible(unresolved_pairs(keys, found), reps).join(done, ["a", "b"], "left_anti"))
-    more = _links(rest, docs, idf)
-    if not more.isEmpty():
-        found = _merged(found, more)
+    found = _settled(keys, found, done, docs, idf)
     named = reps.select("sig", "rep").join(found, "rep").select("sig", F.col("label").alias("class_id"))
     out = sigs.select("doc_id", "sig").join(named, "sig", "left").select(
         "doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
@@ -300,22 +307,108 @@ def _outside(keys: DataFrame, found: DataFrame) -> DataFrame:
         F.min(F.struct(F.xxhash64("key", "rep"), "rep"))["rep"].alias("rep")).select("key", "rep")
 
 
-def unresolved_pairs(keys: DataFrame, found: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, of all pairs of a large key whose members are in different classes.
-    Members outside the key's largest class meet all others; parts of at most about TASK_ROWS
-    members keep a key from being one task."""
+def _clusters(keys: DataFrame, found: DataFrame) -> DataFrame:
+    """cluster, rep, pop of the members of large keys that hold several classes; keys that share a
+    member are one cluster."""
     big = _large(keys, found)
-    main = (big.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("key")
-            .agg(F.max(F.struct("m", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("labels"))
-            .where("labels > 1").select("key", "main"))
-    parts = F.ceil(F.col("n") / TASK_ROWS).cast("int")
-    rows = cut_lineage(big.join(main, "key").withColumn("parts", parts))
-    out = rows.where("label <> main").select(
-        "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("rep").alias("x"),
-        F.col("label").alias("label_x"))
-    every = rows.select("key", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), "rep", "label", "main")
-    return out.join(every, ["key", "part"]).where("label <> label_x and (label = main or x < rep)").select(
-        F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
+    open_ = (big.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("rep").alias("first"))
+             .where("lo <> hi").select("key", "first"))
+    rows = cut_lineage(big.join(open_, "key").groupBy("rep", "first").agg(F.sum("n").alias("n")))
+    joined = components(rows.where("rep <> first"), "rep", "first")
+    return cut_lineage(rows.groupBy("rep").agg(F.sum("n").alias("pop")).join(joined, F.col("rep") == F.col("node"))
+                       .select(F.col("label").alias("cluster"), "rep", "pop"))
+
+
+def differences(members: DataFrame, texts: DataFrame, idf: np.ndarray, similar: float = SIMILAR) -> DataFrame:
+    """From (cluster, label, rep, lead): the similarity to the leader, ``parts`` (the prefix of the
+    signed differences that a similar member must meet) and ``every`` one of them (where the
+    member isn't similar itself)."""
+    both = (members.join(texts.select(F.col("doc_id").alias("rep"), F.col("text").alias("own_text")), "rep")
+            .join(texts.select(F.col("doc_id").alias("lead"), F.col("text").alias("lead_text")), "lead")
+            .select("cluster", "label", "rep", "own_text", "lead_text"))
+    c = (1 - similar) / (1 + similar)
+    low = U((1 << _BITS) - 1)
+
+    def one(kx, wx, kl, wl):
+        g = np.union1d(kx, kl)
+        diff = np.zeros(len(g))
+        diff[np.searchsorted(g, kx)] += wx
+        diff[np.searchsorted(g, kl)] -= wl
+        at = np.flatnonzero(np.abs(diff) > 1e-9)
+        g, diff = g[at], diff[at]
+        weight = np.abs(diff)
+        e, own, lead = weight.sum(), wx.sum(), wl.sum()
+        s = (own + lead - e) / max(own + lead + e, 1e-12)
+        element = (g << U(1) | (diff > 0).astype(U)).view(np.int64)
+        order = np.lexsort((element, -idf[(g & U(FEATURES - 1)).astype(np.int64)]))
+        shared = (c * lead + e - c * own) / 2 - 1e-6 * lead
+        left = e - np.cumsum(weight[order])
+        prefix = element[order[:int(np.searchsorted(-left, -shared)) + 1]]
+        return s, prefix, element if s < similar - 1e-9 else element[:0]
+
+    def run(batches):
+        for batch in batches:
+            size = sum(pc.fill_null(pc.binary_length(batch.column(k)), 0).to_numpy() for k in (3, 4))
+            for lo, hi in slices(np.concatenate(([0], np.cumsum(size, dtype=np.int64)))):
+                part = batch.slice(lo, hi - lo)
+                sides = []
+                for k in (3, 4):
+                    docs = []
+                    for _, _, w in word_slices(part.column(k)):
+                        key, tf, first = shingles(w)
+                        weight = weights(key, tf, idf).astype(np.float64)
+                        docs += [(key[x:y] & low, weight[x:y]) for x, y in zip(first[:-1], first[1:])]
+                    sides.append(docs)
+                got = [one(*x, *y) for x, y in zip(*sides)]
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(k) for k in range(3)), pa.array([g[0] for g in got], pa.float64()),
+                     *(pa.array([g[k] for g in got], pa.list_(pa.int64())) for k in (1, 2))],
+                    ["cluster", "label", "rep", "similarity", "parts", "every"])
+
+    return both.mapInArrow(run, "cluster bigint, label bigint, rep bigint, similarity double, parts array<bigint>, every array<bigint>")
+
+
+def _meeting(told: DataFrame, last: bool) -> DataFrame:
+    """Distinct (a, b), a < b, of different classes that meet on a difference; see the module's text."""
+    near, reach = 1 - NEAR, SIMILAR - NEAR
+    inside = told if last else told.where(F.col("similarity") >= reach - 1e-6)
+    side = lambda df, elements, rep: df.select(
+        "cluster", F.explode(elements).alias("e"), F.col("rep").alias(rep), F.col("label").alias(f"label_{rep}"),
+        (F.col("similarity") >= near - 1e-6).alias(f"near_{rep}"))
+    x, y = side(inside, "every", "x"), side(inside, "parts", "y")
+    several = (x.select("cluster", "e", F.col("label_x").alias("l")).unionByName(y.select("cluster", "e", F.col("label_y").alias("l")))
+               .groupBy("cluster", "e").agg(F.min("l").alias("lo"), F.max("l").alias("hi")).where("lo <> hi").select("cluster", "e"))
+    met = (x.join(several, ["cluster", "e"]).join(y, ["cluster", "e"]).where("label_x <> label_y"))
+    met = met if last else met.where("near_x or near_y")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _settled(keys: DataFrame, found: DataFrame, done: DataFrame, docs: DataFrame, idf: np.ndarray) -> DataFrame:
+    """``found`` after every pair of a large key between different classes was compared or ruled out."""
+    left = _clusters(keys, found)
+    for k in range(ROUNDS):
+        last = k == ROUNDS - 1
+        now = left.join(found, "rep")
+        leaders = (now.groupBy("cluster").agg(F.max(F.struct("pop", "rep"))["rep"].alias("lead"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+                   .where("lo <> hi").select("cluster", "lead"))
+        members = cut_lineage(now.join(leaders, "cluster").select("cluster", "label", "rep", "lead", "pop"))
+        if members.isEmpty():
+            break
+        texts = texts_of(members.select(F.col("rep").alias("a"), F.col("lead").alias("b")), docs)
+        with short_batches(docs.sparkSession, PAIRS):
+            told = cut_lineage(differences(members, texts, idf))
+        close = members.select("rep", "lead").join(told.where(F.col("similarity") >= SIMILAR - 1e-9).select("rep").distinct(), "rep").where("rep <> lead")
+        if not close.isEmpty():
+            found = _merged(found, close.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")))
+        named = told.drop("label").join(found, "rep")
+        more = _links(cut_lineage(_meeting(named, last).join(done, ["a", "b"], "left_anti")), docs, idf)
+        if not more.isEmpty():
+            found = _merged(found, more)
+        if last:
+            break
+        far = told.groupBy("rep").agg(F.min("similarity").alias("s")).where(F.col("s") < 1 - NEAR - 1e-6)
+        left = cut_lineage(members.join(far, "rep", "left_semi").select("cluster", "rep", "pop"))
+    return found
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:

@@ -147,11 +147,48 @@ def test_large_keys_lose_no_pairs(spark, monkeypatch):
     named = {}
     for small in (10 ** 6, 2):                 # all pairs of the key, then pivots first
         monkeypatch.setattr(neardup, "SMALL", small)
-        monkeypatch.setattr(neardup, "TASK_ROWS", 3, raising=False)
         named[small] = {(x.doc_id, x.class_id) for x in neardup.classes(docs).collect()}
     assert named[2] == named[10 ** 6] and len({c for _, c in named[2]}) == 3
 
 
+def test_leaders_differences_settle_large_keys_exactly(spark, monkeypatch):
+    """Everything under one key: variants of two sources around the threshold, some of which share
+    their edits, and strangers; classes as from all pairs, with few pairs compared."""
+    signatures, meeting = neardup.signatures, neardup._meeting
+    monkeypatch.setattr(neardup, "signatures", lambda *a: signatures(*a).withColumn("bands", F.array(F.lit(1).cast("bigint"))))
+    monkeypatch.setattr(neardup, "AGREE", 0)
+    r = random.Random(12)
+    texts = []
+    for g in range(2):
+        source = [f"g{g}w{r.randrange(10_000)}" for _ in range(200)]
+        for i in range(45):
+            words = list(source)
+            for k in r.sample(range(200), r.choice([1, 3, 4, 5, 6, 7])):
+                how = r.random()
+                words[k] = "" if how < 0.2 else f"e{r.randrange(10_000)}" if how < 0.8 else words[k] + f" n{r.randrange(50)}"
+            texts.append(" ".join(words))
+            if i % 5 == 0:                       # a partner with the same edits and one more
+                words[r.randrange(200)] = "more"
+                texts.append(" ".join(words))
+    texts += [" ".join(f"s{r.randrange(10_000)}" for _ in range(100)) for _ in range(6)]
+    r.shuffle(texts)
+    docs = docs_of(spark, list(enumerate(texts)))
+    met = []
+
+    def counted(told, last):
+        pairs = neardup.cut_lineage(meeting(told, last))
+        met.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(neardup, "_meeting", counted)
+    named = {}
+    for small in (10 ** 6, 2):
+        monkeypatch.setattr(neardup, "SMALL", small)
+        named[small] = {(x.doc_id, x.class_id) for x in neardup.classes(docs).collect()}
+    assert named[2] == named[10 ** 6] and 8 < len({c for _, c in named[2]}) < 60
+    assert met and sum(met) < 500 < len(texts) ** 2 / 2 / 10
+
+
 def test_near_duplicate_ids_with_null_texts_and_long_pairs(spark, rng):
     long = " ".join(f"w{rng.randrange(50_000)}" for _ in range(20_000))
     docs = spark.createDataFrame([(1, long), (1, None), (2, long + " more"), (3, "a few other words of no copy"), (4, "")],
