@@ -56,7 +56,7 @@ SMALL = 10
 PIVOTS = 3
 AGREE = 8                    # of SAMPLES
 NEAR = 0.6                   # distance from the leader whose members a round settles
-ROUNDS = 8                   # of leaders; the last one settles all that is left
+ROUNDS = 3                   # of leaders; the last one settles all that is left, near or not
 PAIRS = 256                  # of whole texts in one Arrow batch
 _BITS = 44                   # of a shingle's hash
 
@@ -389,21 +389,19 @@ def _settled(keys: DataFrame, found: DataFrame, done: DataFrame, docs: DataFrame
     for k in range(ROUNDS):
         last = k == ROUNDS - 1
         now = left.join(found, "rep")
-        leaders = (now.groupBy("cluster").agg(F.max(F.struct("pop", "rep"))["rep"].alias("lead"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-                   .where("lo <> hi").select("cluster", "lead"))
-        members = cut_lineage(now.join(leaders, "cluster").select("cluster", "label", "rep", "lead", "pop"))
+        leaders = (now.groupBy("cluster").agg(F.max(F.struct("pop", "rep", "label")).alias("l"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+                   .where("lo <> hi").select("cluster", F.col("l.rep").alias("lead"), F.col("l.label").alias("lead_label")))
+        members = cut_lineage(now.join(leaders, "cluster"))
         if members.isEmpty():
             break
         texts = texts_of(members.select(F.col("rep").alias("a"), F.col("lead").alias("b")), docs)
         with short_batches(docs.sparkSession, PAIRS):
             told = cut_lineage(differences(members, texts, idf))
-        close = members.select("rep", "lead").join(told.where(F.col("similarity") >= SIMILAR - 1e-9).select("rep").distinct(), "rep").where("rep <> lead")
-        if not close.isEmpty():
-            found = _merged(found, close.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")))
-        named = told.drop("label").join(found, "rep")
-        more = _links(cut_lineage(_meeting(named, last).join(done, ["a", "b"], "left_anti")), docs, idf)
-        if not more.isEmpty():
-            found = _merged(found, more)
+        same = F.col("similarity") >= SIMILAR - 1e-9
+        named = told.join(members.select("rep", "lead", "lead_label"), "rep").withColumn("label", F.when(same, F.col("lead_label")).otherwise(F.col("label")))
+        close = named.where(same & (F.col("rep") != F.col("lead"))).select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
+        met = cut_lineage(_meeting(named, last).join(done, ["a", "b"], "left_anti"))
+        found = _merged(found, close.unionByName(_links(met, docs, idf)))
         if last:
             break
         far = told.groupBy("rep").agg(F.min("similarity").alias("s")).where(F.col("s") < 1 - NEAR - 1e-6)
