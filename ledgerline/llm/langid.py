@@ -12,15 +12,14 @@ many. Every word of the whole text is labelled.
 Edge cases: null text, or one without a letter -> ``und`` with score 0; a tie -> the label
 first in alphabetical order; no labelled rows at all -> every text is ``und``; null id ->
 a row with a null id; repeated rows -> one result for each; extra columns are ignored.
-The model is fitted on the driver on at most about ``SAMPLE`` documents a language, of which
-``SAMPLE_CHARS`` characters are read; predictions read whole texts.
+The model is fitted on the driver on the whole texts of at most ``SAMPLE`` rows a language.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import IS_LETTER, U, Words, id_crc, mix, on_workers, spread, word_slices
@@ -28,7 +27,6 @@ from ledgerline.llm.common import IS_LETTER, U, Words, id_crc, mix, on_workers,
 FEATURES = 1 << 17
 CHAIN = 128
 SAMPLE = 240
-SAMPLE_CHARS = 1500
 EPOCHS = 4
 SWITCHED = 0.35          # share of training chains spliced from two languages
 UNKNOWN = "und"
@@ -221,21 +219,17 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
 def fit(docs: DataFrame, learn=None) -> Model:
     """Model from the rows of ``docs`` with text and language that satisfy ``learn``.
 
-    About ``SAMPLE`` rows a language, by the hash of the id: the languages are counted over
-    all rows, then each row is taken with probability SAMPLE / rows of its language."""
+    ``SAMPLE`` rows a language: those of the smallest hashes of id and text (so rows that share an
+    id, or have none, are drawn one by one), with their whole texts."""
     on_workers(docs.sparkSession)
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     if learn is not None:
         rows = rows.where(learn)
-    rows = rows.select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text")
+    got = (rows.select("doc_id", "text", "lang").withColumn("place", F.row_number().over(first))
+           .where(F.col("place") <= SAMPLE).select("text", "lang", "doc_id").collect())
+    if not got:
         return Model([])
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    keep = F.lit(False)
-    for lang, n in sorted(counts.items()):
-        keep = keep | ((F.col("lang") == lang) & (draw < SAMPLE / n))
-    got = rows.where(keep).select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), "lang", "doc_id").collect()
     got = sorted(got, key=lambda r: (r["lang"], -1 if r["doc_id"] is None else r["doc_id"], r["text"]))
     return train([(r["text"], r["lang"]) for r in got])
 

@@ -2,11 +2,15 @@
 reveal them.
 
 Rules give e-mail addresses, IP addresses, card numbers (Luhn) and phone numbers. For every
-entity value e and term t within ``WINDOW`` words of it, document counts over the whole corpus
-give IC(e) = -log2 p(e) and PMI(e; t) = log2(p(e, t) / (p(e) p(t))). A term discloses e if it
-stands with e in at least ``SUPPORT`` different surroundings (copies count once) and
-PMI(e; t) >= IC(e) / ``ALPHA``: knowing t then leaves next to nothing of e's information.
-Such terms are generalised wherever they stand near e; text without an entity never changes.
+entity value e and every term t of the documents that hold e, document counts over the whole
+corpus give IC(e) = -log2 p(e) and PMI(e; t) = log2(p(e, t) / (p(e) p(t))). A term discloses e if
+both stand in documents with at least ``SUPPORT`` different surroundings of e (the words around it;
+copies count once) and PMI(e; t) >= IC(e) / ``ALPHA``: knowing t then leaves next to nothing of e's
+information. As PMI(e; t) is at most IC(t), only terms with IC(t) >= IC(e) / ALPHA for the rarest
+supported entity can do so; such rare terms are chosen before entities and terms are paired.
+
+A disclosing term is generalised at every place in every document that holds its entity, and, if
+at least ``TELLING`` of the documents that hold the term hold the entity too, in all others.
 
 Edge cases: null text has no spans and stays null when sanitised; empty table -> empty result;
 repeated rows -> the same spans each; null ids keep their spans; extra columns pass through
@@ -27,9 +31,10 @@ from ledgerline.llm.common import U, bitmap, cut_lineage, fresh, hash_of, in_bit
 
 KINDS = ("email", "ip", "card", "phone", "term")
 SHOWN = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]")
-WINDOW = 8
+WINDOW = 8               # words on each side that make an entity's surroundings
 SUPPORT = 3
 ALPHA = 1.25
+TELLING = 0.5
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -78,27 +83,29 @@ def entities(text: str) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda x: (x[0], x[2]))
 
 
-def surroundings(text: str, found: list[tuple[int, int, int]]):
-    """For each entity: (its hash, hash of its surroundings, terms near it with their places)."""
+def surroundings(text: str, found: list[tuple[int, int, int]]) -> tuple[list[int], list[int], list[int]]:
+    """(hash of each entity, hash of the words around it, the text's distinct terms outside of
+    entities)."""
     spans = sorted((s, e) for s, e, _ in found)
-    for s, e, kind in found:
-        left, right, reach = [], [], 400
-        lo, hi = max(0, s - reach), min(len(text), e + reach)      # a window of words, not the text
-        for m in _WORD.finditer(text, lo, s):
-            left.append(m.span())
-        for m in _WORD.finditer(text, e, hi):
-            right.append(m.span())
-            if len(right) == WINDOW:
-                break
-        near = [p for p in left[-WINDOW:] + right if not any(a < p[1] and p[0] < b for a, b in spans)]
-        words = [text[a:b] for a, b in near]          # hashes don't tell A-Z from a-z
-        hashes = hash_of(words + [f"{KINDS[kind]}:{text[s:e]}", f"near:{words}"]).view(np.int64).tolist()
-        yield hashes[-2], hashes[-1], [{"term": h, "start": a, "end": b} for h, (a, b) in zip(hashes, near)]
+    words, at = [], 0
+    for m in _WORD.finditer(text):
+        while at < len(spans) and spans[at][1] <= m.start():
+            at += 1
+        if not any(s < m.end() and m.start() < e for s, e in spans[at:at + 4]):
+            words.append(m.span())
+    said = [text[a:b] for a, b in words]          # hashes don't tell A-Z from a-z
+    starts = np.array([a for a, _ in words] + [1 << 62])
+    near = []
+    for s, e, _ in found:
+        k, j = int(np.searchsorted(starts, s)), int(np.searchsorted(starts, e))
+        near.append(f"near:{said[max(0, k - WINDOW):k] + said[j:j + WINDOW]}")
+    hashes = hash_of([f"{KINDS[k]}:{text[s:e]}" for s, e, k in found] + near + said).view(np.int64)
+    n = len(found)
+    return hashes[:n].tolist(), hashes[n:2 * n].tolist(), np.unique(hashes[2 * n:]).tolist()
 
 
 _PA_SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32())])
-_PA_NEAR = pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("terms", pa.list_(pa.struct(
-    [("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])))])
+_PA_NEAR = pa.struct([("entity", pa.int64()), ("context", pa.int64())])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -108,21 +115,24 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def find_entities(docs: DataFrame) -> DataFrame:
-    """row, doc_id, base (spans of the rules), near (surroundings of each entity)."""
+    """row, doc_id, base (spans of the rules), near (each entity with its surroundings), terms (the
+    distinct terms of a text with an entity)."""
     def run(batches):
         for batch in batches:
-            base, near = [], []
+            base, near, terms = [], [], []
             for text in batch.column(2).to_pylist():
                 found = entities(text) if text else []
                 base.append([{"start": s, "end": e, "kind": k} for s, e, k in found])
-                near.append([{"entity": x, "context": c, "terms": t} for x, c, t in surroundings(text, found)]
-                            if found else [])
+                own, around, every = surroundings(text, found) if found else ([], [], [])
+                near.append([{"entity": x, "context": c} for x, c in zip(own, around)])
+                terms.append(every)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, pa.list_(_PA_SPAN)),
-                                              pa.array(near, pa.list_(_PA_NEAR))], ["row", "doc_id", "base", "near"])
+                                              pa.array(near, pa.list_(_PA_NEAR)), pa.array(terms, pa.list_(pa.int64()))],
+                                             ["row", "doc_id", "base", "near", "terms"])
 
     return spread(_keyed(docs), "row").mapInArrow(
         run, "row bigint, doc_id bigint, base array<struct<start:bigint,end:bigint,kind:int>>, "
-             "near array<struct<entity:bigint,context:bigint,terms:array<struct<term:bigint,start:bigint,end:bigint>>>>")
+             "near array<struct<entity:bigint,context:bigint>>, terms array<bigint>")
 
 
 def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -132,51 +142,89 @@ def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
     def count(batches):
         for batch in batches:
-            kept = [np.zeros(0, U)]
+            word, n = np.zeros(0, U), np.zeros(0, np.int64)
             for _, _, w in word_slices(batch.column(0)):
                 hit = np.flatnonzero(in_bitmap(bits, w.hash))
                 doc = np.searchsorted(w.first, hit, side="right") - 1
                 order = np.lexsort((w.hash[hit], doc))
                 h, d = w.hash[hit][order], doc[order]
-                kept.append(h[np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])][:len(h)]])
-            word, n = np.unique(np.concatenate(kept), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], ["term", "n"])
+                own, m = np.unique(h[np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])][:len(h)]], return_counts=True)
+                both, at = np.unique(np.concatenate([word, own]), return_inverse=True)
+                word, n = both, np.bincount(at, np.concatenate([n, m]), len(both)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["term", "n"])
 
     got = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "term bigint, n bigint")
     return got.groupBy("term").agg(F.sum("n").alias("n")).join(terms, "term", "left_semi")
 
 
 def disclosing_terms(found: DataFrame, docs: DataFrame, support: int = SUPPORT, alpha: float = ALPHA) -> DataFrame:
-    """entity, term, pmi, ic: pairs that exceed the disclosure threshold."""
-    near = found.select("row", F.explode("near").alias("x")).select("row", "x.entity", "x.context", "x.terms")
-    pairs = near.select("row", "entity", "context", F.explode("terms.term").alias("term"))
-    together = cut_lineage(
-        pairs.groupBy("entity", "term", "context").agg(F.count_distinct("row").alias("docs"))
-        .groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("docs").alias("n_both"))
-        .where(F.col("contexts") >= support))
-    n_entity = near.select("entity", "row").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    n_term = document_counts(docs, together.select("term").distinct()).withColumnRenamed("n", "n_term")
-    total = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-    scored = attach_one_row(together.join(n_entity, "entity").join(n_term, "term"), total).select(
+    """entity, term, pmi, ic, share (of the documents with the term that hold the entity): pairs that
+    exceed the disclosure threshold."""
+    near = found.where(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.entity", "x.context")
+    supported = cut_lineage(near.groupBy("entity").agg(F.count_distinct("row").alias("n_entity"), F.count_distinct("context").alias("contexts"))
+                            .where(F.col("contexts") >= support).select("entity", "n_entity"))
+    held = cut_lineage(near.join(supported, "entity").distinct())
+    rows = held.select("row").distinct()
+    of_rows = found.join(rows, "row", "left_semi").select("row", F.explode("terms").alias("term"))
+    met = of_rows.groupBy("term").agg(F.count_distinct("row").alias("n")).where(F.col("n") >= support).select("term")
+    n_term = document_counts(docs, cut_lineage(met)).withColumnRenamed("n", "n_term")
+    # a term of n_t documents can disclose an entity of n_e only if n_t / N <= (n_e / N) ** (1 / alpha)
+    limits = attach_one_row(docs.agg(F.count(F.lit(1)).alias("n_docs")), supported.agg(F.max("n_entity").alias("most")))
+    rare = attach_one_row(n_term, limits).where(
+        F.col("n_term") <= F.col("n_docs") * F.pow(F.col("most") / F.col("n_docs"), F.lit(1 / alpha)) * (1 + 1e-9))
+    rare = cut_lineage(rare.select("term", "n_term", "n_docs"))
+    pairs = of_rows.join(rare.select("term"), "term").join(held.select("row", "entity", "context"), "row")
+    together = (pairs.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("row").alias("n_both"))
+                .where(F.col("contexts") >= support))
+    scored = together.join(supported, "entity").join(rare, "term").select(
         "entity", "term", F.log2(F.col("n_docs") / F.col("n_entity")).alias("ic"),
         F.log2(F.least("n_both", "n_term", "n_entity") * F.col("n_docs")
-               / (F.col("n_entity") * F.col("n_term"))).alias("pmi"))
+               / (F.col("n_entity") * F.col("n_term"))).alias("pmi"),
+        (F.col("n_both") / F.col("n_term")).alias("share"))
     return scored.where((F.col("ic") > 0) & (F.col("pmi") >= F.col("ic") / alpha))
 
 
+def places(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """row, term, start, end (code points) of every place where one of ``terms`` stands in a text."""
+    bits = bitmap(terms, "term")
+
+    def run(batches):
+        for batch in batches:
+            out = {"row": [], "term": [], "start": [], "end": []}
+            texts = batch.column(1)
+            rows = batch.column(0).to_numpy()
+            for a, _, w in word_slices(texts):
+                hit = np.flatnonzero(in_bitmap(bits, w.hash))
+                if not len(hit):
+                    continue
+                before = np.concatenate(([0], np.cumsum(w.data & 0xC0 != 0x80)))     # code points up to a byte
+                doc = np.searchsorted(w.first, hit, side="right") - 1
+                zero = before[w.offsets[doc]]
+                out["row"].append(rows[a + doc])
+                out["term"].append(w.hash[hit].view(np.int64))
+                out["start"].append(before[w.start[hit]] - zero)
+                out["end"].append(before[w.end[hit]] - zero)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else np.zeros(0, np.int64), pa.int64()) for v in out.values()], list(out))
+
+    found = _keyed(docs).select("row", "text").mapInArrow(run, "row bigint, term bigint, start bigint, end bigint")
+    return found.join(terms, "term", "left_semi").distinct()
+
+
 def spans(docs: DataFrame) -> DataFrame:
     """row, doc_id, base, all (base and disclosing terms, by start and kind) for every row."""
     on_workers(docs.sparkSession)
     found = cut_lineage(find_entities(docs))
-    telling = disclosing_terms(found, docs).select("entity", "term")
-    near = found.where(F.size("near") > 0).select("row", F.explode("near").alias("x")).select(
-        "row", "x.entity", F.explode("x.terms").alias("t")).select(
-        "row", "entity", F.col("t.term").alias("term"), "t.start", "t.end")
-    added = near.join(telling, ["entity", "term"]).groupBy("row").agg(F.collect_set(
+    told = cut_lineage(disclosing_terms(found, docs).select("entity", "term", "share"))
+    at = cut_lineage(places(docs, told.select("term").distinct()))
+    holds = found.where(F.size("near") > 0).select("row", F.explode("near.entity").alias("entity")).distinct()
+    concerned = at.join(told.select("entity", "term"), "term").join(holds, ["row", "entity"], "left_semi").select("row", "start", "end")
+    elsewhere = at.join(told.where(F.col("share") >= TELLING).select("term").distinct(), "term", "left_semi").select("row", "start", "end")
+    added = concerned.unionByName(elsewhere).groupBy("row").agg(F.collect_set(
         F.struct("start", "end", F.lit(len(KINDS) - 1).alias("kind"))).alias("added"))   # one document's own
-    joined = found.join(added, "row", "left")
-    return joined.select("row", "doc_id", "base", F.array_sort(F.concat(
-        "base", F.coalesce("added", F.array().cast("array<struct<start:bigint,end:bigint,kind:int>>"))),
+    joined = found.select("row", "doc_id", "base").join(added, "row", "left")
+    free = F.filter(F.coalesce("added", F.array().cast("array<struct<start:bigint,end:bigint,kind:int>>")),
+                    lambda x: ~F.exists("base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
+    return joined.select("row", "doc_id", "base", F.array_sort(F.concat("base", free),
         lambda x, y: F.when(x["start"] != y["start"], F.when(x["start"] < y["start"], -1).otherwise(1))
         .otherwise(x["kind"] - y["kind"])).alias("all"))
 

@@ -319,6 +319,68 @@ def test_disclosing_terms_and_sanitising(spark, rng):
     assert pii.report(docs.limit(0)).count() == 0
 
 
+def brute_disclosure(texts):
+    """Pairs (entity, term) over the threshold and the spans of every text, counted directly."""
+    found = {i: pii.entities(t) for i, t in texts.items()}
+    low = lambda w: w.translate({c: c + 32 for c in range(65, 91)})
+    words = {i: [(m.start(), m.end(), low(m.group())) for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t)
+                 if not any(s < m.end() and m.start() < e for s, e, _ in found[i])] for i, t in texts.items()}
+    name = lambda i, x: (x[2], low(texts[i][x[0]:x[1]]))
+    held, around, stand = {}, {}, {}
+    for i in texts:
+        for w in {w for _, _, w in words[i]}:
+            stand.setdefault(w, set()).add(i)
+        for x in found[i]:
+            held.setdefault(name(i, x), set()).add(i)
+            left = [w for s, e, w in words[i] if e <= x[0]][-pii.WINDOW:]
+            around.setdefault((name(i, x), i), set()).add((*left, "|", *[w for s, e, w in words[i] if s >= x[1]][:pii.WINDOW]))
+    n, telling = len(texts), {}
+    for e, docs in held.items():
+        for w in {w for i in docs for _, _, w in words[i]}:
+            both = docs & stand[w]
+            contexts = set().union(*(around[e, i] for i in both))
+            ic, pmi = math.log2(n / len(docs)), math.log2(len(both) * n / (len(docs) * len(stand[w])))
+            if len(contexts) >= pii.SUPPORT and ic > 0 and pmi >= ic / pii.ALPHA:
+                telling[e, w] = len(both) / len(stand[w])
+    everywhere = {w for (_, w), share in telling.items() if share >= pii.TELLING}
+    out = {}
+    for i in texts:
+        own = {name(i, x) for x in found[i]}
+        terms = [(s, e, 4) for s, e, w in words[i] if w in everywhere or any((x, w) in telling for x in own)]
+        out[i] = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, e, k in sorted([*found[i], *terms], key=lambda x: (x[0], x[2])))
+    return telling, out
+
+
+def test_disclosure_over_whole_documents_matches_brute_force(spark, rng):
+    texts = {}
+    for i in range(240):
+        t = prose(rng, rng.randrange(5, 60))
+        if i % 40 < 5:                    # the name far from the address, and again at the end
+            t = f"Zorblatt{i // 40} É {t} {prose(rng, 20)} zor{i // 40}@mail.example.com {prose(rng, 15)} zorblatt{i // 40} x"
+        if i % 40 == 7:
+            t += f" ZORBLATT{i // 40} alone"           # a document without the entity
+        if i % 8 == 1:
+            t += f" common{i // 40} word"
+        if i % 40 in (0, 1, 2):
+            t += f" common{i // 40} again 10.0.0.{i // 40}"
+        texts[i] = t
+    texts[300] = texts[0]                              # a copy
+    texts[301] = "Zorblatt0 " + "long " * 30_000 + "zor0@mail.example.com zorblatt0"
+    telling, want = brute_disclosure(texts)
+    docs = docs_of(spark, list(texts.items()))
+    got = {r.doc_id: r.spans for r in pii.report(docs).collect()}
+    assert got == want and len(telling) >= 6
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert not any(re.search(r"zorblatt\d", t, re.I) for t in clean.values())
+
+
+def test_personal_data_edge_rows(spark):
+    docs = docs_of(spark, [(None, "mail a@b.co"), (1, "mail a@b.co"), (1, "mail a@b.co"), (2, None), (3, "x" * 200_000 + " a@b.co")])
+    rows = sorted((r.doc_id or 0, r.n_email, r.spans) for r in pii.report(docs).collect())
+    assert rows == [(0, 1, "email:5:11"), (1, 1, "email:5:11"), (1, 1, "email:5:11"), (2, 0, ""), (3, 1, "email:200001:200007")]
+    assert sorted(r.text or "" for r in pii.sanitise(docs).collect())[:4] == ["", "mail [EMAIL]", "mail [EMAIL]", "mail [EMAIL]"]
+
+
 # --- 7 -------------------------------------------------------------------------------------
 def test_licence_templates_and_phrases(spark):
     m = licences.Automaton("[[this is]] under the {{name:1-2}} licence [[v {{n:1-1}}]]")
