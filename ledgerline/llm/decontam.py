@@ -3,7 +3,8 @@ items, Smith-Waterman alignment scores them.
 
 1. The words of the test items are counted over all training texts; an n-gram's information is
    the sum of -log2 of its words' frequencies. An item's seeds are its 3-grams of at least
-   ``RARE_BITS`` bits and the rarer half of its 3-grams (an item of fewer words: all its words).
+   ``RARE_BITS`` bits and the rarer half of its 3-grams (an item of fewer words: all its words;
+   texts are then scanned for 1- or 2-grams as well).
 2. Training texts are scanned with a bitmap of the seeds, of fixed size (``common.BITMAP`` bits; it
    only saves rows, the join that follows is exact). Seeds close together form a passage,
    widened by the length of the longest item on both sides.
@@ -21,8 +22,6 @@ extra columns are ignored; empty tables give an empty result.
 
 from __future__ import annotations
 
-
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -105,27 +104,35 @@ def seeds(items: DataFrame, docs: DataFrame) -> DataFrame:
         "item_id", "gram").distinct()
 
 
-def passages(docs: DataFrame, seed_bits: np.ndarray, widen: int) -> DataFrame:
-    """doc_id, at (first word), words, grams: passages of the texts that hold seeds."""
+def passages(docs: DataFrame, seed_bits: np.ndarray, widen: int, sizes: list[int] | None = None) -> DataFrame:
+    """doc_id, at (first word), words, grams: passages of the texts that hold seeds, which are
+    n-grams of ``sizes`` words (GRAM, and less where items are shorter)."""
+    sizes = sizes or [GRAM]
+
     def find(batches):
         for batch in batches:
             ids, ats, words, grams = [], [], [], []
             for a, b, w in word_slices(batch.column(1)):
-                g, first = w.grams(GRAM)
-                hit = np.flatnonzero(in_bitmap(seed_bits, g))
-                if not len(hit):
+                held = []
+                for size in sizes:
+                    g, first = w.grams(size)
+                    hit = np.flatnonzero(in_bitmap(seed_bits, g))
+                    of = np.searchsorted(first, hit, side="right") - 1
+                    held.append((of, hit - first[of] + w.first[of], g[hit]))
+                doc, at, gram = (np.concatenate([x[k] for x in held]) for k in range(3))
+                if not len(doc):
                     continue
-                doc = np.searchsorted(first, hit, side="right") - 1
-                at = hit - first[doc] + w.first[doc]
+                order = np.lexsort((at, doc))
+                doc, at, gram = doc[order], at[order], gram[order]
                 cut = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (at[1:] - at[:-1] > widen)])
-                for x, y in zip(cut, np.append(cut[1:], len(hit))):
+                for x, y in zip(cut, np.append(cut[1:], len(doc))):
                     d = int(doc[x])
                     lo = max(int(at[x]) - widen, int(w.first[d]))
                     hi = min(int(at[y - 1]) + GRAM + widen, int(w.first[d + 1]))
                     ids.append(a + d)
                     ats.append(lo - int(w.first[d]))
                     words.append(w.hash[lo:hi].view(np.int64))
-                    grams.append(np.unique(g[hit[x:y]]).view(np.int64))
+                    grams.append(np.unique(gram[x:y]).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(ids, pa.int64())), pa.array(ats, pa.int64()),
                  pa.array(words, pa.list_(pa.int64())), pa.array(grams, pa.list_(pa.int64()))],
@@ -158,9 +165,10 @@ def contaminated(docs: DataFrame, items: DataFrame, score: float = SCORE) -> Dat
     document with each item that it holds."""
     on_workers(docs.sparkSession)
     tests = cut_lineage(_words_of(items))
-    longest = tests.agg(F.max(F.size("words"))).first()[0] or 0
+    shape = tests.agg(F.max(F.size("words")).alias("longest"), *[F.count_if(F.size("words") == n).alias(f"of_{n}") for n in range(1, GRAM)]).first()
+    longest, sizes = shape.longest or 0, [GRAM] + [n for n in range(1, GRAM) if shape[f"of_{n}"]]
     seed = cut_lineage(seeds(tests, docs))
-    found = cut_lineage(passages(docs, bitmap(seed, "gram"), max(longest, GRAM)).withColumn(
+    found = cut_lineage(passages(docs, bitmap(seed, "gram"), max(longest, GRAM), sizes).withColumn(
         "passage", F.xxhash64("doc_id", "at", "words")).dropDuplicates(["passage"]))
     pairs = (found.select("passage", F.explode("grams").alias("gram")).join(seed, "gram")
              .select("passage", "item_id").distinct())

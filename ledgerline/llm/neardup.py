@@ -42,9 +42,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import (U, bitmap, cut_lineage, fresh, in_bitmap, keep, mix, on_workers, short_batches,
+from ledgerline.llm.common import (U, bitmap, fresh, in_bitmap, keep, mix, on_workers, short_batches,
                                    slices, word_slices)
-from ledgerline.llm.components import components
+from ledgerline.llm.components import components, written
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -170,7 +170,7 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
 def candidate_pairs(keys: DataFrame) -> DataFrame:
     """Distinct (a, b), a < b, to compare, from rows (key, rep): linear in the rows."""
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = cut_lineage(keys.join(sizes, "key"))
+    shared = written(keys.join(sizes, "key"))
     popular = shared.groupBy("rep").agg(F.sum("n").alias("pop"))
     small = shared.where(F.col("n") <= SMALL).select("key", "rep")
     pairs = small.join(small.select("key", F.col("rep").alias("other")), "key").where("rep < other").select(
@@ -196,7 +196,7 @@ def plausible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 def texts_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """doc_id, text of the documents in ``pairs``, each text once."""
-    ids = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     bits = bitmap(ids, "doc_id")
 
     def near(batches):
@@ -248,12 +248,12 @@ def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (smallest id of the class), is_first, for every row of ``docs``."""
     on_workers(docs.sparkSession)
     idf = inverse_frequencies(docs)
-    sigs = cut_lineage(signatures(docs, idf))
+    sigs = written(signatures(docs, idf))
     known = sigs.where(F.col("doc_id").isNotNull() & F.col("sig").isNotNull())
-    reps = cut_lineage(known.groupBy("sig").agg(
+    reps = written(known.groupBy("sig").agg(
         F.min("doc_id").alias("rep"), F.any_value("samples").alias("samples"), F.any_value("bands").alias("bands")))
     keys = reps.select(F.explode("bands").alias("key"), "rep")
-    pairs = cut_lineage(plausible(candidate_pairs(keys), reps))
+    pairs = written(plausible(candidate_pairs(keys), reps))
     links = _links(pairs, docs, idf)
     # ids that carry several texts hold these together
     held = known.select("doc_id", "sig").distinct().join(reps.select("sig", "rep"), "sig").where("doc_id <> rep")
@@ -262,12 +262,12 @@ def classes(docs: DataFrame) -> DataFrame:
     found = _merged(reps.select("rep", F.col("rep").alias("label")).distinct(), links.unionByName(held))
     done, before = pairs, None
     while True:
-        outside = cut_lineage(_outside(keys, found))
+        outside = written(_outside(keys, found))
         members = outside.count()
         if not members or before is not None and members > before / 2:
             break
         before = members
-        again = cut_lineage(plausible(candidate_pairs(outside), reps).join(done, ["a", "b"], "left_anti"))
+        again = written(plausible(candidate_pairs(outside), reps).join(done, ["a", "b"], "left_anti"))
         done, more = done.unionByName(again), _links(again, docs, idf)
         if more.isEmpty():
             break
@@ -282,7 +282,7 @@ def classes(docs: DataFrame) -> DataFrame:
 def _links(pairs: DataFrame, docs: DataFrame, idf: np.ndarray) -> DataFrame:
     texts = texts_of(pairs, docs)
     with short_batches(docs.sparkSession, PAIRS):
-        return cut_lineage(similar_pairs(pairs, texts, idf).select("a", "b"))
+        return written(similar_pairs(pairs, texts, idf).select("a", "b"))
 
 
 def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
@@ -291,7 +291,7 @@ def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
     both = links.join(of("a"), "a").join(of("b"), "b").where("label_a <> label_b").select(
         F.col("label_a").alias("a"), F.col("label_b").alias("b"))
     up = components(both).select(F.col("node").alias("label"), F.col("label").alias("least"))
-    return cut_lineage(found.join(up, "label", "left").select("rep", F.coalesce("least", "label").alias("label")))
+    return written(found.join(up, "label", "left").select("rep", F.coalesce("least", "label").alias("label")))
 
 
 def _large(keys: DataFrame, found: DataFrame) -> DataFrame:
@@ -313,9 +313,9 @@ def _clusters(keys: DataFrame, found: DataFrame) -> DataFrame:
     big = _large(keys, found)
     open_ = (big.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("rep").alias("first"))
              .where("lo <> hi").select("key", "first"))
-    rows = cut_lineage(big.join(open_, "key").groupBy("rep", "first").agg(F.sum("n").alias("n")))
+    rows = written(big.join(open_, "key").groupBy("rep", "first").agg(F.sum("n").alias("n")))
     joined = components(rows.where("rep <> first"), "rep", "first")
-    return cut_lineage(rows.groupBy("rep").agg(F.sum("n").alias("pop")).join(joined, F.col("rep") == F.col("node"))
+    return written(rows.groupBy("rep").agg(F.sum("n").alias("pop")).join(joined, F.col("rep") == F.col("node"))
                        .select(F.col("label").alias("cluster"), "rep", "pop"))
 
 
@@ -391,21 +391,21 @@ def _settled(keys: DataFrame, found: DataFrame, done: DataFrame, docs: DataFrame
         now = left.join(found, "rep")
         leaders = (now.groupBy("cluster").agg(F.max(F.struct("pop", "rep", "label")).alias("l"), F.min("label").alias("lo"), F.max("label").alias("hi"))
                    .where("lo <> hi").select("cluster", F.col("l.rep").alias("lead"), F.col("l.label").alias("lead_label")))
-        members = cut_lineage(now.join(leaders, "cluster"))
+        members = written(now.join(leaders, "cluster"))
         if members.isEmpty():
             break
         texts = texts_of(members.select(F.col("rep").alias("a"), F.col("lead").alias("b")), docs)
         with short_batches(docs.sparkSession, PAIRS):
-            told = cut_lineage(differences(members, texts, idf))
+            told = written(differences(members, texts, idf))
         same = F.col("similarity") >= SIMILAR - 1e-9
         named = told.join(members.select("rep", "lead", "lead_label"), "rep").withColumn("label", F.when(same, F.col("lead_label")).otherwise(F.col("label")))
         close = named.where(same & (F.col("rep") != F.col("lead"))).select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
-        met = cut_lineage(_meeting(named, last).join(done, ["a", "b"], "left_anti"))
+        met = written(_meeting(named, last).join(done, ["a", "b"], "left_anti"))
         found = _merged(found, close.unionByName(_links(met, docs, idf)))
         if last:
             break
         far = told.groupBy("rep").agg(F.min("similarity").alias("s")).where(F.col("s") < 1 - NEAR - 1e-6)
-        left = cut_lineage(members.join(far, "rep", "left_semi").select("cluster", "rep", "pop"))
+        left = written(members.join(far, "rep", "left_semi").select("cluster", "rep", "pop"))
     return found
 
 

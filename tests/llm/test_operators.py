@@ -88,6 +88,14 @@ def test_contaminated_finds_verbatim_and_edited_passages(spark, rng):
     assert decontam.contaminated(docs_of(spark, []), items).count() == 0
 
 
+def test_items_of_one_and_two_words(spark, rng):
+    docs = docs_of(spark, [(1, prose(rng, 30) + " xylophone quartz " + prose(rng, 30)), (2, "Xylophone, quartz"), (3, "quartz xylophone"),
+                           (4, prose(rng, 20) + " zeppelin"), (5, prose(rng, 40)), (6, "xylophone")])
+    items = spark.createDataFrame([(10, "xylophone quartz"), (11, "Zeppelin!"), (12, "a longer item that no document holds at all")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.last_word) for r in decontam.contaminated(docs, items).collect()}
+    assert got == {(1, 10, 31), (2, 10, 1), (4, 11, 20)}
+
+
 # --- 2 -------------------------------------------------------------------------------------
 def test_components(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(101, 100)], "a long, b long")
@@ -176,7 +184,7 @@ def test_leaders_differences_settle_large_keys_exactly(spark, monkeypatch):
     met = []
 
     def counted(told, last):
-        pairs = neardup.cut_lineage(meeting(told, last))
+        pairs = neardup.written(meeting(told, last))
         met.append(pairs.count())
         return pairs
 
