@@ -11,9 +11,8 @@
 3. Documents with the same shingles and weights are one class at once. The representatives
    that share a band key are compared: all pairs of a key with at most ``SMALL`` of them, else
    each with the most popular member (the least edited one shares the most keys) of each of
-   ``PIVOTS`` parts. Rounds of one member of each class and large key follow while they halve
-   these members. Pairs that agree in fewer than ``AGREE`` samples are left out (at a similarity
-   of 0.8 once in 10 ** 8 pairs).
+   ``PIVOTS`` parts. Pairs that agree in fewer than ``AGREE`` samples are left out (at a
+   similarity of 0.8 once in 10 ** 8 pairs).
    Large keys that still hold several classes are settled exactly and without all their pairs:
    they form clusters, and each member is described by what it has more and less than the
    cluster's leader (signed differences of weights). With c = (1 - SIMILAR) / (1 + SIMILAR), E a
@@ -260,19 +259,7 @@ def classes(docs: DataFrame) -> DataFrame:
     held = held.join(held.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "doc_id").select(
         F.least("rep", "doc_id").alias("a"), F.greatest("rep", "doc_id").alias("b"))
     found = _merged(reps.select("rep", F.col("rep").alias("label")).distinct(), links.unionByName(held))
-    done, before = pairs, None
-    while True:
-        outside = written(_outside(keys, found))
-        members = outside.count()
-        if not members or before is not None and members > before / 2:
-            break
-        before = members
-        again = written(plausible(candidate_pairs(outside), reps).join(done, ["a", "b"], "left_anti"))
-        done, more = done.unionByName(again), _links(again, docs, idf)
-        if more.isEmpty():
-            break
-        found = _merged(found, more)
-    found = _settled(keys, found, done, docs, idf)
+    found = _settled(keys, found, pairs, docs, idf)
     named = reps.select("sig", "rep").join(found, "rep").select("sig", F.col("label").alias("class_id"))
     out = sigs.select("doc_id", "sig").join(named, "sig", "left").select(
         "doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
@@ -300,13 +287,6 @@ def _large(keys: DataFrame, found: DataFrame) -> DataFrame:
     return keys.join(sizes, "key").join(found, "rep").select("key", "rep", "n", "label")
 
 
-def _outside(keys: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows of large keys that hold several classes: one member of each class, the one that
-    its class has in the key with the smallest hash, so that other members meet each time."""
-    return _large(keys, found).groupBy("key", "label").agg(
-        F.min(F.struct(F.xxhash64("key", "rep"), "rep"))["rep"].alias("rep")).select("key", "rep")
-
-
 def _clusters(keys: DataFrame, found: DataFrame) -> DataFrame:
     """cluster, rep, pop of the members of large keys that hold several classes; keys that share a
     member are one cluster."""
