@@ -60,7 +60,7 @@ STAGES = [
     ("encoding", encoding),
 ]
 
-#: No stage but the first filter has a SQL form; the tests hold ``run`` against brute force.
+#: No stage has a SQL form; the tests check that the stages chain, keep their columns and take effect.
 ORACLE_SQL = None
 
 
