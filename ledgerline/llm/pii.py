@@ -23,7 +23,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.sizing import attach_one_row
@@ -235,10 +235,14 @@ def _joined(col: str):
         x["end"].cast("string"))), ",")
 
 
+def _number(col: str, kind: int) -> Column:
+    """Spans of ``kind``. (Spark gives every further argument of a filter's function the place.)"""
+    return F.size(F.filter(col, lambda x: x["kind"] == kind)).cast("bigint")
+
+
 def report(docs: DataFrame) -> DataFrame:
     s = spans(docs)
-    counts = [F.size(F.filter("base", lambda x, i=i: x["kind"] == i)).cast("bigint").alias(f"n_{k}")
-              for i, k in enumerate(KINDS[:4])]
+    counts = [_number("base", i).alias(f"n_{k}") for i, k in enumerate(KINDS[:4])]
     return s.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"),
                     _joined("all").alias("spans"))
 

@@ -7,7 +7,7 @@ import random
 import re
 from collections import Counter
 
-from ledgerline.llm import secrets
+from ledgerline.llm import pii, secrets
 from tests.llm.test_operators import docs_of
 
 ASSIGN = re.compile(r"""(?a:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -39,3 +39,24 @@ def test_secret_counts_match_the_contract(spark):
     docs = docs_of(spark, list(texts.items()))
     got = secrets.report(docs.unionByName(docs)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256").collect()
     assert Counter(tuple(r) for r in got) == Counter((i, *brute_secrets(t)) for i, t in texts.items() for _ in "12")
+
+
+# --- 6: personal data -----------------------------------------------------------------------
+def brute_personal(text: str | None) -> tuple:
+    t = text or ""
+    out = [(m.start(), 0, "email", m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(m.start(), 1, "ip", m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t)
+            if all(int(x) <= 255 for x in m.group().split("."))]
+    out += [(m.start(), 2, "card", m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t)
+            if 12 <= len(re.sub("[^0-9]", "", m.group())) <= 19 and pii.luhn(re.sub("[^0-9]", "", m.group()))]
+    out += [(m.start(), 3, "phone", m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t)
+            if 9 <= len(re.sub("[^0-9]", "", m.group())) <= 15]
+    return contract_row(out, 4)
+
+
+def test_personal_data_counts_match_the_contract(spark):
+    texts = mixed(["joe@", "x.com", "b.c", "@", "%", "+1", "(", ")", " ", "-", "1.2.3.4", "255.1.0.007", "999.1.1.1", "4111 1111 1111 1111",
+                   "5500005555555559", "+44 20 7946 0958", "é", "😀", "\n", "foo "], 300, 6) | {300: None}
+    docs = docs_of(spark, list(texts.items()))
+    got = pii.report(docs.unionByName(docs)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256").collect()
+    assert Counter(tuple(r) for r in got) == Counter((i, *brute_personal(t)) for i, t in texts.items() for _ in "12")
