@@ -128,3 +128,23 @@ def test_validate_requests(spark):
     rows = K.validate_requests(df).collect()
     assert rows[0].valid and rows[0].reasons == []
     assert set(rows[1].reasons) == {"description_too_short", "bad_profile", "bad_stage", "bad_detail_level", "bad_limit"}
+
+
+def test_concept_mentions_store_no_names_and_take_repeated_rows(spark, monkeypatch):
+    """What is written between the passes follows the terms, whatever the number of names."""
+    rows = [(i, f"Steel bolt number {i}", ["b"]) for i in range(500)] + [(7, "Steel bolt number 7", ["b"])] * 2 + [(None, "brass nut", None), (900, None, ["nut"])]
+    cdf = spark.createDataFrame(rows, "id long, concept_name string, aliases array<string>")
+    terms = ["bolt number", "number 7", "number 499", "eel", "b", "brass", "nut", "b%7", "_l n", None, "number 5000"]
+    stored = []
+    real = K.keep
+
+    def counted(df, name):
+        out = real(df, name)
+        stored.append(out.count())
+        return out
+
+    monkeypatch.setattr(K, "keep", counted)
+    got = {r.term: r.id for r in K.concept_mentions(spark.createDataFrame([(t,) for t in terms], "term string"), cdf).collect()}
+    want = _brute_mentions([t for t in terms if t], [r for r in rows if r[0] is not None and r[1] is not None] + [(900, "", ["nut"])])
+    assert got == want
+    assert max(stored) <= sum(len(t) for t in terms if t)
