@@ -20,8 +20,15 @@
    the weight of the differences that they share is E_x + E_y - c * (S_x + S_y) or more. So a
    member that isn't similar to the leader is similar to y only if they share differences of more
    than half of c * S_leader + E_y - c * S_y; of y's differences, rarest first, a prefix that
-   leaves no more than that must hold one of x's. Only pairs that meet on such an element are
-   compared. 1 - similarity is a metric: a round settles the pairs with a member within NEAR of
+   leaves no more than that must hold one of x's. What members lack of the leader is common to many
+   of them, and seldom enough: with P and M a member's weight over and under the leader's and
+   bend = ((1 - c) * P + c * M) / (c * S_leader), similar members share additions of at least
+   c * S_leader * ((bend_x + bend_y) / 2 - 1). So pairs with bends of over 2 in all meet on
+   additions alone, on a prefix of y's that leaves no more than c * S_leader * (bend_y - 1) where
+   bend_x >= bend_y; only the others (of members that mostly lack parts) meet on all differences.
+   As a pair's distance is |P_x - P_y| + |M_x - M_y| at least, pairs with more than
+   c * (S_x + S_y) of that don't meet. Only pairs that meet are compared.
+   1 - similarity is a metric: a round settles the pairs with a member within NEAR of
    the leader (the other one is within NEAR + 1 - SIMILAR), and the rest elects a new leader.
 4. A pair is a link if its weighted Jaccard similarity, from the whole texts, is ``SIMILAR`` or
    more; classes are the connected components, named after their smallest id.
@@ -300,9 +307,11 @@ def _clusters(keys: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def differences(members: DataFrame, texts: DataFrame, idf: np.ndarray, similar: float = SIMILAR) -> DataFrame:
-    """From (cluster, label, rep, lead): the similarity to the leader, ``parts`` (the prefix of the
-    signed differences that a similar member must meet) and ``every`` one of them (where the
-    member isn't similar itself)."""
+    """From (cluster, label, rep, lead): the similarity to the leader, what the member has ``over`` and
+    ``under`` the leader's ``size``, its ``bend``; ``parts`` (the prefix of the signed differences that
+    a similar member must meet) and ``every`` one of them; ``firm`` (the prefix of the additions) and
+    ``added``, every addition. ``every`` and ``added`` are empty where the member is similar itself,
+    ``parts`` and ``every`` where its bend is too large for any pair that needs them."""
     both = (members.join(texts.select(F.col("doc_id").alias("rep"), F.col("text").alias("own_text")), "rep")
             .join(texts.select(F.col("doc_id").alias("lead"), F.col("text").alias("lead_text")), "lead")
             .select("cluster", "label", "rep", "own_text", "lead_text"))
@@ -321,10 +330,19 @@ def differences(members: DataFrame, texts: DataFrame, idf: np.ndarray, similar:
         s = (own + lead - e) / max(own + lead + e, 1e-12)
         element = (g << U(1) | (diff > 0).astype(U)).view(np.int64)
         order = np.lexsort((element, -idf[(g & U(FEATURES - 1)).astype(np.int64)]))
-        shared = (c * lead + e - c * own) / 2 - 1e-6 * lead
-        left = e - np.cumsum(weight[order])
-        prefix = element[order[:int(np.searchsorted(-left, -shared)) + 1]]
-        return s, prefix, element if s < similar - 1e-9 else element[:0]
+        over, under = weight[diff > 0].sum(), weight[diff < 0].sum()
+        bend = ((1 - c) * over + c * under) / max(c * lead, 1e-12)
+        apart, none = s < similar - 1e-9, element[:0]
+
+        def prefix(at, shared):
+            left = weight[at].sum() - np.cumsum(weight[at])
+            return element[at[:int(np.searchsorted(-left, -(shared - 1e-6 * lead))) + 1]]
+
+        more = order[diff[order] > 0]
+        return (s, over, under, lead, bend,
+                prefix(order, (c * lead + e - c * own) / 2) if bend <= 2 + 1e-6 else none,
+                element if apart and bend <= 2 + 1e-6 else none,
+                prefix(more, c * lead * (bend - 1) if apart else 0.0), element[diff > 0] if apart else none)
 
     def run(batches):
         for batch in batches:
@@ -341,24 +359,36 @@ def differences(members: DataFrame, texts: DataFrame, idf: np.ndarray, similar:
                     sides.append(docs)
                 got = [one(*x, *y) for x, y in zip(*sides)]
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(k) for k in range(3)), pa.array([g[0] for g in got], pa.float64()),
-                     *(pa.array([g[k] for g in got], pa.list_(pa.int64())) for k in (1, 2))],
-                    ["cluster", "label", "rep", "similarity", "parts", "every"])
+                    [*(part.column(k) for k in range(3)),
+                     *(pa.array([g[k] for g in got], pa.float64()) for k in range(5)),
+                     *(pa.array([g[k] for g in got], pa.list_(pa.int64())) for k in range(5, 9))],
+                    ["cluster", "label", "rep", "similarity", "over", "under", "size", "bend", "parts", "every", "firm", "added"])
 
-    return both.mapInArrow(run, "cluster bigint, label bigint, rep bigint, similarity double, parts array<bigint>, every array<bigint>")
+    return both.mapInArrow(run, "cluster bigint, label bigint, rep bigint, similarity double, over double, under double, size double, "
+                                "bend double, parts array<bigint>, every array<bigint>, firm array<bigint>, added array<bigint>")
 
 
-def _meeting(told: DataFrame, last: bool) -> DataFrame:
+def _meeting(told: DataFrame, last: bool, similar: float = SIMILAR) -> DataFrame:
     """Distinct (a, b), a < b, of different classes that meet on a difference; see the module's text."""
-    near, reach = 1 - NEAR, SIMILAR - NEAR
+    near, reach, c = 1 - NEAR, similar - NEAR, (1 - similar) / (1 + similar)
     inside = told if last else told.where(F.col("similarity") >= reach - 1e-6)
-    side = lambda df, elements, rep: df.select(
-        "cluster", F.explode(elements).alias("e"), F.col("rep").alias(rep), F.col("label").alias(f"label_{rep}"),
-        (F.col("similarity") >= near - 1e-6).alias(f"near_{rep}"))
-    x, y = side(inside, "every", "x"), side(inside, "parts", "y")
-    several = (x.select("cluster", "e", F.col("label_x").alias("l")).unionByName(y.select("cluster", "e", F.col("label_y").alias("l")))
-               .groupBy("cluster", "e").agg(F.min("l").alias("lo"), F.max("l").alias("hi")).where("lo <> hi").select("cluster", "e"))
-    met = (x.join(several, ["cluster", "e"]).join(y, ["cluster", "e"]).where("label_x <> label_y"))
+    told_of = lambda rep: [
+        F.col("rep").alias(rep), *(F.col(k).alias(f"{k}_{rep}") for k in ("label", "over", "under", "size", "bend")),
+        (F.col("similarity") >= similar - 1e-9).alias(f"same_{rep}"), (F.col("similarity") >= near - 1e-6).alias(f"near_{rep}")]
+    of = lambda elements, add, rep: inside.select(
+        "cluster", F.explode(elements).alias("e"), F.lit(add).alias("add"), *told_of(rep))
+    side = lambda every, added, rep: of(every, False, rep).unionByName(of(added, True, rep))
+    x, y = side("every", "added", "x"), side("parts", "firm", "y")
+    on = ["cluster", "e", "add"]
+    several = (x.select(*on, F.col("label_x").alias("l")).unionByName(y.select(*on, F.col("label_y").alias("l")))
+               .groupBy(*on).agg(F.min("l").alias("lo"), F.max("l").alias("hi")).where("lo <> hi").select(*on))
+    bends = F.col("bend_x") + F.col("bend_y")
+    least = F.abs(F.col("over_x") - F.col("over_y")) + F.abs(F.col("under_x") - F.col("under_y"))
+    sizes = 2 * F.col("size_x") + F.col("over_x") - F.col("under_x") + F.col("over_y") - F.col("under_y")
+    met = (x.join(several, on).join(y, on).where("label_x <> label_y")
+           .where(F.when(F.col("add"), bends >= 2 - 1e-6).otherwise(bends <= 2 + 1e-6))
+           .where(F.col("same_y") | (F.col("bend_x") >= F.col("bend_y") - 1e-9))
+           .where(least <= c * sizes + 1e-6 * F.col("size_x")))
     met = met if last else met.where("near_x or near_y")
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
