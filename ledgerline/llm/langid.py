@@ -27,6 +27,7 @@ from ledgerline.llm.common import IS_LETTER, U, Words, id_crc, mix, on_workers,
 FEATURES = 1 << 17
 CHAIN = 128
 SAMPLE = 240
+PARTS = 64               # of a language, whose smallest hashes are found apart
 EPOCHS = 4
 SWITCHED = 0.35          # share of training chains spliced from two languages
 UNKNOWN = "und"
@@ -216,6 +217,17 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     return model
 
 
+def drawn(rows: DataFrame) -> DataFrame:
+    """lang, doc_id, text, hash of the rows up to the SAMPLE-th smallest hash of their language. Only
+    hashes move to find it, those of a language in PARTS parts; the texts stay where they are."""
+    rows = rows.select("lang", "doc_id", "text", F.xxhash64("doc_id", "text").alias("hash"))
+    least = lambda df, *of: df.withColumn(
+        "place", F.row_number().over(Window.partitionBy("lang", *of).orderBy("hash"))).where(F.col("place") <= SAMPLE)
+    some = least(rows.select("lang", "hash"), F.pmod("hash", F.lit(PARTS)))
+    last = least(some.select("lang", "hash")).groupBy("lang").agg(F.max("hash").alias("last"))
+    return rows.join(F.broadcast(last), "lang").where(F.col("hash") <= F.col("last")).drop("last")   # a row a language
+
+
 def fit(docs: DataFrame, learn=None) -> Model:
     """Model from the rows of ``docs`` with text and language that satisfy ``learn``.
 
@@ -225,8 +237,8 @@ def fit(docs: DataFrame, learn=None) -> Model:
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     if learn is not None:
         rows = rows.where(learn)
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text")
-    got = (rows.select("doc_id", "text", "lang").withColumn("place", F.row_number().over(first))
+    first = Window.partitionBy("lang").orderBy("hash", "doc_id", "text")
+    got = (drawn(rows).withColumn("place", F.row_number().over(first))
            .where(F.col("place") <= SAMPLE).select("text", "lang", "doc_id").collect())
     if not got:
         return Model([])

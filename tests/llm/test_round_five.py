@@ -7,7 +7,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from ledgerline.llm import neardup
+from ledgerline.llm import langid, neardup
 
 
 def test_edits_of_one_text_meet_by_what_they_add(spark):
@@ -36,3 +36,24 @@ def test_edits_of_one_text_meet_by_what_they_add(spark):
     similar = {(x.a, x.b) for x in neardup.similar_pairs(every, docs, idf).collect() if {x.a, x.b} & apart and x.a}
     assert len(similar) > 20 and similar <= met
     assert len(met) < len(texts) ** 2 / 10          # all pairs: half of the square
+
+
+def test_training_texts_are_drawn_by_their_hashes(spark, monkeypatch):
+    """Only the rows drawn hand on their texts; they are those of the smallest hashes, ties and
+    repeated rows included."""
+    monkeypatch.setattr(langid, "SAMPLE", 7)
+    rows = [(i if i % 9 else None, f"text {i % 150}", ("de", "en", "fr")[i % 3 if i < 290 else 2]) for i in range(300)]
+    docs = spark.createDataFrame(rows + rows[:40], "doc_id long, text string, lang string").repartition(8)
+    every = docs.withColumn("hash", F.xxhash64("doc_id", "text")).collect()
+    want = []
+    for lang in ("de", "en", "fr"):
+        of = sorted((x.hash, -1 if x.doc_id is None else x.doc_id, x.text) for x in every if x.lang == lang)
+        want += [(lang, *x) for x in of if x[0] <= of[6][0]]
+    got = [(x.lang, x.hash, -1 if x.doc_id is None else x.doc_id, x.text) for x in langid.drawn(docs).collect()]
+    assert sorted(got) == sorted(want) and len(got) < 40
+    kept = []
+    monkeypatch.setattr(langid, "train", lambda rows: kept.extend(rows))
+    langid.fit(docs)
+    of = {lang: sorted((x.hash, -1 if x.doc_id is None else x.doc_id, x.text) for x in every if x.lang == lang)[:7]
+          for lang in ("de", "en", "fr")}
+    assert sorted(kept) == sorted((t, lang) for lang, xs in of.items() for _, _, t in xs)
