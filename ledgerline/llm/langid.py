@@ -158,14 +158,15 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     if not len(w.start):
         return model
     gold = np.repeat([langs.index(g) for _, g in rows], np.diff(w.first))
+    _, where, back = np.unique(w.hash, return_index=True, return_inverse=True)
     parts, at, total = [], [], 0
-    for lo in range(0, len(w.start), 20_000):          # some words at a time, to bound the driver's memory
-        s, first = features(w, np.arange(lo, min(lo + 20_000, len(w.start))))
+    for lo in range(0, len(where), 20_000):            # each word once, some at a time, to bound the driver's memory
+        s, first = features(w, where[lo:lo + 20_000])
         parts.append(s.astype(np.int32))
         at.append(first + total)
         total += len(s)
     slot, at = np.concatenate(parts), np.concatenate(at)
-    end = np.append(at[1:], len(slot))
+    at, end = at[back], np.append(at[1:], len(slot))[back]
     cs = chains(w)
     pieces = [np.arange(a, b) for a, b in zip(cs, np.append(cs[1:], len(w.start)))]
     g_w = np.full(model.weight.shape, 1e-2, np.float32)

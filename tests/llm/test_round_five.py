@@ -57,3 +57,24 @@ def test_training_texts_are_drawn_by_their_hashes(spark, monkeypatch):
     of = {lang: sorted((x.hash, -1 if x.doc_id is None else x.doc_id, x.text) for x in every if x.lang == lang)[:7]
           for lang in ("de", "en", "fr")}
     assert sorted(kept) == sorted((t, lang) for lang, xs in of.items() for _, _, t in xs)
+
+
+def test_training_holds_the_features_of_each_word_once(monkeypatch):
+    """The driver's memory follows the distinct words; the model is the one of all words."""
+    rng = random.Random(3)
+    words = {k: [f"{k}{i}é" for i in range(60)] for k in ("al", "be", "ga")}
+    rows = [(" ".join(rng.choice(words[k]) for _ in range(50)) + "\n" + rng.choice(words[k]), k) for k in words for _ in range(8)]
+    features, asked = langid.features, []
+    monkeypatch.setattr(langid, "features", lambda w, pick: asked.append(len(pick)) or features(w, pick))
+    model = langid.train(rows)
+    assert sum(asked) <= 180 and model.langs == ["al", "be", "ga"]
+    slot, at = features(w := langid.Words(*_bytes_of([t for t, _ in rows]), langid.IS_LETTER), np.arange(len(w.start)))
+    every = np.split(slot, at[1:])
+    for i in range(0, len(every), 7):              # the same word has the same features at each place
+        j = int(np.flatnonzero(w.hash == w.hash[i])[0])
+        assert np.array_equal(every[i], every[j])
+
+
+def _bytes_of(texts):
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
