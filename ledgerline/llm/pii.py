@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.sizing import attach_one_row
-from ledgerline.llm.common import U, bitmap, cut_lineage, fresh, hash_of, in_bitmap, on_workers, spread, word_slices
+from ledgerline.llm.common import U, bitmap, fresh, hash_of, in_bitmap, keep, on_workers, spread, word_slices
 
 KINDS = ("email", "ip", "card", "phone", "term")
 SHOWN = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]")
@@ -161,18 +161,19 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, support: int = SUPPORT,
     """entity, term, pmi, ic, share (of the documents with the term that hold the entity): pairs that
     exceed the disclosure threshold."""
     near = found.where(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.entity", "x.context")
-    supported = cut_lineage(near.groupBy("entity").agg(F.count_distinct("row").alias("n_entity"), F.count_distinct("context").alias("contexts"))
-                            .where(F.col("contexts") >= support).select("entity", "n_entity"))
-    held = cut_lineage(near.join(supported, "entity").distinct())
+    # tables kept as Parquet have their own sizes, so that joins with small ones shuffle nothing
+    supported = keep(near.groupBy("entity").agg(F.count_distinct("row").alias("n_entity"), F.count_distinct("context").alias("contexts"))
+                     .where(F.col("contexts") >= support).select("entity", "n_entity"), "supported")
+    held = keep(near.join(supported, "entity").distinct(), "held")
     rows = held.select("row").distinct()
     of_rows = found.join(rows, "row", "left_semi").select("row", F.explode("terms").alias("term"))
     met = of_rows.groupBy("term").agg(F.count_distinct("row").alias("n")).where(F.col("n") >= support).select("term")
-    n_term = document_counts(docs, cut_lineage(met)).withColumnRenamed("n", "n_term")
+    n_term = document_counts(docs, keep(met, "met")).withColumnRenamed("n", "n_term")
     # a term of n_t documents can disclose an entity of n_e only if n_t / N <= (n_e / N) ** (1 / alpha)
     limits = attach_one_row(docs.agg(F.count(F.lit(1)).alias("n_docs")), supported.agg(F.max("n_entity").alias("most")))
     rare = attach_one_row(n_term, limits).where(
         F.col("n_term") <= F.col("n_docs") * F.pow(F.col("most") / F.col("n_docs"), F.lit(1 / alpha)) * (1 + 1e-9))
-    rare = cut_lineage(rare.select("term", "n_term", "n_docs"))
+    rare = keep(rare.select("term", "n_term", "n_docs"), "rare")
     pairs = of_rows.join(rare.select("term"), "term").join(held.select("row", "entity", "context"), "row")
     together = (pairs.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("row").alias("n_both"))
                 .where(F.col("contexts") >= support))
@@ -213,9 +214,9 @@ def places(docs: DataFrame, terms: DataFrame) -> DataFrame:
 def spans(docs: DataFrame) -> DataFrame:
     """row, doc_id, base, all (base and disclosing terms, by start and kind) for every row."""
     on_workers(docs.sparkSession)
-    found = cut_lineage(find_entities(docs))
-    told = cut_lineage(disclosing_terms(found, docs).select("entity", "term", "share"))
-    at = cut_lineage(places(docs, told.select("term").distinct()))
+    found = keep(find_entities(docs), "found")
+    told = keep(disclosing_terms(found, docs).select("entity", "term", "share"), "told")
+    at = keep(places(docs, told.select("term").distinct()), "places")
     holds = found.where(F.size("near") > 0).select("row", F.explode("near.entity").alias("entity")).distinct()
     concerned = at.join(told.select("entity", "term"), "term").join(holds, ["row", "entity"], "left_semi").select("row", "start", "end")
     elsewhere = at.join(told.where(F.col("share") >= TELLING).select("term").distinct(), "term", "left_semi").select("row", "start", "end")

@@ -7,7 +7,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from ledgerline.llm import langid, neardup
+from ledgerline.llm import langid, neardup, pii
 
 
 def test_edits_of_one_text_meet_by_what_they_add(spark):
@@ -78,3 +78,12 @@ def test_training_holds_the_features_of_each_word_once(monkeypatch):
 def _bytes_of(texts):
     raw = [t.encode() for t in texts]
     return np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
+
+
+def test_small_tables_of_terms_are_not_shuffled(spark):
+    """The tables between the steps have sizes of their own: joins with small ones are broadcast."""
+    texts = [(i, f"word{i} alpha beta mail{i % 5}@example.org gamma delta{i % 7} term{i % 5}") for i in range(60)]
+    s = pii.spans(spark.createDataFrame(texts, "doc_id long, text string"))
+    plan = s._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 0 and plan.count("BroadcastHashJoin") >= 3, plan
+    assert s.count() == 60
