@@ -15,21 +15,22 @@
    similarity of 0.8 once in 10 ** 8 pairs).
    Large keys that still hold several classes are settled exactly and without all their pairs:
    they form clusters, and each member is described by what it has more and less than the
-   cluster's leader (signed differences of weights). With c = (1 - SIMILAR) / (1 + SIMILAR), E a
-   member's total difference and S its total weight, two members are similar if and only if twice
-   the weight of the differences that they share is E_x + E_y - c * (S_x + S_y) or more. So a
-   member that isn't similar to the leader is similar to y only if they share differences of more
-   than half of c * S_leader + E_y - c * S_y; of y's differences, rarest first, a prefix that
-   leaves no more than that must hold one of x's. What members lack of the leader is common to many
-   of them, and seldom enough: with P and M a member's weight over and under the leader's and
-   bend = ((1 - c) * P + c * M) / (c * S_leader), similar members share additions of at least
-   c * S_leader * ((bend_x + bend_y) / 2 - 1). So pairs with bends of over 2 in all meet on
-   additions alone, on a prefix of y's that leaves no more than c * S_leader * (bend_y - 1) where
-   bend_x >= bend_y; only the others (of members that mostly lack parts) meet on all differences.
-   As a pair's distance is |P_x - P_y| + |M_x - M_y| at least, pairs with more than
-   c * (S_x + S_y) of that don't meet. Only pairs that meet are compared.
+   cluster's centre (signed differences of weights). The centre is no document: it holds the
+   shingles of more than half of the members that agree in ``CORE`` samples with the most popular
+   one, so what most members share is nobody's difference. With c = (1 - SIMILAR) / (1 + SIMILAR), E
+   a member's total difference, S its total weight and slack = E - c * S, two members are similar if
+   and only if twice the weight of the differences that they share is slack_x + slack_y or more.
+   So members whose slack is -slack_m or less, m being the one of least slack, are similar to m,
+   and of any other pair to settle one member, x, has a slack over -slack_m and, if it is the one of
+   more slack, shares more than max(slack_y, (slack_y - slack_m) / 2) with y: of y's differences,
+   rarest first, a prefix that leaves less than that must hold one of x's. What members lack of the
+   centre is common to many of them, but is enough for a pair only if half of slack_x + slack_y is
+   no more than what either lacks in all; other pairs meet on additions alone, on a prefix of y's
+   that leaves less than the bound above minus all that y lacks. As a pair's distance is
+   at least the difference of what they have over the centre, and of what they have under it, pairs
+   with more than c * (S_x + S_y) of that don't meet. Only pairs that meet are compared.
    1 - similarity is a metric: a round settles the pairs with a member within NEAR of
-   the leader (the other one is within NEAR + 1 - SIMILAR), and the rest elects a new leader.
+   the centre (the other one is within NEAR + 1 - SIMILAR), and the rest elects a new one.
 4. A pair is a link if its weighted Jaccard similarity, from the whole texts, is ``SIMILAR`` or
    more; classes are the connected components, named after their smallest id.
 
@@ -45,7 +46,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import (U, bitmap, fresh, in_bitmap, keep, mix, on_workers, short_batches,
@@ -61,8 +62,9 @@ BAND = (0, 1, 4, 9, 11)      # its differences are all distinct modulo 24
 SMALL = 10
 PIVOTS = 3
 AGREE = 8                    # of SAMPLES
-NEAR = 0.6                   # distance from the leader whose members a round settles
-ROUNDS = 3                   # of leaders; the last one settles all that is left, near or not
+CORE = 12                    # of SAMPLES
+NEAR = 0.6                   # distance from the centre whose members a round settles
+ROUNDS = 3                   # of centres; the last one settles all that is left, near or not
 PAIRS = 256                  # of whole texts in one Arrow batch
 _BITS = 44                   # of a shingle's hash
 
@@ -266,7 +268,7 @@ def classes(docs: DataFrame) -> DataFrame:
     held = held.join(held.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "doc_id").select(
         F.least("rep", "doc_id").alias("a"), F.greatest("rep", "doc_id").alias("b"))
     found = _merged(reps.select("rep", F.col("rep").alias("label")).distinct(), links.unionByName(held))
-    found = _settled(keys, found, pairs, docs, idf)
+    found = _settled(keys, found, pairs, reps, docs, idf)
     named = reps.select("sig", "rep").join(found, "rep").select("sig", F.col("label").alias("class_id"))
     out = sigs.select("doc_id", "sig").join(named, "sig", "left").select(
         "doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
@@ -306,15 +308,48 @@ def _clusters(keys: DataFrame, found: DataFrame) -> DataFrame:
                        .select(F.col("label").alias("cluster"), "rep", "pop"))
 
 
-def differences(members: DataFrame, texts: DataFrame, idf: np.ndarray, similar: float = SIMILAR) -> DataFrame:
-    """From (cluster, label, rep, lead): the similarity to the leader, what the member has ``over`` and
-    ``under`` the leader's ``size``, its ``bend``; ``parts`` (the prefix of the signed differences that
-    a similar member must meet) and ``every`` one of them; ``firm`` (the prefix of the additions) and
-    ``added``, every addition. ``every`` and ``added`` are empty where the member is similar itself,
-    ``parts`` and ``every`` where its bend is too large for any pair that needs them."""
-    both = (members.join(texts.select(F.col("doc_id").alias("rep"), F.col("text").alias("own_text")), "rep")
-            .join(texts.select(F.col("doc_id").alias("lead"), F.col("text").alias("lead_text")), "lead")
-            .select("cluster", "label", "rep", "own_text", "lead_text"))
+def centres(core: DataFrame, texts: DataFrame) -> DataFrame:
+    """cluster, shingles, counts: what more than half of the texts of the cluster's ``core`` (cluster,
+    rep) hold, so at most twice their mean size; counts are the holders' means, rounded."""
+    low = U((1 << _BITS) - 1)
+
+    def count(batches):
+        for batch in batches:
+            cluster = batch.column(0).to_numpy()
+            for a, b, w in word_slices(batch.column(1)):
+                key, tf, first = shingles(w)
+                own = np.repeat(cluster[a:b], np.diff(first))
+                own, g = np.concatenate([own, cluster[a:b]]), np.concatenate([(key & low).view(np.int64), np.full(b - a, -1)])
+                order = np.lexsort((g, own))                   # shingle -1 counts the texts
+                own, g, tf = own[order], g[order], np.concatenate([tf, np.ones(b - a, np.int64)])[order]
+                new = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (own[1:] != own[:-1])][:len(g)])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own[new]), pa.array(g[new]), pa.array(np.diff(np.append(new, len(g)))),
+                     pa.array(np.add.reduceat(tf, new) if len(new) else tf)], ["cluster", "g", "n", "tf"])
+
+    held = (core.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep").select("cluster", "text")
+            .mapInArrow(count, "cluster bigint, g bigint, n bigint, tf bigint")
+            .groupBy("cluster", "g").agg(F.sum("n").alias("n"), F.sum("tf").alias("tf")))
+    held = written(held)
+    size = held.where("g = -1").select("cluster", F.col("n").alias("size"))
+    common = held.join(size, "cluster").where("g >= 0 and 2 * n > size").select(
+        "cluster", F.struct("g", F.round(F.col("tf") / F.col("n")).cast("bigint").alias("tf")).alias("x"))
+    listed = common.groupBy("cluster").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    return size.join(listed, "cluster", "left").select(
+        "cluster", F.coalesce("x.g", F.array().cast("array<bigint>")).alias("shingles"),
+        F.coalesce("x.tf", F.array().cast("array<bigint>")).alias("counts"))
+
+
+def differences(members: DataFrame, texts: DataFrame, idf: np.ndarray, middle: DataFrame | None = None,
+                similar: float = SIMILAR) -> DataFrame:
+    """From (cluster, label, rep, lead): the similarity to the cluster's centre (of ``middle``, else the
+    text of ``lead``), the weight ``over`` and ``under`` the centre's ``size``, the ``slack``, and
+    ``every`` signed difference (odd: an addition), rarest first, with the weight of it and all later
+    ones in ``tail``, and of these the additions' in ``added``."""
+    if middle is None:
+        middle = centres(members.select("cluster", F.col("lead").alias("rep")).distinct(), texts)
+    both = (members.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep").join(middle, "cluster")
+            .select("cluster", "label", "rep", "text", "shingles", "counts"))
     c = (1 - similar) / (1 + similar)
     low = U((1 << _BITS) - 1)
 
@@ -324,94 +359,104 @@ def differences(members: DataFrame, texts: DataFrame, idf: np.ndarray, similar:
         diff[np.searchsorted(g, kx)] += wx
         diff[np.searchsorted(g, kl)] -= wl
         at = np.flatnonzero(np.abs(diff) > 1e-9)
+        at = at[np.argsort(-idf[(g[at] & U(FEATURES - 1)).astype(np.int64)], kind="stable")]
         g, diff = g[at], diff[at]
         weight = np.abs(diff)
-        e, own, lead = weight.sum(), wx.sum(), wl.sum()
-        s = (own + lead - e) / max(own + lead + e, 1e-12)
-        element = (g << U(1) | (diff > 0).astype(U)).view(np.int64)
-        order = np.lexsort((element, -idf[(g & U(FEATURES - 1)).astype(np.int64)]))
-        over, under = weight[diff > 0].sum(), weight[diff < 0].sum()
-        bend = ((1 - c) * over + c * under) / max(c * lead, 1e-12)
-        apart, none = s < similar - 1e-9, element[:0]
-
-        def prefix(at, shared):
-            left = weight[at].sum() - np.cumsum(weight[at])
-            return element[at[:int(np.searchsorted(-left, -(shared - 1e-6 * lead))) + 1]]
-
-        more = order[diff[order] > 0]
-        return (s, over, under, lead, bend,
-                prefix(order, (c * lead + e - c * own) / 2) if bend <= 2 + 1e-6 else none,
-                element if apart and bend <= 2 + 1e-6 else none,
-                prefix(more, c * lead * (bend - 1) if apart else 0.0), element[diff > 0] if apart else none)
+        e, own, size = weight.sum(), wx.sum(), wl.sum()
+        return ((own + size - e) / max(own + size + e, 1e-12), weight[diff > 0].sum(), weight[diff < 0].sum(), size, e - c * own,
+                (g << U(1) | (diff > 0).astype(U)).view(np.int64), np.cumsum(weight[::-1])[::-1],
+                np.cumsum(np.maximum(diff, 0)[::-1])[::-1])
 
     def run(batches):
         for batch in batches:
-            size = sum(pc.fill_null(pc.binary_length(batch.column(k)), 0).to_numpy() for k in (3, 4))
-            for lo, hi in slices(np.concatenate(([0], np.cumsum(size, dtype=np.int64)))):
-                part = batch.slice(lo, hi - lo)
-                sides = []
-                for k in (3, 4):
-                    docs = []
-                    for _, _, w in word_slices(part.column(k)):
-                        key, tf, first = shingles(w)
-                        weight = weights(key, tf, idf).astype(np.float64)
-                        docs += [(key[x:y] & low, weight[x:y]) for x, y in zip(first[:-1], first[1:])]
-                    sides.append(docs)
-                got = [one(*x, *y) for x, y in zip(*sides)]
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(k) for k in range(3)),
-                     *(pa.array([g[k] for g in got], pa.float64()) for k in range(5)),
-                     *(pa.array([g[k] for g in got], pa.list_(pa.int64())) for k in range(5, 9))],
-                    ["cluster", "label", "rep", "similarity", "over", "under", "size", "bend", "parts", "every", "firm", "added"])
+            middles = [(np.array(k.as_py(), np.int64).view(U), np.array(n.as_py(), np.int64))
+                       for k, n in zip(batch.column(4), batch.column(5))]
+            got = []
+            for a, _, w in word_slices(batch.column(3)):
+                key, tf, first = shingles(w)
+                weight = weights(key, tf, idf).astype(np.float64)
+                for i, (x, y) in enumerate(zip(first[:-1], first[1:])):
+                    kl, n = middles[a + i]
+                    got.append(one(key[x:y] & low, weight[x:y], kl, weights(kl, n, idf).astype(np.float64)))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k) for k in range(3)),
+                 *(pa.array([g[k] for g in got], pa.float64()) for k in range(5)),
+                 pa.array([g[5] for g in got], pa.list_(pa.int64())),
+                 *(pa.array([g[k] for g in got], pa.list_(pa.float64())) for k in (6, 7))],
+                ["cluster", "label", "rep", "similarity", "over", "under", "size", "slack", "every", "tail", "added"])
 
     return both.mapInArrow(run, "cluster bigint, label bigint, rep bigint, similarity double, over double, under double, size double, "
-                                "bend double, parts array<bigint>, every array<bigint>, firm array<bigint>, added array<bigint>")
+                                "slack double, every array<bigint>, tail array<double>, added array<double>")
+
+
+def _least(told: DataFrame) -> DataFrame:
+    """cluster, head, head_label, least: the member of least slack."""
+    return told.groupBy("cluster").agg(F.min(F.struct("slack", "rep", "label")).alias("l")).select(
+        "cluster", F.col("l.rep").alias("head"), F.col("l.label").alias("head_label"), F.col("l.slack").alias("least"))
+
+
+def _about() -> Column:
+    """What sums of weights may be off by."""
+    return 1e-6 * (F.col("size") + F.col("over") + F.col("under"))
 
 
 def _meeting(told: DataFrame, last: bool, similar: float = SIMILAR) -> DataFrame:
     """Distinct (a, b), a < b, of different classes that meet on a difference; see the module's text."""
     near, reach, c = 1 - NEAR, similar - NEAR, (1 - similar) / (1 + similar)
-    inside = told if last else told.where(F.col("similarity") >= reach - 1e-6)
+    every = told.join(_least(told), "cluster").withColumn("apart", F.col("slack") + F.col("least") > -_about())
+    edge = every.where(F.col("apart") & (F.col("slack") + F.col("least") <= _about()) & (F.col("label") != F.col("head_label"))).select(
+        F.col("rep").alias("x"), F.col("head").alias("y"))
+    inside = every if last else every.where(F.col("similarity") >= reach - 1e-6)
     told_of = lambda rep: [
-        F.col("rep").alias(rep), *(F.col(k).alias(f"{k}_{rep}") for k in ("label", "over", "under", "size", "bend")),
-        (F.col("similarity") >= similar - 1e-9).alias(f"same_{rep}"), (F.col("similarity") >= near - 1e-6).alias(f"near_{rep}")]
-    of = lambda elements, add, rep: inside.select(
-        "cluster", F.explode(elements).alias("e"), F.lit(add).alias("add"), *told_of(rep))
-    side = lambda every, added, rep: of(every, False, rep).unionByName(of(added, True, rep))
-    x, y = side("every", "added", "x"), side("parts", "firm", "y")
-    on = ["cluster", "e", "add"]
+        F.col("rep").alias(rep), *(F.col(k).alias(f"{k}_{rep}") for k in ("label", "over", "under", "size", "slack")),
+        (F.col("similarity") >= near - 1e-6).alias(f"near_{rep}")]
+    shared = F.greatest(F.col("slack"), (F.col("slack") - F.col("least")) / 2) - _about()
+    x = inside.where("apart").select("cluster", F.explode("every").alias("e"), *told_of("x"))
+    add = lambda e: e.bitwiseAND(F.lit(1)) == 1
+    y = inside.withColumn("shared", shared).select("cluster", F.explode(F.filter(
+        F.arrays_zip("every", "tail", "added"), lambda z: (z["tail"] >= F.col("shared")) | (
+            add(z["every"]) & (z["added"] >= F.col("shared") - F.col("under"))))["every"]).alias("e"), *told_of("y"))
+    on = ["cluster", "e"]
     several = (x.select(*on, F.col("label_x").alias("l")).unionByName(y.select(*on, F.col("label_y").alias("l")))
                .groupBy(*on).agg(F.min("l").alias("lo"), F.max("l").alias("hi")).where("lo <> hi").select(*on))
-    bends = F.col("bend_x") + F.col("bend_y")
     least = F.abs(F.col("over_x") - F.col("over_y")) + F.abs(F.col("under_x") - F.col("under_y"))
     sizes = 2 * F.col("size_x") + F.col("over_x") - F.col("under_x") + F.col("over_y") - F.col("under_y")
+    about = 1e-6 * (F.col("size_x") + F.col("over_x") + F.col("over_y"))
     met = (x.join(several, on).join(y, on).where("label_x <> label_y")
-           .where(F.when(F.col("add"), bends >= 2 - 1e-6).otherwise(bends <= 2 + 1e-6))
-           .where(F.col("same_y") | (F.col("bend_x") >= F.col("bend_y") - 1e-9))
-           .where(least <= c * sizes + 1e-6 * F.col("size_x")))
+           .where(F.col("slack_x") >= F.col("slack_y") - about).where(least <= c * sizes + about)
+           .where(add(F.col("e")) | ((F.col("slack_x") + F.col("slack_y")) / 2 <= F.least("under_x", "under_y") + about)))
     met = met if last else met.where("near_x or near_y")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return met.select("x", "y").unionByName(edge).where("x <> y").select(
+        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _core(members: DataFrame, reps: DataFrame) -> DataFrame:
+    """(cluster, rep) of the members that agree with the cluster's ``lead`` in ``CORE`` samples."""
+    drawn = members.select("cluster", "rep", "lead").join(reps.select("rep", "samples"), "rep")
+    lead = drawn.where("rep = lead").select("cluster", F.col("samples").alias("lead_samples"))
+    same = F.size(F.filter(F.zip_with("samples", "lead_samples", lambda x, y: x == y), lambda x: x))
+    return drawn.join(lead, "cluster").where(same >= CORE).select("cluster", "rep").distinct()
 
 
-def _settled(keys: DataFrame, found: DataFrame, done: DataFrame, docs: DataFrame, idf: np.ndarray) -> DataFrame:
+def _settled(keys: DataFrame, found: DataFrame, done: DataFrame, reps: DataFrame, docs: DataFrame, idf: np.ndarray) -> DataFrame:
     """``found`` after every pair of a large key between different classes was compared or ruled out."""
     left = _clusters(keys, found)
     for k in range(ROUNDS):
         last = k == ROUNDS - 1
         now = left.join(found, "rep")
-        leaders = (now.groupBy("cluster").agg(F.max(F.struct("pop", "rep", "label")).alias("l"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-                   .where("lo <> hi").select("cluster", F.col("l.rep").alias("lead"), F.col("l.label").alias("lead_label")))
+        leaders = (now.groupBy("cluster").agg(F.max(F.struct("pop", "rep"))["rep"].alias("lead"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+                   .where("lo <> hi").select("cluster", "lead"))
         members = written(now.join(leaders, "cluster"))
         if members.isEmpty():
             break
         texts = texts_of(members.select(F.col("rep").alias("a"), F.col("lead").alias("b")), docs)
         with short_batches(docs.sparkSession, PAIRS):
-            told = written(differences(members, texts, idf))
-        same = F.col("similarity") >= SIMILAR - 1e-9
-        named = told.join(members.select("rep", "lead", "lead_label"), "rep").withColumn("label", F.when(same, F.col("lead_label")).otherwise(F.col("label")))
-        close = named.where(same & (F.col("rep") != F.col("lead"))).select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
-        met = written(_meeting(named, last).join(done, ["a", "b"], "left_anti"))
-        found = _merged(found, close.unionByName(_links(met, docs, idf)))
+            told = written(differences(members, texts, idf, centres(_core(members, reps), texts)))
+        same = F.col("slack") + F.col("least") <= -_about()
+        named = told.join(_least(told), "cluster").withColumn("label", F.when(same, F.col("head_label")).otherwise(F.col("label")))
+        close = named.where(same & (F.col("rep") != F.col("head"))).select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b")).distinct()
+        met = written(_meeting(named.select(told.columns), last).join(done, ["a", "b"], "left_anti"))
+        found = _merged(found, close if met.isEmpty() else close.unionByName(_links(met, docs, idf)))
         if last:
             break
         far = told.groupBy("rep").agg(F.min("similarity").alias("s")).where(F.col("s") < 1 - NEAR - 1e-6)
